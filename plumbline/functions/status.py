@@ -1,0 +1,39 @@
+"""Status arithmetic as Column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from plumbline.model import FAIL, PASS, SEVERITY_ORDER, WARN
+
+
+def severity(status: Column) -> Column:
+    """Rank of a status, NULL for SKIPPED so that max() passes over it."""
+    position = F.array_position(F.array(*map(F.lit, SEVERITY_ORDER)), status)
+    return F.nullif(position, F.lit(0))
+
+
+def status_of(rank: Column) -> Column:
+    """Inverse of :func:`severity`; no rank at all (only skips) is PASS."""
+    names = F.array(*map(F.lit, SEVERITY_ORDER))
+    return F.element_at(names, F.coalesce(rank, F.lit(1)).cast("int"))
+
+
+def worst_status(status: Column) -> Column:
+    """Aggregate: the most severe status of a group, ignoring SKIPPED."""
+    return status_of(F.max(severity(status)))
+
+
+def worst_in(statuses: Column) -> Column:
+    """The most severe status of an array of statuses, ignoring SKIPPED."""
+    return status_of(F.array_max(F.transform(statuses, severity)))
+
+
+def pass_or(ok: Column, otherwise: str = FAIL) -> Column:
+    return F.when(ok, PASS).otherwise(otherwise)
+
+
+def ladder(passes: Column, warns: Column) -> Column:
+    """PASS, else WARN, else FAIL."""
+    return F.when(passes, PASS).when(warns, WARN).otherwise(FAIL)
