@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.values import ratio
+from plumbline.functions.sql import between, case, pass_or, ratio, text
 from plumbline.model import FAIL, PASS, SKIPPED, WARN
 from plumbline.specs import Thresholds
 
@@ -34,9 +34,9 @@ def column_stats(series: DataFrame, by: Sequence[str] = ("metric",)) -> DataFram
     )
 
 
-def tolerance_band(mean: Column, std: Column, k: float = 3.0) -> tuple[Column, Column]:
-    """mean - k*std and mean + k*std."""
-    return mean - std * F.lit(float(k)), mean + std * F.lit(float(k))
+def tolerance_band(mean: str, std: str, k: float = 3.0) -> tuple[str, str]:
+    """SQL text of mean - k*std and mean + k*std."""
+    return f"({mean} - {k}D * {std})", f"({mean} + {k}D * {std})"
 
 
 def series_profile(series: DataFrame, by: Sequence[str] = ("metric",)) -> DataFrame:
@@ -68,40 +68,33 @@ def series_profile(series: DataFrame, by: Sequence[str] = ("metric",)) -> DataFr
 
 
 def robust_iqr_band(
-    q1: Column, q3: Column, limits: Thresholds = Thresholds()
-) -> tuple[Column, Column, Column]:
-    """Interquartile range and the two Tukey fences."""
-    iqr = q3 - q1
-    reach = iqr * F.lit(limits.fence_factor)
-    return iqr, q1 - reach, q3 + reach
+    q1: str, q3: str, limits: Thresholds = Thresholds()
+) -> tuple[str, str, str]:
+    """SQL text of the interquartile range and the two Tukey fences."""
+    iqr = f"({q3} - {q1})"
+    reach = f"{iqr} * {limits.fence_factor}D"
+    return iqr, f"({q1} - {reach})", f"({q3} + {reach})"
 
 
 def modified_z_score(
-    value: Column, median: Column, mad: Column, limits: Thresholds = Thresholds()
-) -> Column:
-    """Scaled distance from the median in MADs; 0 or infinity when MAD is 0."""
-    spread = ratio((value - median) * F.lit(limits.z_scale), mad)
-    flat = F.when(value == median, F.lit(0.0)).otherwise(F.lit(float("inf")))
-    return F.when(mad == 0, flat).otherwise(spread)
+    value: str, median: str, mad: str, limits: Thresholds = Thresholds()
+) -> str:
+    """SQL text: scaled distance from the median in MADs; 0 or infinity at MAD 0."""
+    spread = ratio(f"{limits.z_scale}D * ({value} - {median})", mad)
+    flat = case((f"{value} = {median}", "0D"), otherwise="CAST('Infinity' AS DOUBLE)")
+    return case((f"{mad} = 0", flat), otherwise=spread)
 
 
 def classify_robust_anomaly(
-    value: Column,
-    n: Column,
-    q1: Column,
-    median: Column,
-    q3: Column,
-    mad: Column,
-    limits: Thresholds = Thresholds(),
-) -> Column:
-    """Status of a value against its history; a constant history never FAILs."""
-    iqr, lower, upper = robust_iqr_band(q1, q3, limits)
+    value: str, n: str, q1: str, median: str, q3: str, mad: str, limits: Thresholds = Thresholds()
+) -> str:
+    """SQL text: status of a value against its history; a constant history never FAILs."""
+    iqr, low, high = robust_iqr_band(q1, q3, limits)
     z = modified_z_score(value, median, mad, limits)
-    enough = F.coalesce(n, F.lit(0)) >= limits.min_history
-    return (
-        F.when(value.isNull() | ~enough, SKIPPED)
-        .when((iqr == 0) | (mad == 0), F.when(value == median, PASS).otherwise(WARN))
-        .when(value.between(lower, upper), PASS)
-        .when(F.abs(z) > limits.z_fail, FAIL)
-        .otherwise(WARN)
+    return case(
+        (f"{value} IS NULL OR coalesce({n}, 0) < {limits.min_history}", text(SKIPPED)),
+        (f"{iqr} = 0 OR {mad} = 0", pass_or(f"{value} = {median}", WARN)),
+        (between(value, low, high), text(PASS)),
+        (f"abs({z}) > {limits.z_fail}D", text(FAIL)),
+        otherwise=text(WARN),
     )

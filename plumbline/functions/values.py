@@ -1,4 +1,4 @@
-"""Guarded arithmetic, tolerant dates and text redaction as Column expressions."""
+"""Tolerant dates and text redaction as Column expressions."""
 
 from __future__ import annotations
 
@@ -12,23 +12,6 @@ SECRET_PATTERN = r"(?i)(password|pwd|secret|token|key)\s*=\s*[^\s]+"
 URI_PATTERN = r"(?i)\b[a-z]+://[^\s]+"
 
 
-def ratio(numerator: Column, denominator: Column, empty: float | None = None) -> Column:
-    """Division that yields ``empty`` (default NULL) on a zero denominator."""
-    value = F.try_divide(numerator.cast("double"), denominator.cast("double"))
-    return value if empty is None else F.coalesce(value, F.lit(float(empty)))
-
-
-def percent(part: Column, whole: Column, empty: float | None = 0.0) -> Column:
-    value = ratio(part, whole) * 100
-    return value if empty is None else F.coalesce(value, F.lit(float(empty)))
-
-
-def drop_percent(before: Column, after: Column, empty: float | None = 0.0) -> Column:
-    """Share of rows lost between two layers, in percent."""
-    value = (F.lit(1.0) - ratio(after, before)) * 100
-    return value if empty is None else F.coalesce(value, F.lit(float(empty)))
-
-
 def as_date(column: str, dtype: T.DataType) -> Column:
     """The column as DATE, NULL when it does not parse.
 
@@ -47,25 +30,3 @@ def redact(text: Column) -> Column:
     masked = F.regexp_replace(text, SECRET_PATTERN, "$1=***")
     masked = F.regexp_replace(masked, URI_PATTERN, "***")
     return F.trim(F.regexp_replace(masked, r"\s+", " "))
-
-
-def grouped(value: Column) -> Column:
-    """Integer with thousands separators."""
-    return F.format_number(value.cast("double"), 0)
-
-
-def fixed(value: Column, digits: int = 2) -> Column:
-    """Plain fixed-point text, no grouping."""
-    return F.format_string(f"%.{digits}f", value.cast("double"))
-
-
-def json_of(**fields: Column) -> Column:
-    """JSON object text; NULL fields are kept."""
-    packed = F.struct(*[value.alias(name) for name, value in fields.items()])
-    return F.to_json(packed, {"ignoreNullFields": "false"})
-
-
-def json_text(value: Column) -> Column:
-    """JSON string literal of a text column (quotes and backslashes escaped)."""
-    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.concat(F.lit('"'), escaped, F.lit('"'))

@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from plumbline.functions.sql import case, concat, drop_percent, fixed, json_object, json_string, text
 from plumbline.functions.stats import classify_robust_anomaly, modified_z_score, robust_iqr_band
-from plumbline.functions.values import drop_percent, fixed, json_of
 from plumbline.model import (
     ACCURACY,
     ANOMALY,
@@ -20,7 +17,7 @@ from plumbline.model import (
     SILVER,
     SKIPPED,
 )
-from plumbline.operators.check import Check, Rule, number, quoted, run_checks, skipped
+from plumbline.operators.check import Check, Rule, run_checks, skipped
 from plumbline.operators.silver import drop_sql
 from plumbline.plans.metrics import MetricSheet
 
@@ -52,7 +49,7 @@ BAND_METHOD = "median + IQR (Q1 - 1.5*IQR, Q3 + 1.5*IQR)"
 SCORE_METHOD = "median + IQR; modified Z (MAD)"
 
 
-def current_value(sheet: MetricSheet, metric: str) -> tuple[Column, str]:
+def current_value(sheet: MetricSheet, metric: str) -> tuple[str, str]:
     """Today's value and the SQL that yields it; NULL when it cannot be scored."""
     spec = sheet.spec
     if metric == "bronze_count":
@@ -61,60 +58,65 @@ def current_value(sheet: MetricSheet, metric: str) -> tuple[Column, str]:
         return sheet.number(spec.silver, "rows"), f"SELECT COUNT(*) FROM {spec.silver}"
     if metric == "drop_pct":
         before, after = sheet.number(spec.bronze, "rows"), sheet.number(spec.silver, "rows")
-        return drop_percent(before, after, empty=None), drop_sql(sheet)
+        return drop_percent(before, after, empty="NULL"), drop_sql(spec)
     sheet.need(spec.gold, "total_revenue")
     return sheet.metric(spec.gold, "total_revenue"), f"SELECT total_revenue FROM {spec.gold}"
 
 
-def _no_baseline(n, need: int) -> Column:
-    count = F.lit(str(n)) if isinstance(n, int) else n.cast("string")
-    return F.concat(F.lit("no baseline yet: "), count, F.lit(f" past runs, {need} needed"))
-
-
 def _score(item: Monitored):
     def build(sheet: MetricSheet) -> Check | None:
         if not sheet.offers("history", f"{item.metric}_median"):
             return None
         limits = sheet.spec.thresholds
         raw, sql = current_value(sheet, item.metric)
-        value = raw.cast("double")
-        stat = {s: sheet.metric("history", f"{item.metric}_{s}") for s in ("q1", "median", "q3", "mad")}
-        n = sheet.number("history", f"{item.metric}_n")
-        runs = sheet.number("history", "runs")
-        iqr, low, high = robust_iqr_band(stat["q1"], stat["q3"], limits)
-        z = modified_z_score(value, stat["median"], stat["mad"], limits)
-        status = classify_robust_anomaly(value, n, stat["q1"], stat["median"], stat["q3"], stat["mad"], limits)
-        flat = (iqr == 0) | (stat["mad"] == 0)
-        band = F.concat(F.lit("["), F.format_string("%.4g", low), F.lit(", "), F.format_string("%.4g", high), F.lit("]"))
-        detail = (
-            F.when(n < limits.min_history, _no_baseline(n, limits.min_history))
-            .when(value.isNull(), F.lit(f"current {item.metric} is NULL (empty upstream), nothing to score"))
-            .when(flat & (status == PASS), F.lit("Value equals a constant baseline (IQR or MAD is 0)."))
-            .when(flat, F.lit("Value left a constant baseline (IQR or MAD is 0); the change cannot be scored."))
-            .when(status == PASS, F.lit("Inside the robust band."))
-            .when(status == FAIL, F.concat(F.lit("Extreme outlier: modified Z "), fixed(z), F.lit(", outside "), band, F.lit(".")))
-            .otherwise(F.concat(F.lit("Mild outlier: outside "), band, F.lit(", modified Z "), fixed(z), F.lit(".")))
+        name = item.metric
+        value = sheet.derive(f"{name}_value", f"CAST({raw} AS DOUBLE)")
+        q1, median, q3, mad = (
+            sheet.metric("history", f"{name}_{s}") for s in ("q1", "median", "q3", "mad")
+        )
+        n = sheet.number("history", f"{name}_n")
+        iqr, low, high = (
+            sheet.derive(f"{name}_{part}", sql)
+            for part, sql in zip(("iqr", "low", "high"), robust_iqr_band(q1, q3, limits), strict=True)
+        )
+        z = sheet.derive(f"{name}_z", modified_z_score(value, median, mad, limits))
+        status = sheet.derive(
+            f"{name}_status", classify_robust_anomaly(value, n, q1, median, q3, mad, limits)
+        )
+        flat = f"({iqr} = 0 OR {mad} = 0)"
+        band = concat(text("["), f"format_string('%.4g, %.4g', {low}, {high})", text("]"))
+        detail = case(
+            (f"{n} < {limits.min_history}",
+             concat(text("no baseline yet: "), f"CAST({n} AS STRING)",
+                    text(f" past runs, {limits.min_history} needed"))),
+            (f"{value} IS NULL", text(f"current {item.metric} is NULL (empty upstream), nothing to score")),
+            (f"{flat} AND {value} = {median}", text("Value equals a constant baseline (IQR or MAD is 0).")),
+            (flat, text("Value left a constant baseline (IQR or MAD is 0); the change cannot be scored.")),
+            (f"{status} = '{PASS}'", text("Inside the robust band.")),
+            (f"{status} = '{FAIL}'",
+             concat(text("Extreme outlier: modified Z "), fixed(z), text(", outside "), band, text("."))),
+            otherwise=concat(text("Mild outlier: outside "), band, text(", modified Z "), fixed(z), text(".")),
         )
-        scored = json_of(
-            value=value, median=stat["median"], iqr_lower=low, iqr_upper=high,
-            modified_z=F.round(z, 2), history_count=n, method=F.lit(BAND_METHOD), detail=detail,
+        detail = sheet.derive(f"{name}_detail", detail)
+        scored = json_object(
+            value=value, median=median, iqr_lower=low, iqr_upper=high, modified_z=f"round({z}, 2)",
+            history_count=n, method=text(BAND_METHOD), detail=detail,
         )
-        constant = json_of(
-            value=value, median=stat["median"], iqr=iqr, mad=stat["mad"],
-            history_count=n, method=F.lit(BAND_METHOD), detail=detail,
+        constant = json_object(
+            value=value, median=median, iqr=iqr, mad=mad, history_count=n,
+            method=text(BAND_METHOD), detail=detail,
         )
+        skip = f"{status} = '{SKIPPED}'"
+        goal = case((skip, text("check could not be evaluated")), otherwise=text("within robust IQR band"))
         return Check(
             item.check_id, item.check_name, item.layer, status, detail,
-            observed=F.when(status == SKIPPED, F.lit(None).cast("string")).when(flat, constant).otherwise(scored),
-            expected=F.when(status == SKIPPED, quoted("check could not be evaluated")).otherwise(
-                quoted("within robust IQR band")
-            ),
+            observed=case((skip, "NULL"), (flat, constant), otherwise=scored),
+            expected=json_string(goal),
             value=value, evidence=sql, dimension=item.dimension, detection_layer=ANOMALY,
             extra={
-                "metric": F.lit(item.metric),
-                "method": F.lit(SCORE_METHOD),
-                "modified_z": F.when(~flat, F.round(z, 2)),
-                "runs": number(runs),
+                "metric": text(item.metric),
+                "method": text(SCORE_METHOD),
+                "modified_z": case((f"NOT {flat}", f"round({z}, 2)")),
             },
         )
 

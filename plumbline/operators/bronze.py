@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from plumbline.functions.sql import (
+    between,
+    case,
+    concat,
+    fixed,
+    grouped,
+    json_list,
+    json_number,
+    json_object,
+    json_string,
+    ladder,
+    pass_or,
+    percent,
+    text,
+    total,
+)
 from plumbline.functions.stats import tolerance_band
-from plumbline.functions.status import ladder, pass_or
-from plumbline.functions.values import fixed, grouped, json_of, percent
 from plumbline.model import BRONZE, FAIL, PASS, WARN
-from plumbline.operators.check import Check, Rule, number, quoted, run_checks
+from plumbline.operators.check import Check, Rule, run_checks
 from plumbline.plans.metrics import MetricSheet
 
 # Ids and names of the Bronze catalogue.
@@ -27,25 +36,45 @@ NAMES = {
 }
 
 
-def learned(sheet: MetricSheet, metric: str) -> tuple[Column, Column] | None:
-    """Mean and standard deviation of a history metric, if the history has it."""
+def learned(sheet: MetricSheet, metric: str) -> tuple[str, str, str] | None:
+    """Mean, standard deviation and usability of a history metric, if there is one.
+
+    Without any spread there is no learned band.
+    """
     if not sheet.offers("history", f"{metric}_mean"):
         return None
-    return sheet.metric("history", f"{metric}_mean"), sheet.metric("history", f"{metric}_std")
+    mean = sheet.metric("history", f"{metric}_mean")
+    std = sheet.metric("history", f"{metric}_std")
+    return mean, std, f"coalesce({std} > 0, false)"
 
 
-def total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns, F.lit(0).cast("long"))
+def band_place(status: str, middle: str = "slightly outside") -> str:
+    return case(
+        (f"{status} = '{PASS}'", text("inside")),
+        (f"{status} = '{WARN}'", text(middle)),
+        otherwise=text("far outside"),
+    )
 
 
-def null_report(sheet: MetricSheet, table: str, columns: tuple[str, ...]):
-    """Per-column null counts of the columns present, their sum and the zero target."""
+def null_report(sheet: MetricSheet, table: str, columns: tuple[str, ...]) -> tuple[str, str, str]:
+    """Null counts of the columns present as JSON, the zero target and their sum."""
     present = [c for c in columns if c in sheet.columns(table)]
+    if not present:
+        return text("{}"), text("{}"), "0"
     counts = {c: sheet.number(table, f"null_{c}") for c in present}
-    if not counts:
-        return F.lit("{}"), F.lit("{}"), F.lit(0)
-    zeros = json_of(**{c: F.lit(0) for c in counts})
-    return json_of(**counts), zeros, total(list(counts.values()))
+    zeros = text("{" + ",".join(f'"{c}":0' for c in counts) + "}")
+    return json_object(**counts), zeros, total(list(counts.values()))
+
+
+def null_sql(sheet: MetricSheet, table: str, columns: tuple[str, ...]) -> str:
+    present = [c for c in columns if c in sheet.columns(table)]
+    where = " OR ".join(f"{c} IS NULL" for c in present) or "FALSE"
+    return f"SELECT COUNT(*) FROM {table} WHERE {where}"
+
+
+def amount(count: str, clean: str, dirty: str) -> str:
+    """``clean`` when the count is zero, else the count followed by ``dirty``."""
+    return case((f"{count} = 0", text(clean)), otherwise=concat(grouped(count), text(dirty)))
 
 
 def _b1(sheet: MetricSheet) -> Check:
@@ -54,58 +83,52 @@ def _b1(sheet: MetricSheet) -> Check:
     sql = f"SELECT COUNT(*) FROM {spec.bronze}"
     if not sheet.has_table(spec.source):
         return Check(
-            "B1", NAMES["B1"], BRONZE, F.lit(WARN),
-            F.lit(f"Nothing to compare with: no {spec.source} table."),
-            number(rows), None, rows, sql,
+            "B1", NAMES["B1"], BRONZE, text(WARN),
+            text(f"Nothing to compare with: no {spec.source} table."),
+            json_number(rows), None, rows, sql,
         )
     source = sheet.number(spec.source, "rows")
-    same = source == rows
-    detail = F.when(same, "Source and Bronze hold the same number of rows.").otherwise(
-        F.concat(F.lit("Source holds "), grouped(source), F.lit(" rows, Bronze "), grouped(rows), F.lit("."))
+    differ = concat(text("Source holds "), grouped(source), text(" rows, Bronze "), grouped(rows), text("."))
+    detail = case((f"{source} = {rows}", text("Source and Bronze hold the same number of rows.")), otherwise=differ)
+    return Check(
+        "B1", NAMES["B1"], BRONZE, pass_or(f"{source} = {rows}"), detail,
+        json_number(rows), json_number(source), rows, sql,
     )
-    return Check("B1", NAMES["B1"], BRONZE, pass_or(same), detail, number(rows), number(source), rows, sql)
 
 
 def _b2(sheet: MetricSheet) -> Check:
     spec, limits = sheet.spec, sheet.spec.thresholds
     rows = sheet.number(spec.bronze, "rows")
-    configured = pass_or(rows.between(limits.min_rows, limits.max_rows))
-    expected = F.lit(f"{limits.min_rows:,}-{limits.max_rows:,} (configured)")
-    status, basis = configured, F.lit("configured")
+    status = pass_or(between(rows, limits.min_rows, limits.max_rows))
+    expected = text(f"{limits.min_rows:,}-{limits.max_rows:,} (configured)")
+    basis = text("configured")
     history = learned(sheet, "bronze_count")
     if history:
-        mean, std = history
-        usable = F.coalesce(std > 0, F.lit(False))
+        mean, std, usable = history
         low, high = tolerance_band(mean, std, limits.sigma_pass)
-        band = ladder(
-            rows.between(low, high),
-            rows.between(*tolerance_band(mean, std, limits.sigma_warn)),
-        )
-        status = F.when(usable, band).otherwise(configured)
-        basis = F.when(usable, "learned").otherwise(basis)
-        text = F.concat(fixed(low, 0), F.lit("-"), fixed(high, 0), F.lit(f" (mean +/- {limits.sigma_pass:g} std)"))
-        expected = F.when(usable, text).otherwise(expected)
-    place = F.when(status == PASS, "inside").when(status == WARN, "slightly outside").otherwise("far outside")
-    detail = F.concat(F.lit("Bronze row count is "), place, F.lit(" the "), basis, F.lit(" range."))
+        wide = tolerance_band(mean, std, limits.sigma_warn)
+        status = case((usable, ladder(between(rows, low, high), between(rows, *wide))), otherwise=status)
+        basis = case((usable, text("learned")), otherwise=basis)
+        shown = concat(fixed(low, 0), text("-"), fixed(high, 0), text(f" (mean +/- {limits.sigma_pass:g} std)"))
+        expected = case((usable, shown), otherwise=expected)
+    status = sheet.derive("count_status", status)
+    detail = concat(text("Bronze row count is "), band_place(status), text(" the "), basis, text(" range."))
     return Check(
-        "B2", NAMES["B2"], BRONZE, status, detail, number(rows), quoted(expected), rows,
+        "B2", NAMES["B2"], BRONZE, status, detail, json_number(rows), json_string(expected), rows,
         f"SELECT COUNT(*) FROM {spec.bronze}",
     )
 
 
 def _b3(sheet: MetricSheet) -> Check:
     rows = sheet.number(sheet.spec.bronze, "rows")
-    detail = F.when(rows > 0, "Bronze holds rows.").otherwise("Bronze is empty.")
     return Check(
-        "B3", NAMES["B3"], BRONZE, pass_or(rows > 0), detail, number(rows), quoted("> 0"), rows,
+        "B3", NAMES["B3"], BRONZE, pass_or(f"{rows} > 0"),
+        case((f"{rows} > 0", text("Bronze holds rows.")), otherwise=text("Bronze is empty.")),
+        json_number(rows), json_string(text("> 0")), rows,
         f"SELECT COUNT(*) FROM {sheet.spec.bronze}",
     )
 
 
-def _json_list(names) -> str:
-    return "[" + ", ".join(f'"{n}"' for n in names) + "]"
-
-
 def missing_columns(sheet: MetricSheet) -> list[str]:
     """Required Bronze columns that are absent; known without a job."""
     present = sheet.columns(sheet.spec.bronze)
@@ -114,43 +137,35 @@ def missing_columns(sheet: MetricSheet) -> list[str]:
 
 def _b4(sheet: MetricSheet) -> Check:
     missing = missing_columns(sheet)
+    detail = f"Required columns missing: {missing}." if missing else "Every required column is present."
     return Check(
-        "B4", NAMES["B4"], BRONZE, F.lit(FAIL if missing else PASS),
-        F.lit(f"Required columns missing: {missing}." if missing else "Every required column is present."),
-        F.lit(_json_list(sheet.columns(sheet.spec.bronze))),
-        F.lit(_json_list(sheet.spec.required_columns)),
-        F.lit(len(missing)),
-        f"SELECT * FROM {sheet.spec.bronze} LIMIT 0",
+        "B4", NAMES["B4"], BRONZE, text(FAIL if missing else PASS), text(detail),
+        text(json_list(sheet.columns(sheet.spec.bronze))), text(json_list(sheet.spec.required_columns)),
+        str(len(missing)), f"SELECT * FROM {sheet.spec.bronze} LIMIT 0",
     )
 
 
 def _b5(sheet: MetricSheet) -> Check:
     missing = missing_columns(sheet)
     surplus = [c for c in sheet.columns(sheet.spec.bronze) if c not in sheet.spec.required_columns]
-    lists = {"missing_columns": F.lit(_json_list(missing)), "extra_columns": F.lit(_json_list(surplus))}
-    observed = f'{{"missing_columns": {_json_list(missing)}, "extra_columns": {_json_list(surplus)}}}'
+    observed = f'{{"missing_columns": {json_list(missing)}, "extra_columns": {json_list(surplus)}}}'
     return Check(
-        "B5", NAMES["B5"], BRONZE, F.lit(WARN if missing else PASS),
-        F.lit(f"missing_columns={missing}, extra_columns={surplus}"),
-        F.lit(observed),
-        F.lit('{"missing_columns": [], "extra_columns": []}'),
-        F.lit(len(missing)),
-        f"SELECT * FROM {sheet.spec.bronze} LIMIT 0",
-        extra=lists,
+        "B5", NAMES["B5"], BRONZE, text(WARN if missing else PASS),
+        text(f"missing_columns={missing}, extra_columns={surplus}"),
+        text(observed), text('{"missing_columns": [], "extra_columns": []}'),
+        str(len(missing)), f"SELECT * FROM {sheet.spec.bronze} LIMIT 0",
+        extra={"missing_columns": text(json_list(missing)), "extra_columns": text(json_list(surplus))},
     )
 
 
 def _b6(sheet: MetricSheet) -> Check:
     spec = sheet.spec
     observed, zeros, nulls = null_report(sheet, spec.bronze, spec.bronze_mandatory)
-    detail = F.when(nulls == 0, F.lit("Mandatory columns hold no nulls.")).otherwise(
-        F.concat(F.lit("Nulls in mandatory columns: "), observed, F.lit("."))
-    )
-    present = [c for c in spec.bronze_mandatory if c in sheet.columns(spec.bronze)]
-    where = " OR ".join(f"{c} IS NULL" for c in present)
+    found = concat(text("Nulls in mandatory columns: "), observed, text("."))
     return Check(
-        "B6", NAMES["B6"], BRONZE, pass_or(nulls == 0), detail, observed, zeros, nulls,
-        f"SELECT COUNT(*) FROM {spec.bronze} WHERE {where}",
+        "B6", NAMES["B6"], BRONZE, pass_or(f"{nulls} = 0"),
+        case((f"{nulls} = 0", text("Mandatory columns hold no nulls.")), otherwise=found),
+        observed, zeros, nulls, null_sql(sheet, spec.bronze, spec.bronze_mandatory),
     )
 
 
@@ -159,22 +174,21 @@ def _b7(sheet: MetricSheet) -> Check:
     sheet.need(spec.bronze, spec.quantity, spec.price)
     quantity = sheet.number(spec.bronze, "negative_quantity")
     price = sheet.number(spec.bronze, "negative_price")
-    none = (quantity + price) == 0
-    detail = F.when(none, F.lit("No negative quantity or price.")).otherwise(
-        F.concat(
-            grouped(quantity), F.lit(" rows with negative quantity and "), grouped(price),
-            F.lit(" with negative price; Silver should remove them."),
-        )
+    both = total([quantity, price])
+    found = concat(
+        grouped(quantity), text(" rows with negative quantity and "), grouped(price),
+        text(" with negative price; Silver should remove them."),
     )
     return Check(
-        "B7", NAMES["B7"], BRONZE, pass_or(none, WARN), detail,
-        json_of(negative_quantity=quantity, negative_unit_price=price),
-        quoted("profiled (not blocking at Bronze)"), quantity + price,
+        "B7", NAMES["B7"], BRONZE, pass_or(f"{both} = 0", WARN),
+        case((f"{both} = 0", text("No negative quantity or price.")), otherwise=found),
+        json_object(negative_quantity=quantity, negative_unit_price=price),
+        json_string(text("profiled (not blocking at Bronze)")), both,
         f"SELECT COUNT(*) FROM {spec.bronze} WHERE {spec.quantity} < 0 OR {spec.price} < 0",
     )
 
 
-def bronze_key_excess(sheet: MetricSheet) -> Column:
+def bronze_key_excess(sheet: MetricSheet) -> str:
     sheet.need(sheet.spec.bronze, *sheet.spec.business_key)
     source = "bronze_keys" if sheet.offers("bronze_keys", "bronze_key_excess") else "keys"
     return sheet.number(source, "bronze_key_excess")
@@ -188,17 +202,16 @@ def duplicate_sql(table: str, key: tuple[str, ...]) -> str:
 def _b8(sheet: MetricSheet) -> Check:
     spec = sheet.spec
     excess = bronze_key_excess(sheet)
-    share = percent(excess, sheet.number(spec.bronze, "rows"))
-    status = ladder(excess == 0, share < spec.thresholds.duplicate_pct_fail)
-    detail = F.when(excess == 0, F.lit("Business keys are unique in Bronze.")).otherwise(
-        F.concat(
-            grouped(excess), F.lit(" surplus rows on the business key ("), fixed(share),
-            F.when(status == WARN, "%); Silver should remove them.").otherwise("%): extreme duplicate load."),
-        )
+    share = sheet.derive("duplicate_pct", percent(excess, sheet.number(spec.bronze, "rows")))
+    mild = f"{share} < {spec.thresholds.duplicate_pct_fail}D"
+    found = concat(
+        grouped(excess), text(" surplus rows on the business key ("), fixed(share),
+        case((mild, text("%); Silver should remove them.")), otherwise=text("%): extreme duplicate load.")),
     )
     return Check(
-        "B8", NAMES["B8"], BRONZE, status, detail, number(excess), number(F.lit(0)), excess,
-        duplicate_sql(spec.bronze, spec.business_key),
+        "B8", NAMES["B8"], BRONZE, ladder(f"{excess} = 0", mild),
+        case((f"{excess} = 0", text("Business keys are unique in Bronze.")), otherwise=found),
+        json_number(excess), "'0'", excess, duplicate_sql(spec.bronze, spec.business_key),
     )
 
 

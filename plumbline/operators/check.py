@@ -6,76 +6,66 @@ import logging
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from plumbline.functions.sql import case, json_string, text
 from plumbline.functions.text import sanitize_reason
-from plumbline.functions.values import json_text
 from plumbline.model import CHECK_TYPE, SKIPPED
 from plumbline.plans.metrics import MetricSheet, MissingInput
 
 log = logging.getLogger("plumbline.checks")
 
 
-def _null(dtype: str) -> Column:
-    return F.lit(None).cast(dtype)
-
-
-def number(value: Column) -> Column:
-    """JSON text of a number."""
-    return value.cast("string")
-
-
-def quoted(value: str | Column) -> Column:
-    """JSON text of a string."""
-    return json_text(F.lit(value) if isinstance(value, str) else value)
-
-
 @dataclass(frozen=True)
 class Check:
-    """One result row. ``observed`` and ``expected`` are JSON text Columns."""
+    """One result row; ``status`` to ``value`` and ``extra`` are SQL expression text.
+
+    ``observed`` and ``expected`` evaluate to JSON text.
+    """
 
     check_id: str
     check_name: str
     layer: str
-    status: Column
-    detail: Column
-    observed: Column | None = None
-    expected: Column | None = None
-    value: Column | None = None
+    status: str
+    detail: str
+    observed: str | None = None
+    expected: str | None = None
+    value: str | None = None
     evidence: str = ""
     dimension: str | None = None
     detection_layer: str | None = None
     table: str | None = None
-    extra: Mapping[str, Column] = field(default_factory=dict)
-    detected_status: Column | None = None
-    detected_detail: Column | None = None
+    extra: Mapping[str, str] = field(default_factory=dict)
+    detected_status: str | None = None
+    detected_detail: str | None = None
 
-    def column(self, seq: int) -> Column:
-        extra = _null("map<string,string>")
+    def row(self, seq: int) -> str:
+        """SQL text of the result row."""
+        extra = "NULL"
         if self.extra:
-            pairs = [x for k, v in self.extra.items() for x in (F.lit(k), v.cast("string"))]
-            extra = F.create_map(*pairs)
-        fields = (
-            F.lit(self.check_id),
-            F.lit(self.check_name),
-            F.lit(self.layer),
+            pairs = (f"{text(k)}, CAST({v} AS STRING)" for k, v in self.extra.items())
+            extra = f"map({', '.join(pairs)})"
+        values = (
+            text(self.check_id),
+            text(self.check_name),
+            text(self.layer),
             self.status,
-            _null("double") if self.value is None else self.value.cast("double"),
-            _null("string") if self.observed is None else self.observed,
-            _null("string") if self.expected is None else self.expected,
+            self.value or "NULL",
+            self.observed or "NULL",
+            self.expected or "NULL",
             self.detail,
-            F.lit(self.evidence),
-            F.lit(self.dimension).cast("string"),
-            F.lit(self.detection_layer).cast("string"),
-            F.lit(self.table).cast("string"),
+            text(self.evidence),
+            text(self.dimension),
+            text(self.detection_layer),
+            text(self.table),
             extra,
-            self.status if self.detected_status is None else self.detected_status,
-            self.detail if self.detected_detail is None else self.detected_detail,
-            F.lit(seq),
+            self.detected_status or self.status,
+            self.detected_detail or self.detail,
+            str(seq),
+        )
+        typed = (
+            f"{text(f.name)}, CAST({value} AS {f.dataType.simpleString()})"
+            for f, value in zip(CHECK_TYPE.fields, values, strict=True)
         )
-        named = [f.alias(t.name) for f, t in zip(fields, CHECK_TYPE.fields, strict=True)]
-        return F.struct(*named)
+        return f"named_struct({', '.join(typed)})"
 
 
 def skipped(
@@ -86,19 +76,19 @@ def skipped(
         check_id,
         check_name,
         layer,
-        status=F.lit(SKIPPED),
-        expected=quoted("check could not be evaluated"),
-        detail=F.lit(reason),
+        status=text(SKIPPED),
+        expected=json_string(text("check could not be evaluated")),
+        detail=text(reason),
         detection_layer=detection_layer,
     )
 
 
-def guarded(check: Check, unusable: Column, reason: str) -> Check:
+def guarded(check: Check, unusable: str, reason: str) -> Check:
     """SKIPPED with ``reason`` for the pipelines where ``unusable`` holds."""
     return replace(
         check,
-        status=F.when(unusable, SKIPPED).otherwise(check.status),
-        detail=F.when(unusable, F.lit(reason)).otherwise(check.detail),
+        status=case((unusable, text(SKIPPED)), otherwise=check.status),
+        detail=case((unusable, text(reason)), otherwise=check.detail),
     )
 
 

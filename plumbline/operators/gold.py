@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from plumbline.functions.sql import (
+    between,
+    case,
+    concat,
+    grouped,
+    json_number,
+    json_object,
+    json_string,
+    pass_or,
+    ratio,
+    text,
+)
 from plumbline.functions.stats import tolerance_band
-from plumbline.functions.status import pass_or
-from plumbline.functions.values import grouped, json_of, ratio
 from plumbline.model import FAIL, GOLD, IMPACTED, PASS, WARN
-from plumbline.operators.bronze import learned
-from plumbline.operators.check import Check, Rule, guarded, number, quoted, run_checks
+from plumbline.operators.bronze import amount, learned
+from plumbline.operators.check import Check, Rule, guarded, run_checks
 from plumbline.plans.metrics import MetricSheet
+from plumbline.specs import PipelineSpec
 
 # Ids and names of the Gold catalogue.
 NAMES = {
@@ -22,150 +30,158 @@ NAMES = {
     "G5": "Revenue vs Expected Baseline",
     "G6": "Country-wise Revenue Reconciliation",
 }
-
 EMPTY_GOLD = "the Gold table holds no row"
 
 
-def gold_rows(sheet: MetricSheet) -> Column:
-    return sheet.number(sheet.spec.gold, "rows")
+def no_gold_row(sheet: MetricSheet) -> str:
+    return f"{sheet.number(sheet.spec.gold, 'rows')} = 0"
 
 
-def gold_value(sheet: MetricSheet, name: str) -> Column:
+def gold_value(sheet: MetricSheet, name: str) -> str:
     sheet.need(sheet.spec.gold, name)
     return sheet.number(sheet.spec.gold, name)
 
 
-def silver_revenue(sheet: MetricSheet) -> Column:
-    sheet.need(sheet.spec.silver, sheet.spec.revenue)
-    return F.coalesce(sheet.metric(sheet.spec.silver, "revenue"), F.lit(0.0))
-
-
-def silver_documents(sheet: MetricSheet) -> Column:
+def silver_documents(sheet: MetricSheet) -> str:
     """Distinct documents in Silver, from whichever frame counted them."""
     sheet.need(sheet.spec.silver, sheet.spec.document)
     source = "keys" if sheet.offers("keys", "silver_documents") else "documents"
     return sheet.number(source, "silver_documents")
 
 
-def silver_customers(sheet: MetricSheet) -> Column:
+def silver_customers(sheet: MetricSheet) -> str:
     sheet.need(sheet.spec.silver, sheet.spec.customer)
     return sheet.number("customers", "silver_customers")
 
 
-def revenue_gap(sheet: MetricSheet) -> tuple[Column, Column, Column]:
-    silver = silver_revenue(sheet)
-    gold = gold_value(sheet, "total_revenue").cast("double")
-    return silver, gold, F.abs(silver - gold)
+def revenue_gap(sheet: MetricSheet) -> tuple[str, str, str]:
+    """Silver revenue, Gold revenue and their distance; NULL counts as nothing."""
+    sheet.need(sheet.spec.silver, sheet.spec.revenue)
+    silver = f"CAST({sheet.number(sheet.spec.silver, 'revenue')} AS DOUBLE)"
+    gold = f"CAST({gold_value(sheet, 'total_revenue')} AS DOUBLE)"
+    silver, gold = sheet.derive("silver_sum", silver), sheet.derive("gold_sum", gold)
+    return silver, gold, sheet.derive("revenue_gap", f"abs({silver} - {gold})")
 
 
-def _money(value: Column) -> Column:
-    return F.format_number(value, 2)
+def average_order_value(revenue: str, orders: str) -> str:
+    """Revenue per order, 0 without orders."""
+    return case((f"{orders} = 0", "0D"), otherwise=ratio(revenue, orders))
 
 
 def _g1(sheet: MetricSheet) -> Check:
     tolerance = sheet.spec.thresholds.revenue_tolerance
     silver, gold, gap = revenue_gap(sheet)
-    ok = gap <= tolerance
-    detail = F.when(ok, F.lit(f"Gold revenue equals the Silver sum within {tolerance} (float drift).")).otherwise(
-        F.concat(F.lit("Gold revenue "), _money(gold), F.lit(" differs from the Silver sum "), _money(silver),
-                 F.lit(" by "), _money(gap), F.lit("."))
+    ok = f"{gap} <= {tolerance}D"
+    found = concat(
+        text("Gold revenue "), grouped(gold, 2), text(" differs from the Silver sum "),
+        grouped(silver, 2), text(" by "), grouped(gap, 2), text("."),
     )
     check = Check(
-        "G1", NAMES["G1"], GOLD, pass_or(ok), detail,
-        json_of(gold_revenue=gold, difference=gap, revenue_rounding_tolerance=F.lit(tolerance)),
-        json_of(silver_revenue=silver), gap,
+        "G1", NAMES["G1"], GOLD, pass_or(ok),
+        case((ok, text(f"Gold revenue equals the Silver sum within {tolerance} (float drift).")), otherwise=found),
+        json_object(gold_revenue=gold, difference=gap, revenue_rounding_tolerance=f"{tolerance}D"),
+        json_object(silver_revenue=silver), gap,
         f"SELECT SUM({sheet.spec.revenue}) FROM {sheet.spec.silver}",
-        extra={"revenue_rounding_tolerance": F.lit(tolerance)},
+        extra={"revenue_rounding_tolerance": f"{tolerance}D"},
     )
-    return guarded(check, gold_rows(sheet) == 0, EMPTY_GOLD)
+    return guarded(check, no_gold_row(sheet), EMPTY_GOLD)
 
 
-def _count_check(check_id: str, gold_column: str, fresh, source_column: str, what: str):
+def _count_check(check_id: str, gold_column: str, fresh, column: str, what: str):
     def build(sheet: MetricSheet) -> Check:
-        expected = fresh(sheet).cast("long")
-        stored = gold_value(sheet, gold_column).cast("long")
-        ok = stored == expected
-        detail = F.when(ok, F.lit(f"Gold {gold_column} equals the distinct {what} of Silver.")).otherwise(
-            F.concat(F.lit(f"Gold {gold_column} is "), grouped(stored),
-                     F.lit(f", Silver has "), grouped(expected), F.lit(f" distinct {what}."))
+        expected = f"CAST({fresh(sheet)} AS BIGINT)"
+        stored = f"CAST({gold_value(sheet, gold_column)} AS BIGINT)"
+        ok = f"{stored} = {expected}"
+        found = concat(
+            text(f"Gold {gold_column} is "), grouped(stored), text(", Silver has "),
+            grouped(expected), text(f" distinct {what}."),
         )
-        column = getattr(sheet.spec, source_column)
         check = Check(
-            check_id, NAMES[check_id], GOLD, pass_or(ok), detail, number(stored), number(expected), stored,
-            f"SELECT COUNT(DISTINCT {column}) FROM {sheet.spec.silver}",
+            check_id, NAMES[check_id], GOLD, pass_or(ok),
+            case((ok, text(f"Gold {gold_column} equals the distinct {what} of Silver.")), otherwise=found),
+            json_number(stored), json_number(expected), stored,
+            f"SELECT COUNT(DISTINCT {getattr(sheet.spec, column)}) FROM {sheet.spec.silver}",
         )
-        return guarded(check, gold_rows(sheet) == 0, EMPTY_GOLD)
+        return guarded(check, no_gold_row(sheet), EMPTY_GOLD)
 
     return build
 
 
 def _g4(sheet: MetricSheet) -> Check:
-    stored = gold_value(sheet, "average_order_value").cast("double")
-    orders = gold_value(sheet, "total_orders").cast("double")
-    sheet.need(sheet.spec.gold, "total_revenue")
-    revenue = sheet.metric(sheet.spec.gold, "total_revenue").cast("double")
-    fresh = F.when(orders == 0, F.lit(0.0)).otherwise(ratio(revenue, orders))
-    ok = F.abs(fresh - stored) <= sheet.spec.thresholds.order_value_tolerance
-    detail = F.when(ok, F.concat(F.lit("Average order value agrees with revenue per order, "), _money(fresh), F.lit("."))).otherwise(
-        F.concat(F.lit("Average order value "), _money(stored), F.lit(" should be "), _money(fresh), F.lit("."))
+    spec = sheet.spec
+    stored = f"CAST({gold_value(sheet, 'average_order_value')} AS DOUBLE)"
+    orders = f"CAST({gold_value(sheet, 'total_orders')} AS DOUBLE)"
+    sheet.need(spec.gold, "total_revenue")
+    revenue = sheet.metric(spec.gold, "total_revenue")
+    fresh = sheet.derive("order_value", average_order_value(revenue, orders))
+    ok = f"coalesce(abs({fresh} - {stored}) <= {spec.thresholds.order_value_tolerance}D, false)"
+    good = concat(text("Average order value agrees with revenue per order, "), grouped(fresh, 2), text("."))
+    found = concat(
+        text("Average order value "), grouped(stored, 2), text(" should be "), grouped(fresh, 2), text(".")
     )
     check = Check(
-        "G4", NAMES["G4"], GOLD, pass_or(F.coalesce(ok, F.lit(False))), detail,
-        number(stored), number(F.round(fresh, 2)), stored,
-        f"SELECT total_revenue / total_orders FROM {sheet.spec.gold}",
+        "G4", NAMES["G4"], GOLD, pass_or(ok), case((ok, good), otherwise=found),
+        json_number(stored), json_number(f"round({fresh}, 2)"), stored,
+        f"SELECT total_revenue / total_orders FROM {spec.gold}",
     )
     # Revenue without a value cannot be divided: the check has no answer then.
-    unusable = (gold_rows(sheet) == 0) | (fresh.isNull())
+    unusable = f"({no_gold_row(sheet)}) OR ({fresh}) IS NULL"
     return guarded(check, unusable, "Gold revenue is NULL or the Gold table holds no row")
 
 
-def _g5(upstream: Column):
+def revenue_status(
+    gold: str, gap: str, mean: str, std: str, upstream: str, spec: PipelineSpec
+) -> str:
+    """Status of revenue against its learned band, given the upstream layer status."""
+    low, high = tolerance_band(mean, std, spec.thresholds.sigma_pass)
+    blamed = f"{gold} < {low} AND {upstream} IN ('{FAIL}', '{IMPACTED}', '{WARN}')"
+    return case(
+        (f"NOT coalesce({std} > 0, false)", text(WARN)),
+        (between(gold, low, high), text(PASS)),
+        (f"{gap} > {spec.thresholds.revenue_tolerance}D", text(FAIL)),
+        (blamed, text(IMPACTED)),
+        otherwise=text(WARN),
+    )
+
+
+def _g5(upstream: str):
     def build(sheet: MetricSheet) -> Check:
+        spec = sheet.spec
         _, gold, gap = revenue_gap(sheet)
-        sql = f"SELECT total_revenue FROM {sheet.spec.gold}"
-        unknown = "There is no revenue history to compare with."
+        sql = f"SELECT total_revenue FROM {spec.gold}"
+        unknown = text("There is no revenue history to compare with.")
+        no_baseline = json_string(text("no baseline available"))
         history = learned(sheet, "gold_revenue")
         if not history:
-            return Check(
-                "G5", NAMES["G5"], GOLD, F.lit(WARN), F.lit(unknown), number(gold),
-                quoted("no baseline available"), gold, sql,
-            )
-        mean, std = history
-        low, high = tolerance_band(mean, std, sheet.spec.thresholds.sigma_pass)
-        usable = F.coalesce(std > 0, F.lit(False))
-        correct = gap <= sheet.spec.thresholds.revenue_tolerance
-        below = gold < low
-        shortfall = mean - gold
-        status = (
-            F.when(~usable, WARN)
-            .when(gold.between(low, high), PASS)
-            .when(~correct, FAIL)
-            .when(below & upstream.isin(FAIL, IMPACTED, WARN), IMPACTED)
-            .otherwise(WARN)
-        )
-        amount = F.format_number(shortfall, 0)
-        detail = (
-            F.when(~usable, F.lit(unknown))
-            .when(status == PASS, F.lit("Gold revenue is inside the learned range."))
-            .when(status == FAIL, F.lit("Gold revenue is off its baseline and does not agree with Silver."))
-            .when(status == IMPACTED, F.concat(F.lit("Gold agrees with Silver but revenue is "), amount,
-                                               F.lit(" below baseline because of an upstream layer.")))
-            .when(below, F.concat(F.lit("Revenue is "), amount,
-                                  F.lit(" below baseline with healthy upstream layers; review the business.")))
-            .otherwise(F.lit("Gold revenue is above its learned range."))
+            check = Check("G5", NAMES["G5"], GOLD, text(WARN), unknown, json_number(gold), no_baseline, gold, sql)
+            return guarded(check, no_gold_row(sheet), EMPTY_GOLD)
+        mean, std, usable = history
+        low, _ = tolerance_band(mean, std, spec.thresholds.sigma_pass)
+        status = revenue_status(gold, gap, mean, std, upstream, spec)
+        shortfall = f"({mean} - {gold})"
+        detail = case(
+            (f"NOT {usable}", unknown),
+            (f"{status} = '{PASS}'", text("Gold revenue is inside the learned range.")),
+            (f"{status} = '{FAIL}'", text("Gold revenue is off its baseline and does not agree with Silver.")),
+            (f"{status} = '{IMPACTED}'",
+             concat(text("Gold agrees with Silver but revenue is "), grouped(shortfall),
+                    text(" below baseline because of an upstream layer."))),
+            (f"{gold} < {low}",
+             concat(text("Revenue is "), grouped(shortfall),
+                    text(" below baseline with healthy upstream layers; review the business."))),
+            otherwise=text("Gold revenue is above its learned range."),
         )
         check = Check(
-            "G5", NAMES["G5"], GOLD, status, detail, number(gold),
-            F.when(usable, number(F.round(mean, 0))).otherwise(quoted("no baseline available")),
-            gold, sql,
+            "G5", NAMES["G5"], GOLD, status, detail, json_number(gold),
+            case((usable, json_number(f"round({mean}, 0)")), otherwise=no_baseline), gold, sql,
             extra={
-                "expected_revenue": F.round(mean, 0),
+                "expected_revenue": f"round({mean}, 0)",
                 "actual_revenue": gold,
-                "impact": F.round(shortfall, 0),
-                "gold_math_correct": correct,
+                "impact": f"round({shortfall}, 0)",
+                "gold_math_correct": f"{gap} <= {spec.thresholds.revenue_tolerance}D",
             },
         )
-        return guarded(check, gold_rows(sheet) == 0, EMPTY_GOLD)
+        return guarded(check, no_gold_row(sheet), EMPTY_GOLD)
 
     return build
 
@@ -173,22 +189,22 @@ def _g5(upstream: Column):
 def _g6(sheet: MetricSheet) -> Check:
     spec = sheet.spec
     if not sheet.has_table(spec.gold_country):
+        absent = json_string(text("n/a"))
         return Check(
-            "G6", NAMES["G6"], GOLD, F.lit(WARN), F.lit(f"No {spec.gold_country} table to reconcile."),
-            quoted("n/a"), quoted("n/a"),
+            "G6", NAMES["G6"], GOLD, text(WARN), text(f"No {spec.gold_country} table to reconcile."),
+            absent, absent,
         )
     off = sheet.number("country", "country_mismatches")
-    detail = F.when(off == 0, F.lit("Revenue agrees with Silver in every country.")).otherwise(
-        F.concat(grouped(off), F.lit(" countries have a different revenue in Silver."))
-    )
     return Check(
-        "G6", NAMES["G6"], GOLD, pass_or(off == 0), detail, number(off), number(F.lit(0)), off,
+        "G6", NAMES["G6"], GOLD, pass_or(f"{off} = 0"),
+        amount(off, "Revenue agrees with Silver in every country.", " countries have a different revenue in Silver."),
+        json_number(off), "'0'", off,
         f"SELECT {spec.country}, SUM({spec.revenue}) FROM {spec.silver} GROUP BY {spec.country}",
     )
 
 
-def validate_gold(sheet: MetricSheet, upstream: Column) -> list[Check]:
-    """G1-G6; ``upstream`` is the Silver layer status of the same pipeline."""
+def validate_gold(sheet: MetricSheet, upstream: str) -> list[Check]:
+    """G1-G6; ``upstream`` is SQL text of the Silver layer status of the same pipeline."""
     builders = {
         "G1": _g1,
         "G2": _count_check("G2", "total_orders", silver_documents, "document", "documents"),

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from plumbline.functions.status import pass_or
-from plumbline.functions.values import grouped, json_of
+from plumbline.functions.sql import case, concat, grouped, json_object, pass_or, text, total
 from plumbline.model import ACCURACY, COMPLETENESS, CONSISTENCY, GOLD, RECONCILIATION, SILVER
 from plumbline.operators.check import Check, Rule, guarded, run_checks
 from plumbline.operators.gold import (
     EMPTY_GOLD,
-    gold_rows,
     gold_value,
+    no_gold_row,
     revenue_gap,
     silver_customers,
     silver_documents,
@@ -30,14 +27,14 @@ def _count(sheet: MetricSheet) -> Check:
     spec = sheet.spec
     missing = sheet.number("keys", "lost_document_rows")
     explained = sheet.number(spec.bronze, "explained")
-    ok = missing == 0
+    found = concat(
+        grouped(missing), text(" valid Bronze rows have no document in Silver; "),
+        grouped(explained), text(" further rows were invalid and rightly removed."),
+    )
     return Check(
-        COUNT_ID, COUNT_NAME, SILVER, pass_or(ok),
-        F.when(ok, F.lit("Every valid Bronze row is accounted for in Silver.")).otherwise(
-            F.concat(grouped(missing), F.lit(" valid Bronze rows have no document in Silver; "),
-                     grouped(explained), F.lit(" further rows were invalid and rightly removed."))
-        ),
-        json_of(
+        COUNT_ID, COUNT_NAME, SILVER, pass_or(f"{missing} = 0"),
+        case((f"{missing} = 0", text("Every valid Bronze row is accounted for in Silver.")), otherwise=found),
+        json_object(
             bronze_total=sheet.number(spec.bronze, "rows"),
             bronze_valid=sheet.number(spec.bronze, "valid_rows"),
             silver_count=sheet.number(spec.silver, "rows"),
@@ -45,7 +42,7 @@ def _count(sheet: MetricSheet) -> Check:
             explained_removals=explained,
             unexplained_loss=missing,
         ),
-        json_of(unexplained_loss=F.lit(0)), missing,
+        text('{"unexplained_loss":0}'), missing,
         f"SELECT COUNT(*) FROM {spec.bronze} b WHERE {spec.valid_sql()} AND NOT EXISTS "
         f"(SELECT 1 FROM {spec.silver} s WHERE s.{spec.document} = b.{spec.document})",
         COMPLETENESS, RECONCILIATION,
@@ -56,87 +53,96 @@ def _keys(sheet: MetricSheet) -> Check:
     spec = sheet.spec
     unknown = sheet.number("keys", "silver_rows_unknown")
     distinct = silver_documents(sheet)
-    orders = gold_value(sheet, "total_orders").cast("long")
-    surplus = F.greatest(F.lit(0).cast("long"), orders - distinct)
-    ok = (unknown + surplus) == 0
+    orders = f"CAST({gold_value(sheet, 'total_orders')} AS BIGINT)"
+    surplus = f"greatest(0L, {orders} - {distinct})"
+    violations = total([unknown, surplus])
+    found = concat(
+        grouped(unknown), text(" Silver rows have no Bronze document; Gold counts "),
+        grouped(surplus), text(" orders more than Silver holds."),
+    )
     check = Check(
-        KEY_ID, KEY_NAME, SILVER, pass_or(ok),
-        F.when(ok, F.lit("Each layer's keys are contained in the layer before.")).otherwise(
-            F.concat(grouped(unknown), F.lit(" Silver rows have no Bronze document; Gold counts "),
-                     grouped(surplus), F.lit(" orders more than Silver holds."))
-        ),
-        json_of(
+        KEY_ID, KEY_NAME, SILVER, pass_or(f"{violations} = 0"),
+        case((f"{violations} = 0", text("Each layer's keys are contained in the layer before.")), otherwise=found),
+        json_object(
             silver_keys_not_in_bronze=unknown,
             silver_distinct_invoices=distinct,
             gold_total_orders=orders,
             gold_excess_over_silver=surplus,
         ),
-        json_of(violations=F.lit(0)), unknown + surplus,
+        text('{"violations":0}'), violations,
         f"SELECT COUNT(*) FROM {spec.silver} s WHERE NOT EXISTS "
         f"(SELECT 1 FROM {spec.bronze} b WHERE b.{spec.document} = s.{spec.document})",
         CONSISTENCY, RECONCILIATION,
     )
-    return guarded(check, gold_rows(sheet) == 0, EMPTY_GOLD)
+    return guarded(check, no_gold_row(sheet), EMPTY_GOLD)
 
 
 def _revenue(sheet: MetricSheet) -> Check:
     spec, tolerance = sheet.spec, sheet.spec.thresholds.revenue_tolerance
     silver, gold, gap = revenue_gap(sheet)
-    ok = gap <= tolerance
+    ok = f"{gap} <= {tolerance}D"
+    found = concat(
+        text("Silver revenue "), grouped(silver, 2), text(" and Gold revenue "), grouped(gold, 2),
+        text(" differ by "), grouped(gap, 2), text("."),
+    )
     check = Check(
         REVENUE_ID, REVENUE_NAME, GOLD, pass_or(ok),
-        F.when(ok, F.lit(f"Silver revenue equals Gold within {tolerance} (float drift).")).otherwise(
-            F.concat(F.lit("Silver revenue "), F.format_number(silver, 2), F.lit(" and Gold revenue "),
-                     F.format_number(gold, 2), F.lit(" differ by "), F.format_number(gap, 2), F.lit("."))
+        case((ok, text(f"Silver revenue equals Gold within {tolerance} (float drift).")), otherwise=found),
+        json_object(
+            silver_revenue=silver, gold_revenue=gold, difference=gap,
+            revenue_rounding_tolerance=f"{tolerance}D",
         ),
-        json_of(silver_revenue=silver, gold_revenue=gold, difference=gap,
-                revenue_rounding_tolerance=F.lit(tolerance)),
-        json_of(difference=F.lit(f"<= {tolerance}")), gap,
+        json_object(difference=text(f"<= {tolerance}")), gap,
         f"SELECT SUM({spec.revenue}) FROM {spec.silver}",
         ACCURACY, RECONCILIATION, spec.gold,
-        extra={"revenue_rounding_tolerance": F.lit(tolerance)},
+        extra={"revenue_rounding_tolerance": f"{tolerance}D"},
     )
-    return guarded(check, gold_rows(sheet) == 0, EMPTY_GOLD)
+    return guarded(check, no_gold_row(sheet), EMPTY_GOLD)
+
+
+def mismatched_fields(
+    revenue: str, orders: str, customers: str, gold: tuple[str, str, str], tolerance: float
+) -> str:
+    """Array of the Gold fields that differ from their recomputation."""
+    conditions = {
+        "total_revenue": f"abs({revenue} - {gold[0]}) > {tolerance}D",
+        "total_orders": f"{orders} <> {gold[1]}",
+        "total_customers": f"{customers} <> {gold[2]}",
+    }
+    items = (case((condition, text(name))) for name, condition in conditions.items())
+    return f"array_compact(array({', '.join(items)}))"
 
 
 def _aggregates(sheet: MetricSheet) -> Check:
     spec, tolerance = sheet.spec, sheet.spec.thresholds.revenue_tolerance
+    names = ("total_revenue", "total_orders", "total_customers")
+    sheet.need(spec.gold, *names)
     fresh = sheet.metric(spec.silver, "revenue")
     orders, customers = silver_documents(sheet), silver_customers(sheet)
-    for column in ("total_revenue", "total_orders", "total_customers"):
-        sheet.need(spec.gold, column)
-    stored = {c: sheet.metric(spec.gold, c) for c in ("total_revenue", "total_orders", "total_customers")}
-    gap = F.abs(fresh - stored["total_revenue"])
-    wrong = F.array_compact(
-        F.array(
-            F.when(gap > tolerance, "total_revenue"),
-            F.when(orders != stored["total_orders"], "total_orders"),
-            F.when(customers != stored["total_customers"], "total_customers"),
-        )
+    stored = tuple(sheet.metric(spec.gold, n) for n in names)
+    wrong = sheet.derive(
+        "mismatched", mismatched_fields(fresh, orders, customers, stored, tolerance)
     )
-    ok = F.size(wrong) == 0
+    ok = f"size({wrong}) = 0"
+    found = concat(text("Gold differs from Silver in: "), f"array_join({wrong}, ', ')", text("."))
     check = Check(
         AGGREGATE_ID, AGGREGATE_NAME, GOLD, pass_or(ok),
-        F.when(ok, F.lit("All Gold aggregates equal their recomputation from Silver.")).otherwise(
-            F.concat(F.lit("Gold differs from Silver in: "), F.array_join(wrong, ", "), F.lit("."))
-        ),
-        json_of(
-            silver=F.struct(fresh.alias("revenue"), orders.alias("orders"), customers.alias("customers")),
-            gold=F.struct(
-                stored["total_revenue"].alias("total_revenue"),
-                stored["total_orders"].cast("long").alias("total_orders"),
-                stored["total_customers"].cast("long").alias("total_customers"),
+        case((ok, text("All Gold aggregates equal their recomputation from Silver.")), otherwise=found),
+        json_object(
+            silver=f"named_struct('revenue', {fresh}, 'orders', {orders}, 'customers', {customers})",
+            gold=(
+                f"named_struct('total_revenue', {stored[0]}, 'total_orders', CAST({stored[1]} AS BIGINT), "
+                f"'total_customers', CAST({stored[2]} AS BIGINT))"
             ),
             mismatched_fields=wrong,
         ),
-        F.lit('{"mismatched_fields": []}'), F.size(wrong),
+        text('{"mismatched_fields":[]}'), f"size({wrong})",
         f"SELECT SUM({spec.revenue}), COUNT(DISTINCT {spec.document}), "
         f"COUNT(DISTINCT {spec.customer}) FROM {spec.silver}",
         ACCURACY, RECONCILIATION, spec.gold,
     )
     # Unlike the revenue check, a missing sum has no meaning here.
-    unusable = fresh.isNull() | stored["total_revenue"].isNull()
-    unusable = unusable | stored["total_orders"].isNull() | stored["total_customers"].isNull()
+    unusable = " OR ".join(f"{v} IS NULL" for v in (fresh, *stored))
     return guarded(check, unusable, "Silver or Gold has no value to compare")
 
 

@@ -9,23 +9,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.status import pass_or, severity, status_of, worst_status
-from plumbline.functions.values import json_text, percent
+from plumbline.functions.sql import (
+    case,
+    concat,
+    json_string,
+    pass_or,
+    percent,
+    severity,
+    status_of,
+    text,
+    worst_status,
+)
 from plumbline.model import (
-    BRONZE,
     BRONZE_TO_SILVER,
     CROSS_LAYER,
     FAIL,
-    GOLD,
     IMPACTED,
     NOT_TRUSTED,
     PASS,
     PIPELINE,
     PIPELINE_LAYERS,
-    RESULT_SCHEMA,
+    CHECK_TYPE,
     SILVER,
     SILVER_TO_GOLD,
     SKIPPED,
@@ -57,259 +64,255 @@ ACTION_GOLD = "Fix the Gold aggregation logic and recompute metrics."
 ACTION_REVIEW = "Review flagged layers before publishing Gold outputs."
 
 
-def rollup(ids: Sequence[str]) -> Column:
+def _list(ids: Sequence[str]) -> str:
+    return ", ".join(text(i) for i in ids)
+
+
+def rollup(ids: Sequence[str]) -> str:
     """Aggregate: worst status among the given check ids; none of them is PASS."""
-    return worst_status(F.when(F.col("check_id").isin(*ids), F.col("status")))
+    return worst_status(case((f"check_id IN ({_list(ids)})", "status")))
 
 
-def _ordered(condition: Column, *fields: str) -> Column:
+def _ordered(condition: str, *fields: str) -> str:
     """Aggregate: rows meeting a condition as structs in report order."""
-    row = F.struct(F.col("seq"), *[F.col(f) for f in fields])
-    return F.array_sort(F.collect_list(F.when(condition, row)))
+    row = f"struct(seq, {', '.join(fields)})"
+    return f"array_sort(collect_list({row}) FILTER (WHERE {condition}))"
 
 
-def _ids(rows: Column) -> Column:
-    return F.transform(rows, lambda r: r["check_id"])
+def _only(check_id: str, value: str) -> str:
+    """Aggregate: a value of one check."""
+    return f"max({value}) FILTER (WHERE check_id = {text(check_id)})"
 
 
-def _only(check_id: str, value: Column) -> Column:
-    """Aggregate: a value of one check."""
-    return F.max(F.when(F.col("check_id") == check_id, value))
+def _layer(layer: str) -> str:
+    """Aggregate: worst status of a layer."""
+    return worst_status(case((f"layer = {text(layer)}", "status")))
+
+
+def _aggregate(results: DataFrame, **columns: str) -> DataFrame:
+    return results.groupBy(*RUN).agg(*[F.expr(sql).alias(n) for n, sql in columns.items()])
+
+
+LAYER_COLUMNS = {layer.lower(): _layer(layer) for layer in PIPELINE_LAYERS}
 
 
 def layer_statuses(results: DataFrame) -> DataFrame:
     """One row per run with a status column per pipeline layer."""
-    columns = [
-        worst_status(F.when(F.col("layer") == layer, F.col("status"))).alias(layer.lower())
-        for layer in PIPELINE_LAYERS
-    ]
-    return results.groupBy(*RUN).agg(*columns)
+    return _aggregate(results, **LAYER_COLUMNS)
 
 
 def layer_status(results: DataFrame) -> DataFrame:
     """One row per run and layer; a layer without results is PASS."""
-    names = [layer.lower() for layer in PIPELINE_LAYERS]
-    return layer_statuses(results).unpivot(list(RUN), names, "layer", "status")
+    return layer_statuses(results).unpivot(list(RUN), list(LAYER_COLUMNS), "layer", "status")
 
 
-def verdict_of(bronze: Column, silver: Column, gold: Column) -> tuple[Column, Column]:
-    """Verdict and severity of three layer statuses."""
-    worst = F.greatest(severity(bronze), severity(silver), severity(gold))
-    status = status_of(worst)
-    verdict = F.when(status == FAIL, NOT_TRUSTED).when(status == PASS, TRUSTED).otherwise(WARNING)
-    level = F.when(status == FAIL, "HIGH").when(status == PASS, "LOW").otherwise("MEDIUM")
+def verdict_of(bronze: str, silver: str, gold: str) -> tuple[str, str]:
+    """SQL text: verdict and severity of three layer statuses."""
+    worst = status_of(f"greatest({', '.join(severity(s) for s in (bronze, silver, gold))})")
+    failed, clean = f"{worst} = '{FAIL}'", f"{worst} = '{PASS}'"
+    verdict = case((failed, text(NOT_TRUSTED)), (clean, text(TRUSTED)), otherwise=text(WARNING))
+    level = case((failed, "'HIGH'"), (clean, "'LOW'"), otherwise="'MEDIUM'")
     return verdict, level
 
 
-def first_failed_of(bronze: Column, silver: Column, gold: Column) -> Column:
-    """The transition to blame; a merely impacted Gold points upstream."""
-    return (
-        F.when(bronze == FAIL, SOURCE_TO_BRONZE)
-        .when(silver == FAIL, BRONZE_TO_SILVER)
-        .when(gold == FAIL, SILVER_TO_GOLD)
-        .when((gold == IMPACTED) & (silver != PASS), BRONZE_TO_SILVER)
+def first_failed_of(bronze: str, silver: str, gold: str) -> str:
+    """SQL text: the transition to blame; a merely impacted Gold points upstream."""
+    return case(
+        (f"{bronze} = '{FAIL}'", text(SOURCE_TO_BRONZE)),
+        (f"{silver} = '{FAIL}'", text(BRONZE_TO_SILVER)),
+        (f"{gold} = '{FAIL}'", text(SILVER_TO_GOLD)),
+        (f"{gold} = '{IMPACTED}' AND {silver} <> '{PASS}'", text(BRONZE_TO_SILVER)),
     )
 
 
 def final_verdict(results: DataFrame) -> DataFrame:
     """Verdict from the three layers alone, before any coverage downgrade."""
-    layers = layer_statuses(results)
-    verdict, level = verdict_of(F.col("bronze"), F.col("silver"), F.col("gold"))
-    return layers.withColumns({"final_verdict": verdict, "severity": level})
+    verdict, level = verdict_of("bronze", "silver", "gold")
+    return layer_statuses(results).selectExpr(
+        "*", f"{verdict} AS final_verdict", f"{level} AS severity"
+    )
 
 
 def first_failed_layer(results: DataFrame) -> DataFrame:
-    layers = layer_statuses(results)
-    blame = first_failed_of(F.col("bronze"), F.col("silver"), F.col("gold"))
-    return layers.withColumn("first_failed_layer", blame)
+    blame = first_failed_of("bronze", "silver", "gold")
+    return layer_statuses(results).selectExpr("*", f"{blame} AS first_failed_layer")
 
 
 def cross_layer_checks(results: DataFrame) -> DataFrame:
     """X1-X4 as result rows."""
-    is_failed_transform = F.col("check_id").isin(*TRANSFORM_CHECKS) & (F.col("status") == FAIL)
-    layers = {
-        layer.lower(): worst_status(F.when(F.col("layer") == layer, F.col("status")))
-        for layer in PIPELINE_LAYERS
-    }
-    wide = results.groupBy(*RUN).agg(
-        rollup(SOURCE_CHECKS).alias("x1"),
-        rollup(TRANSFORM_CHECKS).alias("x2"),
-        rollup(METRIC_CHECKS).alias("x3"),
-        _only("B1", F.col("detail")).alias("b1_detail"),
-        _ids(_ordered(is_failed_transform, "check_id")).alias("x2_failed"),
-        *[expr.alias(name) for name, expr in layers.items()],
+    failed = f"check_id IN ({_list(TRANSFORM_CHECKS)}) AND status = '{FAIL}'"
+    wide = _aggregate(
+        results,
+        x1=rollup(SOURCE_CHECKS),
+        x2=rollup(TRANSFORM_CHECKS),
+        x3=rollup(METRIC_CHECKS),
+        b1_detail=_only("B1", "detail"),
+        failing=_ordered(failed, "check_id"),
+        **LAYER_COLUMNS,
     )
-    blame = first_failed_of(F.col("bronze"), F.col("silver"), F.col("gold"))
-    wide = wide.withColumn("blame", blame)
-    listing = F.array_join("x2_failed", ", ")
+    blame = first_failed_of("bronze", "silver", "gold")
+    wide = wide.selectExpr("*", f"{blame} AS blame", "array_join(failing.check_id, ', ') AS listing")
+    statuses = {"X1": "x1", "X2": "x2", "X3": "x3", "X4": pass_or("blame IS NULL")}
     details = {
-        "X1": F.coalesce("b1_detail", F.lit("No source comparison was made.")),
-        "X2": F.when(F.col("x2") == PASS, F.lit("The Silver transformation is sound.")).otherwise(
-            F.concat(F.lit("The Silver transformation fails: "), listing, F.lit("."))
-        ),
-        "X3": F.when(F.col("x3") == PASS, "Gold metrics agree with Silver.").otherwise(
-            "Gold metrics do not agree with Silver."
+        "X1": f"coalesce(b1_detail, {text('No source comparison was made.')})",
+        "X2": case(
+            (f"x2 = '{PASS}'", text("The Silver transformation is sound.")),
+            otherwise=concat(text("The Silver transformation fails: "), "listing", text(".")),
         ),
-        "X4": F.coalesce(
-            F.concat(F.lit("First failed transition: "), F.col("blame"), F.lit(".")),
-            F.lit("No layer failed."),
+        "X3": case(
+            (f"x3 = '{PASS}'", text("Gold metrics agree with Silver.")),
+            otherwise=text("Gold metrics do not agree with Silver."),
         ),
+        "X4": f"coalesce(concat('First failed transition: ', blame, '.'), {text('No layer failed.')})",
     }
-    statuses = {"X1": F.col("x1"), "X2": F.col("x2"), "X3": F.col("x3"),
-                "X4": pass_or(F.col("blame").isNull())}
-    checks = [
-        F.struct(
-            F.lit(check_id).alias("check_id"),
-            F.lit(name).alias("check_name"),
-            F.lit(CROSS_LAYER).alias("layer"),
-            statuses[check_id].alias("status"),
-            json_text(F.col("blame") if check_id == "X4" else statuses[check_id]).alias("observed"),
-            (F.lit(None).cast("string") if check_id == "X4" else F.lit('"PASS"')).alias("expected"),
-            details[check_id].alias("detail"),
-            F.lit("").alias("evidence_query"),
-            statuses[check_id].alias("detected_status"),
-            details[check_id].alias("detected_detail"),
-            F.lit(seq).alias("seq"),
+    rows = []
+    for seq, (check_id, name) in enumerate(CROSS_NAMES.items()):
+        status, detail = statuses[check_id], details[check_id]
+        observed = json_string("blame" if check_id == "X4" else status)
+        known = {
+            "check_id": text(check_id),
+            "check_name": text(name),
+            "layer": text(CROSS_LAYER),
+            "status": status,
+            "observed": observed,
+            "expected": "NULL" if check_id == "X4" else json_string(text(PASS)),
+            "detail": detail,
+            "evidence_query": "''",
+            "detected_status": status,
+            "detected_detail": detail,
+            "seq": str(seq),
+        }
+        fields = (
+            f"{text(f.name)}, CAST({known.get(f.name, 'NULL')} AS {f.dataType.simpleString()})"
+            for f in CHECK_TYPE.fields
         )
-        for seq, (check_id, name) in enumerate(CROSS_NAMES.items())
-    ]
-    rows = wide.select(*RUN, F.inline(F.array(*checks)))
-    return rows.select(
-        *[
-            F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
-            for f in RESULT_SCHEMA.fields
-        ]
-    )
+        rows.append(f"named_struct({', '.join(fields)})")
+    return wide.selectExpr(*RUN, f"inline(array({', '.join(rows)}))")
 
 
 def coverage(results: DataFrame) -> DataFrame:
     """Counts per status, the skipped checks with reasons, full-coverage flag."""
-
-    def count(status: str) -> Column:
-        return F.count_if(F.col("status") == status)
-
-    skips = _ordered(F.col("status") == SKIPPED, "layer", "check_id", "detail")
-    detail = F.transform(
-        skips, lambda r: F.struct(r["check_id"].alias("check_id"), r["detail"].alias("reason"))
-    )
-    return results.groupBy(*RUN).agg(
-        F.count(F.lit(1)).alias("total_checks"),
-        count(PASS).alias("passed"),
-        count(WARN).alias("warned"),
-        count(FAIL).alias("failed"),
-        count(IMPACTED).alias("impacted"),
-        count(SKIPPED).alias("skipped"),
-        detail.alias("skipped_details"),
-        (count(SKIPPED) == 0).alias("full_coverage"),
+    skips = _ordered(f"status = '{SKIPPED}'", "layer", "check_id", "detail")
+    counts = {
+        name: f"count_if(status = '{status}')"
+        for name, status in (
+            ("passed", PASS),
+            ("warned", WARN),
+            ("failed", FAIL),
+            ("impacted", IMPACTED),
+            ("skipped", SKIPPED),
+        )
+    }
+    return _aggregate(
+        results,
+        total_checks="count(1)",
+        **counts,
+        skipped_details=(
+            f"transform({skips}, r -> named_struct('check_id', r.check_id, 'reason', r.detail))"
+        ),
+        full_coverage=f"count_if(status = '{SKIPPED}') = 0",
     )
 
 
-def downgrade(verdict: Column, level: Column, skipped: Column) -> tuple[Column, Column, Column]:
-    """TRUSTED with skipped checks becomes WARNING; third value is the caveat."""
-    hit = (verdict == TRUSTED) & (skipped > 0)
-    caveat = F.concat(
-        F.lit("Coverage incomplete: "),
-        skipped.cast("string"),
-        F.lit(" check(s) skipped; verdict downgraded from TRUSTED."),
+def downgrade(verdict: str, level: str, skipped: str) -> tuple[str, str, str]:
+    """SQL text: TRUSTED with skipped checks becomes WARNING; third is the caveat."""
+    hit = f"{verdict} = '{TRUSTED}' AND {skipped} > 0"
+    caveat = concat(
+        text("Coverage incomplete: "),
+        f"CAST({skipped} AS STRING)",
+        text(" check(s) skipped; verdict downgraded from TRUSTED."),
     )
     return (
-        F.when(hit, WARNING).otherwise(verdict),
-        F.when(hit, "MEDIUM").otherwise(level),
-        F.when(hit, caveat),
+        case((hit, text(WARNING)), otherwise=verdict),
+        case((hit, "'MEDIUM'"), otherwise=level),
+        case((hit, caveat)),
     )
 
 
+_CAUSE = {
+    "_failing": _ordered(f"layer = '{SILVER}' AND status = '{FAIL}'", "check_id", "detail", "evidence_query"),
+    "_s8": _only("S8", "status"),
+    "_segment": _only("S9", "extra['worst_segment']"),
+    "suspected_filter": _only("S10", "extra['suspected_filter']"),
+}
+_CAUSE_COLUMNS = {
+    "summary": case(
+        (f"_s8 = '{FAIL}' AND coalesce(contains(_segment, ' > '), false)", text(HIGH_QUANTITY_LOSS)),
+        (f"_s8 = '{FAIL}'", text(RECORD_LOSS)),
+        ("size(_failing) > 0",
+         concat(text("Silver transformation failed checks "), "array_join(_failing.check_id, ', ')", text("."))),
+        otherwise=text(NO_FAILURE),
+    ),
+    "failed_check_ids": "_failing.check_id",
+    "suspected_filter": "suspected_filter",
+    "evidence": (
+        "transform(_failing, r -> named_struct('check_id', r.check_id, 'detail', r.detail, "
+        "'evidence_query', r.evidence_query))"
+    ),
+}
+
+
 def root_cause(results: DataFrame) -> DataFrame:
     """What failed in Silver (catalogue and detection stack alike) and why."""
-    failed = (F.col("layer") == SILVER) & (F.col("status") == FAIL)
-    wide = results.groupBy(*RUN).agg(
-        _ordered(failed, "check_id", "detail", "evidence_query").alias("_failed"),
-        _only("S8", F.col("status")).alias("_s8"),
-        _only("S9", F.col("extra")["worst_segment"]).alias("_segment"),
-        _only("S10", F.col("extra")["suspected_filter"]).alias("suspected_filter"),
-    )
-    ids = _ids(F.col("_failed"))
-    high = F.coalesce(F.col("_segment").contains(" > "), F.lit(False))
-    summary = (
-        F.when(F.col("_s8") == FAIL, F.when(high, HIGH_QUANTITY_LOSS).otherwise(RECORD_LOSS))
-        .when(F.size("_failed") > 0,
-              F.concat(F.lit("Silver transformation failed checks "), F.array_join(ids, ", "), F.lit(".")))
-        .otherwise(NO_FAILURE)
-    )
-    evidence = F.transform(
-        F.col("_failed"),
-        lambda r: F.struct(
-            r["check_id"].alias("check_id"),
-            r["detail"].alias("detail"),
-            r["evidence_query"].alias("evidence_query"),
-        ),
-    )
-    return wide.select(
-        *RUN,
-        summary.alias("summary"),
-        ids.alias("failed_check_ids"),
-        "suspected_filter",
-        evidence.alias("evidence"),
+    return _aggregate(results, **_CAUSE).selectExpr(
+        *RUN, *[f"{sql} AS {name}" for name, sql in _CAUSE_COLUMNS.items()]
     )
 
 
-def impact_columns(expected: Column, actual: Column) -> dict[str, Column]:
-    """Revenue of valid Bronze rows against Gold; NULL counts as nothing."""
-    expected = F.coalesce(expected, F.lit(0.0)).cast("double")
-    actual = F.coalesce(actual, F.lit(0.0)).cast("double")
-    loss = expected - actual
+def impact_columns(expected: str, actual: str) -> dict[str, str]:
+    """SQL text: revenue of valid Bronze rows against Gold; NULL counts as nothing."""
+    expected = f"coalesce(CAST({expected} AS DOUBLE), 0D)"
+    actual = f"coalesce(CAST({actual} AS DOUBLE), 0D)"
+    loss = f"({expected} - {actual})"
     return {
-        "expected_revenue": F.round(expected, 2),
-        "actual_revenue": F.round(actual, 2),
-        "estimated_loss": F.round(loss, 2),
-        "loss_percent": F.round(percent(loss, expected), 2),
+        "expected_revenue": f"round({expected}, 2)",
+        "actual_revenue": f"round({actual}, 2)",
+        "estimated_loss": f"round({loss}, 2)",
+        "loss_percent": f"round({percent(loss, expected)}, 2)",
     }
 
 
-def action_for(
-    verdict: Column, bronze: Column, silver: Column, gold: Column, suspected: Column
-) -> Column:
-    """What to do next, from the (downgraded) verdict and the layer statuses."""
-    fix = F.concat(
-        F.lit("Fix the Silver transformation rule"),
-        F.coalesce(F.concat(F.lit(" ("), suspected, F.lit(")")), F.lit("")),
-        F.lit(" and rerun the ETL."),
+def action_for(verdict: str, bronze: str, silver: str, gold: str, suspected: str) -> str:
+    """SQL text: what to do next, from the downgraded verdict and the layer statuses."""
+    fix = concat(
+        text("Fix the Silver transformation rule"),
+        f"coalesce(concat(' (', {suspected}, ')'), '')",
+        text(" and rerun the ETL."),
     )
-    return (
-        F.when(verdict == TRUSTED, ACTION_NONE)
-        .when(silver == FAIL, fix)
-        .when(bronze == FAIL, ACTION_BRONZE)
-        .when(gold == FAIL, ACTION_GOLD)
-        .otherwise(ACTION_REVIEW)
+    return case(
+        (f"{verdict} = '{TRUSTED}'", text(ACTION_NONE)),
+        (f"{silver} = '{FAIL}'", fix),
+        (f"{bronze} = '{FAIL}'", text(ACTION_BRONZE)),
+        (f"{gold} = '{FAIL}'", text(ACTION_GOLD)),
+        otherwise=text(ACTION_REVIEW),
     )
 
 
-def downstream_impact(status: Column, detail: Column, upstream: Column) -> tuple[Column, Column, Column]:
-    """A failed Gold anomaly under a failed Silver layer is impacted, not at fault."""
-    hit = (upstream == FAIL) & (status == FAIL)
-    note = F.concat(detail, F.lit(" (Gold impacted by upstream Silver failure.)"))
-    return F.when(hit, IMPACTED).otherwise(status), F.when(hit, note).otherwise(detail), hit
+def downstream_impact(status: str, detail: str, upstream: str) -> tuple[str, str, str]:
+    """SQL text: a failed Gold anomaly under a failed Silver layer is impacted, not at fault."""
+    hit = f"({upstream} = '{FAIL}' AND {status} = '{FAIL}')"
+    note = concat(detail, text(" (Gold impacted by upstream Silver failure.)"))
+    return case((hit, text(IMPACTED)), otherwise=status), case((hit, note), otherwise=detail), hit
 
 
 def summarize(results: DataFrame) -> DataFrame:
     """Layer statuses, verdict, coverage, blame, cause and action per run.
 
     Expects the cross-layer rows to be part of ``results``; they count for coverage
-    but never for the verdict.
+    but never for the verdict. The three inputs are grouped alike, so the joins
+    between them need no further shuffle.
     """
     layers = layer_statuses(results)
     whole = layers.join(coverage(results), list(RUN)).join(root_cause(results), list(RUN))
-    bronze, silver, gold = F.col("bronze"), F.col("silver"), F.col("gold")
-    verdict, level = verdict_of(bronze, silver, gold)
-    whole = whole.withColumns({"_verdict": verdict, "_level": level})
-    verdict, level, caveat = downgrade(F.col("_verdict"), F.col("_level"), F.col("skipped"))
-    whole = whole.withColumns(
-        {
-            "final_verdict": verdict,
-            "severity": level,
-            "verdict_caveat": caveat,
-            "first_failed_layer": first_failed_of(bronze, silver, gold),
-        }
+    verdict, level = verdict_of("bronze", "silver", "gold")
+    whole = whole.selectExpr("*", f"{verdict} AS _verdict", f"{level} AS _level")
+    verdict, level, caveat = downgrade("_verdict", "_level", "skipped")
+    whole = whole.selectExpr(
+        "*",
+        f"{verdict} AS final_verdict",
+        f"{level} AS severity",
+        f"{caveat} AS verdict_caveat",
+        f"{first_failed_of('bronze', 'silver', 'gold')} AS first_failed_layer",
     )
-    action = action_for(F.col("final_verdict"), bronze, silver, gold, F.col("suspected_filter"))
-    return whole.withColumn("suggested_action", action).drop("_verdict", "_level")
+    action = action_for("final_verdict", "bronze", "silver", "gold", "suspected_filter")
+    return whole.selectExpr("*", f"{action} AS suggested_action").drop("_verdict", "_level")

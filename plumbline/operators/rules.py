@@ -5,10 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import partial
 
-from pyspark.sql import functions as F
-
-from plumbline.functions.status import pass_or
-from plumbline.functions.values import grouped, json_of
+from plumbline.functions.sql import case, concat, grouped, json_number, json_object, json_string, pass_or, text
 from plumbline.model import (
     COMPLETENESS,
     CONSISTENCY,
@@ -20,8 +17,8 @@ from plumbline.model import (
     VALIDITY,
     WARN,
 )
-from plumbline.operators.bronze import duplicate_sql, null_report
-from plumbline.operators.check import Check, Rule, number, quoted, run_checks, skipped
+from plumbline.operators.bronze import amount, duplicate_sql, null_report, null_sql
+from plumbline.operators.check import Check, Rule, run_checks, skipped
 from plumbline.plans.metrics import MetricSheet, fk_state
 from plumbline.specs import TableSpec
 
@@ -38,34 +35,39 @@ def _check(table: TableSpec, suffix: str, name: str, dimension: str, **fields) -
     )
 
 
-def _amount(value, clean: str, dirty: str):
-    """``clean`` when the count is zero, else the count followed by ``dirty``."""
-    return F.when(value == 0, F.lit(clean)).otherwise(F.concat(grouped(value), F.lit(dirty)))
+def _count_check(
+    table: TableSpec, suffix: str, name: str, dimension: str, count: str,
+    clean: str, dirty: str, evidence: str, severity: str = FAIL, **fields,
+) -> Check:
+    """A check that passes when a count of offending rows is zero."""
+    return _check(
+        table, suffix, name, dimension,
+        status=pass_or(f"{count} = 0", severity),
+        detail=amount(count, clean, dirty),
+        observed=json_number(count), expected="'0'", value=count, evidence=evidence, **fields,
+    )
 
 
 def _empty(table: TableSpec, sheet: MetricSheet) -> Check:
     rows = sheet.number(table.name, "rows")
     return _check(
         table, "COMP-EMPTY", "Empty Table Check", COMPLETENESS,
-        status=pass_or(rows > 0),
-        detail=F.when(rows > 0, "The table holds rows.").otherwise("The table is empty."),
-        observed=number(rows), expected=quoted("> 0"), value=rows,
+        status=pass_or(f"{rows} > 0"),
+        detail=case((f"{rows} > 0", text("The table holds rows.")), otherwise=text("The table is empty.")),
+        observed=json_number(rows), expected=json_string(text("> 0")), value=rows,
         evidence=f"SELECT COUNT(*) FROM {table.name}",
     )
 
 
 def _nulls(table: TableSpec, sheet: MetricSheet) -> Check:
     observed, zeros, nulls = null_report(sheet, table.name, table.mandatory)
-    present = [c for c in table.mandatory if c in sheet.columns(table.name)]
-    where = " OR ".join(f"{c} IS NULL" for c in present) or "FALSE"
+    found = concat(text("Nulls in mandatory columns: "), observed, text("."))
     return _check(
         table, "COMP-NULL", "Mandatory Column Null Check", COMPLETENESS,
-        status=pass_or(nulls == 0),
-        detail=F.when(nulls == 0, F.lit("Mandatory columns hold no nulls.")).otherwise(
-            F.concat(F.lit("Nulls in mandatory columns: "), observed, F.lit("."))
-        ),
+        status=pass_or(f"{nulls} = 0"),
+        detail=case((f"{nulls} = 0", text("Mandatory columns hold no nulls.")), otherwise=found),
         observed=observed, expected=zeros, value=nulls,
-        evidence=f"SELECT COUNT(*) FROM {table.name} WHERE {where}",
+        evidence=null_sql(sheet, table.name, table.mandatory),
     )
 
 
@@ -74,56 +76,43 @@ def _source_count(table: TableSpec, sheet: MetricSheet) -> Check | None:
         return None
     rows = sheet.number(table.name, "rows")
     source = sheet.number(table.source_table, "rows")
+    same = f"{rows} = {source}"
+    found = concat(text("Source holds "), grouped(source), text(" rows, the table "), grouped(rows), text("."))
     return _check(
         table, "COMP-SRC", "Source to Table Row Count", COMPLETENESS,
-        status=pass_or(rows == source),
-        detail=F.when(rows == source, F.lit("Source and table hold the same number of rows.")).otherwise(
-            F.concat(F.lit("Source holds "), grouped(source), F.lit(" rows, the table "), grouped(rows), F.lit("."))
-        ),
-        observed=number(rows), expected=number(source), value=rows,
+        status=pass_or(same),
+        detail=case((same, text("Source and table hold the same number of rows.")), otherwise=found),
+        observed=json_number(rows), expected=json_number(source), value=rows,
         evidence=f"SELECT COUNT(*) FROM {table.name}",
     )
 
 
 def _ranges(table: TableSpec, sheet: MetricSheet) -> list[Check]:
-    out = []
-    for rule in table.ranges:
-        if not rule.active or rule.column not in sheet.columns(table.name):
-            continue
-        bad = sheet.number(table.name, f"range_{rule.column}")
-        out.append(
-            _check(
-                table, f"VAL-{rule.column[:4].upper()}", f"Range Check: {rule.column}", VALIDITY,
-                status=pass_or(bad == 0),
-                detail=_amount(bad, f"Every {rule.column} is in range.", f" rows have {rule.column} out of range."),
-                observed=number(bad), expected=number(F.lit(0)), value=bad,
-                evidence=f"SELECT COUNT(*) FROM {table.name} WHERE {rule.sql()}",
-                extra={"column": F.lit(rule.column)},
-            )
+    return [
+        _count_check(
+            table, f"VAL-{rule.column[:4].upper()}", f"Range Check: {rule.column}", VALIDITY,
+            sheet.number(table.name, f"range_{rule.column}"),
+            f"Every {rule.column} is in range.", f" rows have {rule.column} out of range.",
+            f"SELECT COUNT(*) FROM {table.name} WHERE {rule.sql()}",
+            extra={"column": text(rule.column)},
         )
-    return out
+        for rule in table.ranges
+        if rule.active and rule.column in sheet.columns(table.name)
+    ]
 
 
 def _dates(table: TableSpec, sheet: MetricSheet) -> list[Check]:
-    out = []
-    for column in table.date_columns:
-        if column not in sheet.columns(table.name):
-            continue
-        bad = sheet.number(table.name, f"unparsed_{column}")
-        out.append(
-            _check(
-                table, "VAL-DATE", f"Date Parse Validity: {column}", VALIDITY,
-                status=pass_or(bad == 0),
-                detail=_amount(bad, f"Every {column} is a date.", f" rows have a {column} that is no date."),
-                observed=number(bad), expected=number(F.lit(0)), value=bad,
-                evidence=(
-                    f"SELECT COUNT(*) FROM {table.name} WHERE {column} IS NOT NULL "
-                    f"AND TRY_CAST({column} AS DATE) IS NULL"
-                ),
-                extra={"column": F.lit(column)},
-            )
+    return [
+        _count_check(
+            table, "VAL-DATE", f"Date Parse Validity: {column}", VALIDITY,
+            sheet.number(table.name, f"unparsed_{column}"),
+            f"Every {column} is a date.", f" rows have a {column} that is no date.",
+            f"SELECT COUNT(*) FROM {table.name} WHERE {column} IS NOT NULL AND TRY_CAST({column} AS DATE) IS NULL",
+            extra={"column": text(column)},
         )
-    return out
+        for column in table.date_columns
+        if column in sheet.columns(table.name)
+    ]
 
 
 def _primary_key(table: TableSpec, sheet: MetricSheet) -> Check | None:
@@ -132,26 +121,20 @@ def _primary_key(table: TableSpec, sheet: MetricSheet) -> Check | None:
     sheet.need(table.name, *table.primary_key)
     shared = sheet.document_excess.get(table.name)
     excess = sheet.number("keys", shared) if shared else sheet.number(f"{table.name}_pk", "excess")
-    return _check(
-        table, "UNIQ-PK", "Primary Key Duplicate Check", UNIQUENESS,
-        status=pass_or(excess == 0),
-        detail=_amount(excess, "The primary key is unique.", " rows repeat a primary key."),
-        observed=number(excess), expected=number(F.lit(0)), value=excess,
-        evidence=duplicate_sql(table.name, table.primary_key),
+    return _count_check(
+        table, "UNIQ-PK", "Primary Key Duplicate Check", UNIQUENESS, excess,
+        "The primary key is unique.", " rows repeat a primary key.",
+        duplicate_sql(table.name, table.primary_key),
     )
 
 
 def _full_row(table: TableSpec, sheet: MetricSheet) -> Check:
-    excess = sheet.number(f"{table.name}_row", "excess")
-    return _check(
+    return _count_check(
         table, "UNIQ-FULL", "Full Row Duplicate Check", UNIQUENESS,
-        status=pass_or(excess == 0, WARN),
-        detail=_amount(excess, "No row occurs twice.", " rows are copies of another row."),
-        observed=number(excess), expected=number(F.lit(0)), value=excess,
-        evidence=(
-            f"SELECT COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM {table.name})) "
-            f"FROM {table.name}"
-        ),
+        sheet.number(f"{table.name}_row", "excess"),
+        "No row occurs twice.", " rows are copies of another row.",
+        f"SELECT COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM {table.name})) FROM {table.name}",
+        WARN,
     )
 
 
@@ -166,64 +149,76 @@ def _foreign_keys(table: TableSpec, sheet: MetricSheet) -> list[Check]:
         if reason:
             out.append(skipped(f"L1-{table.tag}-CONS-FK-{tag}", name, table.layer, reason, RULES))
             continue
-        orphans = sheet.number(f"{table.name}_fk_{fk.column}", "orphans")
         out.append(
-            _check(
+            _count_check(
                 table, f"CONS-FK-{tag}", name, CONSISTENCY,
-                status=pass_or(orphans == 0),
-                detail=_amount(
-                    orphans, "Every reference has a target.",
-                    f" rows point to a missing {fk.ref_table}.{fk.ref_column}"
-                    " (swaps between existing keys are not visible here).",
-                ),
-                observed=number(orphans), expected=number(F.lit(0)), value=orphans,
-                evidence=(
-                    f"SELECT COUNT(*) FROM {table.name} c WHERE c.{fk.column} IS NOT NULL AND NOT EXISTS "
-                    f"(SELECT 1 FROM {fk.ref_table} r WHERE r.{fk.ref_column} = c.{fk.column})"
-                ),
+                sheet.number(f"{table.name}_fk_{fk.column}", "orphans"),
+                "Every reference has a target.",
+                f" rows point to a missing {fk.ref_table}.{fk.ref_column}"
+                " (swaps between existing keys are not visible here).",
+                f"SELECT COUNT(*) FROM {table.name} c WHERE c.{fk.column} IS NOT NULL AND NOT EXISTS "
+                f"(SELECT 1 FROM {fk.ref_table} r WHERE r.{fk.ref_column} = c.{fk.column})",
             )
         )
     return out
 
 
+def freshness_status(latest: str, run_date: str, ahead: int, back: int) -> str:
+    """FAIL in the future, WARN when stale or unknown; both limits are inclusive."""
+    return case(
+        (f"{latest} IS NULL", text(WARN)),
+        (f"{latest} > date_add({run_date}, {ahead})", text(FAIL)),
+        (f"{latest} < date_sub({run_date}, {back})", text(WARN)),
+        otherwise=text(PASS),
+    )
+
+
+def span_status(first: str, last: str, days: int) -> str:
+    return case(
+        (f"{last} IS NULL", text(WARN)),
+        (f"datediff({last}, {first}) <= {days}", text(PASS)),
+        otherwise=text(WARN),
+    )
+
+
 def _freshness(table: TableSpec, sheet: MetricSheet, run_date: dt.date) -> Check | None:
     column = table.fresh_date
     if not column or column not in sheet.columns(table.name):
         return None
     ahead = table.max_future_days or 0
     back = 365 if table.freshness_days is None else table.freshness_days
-    today = F.lit(run_date)
+    today = f"DATE '{run_date}'"
     latest = sheet.metric(table.name, f"max_{column}")
-    future, stale = F.date_add(today, ahead), F.date_sub(today, back)
-    status = (
-        F.when(latest.isNull(), WARN).when(latest > future, FAIL).when(latest < stale, WARN).otherwise(PASS)
+    status = freshness_status(latest, today, ahead, back)
+    shown = concat(text(f"Latest {column} "), f"CAST({latest} AS STRING)")
+    detail = case(
+        (f"{latest} IS NULL", text("No parseable date to judge freshness by.")),
+        (f"{status} = '{FAIL}'",
+         concat(shown, text(f" lies in the future (more than {ahead} days after the run)."))),
+        (f"{status} = '{WARN}'", concat(shown, text(f" is stale (more than {back} days before the run)."))),
+        otherwise=concat(shown, text(" is fresh.")),
     )
-    shown = F.concat(F.lit(f"Latest {column} "), latest.cast("string"))
-    detail = (
-        F.when(latest.isNull(), F.lit("No parseable date to judge freshness by."))
-        .when(latest > future, F.concat(shown, F.lit(f" lies in the future (more than {ahead} days after the run).")))
-        .when(latest < stale, F.concat(shown, F.lit(f" is stale (more than {back} days before the run).")))
-        .otherwise(F.concat(shown, F.lit(" is fresh.")))
+    observed = json_object(
+        max_date=f"CAST({latest} AS STRING)",
+        run_date=text(run_date.isoformat()),
+        max_future_days=str(ahead),
+        expected_freshness_days=str(back),
     )
-    observed = json_of(
-        max_date=latest.cast("string"),
-        run_date=F.lit(run_date.isoformat()),
-        max_future_days=F.lit(ahead),
-        expected_freshness_days=F.lit(back),
+    goal = case(
+        (f"{latest} IS NULL", text("parseable max date")),
+        otherwise=text(f"max_date <= run_date + {ahead}d and not stale"),
     )
     return _check(
         table, "TIME-FRESH", f"Date Freshness: {column}", TIMELINESS,
         status=status, detail=detail,
-        observed=F.when(latest.isNotNull(), observed),
-        expected=F.when(latest.isNull(), quoted("parseable max date")).otherwise(
-            quoted(f"max_date <= run_date + {ahead}d and not stale")
-        ),
-        value=F.date_diff(today, latest),
+        observed=case((f"{latest} IS NOT NULL", observed)),
+        expected=json_string(goal),
+        value=f"datediff({today}, {latest})",
         evidence=(
-            f"SELECT MAX(TRY_CAST({column} AS DATE)) AS max_d, DATE '{run_date}' AS run_date "
+            f"SELECT MAX(TRY_CAST({column} AS DATE)) AS max_d, {today} AS run_date "
             f"FROM {table.name} WHERE {column} IS NOT NULL"
         ),
-        extra={"column": F.lit(column)},
+        extra={"column": text(column)},
     )
 
 
@@ -234,25 +229,25 @@ def _span(table: TableSpec, sheet: MetricSheet) -> list[Check]:
             continue
         first = sheet.metric(table.name, f"min_{column}")
         last = sheet.metric(table.name, f"max_{column}")
-        days = F.date_diff(last, first)
-        none = last.isNull()
-        text = days.cast("string")
+        days = f"datediff({last}, {first})"
+        none = f"{last} IS NULL"
+        shown = concat(
+            text("Dates span "), f"CAST({days} AS STRING)", text(f" days, allowed are {table.span_days}.")
+        )
         out.append(
             _check(
                 table, "TIME", f"Timeliness Window: {column}", TIMELINESS,
-                status=F.when(none, WARN).when(days <= table.span_days, PASS).otherwise(WARN),
-                detail=F.when(none, F.lit("No parseable date to measure the span of.")).otherwise(
-                    F.concat(F.lit("Dates span "), text, F.lit(f" days, allowed are {table.span_days}."))
-                ),
-                observed=F.when(~none, quoted(F.concat(F.lit("span="), text, F.lit("d")))),
-                expected=F.when(none, quoted(f"within {table.span_days} days")).otherwise(
-                    quoted(f"<= {table.span_days}d")
+                status=span_status(first, last, table.span_days),
+                detail=case((none, text("No parseable date to measure the span of.")), otherwise=shown),
+                observed=json_string(concat(text("span="), f"CAST({days} AS STRING)", text("d"))),
+                expected=json_string(
+                    case((none, text(f"within {table.span_days} days")), otherwise=text(f"<= {table.span_days}d"))
                 ),
                 value=days,
                 evidence=(
                     f"SELECT MIN(TRY_CAST({column} AS DATE)), MAX(TRY_CAST({column} AS DATE)) FROM {table.name}"
                 ),
-                extra={"column": F.lit(column)},
+                extra={"column": text(column)},
             )
         )
     return out

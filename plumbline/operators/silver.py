@@ -2,16 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from plumbline.functions.sql import (
+    between,
+    case,
+    concat,
+    drop_percent,
+    fixed,
+    grouped,
+    json_number,
+    json_object,
+    json_string,
+    ladder,
+    pass_or,
+    percent,
+    ratio,
+    text,
+)
 from plumbline.functions.stats import tolerance_band
-from plumbline.functions.status import ladder, pass_or
-from plumbline.functions.values import drop_percent, fixed, grouped, json_of, json_text, percent, ratio
-from plumbline.model import FAIL, PASS, SILVER, WARN
-from plumbline.operators.bronze import bronze_key_excess, duplicate_sql, learned, null_report
-from plumbline.operators.check import Check, Rule, number, quoted, run_checks
+from plumbline.model import FAIL, SILVER, WARN
+from plumbline.operators.bronze import (
+    amount,
+    band_place,
+    bronze_key_excess,
+    duplicate_sql,
+    learned,
+    null_report,
+    null_sql,
+)
+from plumbline.operators.check import Check, Rule, run_checks
 from plumbline.plans.metrics import MetricSheet
+from plumbline.specs import PipelineSpec
 
 # Ids and names of the Silver catalogue.
 NAMES = {
@@ -26,87 +46,84 @@ NAMES = {
     "S9": "Record-Loss by Segment",
     "S10": "Wrong Filter Detection",
 }
+EMPTY_BRONZE = "Bronze is empty, so no drop percentage exists."
 
 
-def drop_sql(sheet: MetricSheet) -> str:
-    silver, bronze = sheet.spec.silver, sheet.spec.bronze
+def drop_sql(spec: PipelineSpec) -> str:
     return (
-        f"SELECT (1 - CAST((SELECT COUNT(*) FROM {silver}) AS DOUBLE) "
-        f"/ NULLIF((SELECT COUNT(*) FROM {bronze}), 0)) * 100 AS drop_pct"
+        f"SELECT (1 - CAST((SELECT COUNT(*) FROM {spec.silver}) AS DOUBLE) "
+        f"/ NULLIF((SELECT COUNT(*) FROM {spec.bronze}), 0)) * 100 AS drop_pct"
     )
 
 
-def drop_inputs(sheet: MetricSheet) -> tuple[Column, Column, Column]:
-    before = sheet.number(sheet.spec.bronze, "rows")
-    after = sheet.number(sheet.spec.silver, "rows")
-    return before, after, drop_percent(before, after)
-
-
-def _window_status(sheet: MetricSheet, drop: Column) -> Column:
-    limits = sheet.spec.thresholds
+def window_status(drop: str, spec: PipelineSpec) -> str:
+    """Status of a drop percentage against the configured window."""
+    limits = spec.thresholds
     return ladder(
-        drop.between(limits.min_drop, limits.max_drop),
-        drop <= limits.max_drop * limits.drop_slack,
+        between(drop, limits.min_drop, limits.max_drop),
+        f"{drop} <= {limits.max_drop * limits.drop_slack}",
     )
 
 
-def _percent_text(value: Column, digits: int = 2) -> Column:
-    return F.concat(fixed(value, digits), F.lit("%"))
+def learned_status(drop: str, mean: str, std: str, spec: PipelineSpec) -> str:
+    """Status of a value against its learned sigma bands."""
+    limits = spec.thresholds
+    return ladder(
+        between(drop, *tolerance_band(mean, std, limits.sigma_pass)),
+        between(drop, *tolerance_band(mean, std, limits.sigma_warn)),
+    )
 
 
-EMPTY_BRONZE = "Bronze is empty, so no drop percentage exists."
+def _pct(value: str) -> str:
+    return concat(fixed(value), text("%"))
 
 
 def _s1(sheet: MetricSheet) -> Check:
-    limits = sheet.spec.thresholds
-    before, after, drop = drop_inputs(sheet)
-    status = _window_status(sheet, drop)
-    expected = F.lit(f"{limits.min_drop:.1f}%-{limits.max_drop:.1f}% (configured)")
-    basis = F.lit("configured")
+    spec, limits = sheet.spec, sheet.spec.thresholds
+    before, after = sheet.number(spec.bronze, "rows"), sheet.number(spec.silver, "rows")
+    drop = sheet.derive("drop", drop_percent(before, after))
+    status = window_status(drop, spec)
+    expected = text(f"{limits.min_drop:.1f}%-{limits.max_drop:.1f}% (configured)")
+    basis = text("configured")
     history = learned(sheet, "drop_pct")
     if history:
-        mean, std = history
-        usable = F.coalesce(std > 0, F.lit(False))
+        mean, std, usable = history
         low, high = tolerance_band(mean, std, limits.sigma_pass)
-        band = ladder(
-            drop.between(low, high), drop.between(*tolerance_band(mean, std, limits.sigma_warn))
-        )
-        status = F.when(usable, band).otherwise(status)
-        basis = F.when(usable, "learned").otherwise(basis)
-        text = F.concat(
-            _percent_text(low), F.lit("-"), _percent_text(high),
-            F.lit(f" (mean +/- {limits.sigma_pass:g} std)"),
-        )
-        expected = F.when(usable, text).otherwise(expected)
-    empty = before == 0
-    status = F.when(empty, FAIL).otherwise(status)
-    place = F.when(status == PASS, "inside").when(status == WARN, "slightly outside").otherwise("far outside")
-    detail = F.when(empty, EMPTY_BRONZE).otherwise(
-        F.concat(F.lit("Drop is "), place, F.lit(" the "), basis, F.lit(" range."))
-    )
+        status = case((usable, learned_status(drop, mean, std, spec)), otherwise=status)
+        basis = case((usable, text("learned")), otherwise=basis)
+        shown = concat(_pct(low), text("-"), _pct(high), text(f" (mean +/- {limits.sigma_pass:g} std)"))
+        expected = case((usable, shown), otherwise=expected)
+    status = sheet.derive("drop_status", status)
+    empty = f"{before} = 0"
+    detail = concat(text("Drop is "), band_place(status), text(" the "), basis, text(" range."))
     return Check(
-        "S1", NAMES["S1"], SILVER, status, detail,
-        F.when(empty, quoted("n/a (bronze empty)")).otherwise(quoted(_percent_text(drop))),
-        F.when(empty, quoted(f"non-empty {sheet.spec.bronze}")).otherwise(quoted(expected)),
-        drop, drop_sql(sheet),
-        extra={"bronze": before, "silver": after, "drop_pct": F.round(drop, 2)},
+        "S1", NAMES["S1"], SILVER,
+        case((empty, text(FAIL)), otherwise=status),
+        case((empty, text(EMPTY_BRONZE)), otherwise=detail),
+        json_string(case((empty, text("n/a (bronze empty)")), otherwise=_pct(drop))),
+        json_string(case((empty, text(f"non-empty {spec.bronze}")), otherwise=expected)),
+        drop, drop_sql(spec),
+        extra={"bronze": before, "silver": after, "drop_pct": f"round({drop}, 2)"},
     )
 
 
 def _s2(sheet: MetricSheet) -> Check:
-    limits = sheet.spec.thresholds
-    before, _, drop = drop_inputs(sheet)
-    empty = before == 0
+    spec, limits = sheet.spec, sheet.spec.thresholds
+    before, after = sheet.number(spec.bronze, "rows"), sheet.number(spec.silver, "rows")
+    drop = sheet.derive("drop", drop_percent(before, after))
+    empty = f"{before} = 0"
     window = f"{limits.min_drop:.1f}%-{limits.max_drop:.1f}%"
-    status = F.when(empty, FAIL).otherwise(_window_status(sheet, drop))
-    place = F.when(status == PASS, "inside").when(status == WARN, "just outside").otherwise("far beyond")
-    detail = F.when(empty, EMPTY_BRONZE).otherwise(
-        F.concat(F.lit("Drop "), _percent_text(drop), F.lit(" is "), place, F.lit(f" the expected window {window}."))
+    status = sheet.derive("window_status", window_status(drop, spec))
+    detail = concat(
+        text("Drop "), _pct(drop), text(" is "), band_place(status, "just outside"),
+        text(f" the expected window {window}."),
     )
     return Check(
-        "S2", NAMES["S2"], SILVER, status, detail,
-        F.when(empty, quoted("n/a (bronze empty)")).otherwise(quoted(_percent_text(drop))),
-        quoted(window), drop, drop_sql(sheet),
+        "S2", NAMES["S2"], SILVER,
+        case((empty, text(FAIL)), otherwise=status),
+        case((empty, text(EMPTY_BRONZE)), otherwise=detail),
+        json_string(case((empty, text("n/a (bronze empty)")), otherwise=_pct(drop))),
+        json_string(text(window)), drop, drop_sql(spec),
     )
 
 
@@ -115,30 +132,25 @@ def _s3(sheet: MetricSheet) -> Check:
     sheet.need(spec.silver, *spec.business_key)
     bronze = bronze_key_excess(sheet)
     silver = sheet.number("keys", "silver_key_excess")
-    clean = silver == 0
-    detail = F.concat(
-        grouped(bronze), F.lit(" surplus rows on the business key in Bronze, "),
-        F.when(clean, F.lit("none")).otherwise(grouped(silver)), F.lit(" in Silver."),
+    detail = concat(
+        grouped(bronze), text(" surplus rows on the business key in Bronze, "),
+        case((f"{silver} = 0", text("none")), otherwise=grouped(silver)), text(" in Silver."),
     )
     return Check(
-        "S3", NAMES["S3"], SILVER, pass_or(clean, WARN), detail,
-        json_of(bronze_duplicates=bronze, silver_duplicates=silver),
-        json_of(silver_duplicates=F.lit(0)), silver,
-        duplicate_sql(spec.silver, spec.business_key),
+        "S3", NAMES["S3"], SILVER, pass_or(f"{silver} = 0", WARN), detail,
+        json_object(bronze_duplicates=bronze, silver_duplicates=silver),
+        text('{"silver_duplicates":0}'), silver, duplicate_sql(spec.silver, spec.business_key),
     )
 
 
 def _s4(sheet: MetricSheet) -> Check:
     spec = sheet.spec
     observed, zeros, nulls = null_report(sheet, spec.silver, spec.silver_mandatory)
-    detail = F.when(nulls == 0, F.lit("Mandatory Silver columns hold no nulls.")).otherwise(
-        F.concat(F.lit("Nulls in mandatory Silver columns: "), observed, F.lit("."))
-    )
-    present = [c for c in spec.silver_mandatory if c in sheet.columns(spec.silver)]
-    where = " OR ".join(f"{c} IS NULL" for c in present)
+    found = concat(text("Nulls in mandatory Silver columns: "), observed, text("."))
     return Check(
-        "S4", NAMES["S4"], SILVER, pass_or(nulls == 0), detail, observed, zeros, nulls,
-        f"SELECT COUNT(*) FROM {spec.silver} WHERE {where}",
+        "S4", NAMES["S4"], SILVER, pass_or(f"{nulls} = 0"),
+        case((f"{nulls} = 0", text("Mandatory Silver columns hold no nulls.")), otherwise=found),
+        observed, zeros, nulls, null_sql(sheet, spec.silver, spec.silver_mandatory),
     )
 
 
@@ -147,20 +159,17 @@ def _violation(check_id: str, metric: str, column: str, condition: str):
         name = getattr(sheet.spec, column)
         sheet.need(sheet.spec.silver, name)
         bad = sheet.number(sheet.spec.silver, metric)
-        detail = F.when(bad == 0, F.lit(f"No Silver row has {name} {condition}.")).otherwise(
-            F.concat(grouped(bad), F.lit(f" Silver rows have {name} {condition}."))
-        )
         return Check(
-            check_id, NAMES[check_id], SILVER, pass_or(bad == 0), detail,
-            number(bad), number(F.lit(0)), bad,
+            check_id, NAMES[check_id], SILVER, pass_or(f"{bad} = 0"),
+            amount(bad, f"No Silver row has {name} {condition}.", f" Silver rows have {name} {condition}."),
+            json_number(bad), "'0'", bad,
             f"SELECT COUNT(*) FROM {sheet.spec.silver} WHERE {name} {condition}",
         )
 
     return build
 
 
-def lost_rows_sql(sheet: MetricSheet, select: str) -> str:
-    spec = sheet.spec
+def lost_rows_sql(spec: PipelineSpec, select: str) -> str:
     match = " AND ".join(f"s.{k} IS NOT DISTINCT FROM b.{k}" for k in spec.business_key)
     return (
         f"SELECT {select} FROM {spec.bronze} b WHERE {spec.valid_sql()} "
@@ -168,100 +177,105 @@ def lost_rows_sql(sheet: MetricSheet, select: str) -> str:
     )
 
 
-def _lost(sheet: MetricSheet) -> Column:
+def _lost(sheet: MetricSheet) -> str:
     sheet.need(sheet.spec.bronze, *sheet.spec.business_key, sheet.spec.quantity, sheet.spec.price)
     sheet.need(sheet.spec.silver, *sheet.spec.business_key)
     return sheet.number("keys", "lost_rows")
 
 
+def loss_status(lost: str, valid: str, spec: PipelineSpec) -> str:
+    return ladder(f"{lost} = 0", f"{percent(lost, valid)} < {spec.thresholds.loss_pct_fail}D")
+
+
 def _s8(sheet: MetricSheet) -> Check:
+    spec = sheet.spec
     lost = _lost(sheet)
-    valid = sheet.number(sheet.spec.bronze, "valid_rows")
-    share = percent(lost, valid)
-    detail = F.when(lost == 0, F.lit("Every valid Bronze row is present in Silver.")).otherwise(
-        F.concat(
-            grouped(lost), F.lit(" valid Bronze rows are missing from Silver ("),
-            fixed(share), F.lit("% of the valid rows)."),
-        )
+    valid = sheet.number(spec.bronze, "valid_rows")
+    share = sheet.derive("loss_pct", percent(lost, valid))
+    found = concat(
+        grouped(lost), text(" valid Bronze rows are missing from Silver ("), fixed(share),
+        text("% of the valid rows)."),
     )
     return Check(
-        "S8", NAMES["S8"], SILVER,
-        ladder(lost == 0, share < sheet.spec.thresholds.loss_pct_fail), detail,
-        number(lost), number(F.lit(0)), lost, lost_rows_sql(sheet, "COUNT(*)"),
-        extra={"valid_bronze": valid, "missing": lost, "loss_pct": F.round(share, 2)},
+        "S8", NAMES["S8"], SILVER, loss_status(lost, valid, spec),
+        case((f"{lost} = 0", text("Every valid Bronze row is present in Silver.")), otherwise=found),
+        json_number(lost), "'0'", lost, lost_rows_sql(spec, "COUNT(*)"),
+        extra={"valid_bronze": valid, "missing": lost, "loss_pct": f"round({share}, 2)"},
     )
 
 
-def _segments(sheet: MetricSheet) -> Column:
-    """Both quantity segments with their loss, worst first; absent ones left out."""
-    spec = sheet.spec
-    sheet.need(spec.silver, spec.quantity)
-    rows = []
-    for label, tag in ((spec.high_segment, "high"), (spec.low_segment, "low")):
-        valid = sheet.number(spec.bronze, f"valid_{tag}").cast("long")
-        kept = sheet.number(spec.silver, f"{tag}_rows").cast("long")
-        loss = F.round((F.lit(1.0) - ratio(kept, valid)) * 100, 2)
-        rows.append(
-            F.struct(
-                F.lit(label).alias("segment"),
-                valid.alias("bronze_valid"),
-                kept.alias("silver_count"),
-                loss.alias("loss_pct"),
-            )
-        )
-    present = F.filter(F.array(*rows), lambda r: r["bronze_valid"] > 0)
-    second = F.get(present, F.lit(1))
-    swap = F.coalesce(second["loss_pct"] > F.get(present, F.lit(0))["loss_pct"], F.lit(False))
-    return F.when(swap, F.reverse(present)).otherwise(present)
+def segment_status(loss: str, spec: PipelineSpec) -> str:
+    limits = spec.thresholds
+    return ladder(f"{loss} < {limits.segment_pct_warn}D", f"{loss} < {limits.segment_pct_fail}D")
+
+
+def _segment(sheet: MetricSheet, label: str, tag: str) -> str:
+    valid = f"CAST({sheet.number(sheet.spec.bronze, f'valid_{tag}')} AS BIGINT)"
+    kept = f"CAST({sheet.number(sheet.spec.silver, f'{tag}_rows')} AS BIGINT)"
+    loss = f"round((1D - {ratio(kept, valid)}) * 100, 2)"
+    return (
+        f"named_struct('segment', {text(label)}, 'bronze_valid', {valid}, "
+        f"'silver_count', {kept}, 'loss_pct', {loss})"
+    )
 
 
 def _s9(sheet: MetricSheet) -> Check:
-    spec, limits = sheet.spec, sheet.spec.thresholds
-    segments = _segments(sheet)
-    worst = F.get(segments, F.lit(0))
-    loss = F.coalesce(worst["loss_pct"], F.lit(0.0))
-    status = ladder(loss < limits.segment_pct_warn, loss < limits.segment_pct_fail)
-    label = F.coalesce(worst["segment"], F.lit("n/a"))
-    detail = F.when(status == PASS, F.lit("No segment lost a notable share of its rows.")).otherwise(
-        F.concat(F.lit("Segment '"), label, F.lit("' lost "), fixed(loss), F.lit("% of its valid rows."))
+    spec = sheet.spec
+    sheet.need(spec.silver, spec.quantity)
+    both = (_segment(sheet, spec.high_segment, "high"), _segment(sheet, spec.low_segment, "low"))
+    # Worst loss first; the label breaks ties.
+    segments = (
+        f"array_sort(filter(array({', '.join(both)}), s -> s.bronze_valid > 0), (a, b) -> CASE "
+        "WHEN a.loss_pct > b.loss_pct THEN -1 WHEN a.loss_pct < b.loss_pct THEN 1 "
+        "WHEN a.segment < b.segment THEN -1 ELSE 1 END)"
     )
-    listing = F.to_json(segments)
-    case = f"CASE WHEN {spec.high_segment} THEN '{spec.high_segment}' ELSE '{spec.low_segment}' END"
+    segments = sheet.derive("segments", segments)
+    loss = f"coalesce(get({segments}, 0).loss_pct, 0D)"
+    label = f"coalesce(get({segments}, 0).segment, 'n/a')"
+    calm = f"{loss} < {spec.thresholds.segment_pct_warn}D"
+    found = concat(text("Segment '"), label, text("' lost "), fixed(loss), text("% of its valid rows."))
+    split = f"CASE WHEN {spec.high_segment} THEN '{spec.high_segment}' ELSE '{spec.low_segment}' END"
     sql = (
-        f"SELECT segment, SUM(valid) AS bronze_valid, SUM(kept) AS silver_count FROM ("
-        f"SELECT {case} AS segment, 1 AS valid, 0 AS kept FROM {spec.bronze} WHERE {spec.valid_sql()} "
-        f"UNION ALL SELECT {case}, 0, 1 FROM {spec.silver}) GROUP BY segment"
+        "SELECT segment, SUM(valid) AS bronze_valid, SUM(kept) AS silver_count FROM ("
+        f"SELECT {split} AS segment, 1 AS valid, 0 AS kept FROM {spec.bronze} WHERE {spec.valid_sql()} "
+        f"UNION ALL SELECT {split}, 0, 1 FROM {spec.silver}) GROUP BY segment"
     )
     return Check(
-        "S9", NAMES["S9"], SILVER, status, detail, listing, quoted("< 5% loss per segment"),
-        loss, sql, extra={"segments": listing, "worst_segment": label},
+        "S9", NAMES["S9"], SILVER, segment_status(loss, spec),
+        case((calm, text("No segment lost a notable share of its rows.")), otherwise=found),
+        f"to_json({segments})", json_string(text("< 5% loss per segment")), loss, sql,
+        extra={"segments": f"to_json({segments})", "worst_segment": label},
+    )
+
+
+def suspected_filter(lowest: str, spec: PipelineSpec) -> str:
+    """What the smallest lost quantity says about the filter that lost the rows."""
+    return case(
+        (f"{lowest} > {spec.segment_quantity}", text(f"{spec.high_segment} records are being filtered out")),
+        otherwise=text("unclear filter (missing records span multiple quantity ranges)"),
     )
 
 
 def _s10(sheet: MetricSheet) -> Check:
     spec = sheet.spec
     lost = _lost(sheet)
-    low = sheet.metric("keys", "lost_min_quantity")
-    none = lost == 0
-    one_sided = low > spec.segment_quantity
-    suspect = F.when(one_sided, f"{spec.high_segment} records are being filtered out").otherwise(
-        "unclear filter (missing records span multiple quantity ranges)"
-    )
-    detail = F.when(none, F.lit("No valid record is missing, so no filter is suspected.")).otherwise(
-        F.concat(
-            grouped(lost), F.lit(f" valid rows missing, smallest {spec.quantity} "), fixed(low, 0),
-            F.lit("; suspected cause: "), suspect, F.lit("."),
-        )
+    lowest = sheet.metric("keys", "lost_min_quantity")
+    none = f"{lost} = 0"
+    suspect = suspected_filter(lowest, spec)
+    found = concat(
+        grouped(lost), text(f" valid rows missing, smallest {spec.quantity} "), fixed(lowest, 0),
+        text("; suspected cause: "), suspect, text("."),
     )
-    observed = F.when(none, F.lit("no missing valid records")).otherwise(suspect)
     return Check(
-        "S10", NAMES["S10"], SILVER, pass_or(none), detail, json_text(observed),
-        quoted("no suspect filter"), lost,
-        lost_rows_sql(sheet, f"MIN({spec.quantity}), MAX({spec.quantity}), COUNT(*)"),
+        "S10", NAMES["S10"], SILVER, pass_or(none),
+        case((none, text("No valid record is missing, so no filter is suspected.")), otherwise=found),
+        json_string(case((none, text("no missing valid records")), otherwise=suspect)),
+        json_string(text("no suspect filter")), lost,
+        lost_rows_sql(spec, f"MIN({spec.quantity}), MAX({spec.quantity}), COUNT(*)"),
         extra={
-            "suspected_filter": F.when(~none, suspect),
+            "suspected_filter": case((none, "NULL"), otherwise=suspect),
             "missing": lost,
-            "min_quantity": low,
+            "min_quantity": lowest,
             "max_quantity": sheet.metric("keys", "lost_max_quantity"),
         },
     )

@@ -47,6 +47,8 @@ class MetricSheet:
     twins: dict[str, str] = field(default_factory=dict)
     # Fused profiles by frame name, kept apart so that one bad metric can be left out.
     fused: dict[str, tuple[DataFrame, dict[str, Column]]] = field(default_factory=dict)
+    # Intermediate columns shared by checks, in dependency order: name -> SQL text.
+    derived: dict[str, str] = field(default_factory=dict)
     # Frame or qualified metric -> reason it could not be computed.
     failures: dict[str, str] = field(default_factory=dict)
 
@@ -67,8 +69,8 @@ class MetricSheet:
         wanted = self._qualified(source, name)
         return any(wanted in frame.columns for frame in self.frames.values())
 
-    def metric(self, source: str, name: str) -> Column:
-        """A metric as it stands, NULL when the group has no rows."""
+    def metric(self, source: str, name: str) -> str:
+        """SQL text of a metric as it stands, NULL when the group has no rows."""
         if not self.offers(source, name):
             origin = self.twins.get(source, source)
             reason = self.failures.get(self._qualified(source, name))
@@ -76,11 +78,16 @@ class MetricSheet:
             if reason is None and source in self._roles() and source not in self.layers:
                 reason = f"table '{source}' not present"
             raise MissingInput(reason or f"metric '{name}' of '{source}' not available")
-        return F.col(self._qualified(source, name))
+        return f"`{self._qualified(source, name)}`"
 
-    def number(self, source: str, name: str) -> Column:
-        """A count or sum; groups without rows read as zero."""
-        return F.coalesce(self.metric(source, name), F.lit(0))
+    def number(self, source: str, name: str) -> str:
+        """SQL text of a count or sum; groups without rows read as zero."""
+        return f"coalesce({self.metric(source, name)}, 0)"
+
+    def derive(self, name: str, sql: str) -> str:
+        """Name an intermediate result, so that checks repeat a column, not its SQL."""
+        self.derived[f"_{name}"] = sql
+        return f"`_{name}`"
 
     def _roles(self) -> set[str]:
         s = self.spec
@@ -90,12 +97,15 @@ class MetricSheet:
         return f"{self.twins.get(source, source)}__{name}"
 
     def wide(self) -> DataFrame:
-        """The folded sheet. Each metric comes from exactly one frame."""
+        """The folded sheet and its derived columns. Each metric has exactly one frame."""
         stacked = reduce(
             lambda a, b: a.unionByName(b, allowMissingColumns=True), self.frames.values()
         )
         names = [c for c in stacked.columns if c != PIPELINE]
-        return stacked.groupBy(PIPELINE).agg(*[F.max(c).alias(c) for c in names])
+        folded = stacked.groupBy(PIPELINE).agg(*[F.max(c).alias(c) for c in names])
+        if not self.derived:
+            return folded
+        return folded.selectExpr("*", *[f"{sql} AS `{n}`" for n, sql in self.derived.items()])
 
     def add(self, name: str, build: Callable[[], DataFrame]) -> None:
         """Plan a frame; if it cannot be resolved its checks become SKIPPED."""

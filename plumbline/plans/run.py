@@ -9,10 +9,10 @@ from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.status import worst_in
+from plumbline.functions.sql import case, text, worst_in
 from plumbline.model import (
     ANOMALY,
     BRONZE,
@@ -62,11 +62,12 @@ def detect(
     """The detection stack alone, as a lazy result table."""
     sheet = collect_metrics(layers, spec or PipelineSpec(), pipeline)
     found = detection_stack(sheet, run_date or dt.date.today())
-    return _rows(sheet.wide(), run_id, [c.column(seq) for seq, c in found])
+    return _rows(sheet.wide(), run_id, f"array({', '.join(c.row(seq) for seq, c in found)})")
 
 
-def _rows(wide: DataFrame, run_id: str, columns: Sequence) -> DataFrame:
-    rows = wide.select(PIPELINE, F.lit(run_id).alias("run_id"), F.inline(F.array(*columns)))
+def _rows(wide: DataFrame, run_id: str, checks: str) -> DataFrame:
+    """One result row per element of a check array."""
+    rows = wide.selectExpr(PIPELINE, f"{text(run_id)} AS run_id", f"inline({checks})")
     return rows.select(*[f.name for f in RESULT_SCHEMA.fields])
 
 
@@ -88,31 +89,32 @@ def check_results(
     sheet = sheet or collect_metrics(layers, spec or PipelineSpec(), pipeline)
     detected = detection_stack(sheet, run_date or dt.date.today())
 
-    def columns(layer: str, catalogue: list[Check]) -> list:
-        own = [c for c in run_checks(sheet, extra_rules) if c.layer == layer]
-        listed = list(enumerate([*catalogue, *own]))
-        return [c.column(seq) for seq, c in listed + [d for d in detected if d[1].layer == layer]]
+    upstream = "_silver_status"
+    own = run_checks(sheet, extra_rules)
 
-    upstream = F.col("_silver_status")
-    detected = [
-        (seq, _impacted(c, upstream) if c.layer == GOLD and c.detection_layer == ANOMALY else c)
-        for seq, c in detected
-    ]
+    def checks(layer: str, catalogue: list[Check]) -> Column:
+        listed = [*enumerate([*catalogue, *(c for c in own if c.layer == layer)])]
+        listed += [(seq, _impacted(c, upstream)) for seq, c in detected if c.layer == layer]
+        return F.expr(f"array({', '.join(c.row(seq) for seq, c in listed)})")
+
+    bronze, silver = validate_bronze(sheet), validate_silver(sheet)
+    gold = validate_gold(sheet, upstream)
     staged = sheet.wide().withColumns(
-        {
-            "_bronze": F.array(*columns(BRONZE, validate_bronze(sheet))),
-            "_silver": F.array(*columns(SILVER, validate_silver(sheet))),
-        }
+        {"_bronze": checks(BRONZE, bronze), "_silver": checks(SILVER, silver)}
     )
-    staged = staged.withColumn("_silver_status", worst_in(F.col("_silver.status")))
-    staged = staged.withColumn("_gold", F.array(*columns(GOLD, validate_gold(sheet, upstream))))
-    rows = staged.select(
-        PIPELINE, F.lit(run_id).alias("run_id"), F.inline(F.concat("_bronze", "_silver", "_gold"))
-    )
-    return rows.select(*[f.name for f in RESULT_SCHEMA.fields])
-
-
-def _impacted(check: Check, upstream) -> Check:
+    staged = staged.withColumn(upstream, F.expr(worst_in("_silver.status")))
+    staged = staged.withColumn("_gold", checks(GOLD, gold))
+    sections = ["_bronze", "_silver", "_gold"]
+    if any(c.layer == CROSS_LAYER for c in own):
+        staged = staged.withColumn("_cross", checks(CROSS_LAYER, []))
+        sections.append("_cross")
+    return _rows(staged, run_id, f"concat({', '.join(sections)})")
+
+
+def _impacted(check: Check, upstream: str) -> Check:
+    """Gold anomalies follow the upstream layer; the detected status is kept beside."""
+    if check.layer != GOLD or check.detection_layer != ANOMALY:
+        return check
     status, detail, hit = downstream_impact(check.status, check.detail, upstream)
     return replace(
         check,
@@ -120,7 +122,7 @@ def _impacted(check: Check, upstream) -> Check:
         detail=detail,
         detected_status=check.status,
         detected_detail=check.detail,
-        extra={**check.extra, "upstream_adjusted": F.when(hit, "true")},
+        extra={**check.extra, "upstream_adjusted": case((hit, text("true")))},
     )
 
 
@@ -135,17 +137,13 @@ def business_impact(
     spec = sheet.spec
     known = sheet.offers(spec.bronze, "expected_revenue") and sheet.offers(spec.gold, "total_revenue")
     if not known:
-        none = F.lit(None).cast("double")
-        values = dict.fromkeys(impact_columns(none, none), none)
-        wide = sheet.wide().select(PIPELINE)
-        return wide.withColumns({**values, "status": F.lit("NOT_AVAILABLE")})
+        amounts = [f"CAST(NULL AS DOUBLE) AS {n}" for n in impact_columns("NULL", "NULL")]
+        return replace(sheet, derived={}).wide().selectExpr(PIPELINE, *amounts, "'NOT_AVAILABLE' AS status")
     picked = [f"{spec.bronze}__expected_revenue", f"{spec.gold}__total_revenue"]
     frames = [f for f in sheet.frames.values() if set(picked) & set(f.columns)]
-    slim = replace(sheet, frames=dict(enumerate(frames)))
-    values = impact_columns(F.col(picked[0]), F.col(picked[1]))
-    return slim.wide().select(
-        PIPELINE, *[c.alias(n) for n, c in values.items()], F.lit("AVAILABLE").alias("status")
-    )
+    slim = replace(sheet, frames=dict(enumerate(frames)), derived={})
+    amounts = [f"{sql} AS {n}" for n, sql in impact_columns(*picked).items()]
+    return slim.wide().selectExpr(PIPELINE, *amounts, "'AVAILABLE' AS status")
 
 
 @dataclass
@@ -208,14 +206,5 @@ def validate(
 def _computed(sheet: MetricSheet) -> MetricSheet:
     """The same sheet backed by its checkpointed wide row."""
     wide = cut_lineage(sheet.wide())
-    return replace(sheet, frames={"sheet": wide}, fused={})
-
+    return replace(sheet, frames={"sheet": wide}, fused={}, derived={})
 
-__all__ = [
-    "CROSS_LAYER",
-    "ValidationRun",
-    "business_impact",
-    "check_results",
-    "detect",
-    "validate",
-]

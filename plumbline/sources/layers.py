@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.values import ratio
+from plumbline.operators.gold import average_order_value
 from plumbline.model import PIPELINE
 from plumbline.specs import PipelineSpec
 
@@ -155,9 +155,8 @@ def build_gold_metrics(silver: DataFrame, spec: PipelineSpec | None = None) -> D
         F.coalesce(F.max("total_orders"), F.lit(0)).alias("total_orders"),
         F.coalesce(F.max("total_customers"), F.lit(0)).alias("total_customers"),
     )
-    value = ratio(F.col("total_revenue"), F.col("total_orders"))
-    average = F.when(F.col("total_orders") == 0, F.lit(0.0)).otherwise(value)
-    return merged.withColumn("average_order_value", average)
+    average = average_order_value("total_revenue", "total_orders")
+    return merged.withColumn("average_order_value", F.expr(average))
 
 
 def build_gold_country(silver: DataFrame, spec: PipelineSpec | None = None) -> DataFrame:
