@@ -1,25 +1,39 @@
-"""Cutting lineage in the shared checkpoint folder of the cluster."""
+"""Cutting lineage in the shared folder of the cluster."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the one set as ``spark.checkpoint.dir``.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a temporary folder of its own.
+    Only a local session without that setting gets a temporary folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
+    known = context.getCheckpointDir()
+    if known is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
+            folder = tempfile.mkdtemp(prefix="plumbline-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+        known = context.getCheckpointDir()
+    return known
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a small frame and read it back; a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = new_folder(spark, "frame")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
