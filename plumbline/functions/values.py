@@ -1,4 +1,4 @@
-"""Tolerant dates and text redaction as Column expressions."""
+"""Tolerant dates and text redaction."""
 
 from __future__ import annotations
 
@@ -12,17 +12,16 @@ SECRET_PATTERN = r"(?i)(password|pwd|secret|token|key)\s*=\s*[^\s]+"
 URI_PATTERN = r"(?i)\b[a-z]+://[^\s]+"
 
 
-def as_date(column: str, dtype: T.DataType) -> Column:
-    """The column as DATE, NULL when it does not parse.
+def as_date(column: str, dtype: T.DataType) -> str:
+    """SQL text: the column as DATE, NULL when it does not parse.
 
     Text must be ISO year-month-day: a bare cast also takes '2026' and strings with
     a trailing remainder, so the pattern guards it.
     """
-    value = F.col(column)
-    if isinstance(dtype, T.StringType):
-        trimmed = F.trim(value)
-        return F.when(trimmed.rlike(ISO_DATE), trimmed.try_cast("date"))
-    return value.try_cast("date")
+    if not isinstance(dtype, T.StringType):
+        return f"try_cast(`{column}` AS DATE)"
+    trimmed = f"trim(`{column}`)"
+    return f"(CASE WHEN {trimmed} RLIKE r'{ISO_DATE}' THEN try_cast({trimmed} AS DATE) END)"
 
 
 def redact(text: Column) -> Column:

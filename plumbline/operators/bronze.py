@@ -63,7 +63,9 @@ def null_report(sheet: MetricSheet, table: str, columns: tuple[str, ...]) -> tup
         return text("{}"), text("{}"), "0"
     counts = {c: sheet.number(table, f"null_{c}") for c in present}
     zeros = text("{" + ",".join(f'"{c}":0' for c in counts) + "}")
-    return json_object(**counts), zeros, total(list(counts.values()))
+    label = f"{table}_{len(columns)}_nulls"
+    observed = sheet.derive(f"{label}_json", json_object(**counts))
+    return observed, zeros, sheet.derive(label, total(list(counts.values())))
 
 
 def null_sql(sheet: MetricSheet, table: str, columns: tuple[str, ...]) -> str:

@@ -48,24 +48,23 @@ class Check:
             text(self.check_name),
             text(self.layer),
             self.status,
-            self.value or "NULL",
-            self.observed or "NULL",
-            self.expected or "NULL",
+            f"CAST({self.value or 'NULL'} AS DOUBLE)",
+            self.observed or text(None),
+            self.expected or text(None),
             self.detail,
             text(self.evidence),
             text(self.dimension),
             text(self.detection_layer),
             text(self.table),
-            extra,
+            f"CAST({extra} AS MAP<STRING, STRING>)",
             self.detected_status or self.status,
             self.detected_detail or self.detail,
             str(seq),
         )
-        typed = (
-            f"{text(f.name)}, CAST({value} AS {f.dataType.simpleString()})"
-            for f, value in zip(CHECK_TYPE.fields, values, strict=True)
+        named = (
+            f"'{f.name}', {value}" for f, value in zip(CHECK_TYPE.fields, values, strict=True)
         )
-        return f"named_struct({', '.join(typed)})"
+        return f"named_struct({', '.join(named)})"
 
 
 def skipped(

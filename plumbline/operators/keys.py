@@ -166,7 +166,8 @@ def key_census(
     document = spec.document
     quantity = F.col(spec.quantity).cast("double")
     yes, no = F.lit(1).cast("long"), F.lit(0).cast("long")
-    valid = F.when(spec.valid_row(), yes).otherwise(no)
+    is_valid = F.expr(spec.valid_row())
+    valid = F.when(is_valid, yes).otherwise(no)
 
     left = bronze.select(
         *by,
@@ -174,7 +175,7 @@ def key_census(
         yes.alias("_bronze"),
         no.alias("_silver"),
         valid.alias("_valid"),
-        F.when(spec.valid_row(), quantity).alias("_qty"),
+        F.when(is_valid, quantity).alias("_qty"),
     )
     right = silver.select(
         *by,

@@ -1,7 +1,7 @@
 """Fused table profile: every scalar metric of a table in one shared scan.
 
-Each function returns aggregate Columns by name; ``profile`` evaluates any number of
-them in a single ``agg``, which reads only the columns they mention, combines on the
+Each function returns aggregates as SQL text by name; ``profile`` evaluates any number
+of them in a single ``agg``, which reads only the columns they mention, combines on the
 map side and shuffles one row per task.
 """
 
@@ -9,53 +9,51 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.values import as_date
 from plumbline.specs import PipelineSpec, RangeRule, TableSpec
 
+ROWS = "count(1)"
 
-def profile(
-    df: DataFrame, metrics: Mapping[str, Column], by: Sequence[str] = ()
-) -> DataFrame:
+
+def profile(df: DataFrame, metrics: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
     """One row per group with every metric."""
-    return df.groupBy(*by).agg(*[expr.alias(name) for name, expr in metrics.items()])
+    return df.groupBy(*by).agg(*[F.expr(f"{sql} AS `{name}`") for name, sql in metrics.items()])
 
 
-def row_count() -> dict[str, Column]:
-    return {"rows": F.count(F.lit(1))}
+def row_count() -> dict[str, str]:
+    return {"rows": ROWS}
 
 
-def null_counts(df: DataFrame, columns: Iterable[str]) -> dict[str, Column]:
+def null_counts(df: DataFrame, columns: Iterable[str]) -> dict[str, str]:
     """NULLs per column; columns the table lacks are left out."""
-    return {
-        f"null_{c}": F.count_if(F.col(c).isNull()) for c in columns if c in df.columns
-    }
+    return {f"null_{c}": f"count_if(`{c}` IS NULL)" for c in columns if c in df.columns}
 
 
-def range_violations(df: DataFrame, rules: Iterable[RangeRule]) -> dict[str, Column]:
+def range_violations(df: DataFrame, rules: Iterable[RangeRule]) -> dict[str, str]:
     return {
-        f"range_{r.column}": F.count_if(r.violation())
+        f"range_{r.column}": f"count_if({r.sql()})"
         for r in rules
         if r.active and r.column in df.columns
     }
 
 
-def date_metrics(df: DataFrame, columns: Iterable[str]) -> dict[str, Column]:
+def date_metrics(df: DataFrame, columns: Iterable[str]) -> dict[str, str]:
     """Unparseable count, earliest and latest date of each date column."""
-    out: dict[str, Column] = {}
+    out: dict[str, str] = {}
     for name in dict.fromkeys(columns):
         if name not in df.columns:
             continue
         parsed = as_date(name, df.schema[name].dataType)
-        out[f"unparsed_{name}"] = F.count_if(F.col(name).isNotNull() & parsed.isNull())
-        out[f"min_{name}"] = F.min(parsed)
-        out[f"max_{name}"] = F.max(parsed)
+        out[f"unparsed_{name}"] = f"count_if(`{name}` IS NOT NULL AND {parsed} IS NULL)"
+        out[f"min_{name}"] = f"min({parsed})"
+        out[f"max_{name}"] = f"max({parsed})"
     return out
 
 
-def rule_metrics(df: DataFrame, spec: TableSpec) -> dict[str, Column]:
+def rule_metrics(df: DataFrame, spec: TableSpec) -> dict[str, str]:
     """All scan-only metrics the rule library needs for one table."""
     dates = [*spec.date_columns]
     if spec.fresh_date:
@@ -68,41 +66,38 @@ def rule_metrics(df: DataFrame, spec: TableSpec) -> dict[str, Column]:
     }
 
 
-def bronze_metrics(spec: PipelineSpec) -> dict[str, Column]:
+def bronze_metrics(spec: PipelineSpec) -> dict[str, str]:
     """Catalogue metrics of Bronze: signs, validity, segments, expected revenue."""
-    quantity, price = F.col(spec.quantity), F.col(spec.price)
-    valid = spec.valid_row()
-    high = quantity > spec.segment_quantity
-    value = quantity.cast("double") * price.cast("double")
+    quantity, price, valid = spec.quantity, spec.price, spec.valid_row()
+    value = f"CAST({quantity} AS DOUBLE) * CAST({price} AS DOUBLE)"
     return {
-        "negative_quantity": F.count_if(quantity < 0),
-        "negative_price": F.count_if(price < 0),
-        "valid_rows": F.count_if(valid),
-        "valid_high": F.count_if(valid & high),
-        "valid_low": F.count_if(valid & ~high),
-        "explained": F.count_if((quantity <= 0) | (price <= 0)),
-        "expected_revenue": F.sum(F.when(spec.sellable_row(), value)),
+        "negative_quantity": f"count_if({quantity} < 0)",
+        "negative_price": f"count_if({price} < 0)",
+        "valid_rows": f"count_if({valid})",
+        "valid_high": f"count_if({valid} AND {spec.high_segment})",
+        "valid_low": f"count_if({valid} AND {spec.low_segment})",
+        "explained": f"count_if({quantity} <= 0 OR {price} <= 0)",
+        "expected_revenue": f"sum({value}) FILTER (WHERE {spec.sellable_row()})",
     }
 
 
-def silver_metrics(df: DataFrame, spec: PipelineSpec) -> dict[str, Column]:
+def silver_metrics(df: DataFrame, spec: PipelineSpec) -> dict[str, str]:
     """Catalogue metrics of Silver. A NULL quantity falls into the low segment."""
-    out: dict[str, Column] = {}
+    out: dict[str, str] = {}
     if spec.quantity in df.columns:
-        quantity = F.col(spec.quantity)
-        high = F.coalesce(quantity > spec.segment_quantity, F.lit(False))
-        out["nonpositive_quantity"] = F.count_if(quantity <= 0)
-        out["high_rows"] = F.count_if(high)
-        out["low_rows"] = F.count_if(~high)
+        high = f"coalesce({spec.high_segment}, false)"
+        out["nonpositive_quantity"] = f"count_if({spec.quantity} <= 0)"
+        out["high_rows"] = f"count_if({high})"
+        out["low_rows"] = f"count_if(NOT {high})"
     if spec.price in df.columns:
-        out["nonpositive_price"] = F.count_if(F.col(spec.price) <= 0)
+        out["nonpositive_price"] = f"count_if({spec.price} <= 0)"
     if spec.revenue in df.columns:
-        out["negative_revenue"] = F.count_if(F.col(spec.revenue) < 0)
-        out["revenue"] = F.sum(F.col(spec.revenue).cast("double"))
+        out["negative_revenue"] = f"count_if({spec.revenue} < 0)"
+        out["revenue"] = f"sum(CAST({spec.revenue} AS DOUBLE))"
     return out
 
 
-def gold_metrics(df: DataFrame) -> dict[str, Column]:
+def gold_metrics(df: DataFrame) -> dict[str, str]:
     """The single Gold row of a group, read as aggregates."""
     names = ("total_revenue", "total_orders", "total_customers", "average_order_value")
-    return {c: F.max(F.col(c).cast("double")) for c in names if c in df.columns}
+    return {c: f"max(CAST({c} AS DOUBLE))" for c in names if c in df.columns}

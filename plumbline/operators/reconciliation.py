@@ -43,7 +43,7 @@ def _count(sheet: MetricSheet) -> Check:
             unexplained_loss=missing,
         ),
         text('{"unexplained_loss":0}'), missing,
-        f"SELECT COUNT(*) FROM {spec.bronze} b WHERE {spec.valid_sql()} AND NOT EXISTS "
+        f"SELECT COUNT(*) FROM {spec.bronze} b WHERE {spec.valid_row()} AND NOT EXISTS "
         f"(SELECT 1 FROM {spec.silver} s WHERE s.{spec.document} = b.{spec.document})",
         COMPLETENESS, RECONCILIATION,
     )

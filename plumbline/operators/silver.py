@@ -172,7 +172,7 @@ def _violation(check_id: str, metric: str, column: str, condition: str):
 def lost_rows_sql(spec: PipelineSpec, select: str) -> str:
     match = " AND ".join(f"s.{k} IS NOT DISTINCT FROM b.{k}" for k in spec.business_key)
     return (
-        f"SELECT {select} FROM {spec.bronze} b WHERE {spec.valid_sql()} "
+        f"SELECT {select} FROM {spec.bronze} b WHERE {spec.valid_row()} "
         f"AND NOT EXISTS (SELECT 1 FROM {spec.silver} s WHERE {match})"
     )
 
@@ -237,7 +237,7 @@ def _s9(sheet: MetricSheet) -> Check:
     split = f"CASE WHEN {spec.high_segment} THEN '{spec.high_segment}' ELSE '{spec.low_segment}' END"
     sql = (
         "SELECT segment, SUM(valid) AS bronze_valid, SUM(kept) AS silver_count FROM ("
-        f"SELECT {split} AS segment, 1 AS valid, 0 AS kept FROM {spec.bronze} WHERE {spec.valid_sql()} "
+        f"SELECT {split} AS segment, 1 AS valid, 0 AS kept FROM {spec.bronze} WHERE {spec.valid_row()} "
         f"UNION ALL SELECT {split}, 0, 1 FROM {spec.silver}) GROUP BY segment"
     )
     return Check(

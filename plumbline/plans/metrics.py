@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.stats import series_profile, unpivot_history
@@ -46,7 +46,7 @@ class MetricSheet:
     # Source -> source with the same input, whose metrics stand for both.
     twins: dict[str, str] = field(default_factory=dict)
     # Fused profiles by frame name, kept apart so that one bad metric can be left out.
-    fused: dict[str, tuple[DataFrame, dict[str, Column]]] = field(default_factory=dict)
+    fused: dict[str, tuple[DataFrame, dict[str, str]]] = field(default_factory=dict)
     # Intermediate columns shared by checks, in dependency order: name -> SQL text.
     derived: dict[str, str] = field(default_factory=dict)
     # Frame or qualified metric -> reason it could not be computed.
@@ -82,7 +82,8 @@ class MetricSheet:
 
     def number(self, source: str, name: str) -> str:
         """SQL text of a count or sum; groups without rows read as zero."""
-        return f"coalesce({self.metric(source, name)}, 0)"
+        metric = self.metric(source, name)
+        return self.derive(metric.strip("`"), f"coalesce({metric}, 0)")
 
     def derive(self, name: str, sql: str) -> str:
         """Name an intermediate result, so that checks repeat a column, not its SQL."""
@@ -102,7 +103,7 @@ class MetricSheet:
             lambda a, b: a.unionByName(b, allowMissingColumns=True), self.frames.values()
         )
         names = [c for c in stacked.columns if c != PIPELINE]
-        folded = stacked.groupBy(PIPELINE).agg(*[F.max(c).alias(c) for c in names])
+        folded = stacked.groupBy(PIPELINE).agg(*[F.expr(f"max(`{c}`) AS `{c}`") for c in names])
         if not self.derived:
             return folded
         return folded.selectExpr("*", *[f"{sql} AS `{n}`" for n, sql in self.derived.items()])
@@ -139,7 +140,7 @@ class MetricSheet:
     def _split(self, name: str) -> None:
         """Fall back from a fused profile to its metrics that work on their own."""
         df, metrics = self.fused[name]
-        good: dict[str, Column] = {}
+        good: dict[str, str] = {}
         for metric, expr in metrics.items():
             try:
                 error = _failure(profile.profile(df, {metric: expr}, self.by))
@@ -199,11 +200,11 @@ def collect_metrics(
 
 def _fused_metrics(
     layers: Mapping[str, DataFrame], spec: PipelineSpec, twin_of: Mapping[str, str]
-) -> dict[str, dict[str, Column]]:
+) -> dict[str, dict[str, str]]:
     """Metrics of one fused aggregation per distinct table; twins share the scan."""
     specs = {t.name: t for t in spec.tables}
     roles = dict.fromkeys([*specs, spec.source, spec.bronze, spec.silver, spec.gold])
-    fused: dict[str, dict[str, Column]] = {}
+    fused: dict[str, dict[str, str]] = {}
     for table in roles:
         if table not in layers:
             continue
@@ -289,7 +290,7 @@ def fk_state(layers: Mapping[str, DataFrame], table: str, fk) -> str | None:
 
 def _table_metrics(
     df: DataFrame, table: TableSpec | None, spec: PipelineSpec, name: str
-) -> dict[str, Column]:
+) -> dict[str, str]:
     metrics = profile.row_count()
     if table is not None:
         metrics.update(profile.rule_metrics(df, table))
@@ -314,16 +315,12 @@ def _history_profile(history: DataFrame, by: Sequence[str]) -> DataFrame:
         return runs
     series = series_profile(unpivot_history(history, present, by), [*by, "metric"])
     stats = ("mean", "std", "n", "q1", "median", "q3", "mad")
+    names = [f"{m}_{s}" for m in present for s in stats]
     picked = [
-        F.max(F.when(F.col("metric") == m, F.col(s))).alias(f"{m}_{s}")
-        for m in present
-        for s in stats
+        F.expr(f"max({s}) FILTER (WHERE metric = '{m}') AS {m}_{s}") for m in present for s in stats
     ]
-    wide = series.groupBy(*by).agg(*picked)
-    both = runs.unionByName(wide, allowMissingColumns=True)
-    return both.groupBy(*by).agg(
-        *[F.max(c).alias(c) for c in both.columns if c not in by]
-    )
+    both = runs.unionByName(series.groupBy(*by).agg(*picked), allowMissingColumns=True)
+    return both.groupBy(*by).agg(*[F.expr(f"max({c}) AS {c}") for c in ("runs", *names)])
 
 
 def _twin_tables(layers: Mapping[str, DataFrame]) -> dict[str, str]:

@@ -118,7 +118,9 @@ def build_silver(
 ) -> DataFrame:
     """Keep sellable rows and derive revenue; ``defect`` is an extra (faulty) filter."""
     spec = spec or PipelineSpec()
-    keep = spec.sellable_row() if defect is None else spec.sellable_row() & defect
+    keep = F.expr(spec.sellable_row())
+    if defect is not None:
+        keep = keep & defect
     names = [c for c in (PIPELINE, *spec.required_columns) if c in bronze.columns]
     revenue = F.col(spec.quantity) * F.col(spec.price)
     return bronze.filter(keep).select(*names, revenue.alias(spec.revenue))

@@ -8,9 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from plumbline.model import BRONZE, GOLD, SILVER
 
 
@@ -27,17 +24,8 @@ class RangeRule:
     def active(self) -> bool:
         return self.min is not None or self.max is not None
 
-    def violation(self) -> Column:
-        value = F.col(self.column)
-        below = None
-        if self.min is not None:
-            below = value <= F.lit(self.min) if self.strict_min else value < F.lit(self.min)
-        if self.max is None:
-            return below
-        above = value > F.lit(self.max)
-        return above if below is None else below | above
-
     def sql(self) -> str:
+        """Condition of an offending row."""
         parts = []
         if self.min is not None:
             parts.append(f"{self.column} {'<=' if self.strict_min else '<'} {self.min:g}")
@@ -233,23 +221,13 @@ class PipelineSpec:
     thresholds: Thresholds = field(default_factory=Thresholds)
     tables: tuple[TableSpec, ...] = field(default_factory=order_table_specs)
 
-    def valid_row(self) -> Column:
-        """Business-valid row that must survive into Silver (keys present)."""
-        return (
-            self.sellable_row()
-            & F.col(self.document).isNotNull()
-            & F.col(self.item).isNotNull()
-        )
-
-    def sellable_row(self) -> Column:
-        """Looser predicate of expected revenue: no key-not-null condition."""
-        return (F.col(self.quantity) > 0) & (F.col(self.price) > 0)
+    def valid_row(self) -> str:
+        """SQL text: a business-valid row that must survive into Silver (keys present)."""
+        return f"{self.sellable_row()} AND {self.document} IS NOT NULL AND {self.item} IS NOT NULL"
 
-    def valid_sql(self) -> str:
-        return (
-            f"{self.quantity} > 0 AND {self.price} > 0 "
-            f"AND {self.document} IS NOT NULL AND {self.item} IS NOT NULL"
-        )
+    def sellable_row(self) -> str:
+        """SQL text: the looser predicate of expected revenue, without key conditions."""
+        return f"{self.quantity} > 0 AND {self.price} > 0"
 
     @property
     def high_segment(self) -> str:
