@@ -6,7 +6,7 @@ key; no step sorts a whole table or collects a large group in one task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +16,9 @@ from plumbline.model import PIPELINE
 from plumbline.specs import PipelineSpec
 
 # Rows are first ranked by one of this many hash buckets.
-BUCKETS = 4096
+BUCKETS = 256
+# Row keys to blank are broadcast only up to this many.
+MAX_BROADCAST_ROWS = 100_000
 
 
 def shuffle_bucket(columns: Sequence[str], seed: int = 42) -> Column:
@@ -29,42 +31,42 @@ def inject_row_drop(
 ) -> DataFrame:
     """Keep exactly max(1, int(n * (1 - fraction))) rows, chosen pseudo-randomly.
 
-    A bounded table of bucket counts decides which buckets stay whole and how many
-    rows the one boundary bucket keeps. Rows of that bucket are numbered per input
+    The counts of a fixed number of buckets decide which buckets stay whole and how
+    many rows the one boundary bucket keeps. Rows of that bucket are numbered per input
     partition, whose counts give each partition its offset, so even a bucket made of
-    many copies of one row is numbered in pieces. Both count tables are bounded, by
-    the number of buckets and of input partitions, and broadcast.
+    many copies of one row is numbered in pieces.
 
     ``df`` should read a stored table: its input partitions are then the same each
     time it is scanned, which the offsets rely on.
     """
     bucket = shuffle_bucket(df.columns, seed) if bucket is None else bucket
     tagged = df.withColumns({"_bucket": bucket, "_part": F.spark_partition_id()})
-    counts = tagged.groupBy("_bucket", "_part").agg(F.count(F.lit(1)).alias("_n"))
 
-    per_bucket = counts.groupBy("_bucket").agg(F.sum("_n").alias("_n"))
+    # At most BUCKETS rows, ranked and then broadcast.
     in_order = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    keep = F.greatest(F.lit(1), F.floor(F.sum("_n").over(everything) * F.lit(1 - fraction)))
+    keep = F.greatest(F.lit(1), F.floor(F.sum("_n").over(Window.partitionBy()) * F.lit(1 - fraction)))
     before = F.coalesce(F.sum("_n").over(in_order), F.lit(0))
-    quota = per_bucket.select(
-        "_bucket", F.least(F.greatest(keep - before, F.lit(0)), F.col("_n")).alias("_quota"), "_n"
-    ).filter(F.col("_quota") > 0)
+    quota = (
+        tagged.groupBy("_bucket")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select("_bucket", "_n", F.least(F.greatest(keep - before, F.lit(0)), F.col("_n")).alias("_quota"))
+        .filter(F.col("_quota") > 0)
+    )
     whole = quota.filter(F.col("_quota") == F.col("_n")).select("_bucket")
     boundary = quota.filter(F.col("_quota") < F.col("_n")).select("_bucket", "_quota")
 
-    along = Window.partitionBy("_bucket").orderBy("_part")
+    kept = tagged.join(F.broadcast(whole), "_bucket", "left_semi")
+    edge = tagged.join(F.broadcast(boundary), "_bucket")
+    # One row per input partition.
     ahead = F.coalesce(
-        F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     offsets = (
-        counts.join(F.broadcast(boundary), "_bucket")
-        .select("_bucket", "_part", "_quota", ahead.alias("_ahead"))
+        edge.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", ahead.alias("_ahead"))
     )
-    kept = tagged.join(F.broadcast(whole), "_bucket", "left_semi")
-    number = F.row_number().over(Window.partitionBy("_bucket", "_part").orderBy("_bucket"))
+    number = F.row_number().over(Window.partitionBy("_part").orderBy("_bucket"))
     partly = (
-        tagged.join(F.broadcast(offsets), ["_bucket", "_part"])
+        edge.join(offsets, "_part")
         .withColumn("_rank", number + F.col("_ahead"))
         .filter(F.col("_rank") <= F.col("_quota"))
     )
@@ -125,28 +127,34 @@ def inject_null_keys(
 ) -> DataFrame:
     """Blank the key of the first n rows; ``order`` must identify a row.
 
-    The n picked row keys are a small fixed number and are broadcast.
+    The picked row keys are broadcast while n is small.
     """
     picked = _first(df, order, n).select(*[F.col(c).alias(f"_p_{c}") for c in order])
     picked = picked.withColumn("_hit", F.lit(True))
     same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(picked[f"_p_{c}"]) for c in order])
-    joined = df.join(F.broadcast(picked), same, "left")
+    if n <= MAX_BROADCAST_ROWS:
+        picked = F.broadcast(picked)
+    joined = df.join(picked, same, "left")
     blanked = F.when(F.col("_hit").isNull(), df[column]).alias(column)
     return joined.select(*[blanked if c == column else df[c] for c in df.columns])
 
 
-def stack_cases(cases: dict[str, dict[str, DataFrame]]) -> dict[str, DataFrame]:
-    """Layer sets of several cases as one set, the case name as its pipeline."""
+def stack(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """Versions of one table, by case, as one table with the case as its pipeline."""
+    tagged = [df.withColumn(PIPELINE, F.lit(case)) for case, df in frames.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+
+
+def spread(df: DataFrame, cases: Sequence[str]) -> DataFrame:
+    """The same rows for every case, from one scan."""
+    return df.withColumn(PIPELINE, F.explode(F.array(*map(F.lit, cases))))
+
+
+def stack_cases(cases: Mapping[str, Mapping[str, DataFrame]]) -> dict[str, DataFrame]:
+    """Layer sets of several cases as one set; validated, they are one job."""
     tables = dict.fromkeys(t for layers in cases.values() for t in layers)
     return {
-        table: reduce(
-            lambda a, b: a.unionByName(b, allowMissingColumns=True),
-            [
-                layers[table].withColumn(PIPELINE, F.lit(case))
-                for case, layers in cases.items()
-                if table in layers
-            ],
-        )
+        table: stack({case: layers[table] for case, layers in cases.items() if table in layers})
         for table in tables
     }
 

@@ -44,7 +44,7 @@ gold AS (
 ),
 gold_country AS (
   SELECT pipeline, country, sum(net_revenue)
-    + CASE WHEN pipeline = '3-MEDIUM' AND country = 'FRANCE' THEN 100 ELSE 0 END AS revenue
+    + CASE WHEN pipeline = '3-MEDIUM' AND country = 'NATION_6' THEN 100 ELSE 0 END AS revenue
   FROM silver GROUP BY pipeline, country
 ),
 per_month AS (
@@ -276,7 +276,7 @@ JOIN (SELECT pipeline, total_revenue AS a FROM gold) USING (pipeline)"""
 _SERIES = """,
 monthly AS (
   SELECT country, month, b AS bronze_count, coalesce(s, 0) AS silver_count,
-    round((1 - coalesce(s, 0) / b) * 100, 6) AS drop_pct, round(coalesce(r, 0), 4) AS gold_revenue
+    round((1 - coalesce(s, 0) / b) * 100, 3) AS drop_pct, round(coalesce(r, 0), 2) AS gold_revenue
   FROM (SELECT country, substr(invoice_date, 1, 7) AS month, count(*) AS b FROM lines GROUP BY 1, 2)
   LEFT JOIN (SELECT country, substr(invoice_date, 1, 7) AS month, count(*) AS s, sum(net_revenue) AS r
              FROM silver GROUP BY 1, 2) USING (country, month)
@@ -311,8 +311,8 @@ SELECT country, metric, n, round(mean, 4) AS mean, round(std, 4) AS std, round(m
   round(mean + 3 * std, 3) AS upper
 FROM (SELECT country, metric, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS std FROM series GROUP BY 1, 2)"""
 ORACLES["robust_band"] = _BASE + _SERIES + """
-SELECT country, metric, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3,
-  round(q3 - q1, 4) AS iqr, round(q1 - 1.5 * (q3 - q1), 3) AS lower, round(q3 + 1.5 * (q3 - q1), 3) AS upper
+SELECT country, metric, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+  round(q3 - q1, 6) AS iqr, round(q1 - 1.5 * (q3 - q1), 6) AS lower, round(q3 + 1.5 * (q3 - q1), 6) AS upper
 FROM (SELECT country, metric, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
   quantile_cont(x, 0.75) AS q3 FROM series GROUP BY 1, 2)"""
 _SCORED = _SERIES + f""",
@@ -366,7 +366,7 @@ m AS MATERIALIZED (
   FROM kc JOIN bm USING (pipeline) JOIN sm USING (pipeline) JOIN gold USING (pipeline)
   JOIN (SELECT pipeline, customers FROM fresh) USING (pipeline)
   JOIN ({_COUNTRY}) USING (pipeline) JOIN ({_ORPHANS}) USING (pipeline)
-  JOIN ({_excess('lines', 'ALL'.replace('ALL', _KEY_COLS + ', description, quantity, unit_price, country'), 'b_row')})
+  JOIN ({_excess('lines', _KEY_COLS + ', description, quantity, unit_price, country', 'b_row')})
     USING (pipeline)
   JOIN ({_excess('silver', _KEY_COLS + ', description, quantity, unit_price, country, net_revenue', 's_row')})
     USING (pipeline)
@@ -793,6 +793,84 @@ ORACLES["inject_null_keys"] = _HEALTHY + f"""
 SELECT {_SUMS} FROM (SELECT CASE WHEN rank <= 5 THEN NULL ELSE invoice_no END AS invoice_no, quantity, net_revenue
   FROM (SELECT *, row_number() OVER (ORDER BY invoice_no) AS rank FROM silver))"""
 
+_MATRIX = f"""
+WITH bronze AS MATERIALIZED (
+  SELECT invoice_no, min(stock_code) AS stock_code, min(description) AS description, min(quantity) AS quantity,
+    min(invoice_date) AS invoice_date, min(unit_price) AS unit_price, min(customer_id) AS customer_id,
+    min(country) AS country
+  FROM (SELECT l_orderkey * 10 + l_linenumber AS invoice_no, l_partkey AS stock_code,
+    l_returnflag || '-' || l_linestatus AS description, CAST(l_quantity AS BIGINT) AS quantity,
+    CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS invoice_date,
+    floor(l_extendedprice * 100 / l_quantity) / 100 AS unit_price, o_custkey AS customer_id, n_name AS country
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    JOIN nation ON c_nationkey = n_nationkey) GROUP BY invoice_no
+),
+hs AS MATERIALIZED (
+  SELECT *, quantity * unit_price AS net_revenue, row_number() OVER (ORDER BY invoice_no) AS rn FROM bronze
+  WHERE quantity > 0 AND unit_price > 0
+),
+size AS (SELECT count(*) AS n, sum(net_revenue) AS revenue FROM hs),
+sil AS MATERIALIZED (
+  SELECT 'healthy' AS pipeline, * FROM hs
+  UNION ALL SELECT 'orphans', * FROM hs
+  UNION ALL SELECT 'row_drop', * FROM hs WHERE rn <= (SELECT floor(n * 0.7) FROM size)
+  UNION ALL SELECT 'duplicates', * FROM hs
+  UNION ALL SELECT 'duplicates', * FROM hs WHERE rn <= 10
+  UNION ALL SELECT 'price_inflation', * REPLACE (unit_price * 2 AS unit_price, net_revenue * 2 AS net_revenue) FROM hs
+  UNION ALL SELECT 'null_keys', * REPLACE (CASE WHEN rn > 5 THEN invoice_no END AS invoice_no) FROM hs
+  UNION ALL SELECT 'scale_quantity', * REPLACE (quantity * 2 AS quantity, net_revenue * 2 AS net_revenue) FROM hs
+),
+fresh AS (SELECT pipeline, count(*) AS n, sum(net_revenue) AS revenue, count(DISTINCT invoice_no) AS orders,
+  count(DISTINCT customer_id) AS customers FROM sil GROUP BY pipeline),
+gold AS (SELECT f.pipeline, CASE WHEN f.pipeline = 'price_inflation' THEN size.revenue ELSE f.revenue END AS revenue,
+  f.orders, f.customers FROM fresh f, size),
+nulls AS (SELECT pipeline, bool_or({" OR ".join(f"{c} IS NULL" for c in _MANDATORY)}) AS hit,
+  bool_or(quantity <= 0) AS quan, bool_or(unit_price <= 0) AS unit, bool_or({_DAY} IS NULL) AS days,
+  max({_DAY}) > DATE '2001-12-31' OR max({_DAY}) < DATE '2001-12-31' - 365 AS old,
+  max({_DAY}) - min({_DAY}) > 365 AS span FROM sil GROUP BY pipeline),
+bronze_flags AS (SELECT CAST(bool_or({" OR ".join(f"{c} IS NULL" for c in _MANDATORY)}) AS INT)
+  + CAST(bool_or(unit_price < 0) AS INT) + CAST(bool_or({_DAY} IS NULL) AS INT)
+  + CAST(max({_DAY}) > DATE '2001-12-31' OR max({_DAY}) < DATE '2001-12-31' - 365 AS INT)
+  + CAST(max({_DAY}) - min({_DAY}) > 365 AS INT) AS k FROM bronze),
+dups AS (SELECT pipeline, max(n) > 1 AS pk FROM (SELECT pipeline, invoice_no, count(*) AS n FROM sil GROUP BY 1, 2)
+  GROUP BY 1),
+row_dups AS (SELECT pipeline, max(n) > 1 AS whole FROM
+  (SELECT pipeline, invoice_no, stock_code, quantity, unit_price, net_revenue, country, customer_id, invoice_date,
+    description, count(*) AS n FROM sil GROUP BY ALL) GROUP BY 1),
+missing AS (SELECT p.pipeline, count(*) AS k FROM (SELECT DISTINCT pipeline FROM sil) p, bronze b
+  WHERE NOT EXISTS (SELECT 1 FROM sil s WHERE s.pipeline = p.pipeline AND s.invoice_no = b.invoice_no)
+  AND quantity > 0 AND unit_price > 0 GROUP BY 1),
+unknown AS (SELECT pipeline, count(*) AS k FROM sil s
+  WHERE NOT EXISTS (SELECT 1 FROM bronze b WHERE b.invoice_no = s.invoice_no) GROUP BY 1),
+past AS (SELECT i, n + i AS c, i * 0.05 AS d, revenue * (1 + i * 0.001) AS r
+  FROM size, (SELECT unnest(range(-7, 8)) AS i)),
+points AS (SELECT 'c' AS metric, CAST(c AS DOUBLE) AS x FROM past UNION ALL SELECT 'd', d FROM past
+  UNION ALL SELECT 'r', r FROM past),
+stats AS ({_robust('points', 'metric')}),
+now_ AS (
+  SELECT pipeline, 'c' AS metric, CAST(size.n AS DOUBLE) AS v FROM fresh, size
+  UNION ALL SELECT pipeline, 'c', CAST(fresh.n AS DOUBLE) FROM fresh
+  UNION ALL SELECT pipeline, 'd', (1 - fresh.n / size.n) * 100 FROM fresh, size
+  UNION ALL SELECT pipeline, 'r', revenue FROM gold
+)
+SELECT pipeline, 'layer_1_rules' AS detection_layer, CAST(bronze_flags.k + hit + quan + unit + days + old + span + pk + whole
+  + CASE WHEN pipeline = 'orphans' THEN 1 ELSE 0 END AS BIGINT) AS flagged
+FROM (SELECT pipeline, CAST(hit AS INT) AS hit, CAST(quan AS INT) AS quan, CAST(unit AS INT) AS unit,
+  CAST(days AS INT) AS days, CAST(old AS INT) AS old, CAST(span AS INT) AS span, CAST(pk AS INT) AS pk,
+  CAST(whole AS INT) AS whole FROM nulls JOIN dups USING (pipeline) JOIN row_dups USING (pipeline)), bronze_flags
+UNION ALL
+SELECT pipeline, 'layer_2_reconciliation', CAST(CASE WHEN missing.k > 0 THEN 1 ELSE 0 END
+  + CASE WHEN coalesce(unknown.k, 0) > 0 OR g.orders > f.orders THEN 1 ELSE 0 END
+  + CASE WHEN abs(f.revenue - g.revenue) > 1 THEN 1 ELSE 0 END
+  + CASE WHEN abs(f.revenue - g.revenue) > 1 OR f.orders <> g.orders OR f.customers <> g.customers THEN 1 ELSE 0 END
+  AS BIGINT)
+FROM fresh f JOIN gold g USING (pipeline) LEFT JOIN missing USING (pipeline) LEFT JOIN unknown USING (pipeline)
+UNION ALL
+SELECT pipeline, 'layer_3_robust_anomaly', count(*) FILTER ({_classify('v')} IN ('FAIL', 'WARN')) FROM now_
+JOIN stats USING (metric) GROUP BY pipeline
+"""
+ORACLES["detection_matrix"] = _MATRIX
+
 # --- text -----------------------------------------------------------------------
 
 _CLEAN = (

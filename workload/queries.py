@@ -369,7 +369,7 @@ def _monthly(spark, sf):
         .agg(F.sum("b").alias("b"), F.sum("s").alias("s"), F.sum("r").alias("r"))
         .selectExpr(
             "country", "month", "b AS bronze_count", "s AS silver_count",
-            "round((1D - s / b) * 100, 6) AS drop_pct", "round(r, 4) AS gold_revenue",
+            "round((1D - s / b) * 100, 3) AS drop_pct", "round(r, 2) AS gold_revenue",
         )
     )
 
@@ -393,8 +393,8 @@ def robust_band(spark, sf):
     stats = series_profile(_series(spark, sf), ["country", "metric"])
     iqr, low, high = robust_iqr_band("q1", "q3")
     return stats.selectExpr(
-        "country", "metric", "round(q1, 4) AS q1", "round(median, 4) AS median", "round(q3, 4) AS q3",
-        f"round({iqr}, 4) AS iqr", f"round({low}, 3) AS lower", f"round({high}, 3) AS upper",
+        "country", "metric", "round(q1, 6) AS q1", "round(median, 6) AS median", "round(q3, 6) AS q3",
+        f"round({iqr}, 6) AS iqr", f"round({low}, 6) AS lower", f"round({high}, 6) AS upper",
     )
 
 
@@ -659,32 +659,41 @@ def detection_matrix(spark, sf):
     """All faults validated as pipelines of one job: who noticed which."""
     base = _healthy_layers(spark, sf)
     bronze, silver = base["bronze_orders"], base["silver_orders"]
-    gold = etl.build_gold_metrics(silver, SPEC)
-    past = _silver_sums(silver).selectExpr(
-        "explode(sequence(1, 15)) AS run_id", "row_count AS bronze_count", "row_count AS silver_count",
-        "0D AS drop_pct", "revenue AS gold_revenue",
-    )
-
-    def case_of(changed, rebuilt=True, **more):
-        return {
-            "bronze_orders": bronze,
-            "silver_orders": changed,
-            "gold_metrics": etl.build_gold_metrics(changed, SPEC) if rebuilt else gold,
-            "historical_runs": past,
-            **more,
-        }
-
-    cases = {
-        "healthy": case_of(silver),
-        "row_drop": case_of(faults.inject_row_drop(silver, 0.3)),
-        "duplicates": case_of(faults.inject_duplicates(silver, ["invoice_no"], 10)),
-        "orphans": case_of(silver, order_payments=faults.inject_orphans(None, bronze, key="-1")),
-        "price_inflation": case_of(faults.inject_price_inflation(silver, 2.0), rebuilt=False),
-        "null_keys": case_of(faults.inject_null_keys(silver, ["invoice_no"], 5)),
-        "scale_quantity": case_of(faults.inject_scale_quantity(silver, 2.0)),
+    paid = bronze.selectExpr("concat('PAY', invoice_no) AS payment_id", "invoice_no", "unit_price AS amount")
+    versions = {
+        "healthy": silver,
+        "orphans": silver,
+        "row_drop": faults.inject_row_drop(silver, 0.3),
+        "duplicates": faults.inject_duplicates(silver, ["invoice_no"], 10),
+        "price_inflation": faults.inject_price_inflation(silver, 2.0),
+        "null_keys": faults.inject_null_keys(silver, ["invoice_no"], 5),
+        "scale_quantity": faults.inject_scale_quantity(silver, 2.0),
     }
+    cases = list(versions)
+    others = [c for c in cases if c != "orphans"]
+    orphaned = faults.inject_orphans(paid, bronze, key="-1").withColumn(PIPELINE, F.lit("orphans"))
+    past = _silver_sums(silver).withColumn("i", F.explode(F.sequence(F.lit(-7), F.lit(7)))).selectExpr(
+        "CAST(i AS STRING) AS run_id", "row_count + i AS bronze_count", "row_count + i AS silver_count",
+        "i * 0.05D AS drop_pct", "revenue * (1D + i * 0.001D) AS gold_revenue",
+    )
     # Landed once: every branch of the validation reads the stacked tables.
-    stacked = etl.land_layers(faults.stack_cases(cases), new_folder(spark, "cases"))
+    folder = new_folder(spark, "cases")
+    landed = etl.land_layers({"silver_orders": faults.stack(versions)}, folder)
+    gold = etl.build_gold_metrics(landed["silver_orders"], SPEC)
+    # Prices were inflated after Gold was built: that case keeps the healthy Gold.
+    stale = gold.filter(f"{PIPELINE} = 'healthy'").withColumn(PIPELINE, F.lit("price_inflation"))
+    landed |= etl.land_layers(
+        {
+            "gold_metrics": gold.filter(f"{PIPELINE} <> 'price_inflation'").unionByName(stale),
+            "historical_runs": faults.spread(past, cases),
+        },
+        folder,
+    )
+    stacked = {
+        **landed,
+        "bronze_orders": faults.spread(bronze, cases),
+        "order_payments": faults.spread(paid, others).unionByName(orphaned),
+    }
     found = run.validate(stacked, SPEC, run_date=RUN_DATE).results
     return faults.detection_matrix(found).select(PIPELINE, "detection_layer", "flagged")
 

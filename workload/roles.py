@@ -106,7 +106,7 @@ def _plans(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     )
     country = build_gold_country(cleaned, SPEC).withColumn(
         "revenue",
-        F.expr("revenue + CASE WHEN pipeline = '3-MEDIUM' AND country = 'FRANCE' THEN 100D ELSE 0D END"),
+        F.expr("revenue + CASE WHEN pipeline = '3-MEDIUM' AND country = 'NATION_6' THEN 100D ELSE 0D END"),
     )
     derived = {
         "gold_metrics": gold,
