@@ -23,6 +23,9 @@ from plumbline.specs import PipelineSpec, TableSpec
 
 log = logging.getLogger("plumbline.metrics")
 
+# Tables from this size on count full-row duplicates from row hashes first.
+TWO_PASS_BYTES = 64 * 2**30
+
 # Metrics scored against run history: fixed values, in report order.
 HISTORY_METRICS = ("bronze_count", "silver_count", "drop_pct", "gold_revenue")
 
@@ -168,10 +171,13 @@ def collect_metrics(
     layers: Mapping[str, DataFrame],
     spec: PipelineSpec,
     pipeline: str = DEFAULT_PIPELINE,
-    two_pass_rows: bool = False,
+    two_pass_rows: bool | None = False,
 ) -> MetricSheet:
-    """Plan all metric frames that the given tables allow. Starts no job, unless
-    ``two_pass_rows`` asks for the hash-first full-row duplicate count."""
+    """Plan all metric frames that the given tables allow.
+
+    Starts no job, unless ``two_pass_rows`` asks for the hash-first count of full-row
+    duplicates; None asks for it where a table is estimated to be large.
+    """
     grouped = any(PIPELINE in df.columns for df in layers.values())
     by: tuple[str, ...] = (PIPELINE,) if grouped else ()
     sheet = MetricSheet(layers, spec, by, pipeline)
@@ -219,13 +225,18 @@ def _key_builders(
     spec: PipelineSpec,
     by: Sequence[str],
     twin_of: Mapping[str, str],
-    two_pass_rows: bool,
+    two_pass_rows: bool | None,
 ) -> dict[str, Callable[[], DataFrame]]:
     """The aggregations that shuffle on keys."""
     out: dict[str, Callable[[], DataFrame]] = {}
-    row_duplicates = (
-        keys.full_row_duplicates_two_pass if two_pass_rows else keys.full_row_duplicates
-    )
+
+    def row_duplicates(df: DataFrame, by: Sequence[str]) -> DataFrame:
+        narrow = two_pass_rows
+        if narrow is None:
+            narrow = _estimated_bytes(df) >= TWO_PASS_BYTES
+        count = keys.full_row_duplicates_two_pass if narrow else keys.full_row_duplicates
+        return count(df, by)
+
     bronze, silver = layers.get(spec.bronze), layers.get(spec.silver)
     census = bronze is not None and silver is not None
 
@@ -274,6 +285,14 @@ def _key_builders(
     return out
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate, for a table scan the size of its files.
+
+    It only chooses between two ways of computing the same number.
+    """
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def fk_state(layers: Mapping[str, DataFrame], table: str, fk) -> str | None:
     """Why a foreign key cannot be checked, or None."""
     if not fk.ref_table:

@@ -179,10 +179,14 @@ def validate(
     run_date: dt.date | None = None,
     pipeline: str = DEFAULT_PIPELINE,
     extra_rules: Sequence[Rule] = (),
-    two_pass_rows: bool = False,
+    two_pass_rows: bool | None = None,
 ) -> ValidationRun:
     """Run every check and return the run.
 
+    Full-row duplicates of large tables are counted from row hashes first, so that
+    whole rows are shuffled only where a hash repeats; ``two_pass_rows`` forces either
+    way.
+
     The metric sheet is computed once, in one job, and checkpointed. If an input makes
     that job fail, the frames are tried one by one, the failing ones are left out and
     their checks are reported as SKIPPED with the (redacted) reason.

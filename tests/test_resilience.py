@@ -153,3 +153,14 @@ def test_report_without_impact(spark):
     assert report["final_verdict"] == "TRUSTED" and report["first_failed_layer"] is None
     with pytest.raises(LookupError):
         report_dict(report_documents(results, impact), "other")
+
+
+def test_large_tables_count_row_duplicates_from_hashes(spark, monkeypatch):
+    from plumbline.plans import metrics
+
+    layers = healthy(spark, 30)
+    layers["bronze_orders"] = layers["bronze_orders"].unionByName(orders(spark, 4))
+    monkeypatch.setattr(metrics, "TWO_PASS_BYTES", 0)
+    rows = by_id(validate(layers, run_date=GOLDEN_DATE).results)
+    assert rows["L1-BRO-UNIQ-FULL"]["observed_value"] == 4
+    assert rows["L1-SIL-UNIQ-FULL"]["observed_value"] == 0
