@@ -17,7 +17,7 @@ from plumbline.model import (
     SILVER,
     SKIPPED,
 )
-from plumbline.operators.check import Check, Rule, run_checks, skipped
+from plumbline.operators.check import NOT_EVALUATED, Check, Rule, run_checks, skipped
 from plumbline.operators.silver import drop_sql
 from plumbline.plans.metrics import MetricSheet
 
@@ -46,6 +46,7 @@ MONITORED = (
     Monitored("gold_revenue", "Gold Revenue", GOLD, ACCURACY),
 )
 BAND_METHOD = "median + IQR (Q1 - 1.5*IQR, Q3 + 1.5*IQR)"
+WITHIN_BAND = "within robust IQR band"
 SCORE_METHOD = "median + IQR; modified Z (MAD)"
 
 
@@ -107,7 +108,7 @@ def _score(item: Monitored):
             method=text(BAND_METHOD), detail=detail,
         )
         skip = f"{status} = '{SKIPPED}'"
-        goal = case((skip, text("check could not be evaluated")), otherwise=text("within robust IQR band"))
+        goal = case((skip, text(NOT_EVALUATED)), otherwise=text(WITHIN_BAND))
         return Check(
             item.check_id, item.check_name, item.layer, status, detail,
             observed=case((skip, "NULL"), (flat, constant), otherwise=scored),

@@ -13,6 +13,9 @@ from plumbline.plans.metrics import MetricSheet, MissingInput
 
 log = logging.getLogger("plumbline.checks")
 
+# Fixed value: what a check that could not run reports as expected.
+NOT_EVALUATED = "check could not be evaluated"
+
 
 @dataclass(frozen=True)
 class Check:
@@ -76,7 +79,7 @@ def skipped(
         check_name,
         layer,
         status=text(SKIPPED),
-        expected=json_string(text("check could not be evaluated")),
+        expected=json_string(text(NOT_EVALUATED)),
         detail=text(reason),
         detection_layer=detection_layer,
     )

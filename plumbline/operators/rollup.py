@@ -56,11 +56,14 @@ CROSS_NAMES = {
 }
 # Sentences of the report contract.
 HIGH_QUANTITY_LOSS = "Valid high-quantity orders were wrongly removed during the Silver transformation."
+IMPACT_SUFFIX = " (Gold impacted by upstream Silver failure.)"
 RECORD_LOSS = "Valid business records were wrongly removed during the Silver transformation."
 NO_FAILURE = "No failing transformation detected."
 ACTION_NONE = "No action required. Pipeline output is trustworthy."
 ACTION_BRONZE = "Fix ingestion into Bronze and rerun the pipeline."
 ACTION_GOLD = "Fix the Gold aggregation logic and recompute metrics."
+CAVEAT_START = "Coverage incomplete: "
+CAVEAT_END = " check(s) skipped; verdict downgraded from TRUSTED."
 ACTION_REVIEW = "Review flagged layers before publishing Gold outputs."
 
 
@@ -218,9 +221,9 @@ def downgrade(verdict: str, level: str, skipped: str) -> tuple[str, str, str]:
     """SQL text: TRUSTED with skipped checks becomes WARNING; third is the caveat."""
     hit = f"{verdict} = '{TRUSTED}' AND {skipped} > 0"
     caveat = concat(
-        text("Coverage incomplete: "),
+        text(CAVEAT_START),
         f"CAST({skipped} AS STRING)",
-        text(" check(s) skipped; verdict downgraded from TRUSTED."),
+        text(CAVEAT_END),
     )
     return (
         case((hit, text(WARNING)), otherwise=verdict),
@@ -291,7 +294,7 @@ def action_for(verdict: str, bronze: str, silver: str, gold: str, suspected: str
 def downstream_impact(status: str, detail: str, upstream: str) -> tuple[str, str, str]:
     """SQL text: a failed Gold anomaly under a failed Silver layer is impacted, not at fault."""
     hit = f"({upstream} = '{FAIL}' AND {status} = '{FAIL}')"
-    note = concat(detail, text(" (Gold impacted by upstream Silver failure.)"))
+    note = concat(detail, text(IMPACT_SUFFIX))
     return case((hit, text(IMPACTED)), otherwise=status), case((hit, note), otherwise=detail), hit
 
 

@@ -46,6 +46,14 @@ NAMES = {
     "S9": "Record-Loss by Segment",
     "S10": "Wrong Filter Detection",
 }
+# Texts of observed and expected in the report contract.
+HIGH_FILTER = " records are being filtered out"
+UNCLEAR_FILTER = "unclear filter (missing records span multiple quantity ranges)"
+NONE_MISSING = "no missing valid records"
+NO_SUSPECT = "no suspect filter"
+SEGMENT_GOAL = "< 5% loss per segment"
+NO_ROWS = "n/a (bronze empty)"
+
 EMPTY_BRONZE = "Bronze is empty, so no drop percentage exists."
 
 
@@ -100,7 +108,7 @@ def _s1(sheet: MetricSheet) -> Check:
         "S1", NAMES["S1"], SILVER,
         case((empty, text(FAIL)), otherwise=status),
         case((empty, text(EMPTY_BRONZE)), otherwise=detail),
-        json_string(case((empty, text("n/a (bronze empty)")), otherwise=_pct(drop))),
+        json_string(case((empty, text(NO_ROWS)), otherwise=_pct(drop))),
         json_string(case((empty, text(f"non-empty {spec.bronze}")), otherwise=expected)),
         drop, drop_sql(spec),
         extra={"bronze": before, "silver": after, "drop_pct": f"round({drop}, 2)"},
@@ -122,7 +130,7 @@ def _s2(sheet: MetricSheet) -> Check:
         "S2", NAMES["S2"], SILVER,
         case((empty, text(FAIL)), otherwise=status),
         case((empty, text(EMPTY_BRONZE)), otherwise=detail),
-        json_string(case((empty, text("n/a (bronze empty)")), otherwise=_pct(drop))),
+        json_string(case((empty, text(NO_ROWS)), otherwise=_pct(drop))),
         json_string(text(window)), drop, drop_sql(spec),
     )
 
@@ -243,7 +251,7 @@ def _s9(sheet: MetricSheet) -> Check:
     return Check(
         "S9", NAMES["S9"], SILVER, segment_status(loss, spec),
         case((calm, text("No segment lost a notable share of its rows.")), otherwise=found),
-        f"to_json({segments})", json_string(text("< 5% loss per segment")), loss, sql,
+        f"to_json({segments})", json_string(text(SEGMENT_GOAL)), loss, sql,
         extra={"segments": f"to_json({segments})", "worst_segment": label},
     )
 
@@ -251,8 +259,8 @@ def _s9(sheet: MetricSheet) -> Check:
 def suspected_filter(lowest: str, spec: PipelineSpec) -> str:
     """What the smallest lost quantity says about the filter that lost the rows."""
     return case(
-        (f"{lowest} > {spec.segment_quantity}", text(f"{spec.high_segment} records are being filtered out")),
-        otherwise=text("unclear filter (missing records span multiple quantity ranges)"),
+        (f"{lowest} > {spec.segment_quantity}", text(spec.high_segment + HIGH_FILTER)),
+        otherwise=text(UNCLEAR_FILTER),
     )
 
 
@@ -269,8 +277,8 @@ def _s10(sheet: MetricSheet) -> Check:
     return Check(
         "S10", NAMES["S10"], SILVER, pass_or(none),
         case((none, text("No valid record is missing, so no filter is suspected.")), otherwise=found),
-        json_string(case((none, text("no missing valid records")), otherwise=suspect)),
-        json_string(text("no suspect filter")), lost,
+        json_string(case((none, text(NONE_MISSING)), otherwise=suspect)),
+        json_string(text(NO_SUSPECT)), lost,
         lost_rows_sql(spec, f"MIN({spec.quantity}), MAX({spec.quantity}), COUNT(*)"),
         extra={
             "suspected_filter": case((none, "NULL"), otherwise=suspect),
