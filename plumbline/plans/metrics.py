@@ -151,8 +151,12 @@ class MetricSheet:
                 error = sanitize_reason(unresolved)
             if error is None:
                 good[metric] = expr
-            else:
-                self.failures[metric] = error
+                continue
+            self.failures[metric] = error
+            if expr == profile.ROWS:
+                # The table itself cannot be read: no point in trying the rest.
+                self.failures.update(dict.fromkeys(metrics, error))
+                break
         del self.fused[name]
         if good:
             self.fused[name] = (df, good)

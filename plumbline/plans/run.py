@@ -8,7 +8,6 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -195,7 +194,7 @@ def validate(
     sheet = collect_metrics(layers, spec or PipelineSpec(), pipeline, two_pass_rows)
     try:
         sheet = _computed(sheet)
-    except PySparkException as error:
+    except Exception as error:  # whatever one input did, the others still count
         log.warning("fused metrics failed (%s); trying them one by one", type(error).__name__)
         sheet.probe()
         sheet = _computed(sheet)

@@ -164,3 +164,15 @@ def test_large_tables_count_row_duplicates_from_hashes(spark, monkeypatch):
     rows = by_id(validate(layers, run_date=GOLDEN_DATE).results)
     assert rows["L1-BRO-UNIQ-FULL"]["observed_value"] == 4
     assert rows["L1-SIL-UNIQ-FULL"]["observed_value"] == 0
+
+
+def test_an_unreadable_file_skips_only_its_table(spark, tmp_path):
+    layers = healthy(spark, 20)
+    folder = tmp_path / "silver"
+    layers["silver_orders"].write.parquet(str(folder))
+    (folder / "part-broken.parquet").write_bytes(b"this is no parquet file")
+    schema = layers["silver_orders"].schema
+    layers["silver_orders"] = spark.read.schema(schema).parquet(str(folder))
+    rows = by_id(validate(layers, run_date=GOLDEN_DATE).results)
+    assert rows["S5"]["status"] == rows["S8"]["status"] == rows["L1-SIL-COMP-EMPTY"]["status"] == "SKIPPED"
+    assert rows["B3"]["status"] == "PASS" and rows["L1-GOL-COMP-EMPTY"]["status"] == "PASS"
