@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,13 @@ from plumbline.plans.lineage import new_folder
 FOLDS = 5
 
 
+#: The folder that holds the package.
+HOME = str(Path(__file__).resolve().parents[2])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's folder. Workers that don't have the package installed look beside it."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", HOME)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

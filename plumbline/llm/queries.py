@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import table
 from plumbline.llm.decontamination import contamination
+from plumbline.llm.language import identify_language
 from plumbline.llm.tokens import token_counts
 
 #: Name of the model file; its folder is that of the public tokenizer package.
@@ -19,6 +20,10 @@ def token_model() -> str:
     return public_tokenizers.path(TOKEN_MODEL)
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -37,6 +42,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op4_language": op4_language,
     "op5_decontamination": op5_decontamination,
     "op7_token_counts": op7_token_counts,
 }
