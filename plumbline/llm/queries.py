@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import table
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.language import identify_language
+from plumbline.llm.quality import quality_model, score_quality
 from plumbline.llm.tokens import token_counts
 
 #: Name of the model file; its folder is that of the public tokenizer package.
@@ -20,6 +21,11 @@ def token_model() -> str:
     return public_tokenizers.path(TOKEN_MODEL)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
@@ -42,6 +48,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_quality": op1_quality,
     "op4_language": op4_language,
     "op5_decontamination": op5_decontamination,
     "op7_token_counts": op7_token_counts,
