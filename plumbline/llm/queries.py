@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import table
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.language import identify_language
+from plumbline.llm.pii import find_pii, pii_model
 from plumbline.llm.quality import quality_model, score_quality
+from plumbline.llm.tagger import KINDS
 from plumbline.llm.tokens import token_counts
 
 #: Name of the model file; its folder is that of the public tokenizer package.
@@ -26,6 +28,20 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, quality_model(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = find_pii(docs, pii_model(docs))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in KINDS],
+        F.sha2(listed(F.filter("spans", lambda s: s["base"])).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"),
+    )
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
@@ -49,6 +65,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_quality": op1_quality,
+    "op2_pii": op2_pii,
     "op4_language": op4_language,
     "op5_decontamination": op5_decontamination,
     "op7_token_counts": op7_token_counts,
