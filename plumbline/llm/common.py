@@ -58,3 +58,20 @@ def frame_of(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
         [c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type) for n, c in columns.items()],
         schema=schema,
     )
+
+
+def hash_sample(df: DataFrame, label: str, per_label: int) -> tuple[DataFrame, dict]:
+    """About ``per_label`` rows of each label, by a hash of doc_id, and the rows of every label.
+
+    Rows are taken where they lie, so that only the sample is ever shuffled; a label with fewer rows
+    keeps all. Hashes that repeat come in together.
+    """
+    totals = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    spread = 1 << 40
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(spread))
+    shares = [(F.col(label) == value) & (part < per_label * spread // n) for value, n in totals.items() if n > per_label]
+    whole = [value for value, n in totals.items() if n <= per_label]
+    keep = F.col(label).isin(whole) if whole else F.lit(False)
+    for share in shares:
+        keep = keep | share
+    return df.where(keep), totals

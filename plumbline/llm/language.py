@@ -20,14 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from plumbline.llm.common import frame_of, held_out, pieces
+from plumbline.llm.common import frame_of, hash_sample, held_out, pieces
 
 #: Characters of labelled text per language (the text that passes it is taken whole), rows looked at
 #: for it, and the longest text taken as long as there are shorter ones.
 SAMPLE_CHARS = 30_000
-SAMPLE_ROWS = 60
+SAMPLE_ROWS = 80
 LONG_CHARS = 4_000
 STRETCH = 256
 #: Symbols: 0 stands for any run of characters that are no letters, 1 for letters that the labelled
@@ -42,15 +41,10 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score"
 def labelled_texts(docs: DataFrame) -> list[tuple[str, str]]:
     """For each language a bounded sample of labelled documents of the learning folds, by hash of id."""
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out("doc_id"))
-    order = Window.partitionBy("lang").orderBy(F.length("text") > LONG_CHARS, F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        rows.select("lang", "doc_id", "text")
-        .withColumn("_at", F.row_number().over(order))
-        .where(F.col("_at") <= SAMPLE_ROWS)
-        .orderBy("lang", "_at")
-    )
+    sample, _ = hash_sample(rows.select("lang", "doc_id", "text"), "lang", SAMPLE_ROWS)
+    chosen = sample.orderBy("lang", F.length("text") > LONG_CHARS, F.xxhash64("doc_id"), "doc_id", "text")
     texts: dict[str, list[str]] = {}
-    for lang, _, text, _ in chosen.collect():
+    for lang, _, text in chosen.collect():
         known = texts.setdefault(lang, [])
         if sum(map(len, known)) < SAMPLE_CHARS:
             known.append(text)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import table
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.language import identify_language
+from plumbline.llm.neardup import near_duplicates
 from plumbline.llm.pii import find_pii, pii_model
 from plumbline.llm.quality import quality_model, score_quality
 from plumbline.llm.tagger import KINDS
@@ -42,6 +43,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_language": op4_language,
     "op5_decontamination": op5_decontamination,
     "op7_token_counts": op7_token_counts,

@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from plumbline.llm.common import pieces
+from plumbline.llm.common import hash_sample, pieces
 
 #: Buckets of the feature hash, a power of two; one more place stands for a repeated word.
 BUCKET_BITS = 17
@@ -128,16 +127,14 @@ def train(docs: list[tuple[int, np.ndarray, np.ndarray]], classes: list, weights
     return Model(list(classes), (vectors @ layer).astype(np.float32), bias.astype(np.float64))
 
 
-def sample_features(docs: DataFrame, labelled: DataFrame, per_class: int = PER_CLASS) -> list[tuple]:
-    """(label, ids, counts) of a bounded sample: per label the documents that come first by hash of id.
+def sample_features(docs: DataFrame, chosen: DataFrame) -> list[tuple]:
+    """(label, ids, counts) of the chosen documents, a bounded table of one doc_id and label each.
 
-    ``labelled`` has one row of doc_id and label per document. Of repeated ids the least text is used.
+    Of repeated ids the least text is used.
     """
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= per_class)
     texts = (
         docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        .join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")  # per_class rows a label
+        .join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")  # about per_class rows a label
         .groupBy("doc_id", "label")
         .agg(F.min("text").alias("text"))
         .select("doc_id", "label", "text")
@@ -153,7 +150,7 @@ def sample_features(docs: DataFrame, labelled: DataFrame, per_class: int = PER_C
             columns = {"doc_id": batch.column(0), "label": batch.column(1)}
             yield pa.RecordBatch.from_pydict({**columns, "ids": pa.array(ids, pa.binary()), "n": pa.array(counts, pa.binary())})
 
-    kind = labelled.schema["label"].dataType.simpleString()
+    kind = chosen.schema["label"].dataType.simpleString()
     rows = texts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label {kind}, ids binary, n binary").collect()
     rows.sort(key=lambda r: (str(r["label"]), str(r["doc_id"])))
     return [(r["label"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["n"], "<f4")) for r in rows]
@@ -161,8 +158,8 @@ def sample_features(docs: DataFrame, labelled: DataFrame, per_class: int = PER_C
 
 def fit(docs: DataFrame, labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
     """A model of the labels; with fewer than two labels it gives the only one, or none, to all."""
-    totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    sample = sample_features(docs, labelled, per_class)
+    chosen, totals = hash_sample(labelled, "label", per_class)
+    sample = sample_features(docs, chosen)
     classes = sorted({s[0] for s in sample})
     seen = np.array([sum(s[0] == c for s in sample) for c in classes], float)
     weights = np.array([totals[c] for c in classes]) / seen if classes else seen
