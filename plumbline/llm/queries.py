@@ -13,6 +13,7 @@ from plumbline.llm.pii import find_pii, pii_model
 from plumbline.llm.quality import quality_model, score_quality
 from plumbline.llm.tagger import KINDS
 from plumbline.llm.tokens import token_counts
+from plumbline.llm.winnowing import fingerprints
 
 #: Name of the model file; its folder is that of the public tokenizer package.
 TOKEN_MODEL = "piece_bpe_32k.model"
@@ -68,6 +69,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), token_model())
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
@@ -75,6 +80,7 @@ REGISTRY = {
     "op4_language": op4_language,
     "op5_decontamination": op5_decontamination,
     "op7_token_counts": op7_token_counts,
+    "op8_fingerprints": op8_fingerprints,
 }
 
 #: DuckDB SQL with the same result, where SQL can express the query.
