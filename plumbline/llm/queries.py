@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import table
 from plumbline.llm.decontamination import contamination
+from plumbline.llm.html import extract_text
 from plumbline.llm.language import identify_language
 from plumbline.llm.neardup import near_duplicates
 from plumbline.llm.pii import find_pii, pii_model
@@ -73,6 +74,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 REGISTRY = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
@@ -81,6 +86,7 @@ REGISTRY = {
     "op5_decontamination": op5_decontamination,
     "op7_token_counts": op7_token_counts,
     "op8_fingerprints": op8_fingerprints,
+    "op9_main_text": op9_main_text,
 }
 
 #: DuckDB SQL with the same result, where SQL can express the query.
