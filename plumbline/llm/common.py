@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -60,6 +60,25 @@ def frame_of(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     )
 
 
+def map_texts(docs: DataFrame, change: Callable[[list[str | None]], tuple[list | None, list | None]], column: str = "text") -> DataFrame:
+    """The documents with new texts, or without some rows, decided batch by batch in one narrow pass.
+
+    ``change`` gets the texts of a batch and returns the new ones (None: as they were) and which rows
+    stay (None: all). All other columns pass through, whatever they are called.
+    """
+    at = docs.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            texts, keep = change(batch.column(at).to_pylist())
+            if texts is not None:
+                new = pa.array(texts, batch.schema.field(at).type)
+                batch = pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
+            yield batch if keep is None else batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def hash_sample(df: DataFrame, label: str, per_label: int) -> tuple[DataFrame, dict]:
     """About ``per_label`` rows of each label, by a hash of doc_id, and the rows of every label.
 

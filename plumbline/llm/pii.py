@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import pieces
+from plumbline.llm.common import map_texts, pieces
 from plumbline.llm.tagger import KINDS, STRIDE, WINDOW, Tagger, classes, spans_of, train
 
 Span = tuple[str, int, int]
@@ -252,22 +252,18 @@ def redacted(docs: DataFrame, model: Tagger, column: str = "text") -> DataFrame:
     on behind it. Null texts stay null. ``docs`` may have any further columns.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(column)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            whole = batch.column(at).to_pylist()
-            texts = [t or "" for t in whole]
-            base = [base_spans(t) for t in texts]
-            out = []
-            for text, known, new in zip(whole, base, added_spans(texts, base, shared.value), strict=True):
-                parts, done = [], 0
-                for start, end, kind in sorted((s, e, k) for k, s, e in known + new):
-                    if end > done:
-                        parts += [text[done : max(start, done)], f"[{kind.upper()}]"]
-                        done = end
-                out.append("".join(parts) + text[done:] if parts else text)
-            columns = [pa.array(out, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return docs.mapInArrow(run, docs.schema)
+    def change(whole: list[str | None]) -> tuple[list, None]:
+        texts = [t or "" for t in whole]
+        base = [base_spans(t) for t in texts]
+        out = []
+        for text, known, new in zip(whole, base, added_spans(texts, base, shared.value), strict=True):
+            parts, done = [], 0
+            for start, end, kind in sorted((s, e, k) for k, s, e in known + new):
+                if end > done:
+                    parts += [text[done : max(start, done)], f"[{kind.upper()}]"]
+                    done = end
+            out.append("".join(parts) + text[done:] if parts else text)
+        return out, None
+
+    return map_texts(docs, change, column)

@@ -9,9 +9,11 @@ from plumbline.llm.common import table
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.html import extract_text
 from plumbline.llm.language import identify_language
+from plumbline.llm.mixing import domain_model, mixing_rates
 from plumbline.llm.neardup import near_duplicates
 from plumbline.llm.pii import find_pii, pii_model
 from plumbline.llm.quality import quality_model, score_quality
+from plumbline.llm.revisits import resolve_revisits
 from plumbline.llm.tagger import KINDS
 from plumbline.llm.tokens import token_counts
 from plumbline.llm.winnowing import fingerprints
@@ -66,6 +68,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Target share of tokens by language; the sources carry no trace in the texts, languages do.
+TARGETS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing_rates(docs, domain_model(docs), TARGETS)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), token_model())
 
@@ -78,16 +89,75 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Web captures made from the pages: of each a full response and, some days later, a revisit.
+
+    The revisit asks for another spelling of the URL; by page its validators agree, agree weakly, differ
+    or are absent.
+    """
+    tag = F.concat(F.lit('"'), F.left(F.md5(F.coalesce("html", F.lit(""))), F.lit(16)), F.lit('"'))
+    part = F.pmod("page_id", F.lit(8))
+    digest = F.md5(F.coalesce("html", F.lit("")))
+    at = lambda extra: F.timestamp_seconds(F.col("page_id") * 600 + extra)
+    full = pages.select(
+        (F.col("page_id") * 4).alias("record_id"),
+        F.lit("response").alias("kind"),
+        "url",
+        at(0).alias("captured_at"),
+        F.create_map(
+            *[F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.octet_length("html").cast("string")],
+            *[F.lit("etag"), tag, F.lit("last-modified"), F.concat(F.lit("day "), F.pmod("page_id", F.lit(7)).cast("string"))],
+            *[F.lit("server"), F.lit("one")],
+        ).alias("headers"),
+        digest.alias("payload_digest"),
+    )
+    spelled = (
+        F.when(part % 3 == 0, F.concat("url", F.lit("#again")))
+        .when(part % 3 == 1, F.concat(F.col("url"), F.when(F.col("url").contains("?"), "&").otherwise("?"), F.lit("utm_medium=feed")))
+        .otherwise(F.regexp_replace("url", "^http://", "HTTPS://"))
+    )
+    etag = F.when(part == 0, tag).when(part == 1, F.concat(F.lit("W/"), tag)).when(part == 2, F.lit('"other"'))
+    dated = F.when(part == 3, F.concat(F.lit("day "), F.pmod("page_id", F.lit(7)).cast("string")))
+    seen = pages.select(
+        (F.col("page_id") * 4 + 1).alias("record_id"),
+        F.lit("revisit").alias("kind"),
+        spelled.alias("url"),
+        at(3 * 86400 + 7).alias("captured_at"),
+        F.map_filter(
+            F.create_map(
+                *[F.lit("content-length"), F.lit("0"), F.lit("etag"), etag, F.lit("last-modified"), dated],
+                *[F.lit("cache-control"), F.concat(F.lit("max-age="), part.cast("string"))],
+            ),
+            lambda k, v: v.isNotNull(),
+        ).alias("headers"),
+        F.when(part == 4, digest).alias("payload_digest"),
+    )
+    return full.unionByName(seen)
+
+
+def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return found.select(
+        "record_id",
+        "kind",
+        "canonical_url",
+        "resolution",
+        "from_record_id",
+        F.array_join(lines, ";").alias("header_lines"),
+        "payload_digest",
+    )
+
+
 REGISTRY = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_language": op4_language,
     "op5_decontamination": op5_decontamination,
+    "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
     "op8_fingerprints": op8_fingerprints,
     "op9_main_text": op9_main_text,
+    "op10_revisits": op10_revisits,
 }
-
-#: DuckDB SQL with the same result, where SQL can express the query.
-ORACLES: dict[str, str] = {}
