@@ -11,9 +11,11 @@ confirmed on the whole shingle sets.
 
 Equal sets are one class from the start, so copies never meet each other. In a small bucket of a
 band all classes meet; in a large one each meets two pivots, which are others in every band. Links
-are confirmed first for each class's likeliest partner. Then only pairs of different components are
-left, among them all in large buckets that hold more than one component. So groups of thousands of
-near copies cost a few pairs per member, and still no link between components is lost.
+are confirmed first for each class's likeliest partners, which joins most of a group. Classes of
+large buckets that still hold more than one component then meet by their rarest shingles, first the
+class that has fewest of its own, then, exactly and without the pairs inside a component, all others
+(``prefix_pairs``). So groups of thousands of near copies
+cost a few pairs per member, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.llm.common import landed, pieces
 from plumbline.llm.components import connected_components
@@ -36,8 +39,8 @@ BUCKET_BITS, MANTISSA_BITS, BAND = 7, 10, 4
 BUCKETS = 1 << BUCKET_BITS
 #: Classes in a band's bucket up to which all meet.
 ALL_MEET = 24
-#: How far an estimate may lie under the threshold: nine standard errors at 128 registers.
-MARGIN = 0.3
+#: How many standard errors an estimate may lie under the threshold.
+ERRORS = 5
 #: Sets up to this size are confirmed without an estimate, which few shingles make uncertain.
 SURE_SIZE = 40
 #: Characters of words that a worker remembers.
@@ -166,7 +169,9 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             regs = [np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, BUCKETS) for i in (4, 5)]
             value = estimate(*regs, n_a, n_b)
-            keep = (value >= percent / 100 - MARGIN) | (np.minimum(n_a, n_b) <= SURE_SIZE)
+            least = np.minimum(n_a, n_b)
+            error = np.sqrt(percent * (100 - percent) / np.minimum(least, BUCKETS)) / 100
+            keep = (value >= percent / 100 - ERRORS * error) | (least <= SURE_SIZE)
             arrays = [batch.column(0), batch.column(1), pa.array(value)]
             yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "similar"]).filter(pa.array(keep))
 
@@ -191,6 +196,76 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def labelled(rows: DataFrame, node: str, comps: DataFrame, name: str = "comp") -> DataFrame:
+    """Adds the component of a node, which is its own one if ``comps`` doesn't have it."""
+    known = comps.select(F.col("node").alias(node), F.col("comp").alias(name))
+    return rows.join(known, node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def early_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """h, node, n and place: the shingles by which a set (node and hashes) meets similar ones.
+
+    A set's shingles are put in one order for all, the rarest first. If two sets are similar enough,
+    their first common shingle comes early in both: what stands before it is in one of them only. So
+    shingles whose place leaves too few behind them for any partner are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1 << 20):
+            found = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column(1)]
+            sizes = list(map(len, found))
+            node, n = np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(sizes, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), pa.array(np.concatenate(found))], ["node", "n", "h"])
+
+    each = landed(sets.select("node", "hashes").mapInArrow(run, "node long, n long, h long"), "shingles")
+    holders = F.bit_xor(F.xxhash64("node")).alias("holders")
+    often = each.groupBy("h").agg(F.count("*").alias("often"), holders).where("often > 1")
+    # Shingles of one set only come first for it and meet nobody: their number is all that counts.
+    shared = each.join(often, "h")
+    order = Window.partitionBy("node").orderBy("often", "h")
+    placed = shared.withColumn("place", F.row_number().over(order)).join(
+        shared.groupBy("node").agg(F.count("*").alias("in_common")), "node"
+    )
+    placed = placed.withColumn("place", F.col("place") + F.col("n") - F.col("in_common"))
+    early = placed.where(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n"))
+    # Shingles that the same sets hold bring the same pairs: the first of them is enough.
+    same = early.groupBy(F.xxhash64("often", "holders").alias("h"), "node", "n")
+    return landed(same.agg(F.min("place").alias("place")), "early")
+
+
+def least_own(early: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node and, per shingle, the node that has it earliest."""
+    first = early.groupBy("h").agg(F.min_by("node", F.struct("place", "node")).alias("b"))
+    return early.join(first, "h").select(F.col("node").alias("a"), "b")
+
+
+def prefix_pairs(early: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of different components that may be similar enough.
+
+    Sets meet by their early shingles, and only where the two places leave room for enough common
+    ones. Shingles that a group shares come late for all who differ much from it. Of a shingle's
+    sets, those of its main component don't meet each other.
+    """
+    early = labelled(early, "node", comps)
+    main = (
+        early.groupBy("h", "comp")
+        .agg(F.count("*").alias("m"))
+        .groupBy("h")
+        .agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("comps"))
+        .where("comps > 1")
+        .select("h", "main")
+    )
+    rows = landed(early.join(main, "h"), "meeting")
+    side = lambda x: rows.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "n", "place", "main")])
+    room = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    meets = (
+        (F.col("comp_a") != F.col("comp_b"))
+        & ((F.col("comp_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b")))
+        & (100 * room >= percent * (F.col("n_a") + F.col("n_b") - room))
+    )
+    return side("a").where("comp_a <> main_a").join(side("b"), "h").where(meets).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def whole_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and hashes (the whole shingle set) of the nodes given, from one document of each class."""
     wanted = classes.join(nodes, "node").select("node", "class", F.col("rep").alias("wanted"))
@@ -210,6 +285,12 @@ def whole_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFra
     return found
 
 
+def crossing(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components as far as known."""
+    out = labelled(labelled(pairs, "a", comps, "comp_a"), "b", comps, "comp_b")
+    return out.where("comp_a <> comp_b").select(pairs.columns)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
@@ -240,31 +321,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     meet = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b")
     pivot = lambda c: F.col(c).bitwiseXOR(F.shiftrightunsigned("key", 1))
     stars = large.select(F.col("node").alias("a"), F.explode(F.array(pivot("low"), pivot("high"))).alias("b"))
-    pairs = landed(likely(in_order(meet.select("a", "b").union(stars)), classes, percent), "pairs")
+    met = landed(likely(in_order(meet.select("a", "b")), classes, percent), "pairs")
+    starred = landed(likely(in_order(stars), classes, percent), "pairs")
+    pairs = met.union(starred)
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     sets = landed(whole_sets(docs, classes, nodes).dropDuplicates(["node"]), "sets")
+    # Of each class its likeliest partner, and of its likely ones the partner with most partners.
     both = pairs.union(pairs.select("b", "a", "similar"))
-    first = in_order(both.groupBy("a").agg(F.max_by("b", F.struct("similar", -F.col("b"))).alias("b")))
+    degree = both.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("degree"))
+    chosen = both.join(degree, "b").groupBy("a").agg(
+        F.max_by("b", F.struct("similar", "degree", -F.col("b"))).alias("near"),
+        F.max_by("b", F.struct(F.col("similar") >= percent / 100, "degree", -F.col("b"))).alias("hub"),
+    )
+    first = in_order(chosen.select("a", F.explode(F.array("near", "hub")).alias("b")))
     links = landed(confirmed(first, sets, percent), "links")
     comps = connected_components(links)
 
-    def crossing(frame: DataFrame) -> DataFrame:
-        """The pairs whose ends are in different components as far as known."""
-        for x in "ab":
-            known = comps.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
-            frame = frame.join(known, x, "left").withColumn(f"comp_{x}", F.coalesce(f"comp_{x}", x))
-        return frame.where("comp_a <> comp_b").select("a", "b")
-
-    held = large.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    held = labelled(large.select("key", "node"), "node", comps)
     mixed_keys = held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
-    open_rows = landed(held.join(mixed_keys.select("key"), "key", "left_semi"), "open")
-    across = (
-        open_rows.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-        .join(open_rows.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b")), "key")
-        .where("comp_a < comp_b")
-    )
-    rest = crossing(pairs).union(likely(in_order(across), classes, percent).select("a", "b"))
+    open_nodes = held.join(mixed_keys.select("key"), "key", "left_semi").select("node").distinct()
+    early = early_shingles(sets.join(open_nodes, "node", "left_semi"), percent)
+    near = crossing(in_order(least_own(early)), comps)
+    links = links.union(landed(confirmed(likely(near, classes, percent), sets, percent), "links"))
+    comps = connected_components(links)
+    across = prefix_pairs(early, comps, percent)
+    rest = crossing(met, comps).select("a", "b").union(likely(in_order(across), classes, percent).select("a", "b"))
     more = landed(confirmed(in_order(rest), sets, percent), "links")
     if more.limit(1).count():
         comps = connected_components(links.union(more))
