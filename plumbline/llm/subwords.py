@@ -52,7 +52,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(starts))
     ids, owners = [], []
     for n in GRAMS:
-        if len(points) <= n:
+        if len(points) < n:
             continue
         h = np.full(len(points) - n + 1, n, np.uint64)
         inside = np.ones(len(h), bool)

@@ -15,7 +15,7 @@ TAGS = 1 + 2 * len(KINDS)
 #: Characters of a window, and its step where windows overlap.
 WINDOW, STRIDE = 96, 48
 EMBED, HIDDEN = 12, 16
-STEPS, BATCH, RATE = 320, 32, 0.02
+STEPS, BATCH, RATE = 400, 32, 0.02
 NEVER = -1e4
 
 #: Character classes: 0 pads, then single marks, digits, and sorts of letters.
