@@ -183,7 +183,7 @@ def main_text(page: str, cut: frozenset[int] = frozenset()) -> str:
 
     for kind, e, text in events:
         if kind == "text":
-            if not closed and not e.silent and (e.inside or not only):
+            if not e.silent and (e.inside if only else not closed):
                 pieces_.append(text)
         elif kind == "break":
             pieces_.append(text)
