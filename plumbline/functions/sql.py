@@ -7,6 +7,8 @@ of round trips between Python and the JVM.
 
 from __future__ import annotations
 
+import json
+
 from plumbline.model import FAIL, PASS, SEVERITY_ORDER, WARN
 
 
@@ -112,10 +114,11 @@ def json_number(value: str) -> str:
 
 
 def json_string(value: str) -> str:
-    """JSON string literal of a text expression."""
-    escaped = f"replace(replace({value}, '\\\\', '\\\\\\\\'), '\"', '\\\\\"')"
-    return f"concat('\"', {escaped}, '\"')"
+    """JSON string literal of a text expression, with every escape that JSON asks for."""
+    # Spark writes an object; what stands between its key and its closing brace is the literal.
+    written = f"to_json(named_struct('v', {value}))"
+    return f"(CASE WHEN ({value}) IS NOT NULL THEN substring({written}, 6, length({written}) - 6) END)"
 
 
 def json_list(names: list[str] | tuple[str, ...]) -> str:
-    return "[" + ", ".join(f'"{n}"' for n in names) + "]"
+    return json.dumps(list(names), ensure_ascii=False)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The accepted date spelling and the redaction patterns.
-ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}$"
+ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}([.]\d{1,9})?)?( ?(Z|[+-]\d{2}(:?\d{2})?))?)?$"
 SECRET_PATTERN = r"(?i)(password|pwd|secret|token|key)\s*=\s*[^\s]+"
 URI_PATTERN = r"(?i)\b[a-z]+://[^\s]+"
 
@@ -15,13 +15,14 @@ URI_PATTERN = r"(?i)\b[a-z]+://[^\s]+"
 def as_date(column: str, dtype: T.DataType) -> str:
     """SQL text: the column as DATE, NULL when it does not parse.
 
-    Text must be ISO year-month-day: a bare cast also takes '2026' and strings with
-    a trailing remainder, so the pattern guards it.
+    Text must be ISO year-month-day, alone or with a time of day and zone, whose written day
+    counts: a bare cast also takes '2026' and strings with a trailing remainder, so the
+    pattern guards it.
     """
     if not isinstance(dtype, T.StringType):
         return f"try_cast(`{column}` AS DATE)"
     trimmed = f"trim(`{column}`)"
-    return f"(CASE WHEN {trimmed} RLIKE r'{ISO_DATE}' THEN try_cast({trimmed} AS DATE) END)"
+    return f"(CASE WHEN {trimmed} RLIKE r'{ISO_DATE}' THEN try_cast(substring_index(substring_index({trimmed}, 'T', 1), ' ', 1) AS DATE) END)"
 
 
 def redact(text: Column) -> Column:

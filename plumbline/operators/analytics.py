@@ -20,6 +20,9 @@ from plumbline.model import (
 )
 from plumbline.operators.rollup import RUN, root_cause
 
+# What tells a check from all others of its run.
+CHECK = ("table_name", "check_id", "check_name")
+
 FLAGGED = (FAIL, WARN, IMPACTED)
 
 # Section order of a report and labels of the detection layers.
@@ -34,9 +37,13 @@ def _position():
 
 
 def failed_checks(results: DataFrame) -> DataFrame:
-    """Flagged checks of each run, the first of each check id."""
+    """Flagged checks of each run, each once.
+
+    The short id is for display: its table and column are cut, so it can stand for several
+    checks. Table, id and name together tell a check from all others.
+    """
     flagged = results.filter(F.col("status").isin(*FLAGGED)).withColumn("position", _position())
-    first = Window.partitionBy(*RUN, "check_id").orderBy("position")
+    first = Window.partitionBy(*RUN, *CHECK).orderBy("position")
     ranked = flagged.withColumn("_rank", F.row_number().over(first))
     return ranked.filter(F.col("_rank") == 1).drop("_rank")
 
@@ -46,11 +53,11 @@ def hard_failures(results: DataFrame) -> DataFrame:
     return results.filter(F.col("status").isin(FAIL, IMPACTED))
 
 
-def top_failures(results: DataFrame, n: int = 12) -> DataFrame:
-    """The first n failed checks of each run, in report order."""
+def top_failures(results: DataFrame, n: int | None = 12) -> DataFrame:
+    """The first n failed checks of each run, in report order; None means all."""
     order = Window.partitionBy(*RUN).orderBy("position")
     ranked = failed_checks(results).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= n)
+    return ranked if n is None else ranked.filter(F.col("rank") <= n)
 
 
 def caught_by(detection_layer: str = "detection_layer", check_id: str = "check_id") -> str:
@@ -74,8 +81,9 @@ def evidence_for_check(results: DataFrame) -> DataFrame:
     """Evidence SQL of every failed check: its own, else that of the root cause."""
     failed = failed_checks(results)
     cause = root_cause(results).select(*RUN, F.inline("evidence"))
-    cause = cause.select(
-        *RUN, "check_id", F.col("evidence_query").alias("_sql"), F.col("detail").alias("_detail")
+    # The first entry of an id, as a cause carries no table.
+    cause = cause.groupBy(*RUN, "check_id").agg(
+        F.first("evidence_query").alias("_sql"), F.first("detail").alias("_detail")
     )
     own = F.nullif(F.col("evidence_query"), F.lit(""))
     return (
@@ -119,15 +127,12 @@ def flagged_checks(
     dimension: str | None = None,
     check_id_prefix: str | None = None,
 ) -> DataFrame:
-    """Flagged detection results, optionally narrowed down."""
-    out = results.filter(
-        F.col("detected_status").isin(*FLAGGED) & F.col("detection_layer").isNotNull()
-    )
-    if detection_layer:
-        out = out.filter(F.col("detection_layer") == detection_layer)
-    if dimension:
-        out = out.filter(F.col("dimension") == dimension)
-    if check_id_prefix:
-        out = out.filter(F.col("check_id").startswith(check_id_prefix))
-    return out
-
+    """Flagged detection results that agree with everything that is asked for."""
+    asked = {
+        "detected_status IN ('" + "', '".join(FLAGGED) + "')": True,
+        "detection_layer IS NOT NULL": True,
+        f"detection_layer = {text(detection_layer)}": detection_layer,
+        f"dimension = {text(dimension)}": dimension,
+        f"startswith(check_id, {text(check_id_prefix)})": check_id_prefix,
+    }
+    return results.where(" AND ".join(f"({condition})" for condition, given in asked.items() if given))

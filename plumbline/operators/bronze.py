@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from plumbline.functions.sql import (
     between,
     case,
@@ -22,6 +24,7 @@ from plumbline.functions.stats import tolerance_band
 from plumbline.model import BRONZE, FAIL, PASS, WARN
 from plumbline.operators.check import Check, Rule, run_checks
 from plumbline.plans.metrics import MetricSheet
+from plumbline.specs import quoted
 
 # Ids and names of the Bronze catalogue.
 NAMES = {
@@ -62,15 +65,15 @@ def null_report(sheet: MetricSheet, table: str, columns: tuple[str, ...]) -> tup
     if not present:
         return text("{}"), text("{}"), "0"
     counts = {c: sheet.number(table, f"null_{c}") for c in present}
-    zeros = text("{" + ",".join(f'"{c}":0' for c in counts) + "}")
-    label = f"{table}_{len(columns)}_nulls"
+    zeros = text(json.dumps(dict.fromkeys(counts, 0), separators=(",", ":"), ensure_ascii=False))
+    label = f"{table}_nulls_of_{'_'.join(present)}"
     observed = sheet.derive(f"{label}_json", json_object(**counts))
     return observed, zeros, sheet.derive(label, total(list(counts.values())))
 
 
 def null_sql(sheet: MetricSheet, table: str, columns: tuple[str, ...]) -> str:
     present = [c for c in columns if c in sheet.columns(table)]
-    where = " OR ".join(f"{c} IS NULL" for c in present) or "FALSE"
+    where = " OR ".join(f"{quoted(c)} IS NULL" for c in present) or "FALSE"
     return f"SELECT COUNT(*) FROM {table} WHERE {where}"
 
 

@@ -17,8 +17,6 @@ from plumbline.specs import PipelineSpec
 
 # Rows are first ranked by one of this many hash buckets.
 BUCKETS = 256
-# Row keys to blank are broadcast only up to this many.
-MAX_BROADCAST_ROWS = 100_000
 
 
 def shuffle_bucket(columns: Sequence[str], seed: int = 42) -> Column:
@@ -125,15 +123,10 @@ def inject_scale_quantity(
 def inject_null_keys(
     df: DataFrame, order: Sequence[str], n: int = 5, column: str = "invoice_no"
 ) -> DataFrame:
-    """Blank the key of the first n rows; ``order`` must identify a row.
-
-    The picked row keys are broadcast while n is small.
-    """
+    """Blank the key of the first n rows; ``order`` must identify a row."""
     picked = _first(df, order, n).select(*[F.col(c).alias(f"_p_{c}") for c in order])
     picked = picked.withColumn("_hit", F.lit(True))
     same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(picked[f"_p_{c}"]) for c in order])
-    if n <= MAX_BROADCAST_ROWS:
-        picked = F.broadcast(picked)
     joined = df.join(picked, same, "left")
     blanked = F.when(F.col("_hit").isNull(), df[column]).alias(column)
     return joined.select(*[blanked if c == column else df[c] for c in df.columns])

@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 from plumbline.specs import PipelineSpec
 
-# Candidate hashes are broadcast only below this count (8 bytes each).
-MAX_BROADCAST_KEYS = 1_000_000
-
 
 def _zero(column: Column) -> Column:
     return F.coalesce(column, F.lit(0)).cast("long")
@@ -90,22 +87,14 @@ def full_row_duplicates_two_pass(
 
     Pass one groups 64-bit row hashes. Rows whose hash is unique are certainly
     unique, so pass two compares whole rows of repeated hashes only; a hash collision
-    can therefore not change the result. The repeated hashes are broadcast when pass
-    one has counted fewer than ``MAX_BROADCAST_KEYS`` of them; otherwise whole rows
-    are grouped directly.
+    can therefore not change the result. Text that compares by a collation is left out of
+    the hash: equal rows then always have equal hashes.
     """
     rows = _comparable(df)
-    hashed = rows.withColumn("_h", F.xxhash64(*rows.columns))
+    plain = [f.name for f in rows.schema.fields if "collate" not in f.dataType.simpleString().lower()]
+    hashed = rows.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in plain]) if plain else F.lit(0))
     repeated = key_counts(hashed, ["_h"], by).filter(F.col("copies") > 1)
-    repeated = repeated.select("_h").distinct()
-    found = repeated.count()
-    if found > MAX_BROADCAST_KEYS:
-        return duplicate_excess(rows, rows.columns, by, name)
-    suspects = hashed
-    if found:
-        suspects = hashed.join(F.broadcast(repeated), "_h", "left_semi")
-    else:
-        suspects = hashed.filter(F.lit(False))
+    suspects = hashed.join(repeated.select("_h").distinct(), "_h", "left_semi")
     excess = duplicate_excess(suspects.drop("_h"), rows.columns, by, name)
     if not by:
         return excess
@@ -123,13 +112,15 @@ def fk_orphans(
 ) -> DataFrame:
     """Child rows whose non-null reference matches no row of ``ref``.
 
-    The child is first reduced to a count per referenced value, so the anti join sees
+    A reference table that carries the group columns is matched within the group; one that
+    does not serves all groups. The child is first reduced to a count per referenced value, so the anti join sees
     each value once per group and a popular value costs no more than a rare one.
     """
     counts = key_counts(child.filter(F.col(column).isNotNull()), [column], by)
     # Groups without any reference still report zero.
-    known = ref.select(F.col(ref_column).alias(column)).filter(F.col(column).isNotNull())
-    orphans = counts.join(known.distinct(), column, "left_anti")
+    within = [c for c in by if c in ref.columns]
+    known = ref.select(*within, F.col(ref_column).alias(column)).filter(F.col(column).isNotNull())
+    orphans = counts.join(known.distinct(), [*within, column], "left_anti")
     total = orphans.groupBy(*by).agg(_zero(F.sum("copies")).alias(name))
     if not by:
         return total

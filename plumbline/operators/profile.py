@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.values import as_date
-from plumbline.specs import PipelineSpec, RangeRule, TableSpec
+from plumbline.specs import PipelineSpec, RangeRule, TableSpec, quoted
 
 ROWS = "count(1)"
 
@@ -32,9 +32,17 @@ def null_counts(df: DataFrame, columns: Iterable[str]) -> dict[str, str]:
     return {f"null_{c}": f"count_if(`{c}` IS NULL)" for c in columns if c in df.columns}
 
 
+def range_name(rules: Iterable[RangeRule], rule: RangeRule) -> str:
+    """Metric of a rule; further rules on the same column are numbered."""
+    same = [r for r in rules if r.active and r.column == rule.column]
+    place = same.index(rule) + 1
+    return f"range_{rule.column}" + (f" #{place}" if place > 1 else "")
+
+
 def range_violations(df: DataFrame, rules: Iterable[RangeRule]) -> dict[str, str]:
+    rules = tuple(rules)
     return {
-        f"range_{r.column}": f"count_if({r.sql()})"
+        range_name(rules, r): f"count_if({r.sql()})"
         for r in rules
         if r.active and r.column in df.columns
     }
@@ -68,7 +76,7 @@ def rule_metrics(df: DataFrame, spec: TableSpec) -> dict[str, str]:
 
 def bronze_metrics(spec: PipelineSpec) -> dict[str, str]:
     """Catalogue metrics of Bronze: signs, validity, segments, expected revenue."""
-    quantity, price, valid = spec.quantity, spec.price, spec.valid_row()
+    quantity, price, valid = quoted(spec.quantity), quoted(spec.price), spec.valid_row()
     value = f"CAST({quantity} AS DOUBLE) * CAST({price} AS DOUBLE)"
     return {
         "negative_quantity": f"count_if({quantity} < 0)",
@@ -86,14 +94,14 @@ def silver_metrics(df: DataFrame, spec: PipelineSpec) -> dict[str, str]:
     out: dict[str, str] = {}
     if spec.quantity in df.columns:
         high = f"coalesce({spec.high_segment}, false)"
-        out["nonpositive_quantity"] = f"count_if({spec.quantity} <= 0)"
+        out["nonpositive_quantity"] = f"count_if({quoted(spec.quantity)} <= 0)"
         out["high_rows"] = f"count_if({high})"
         out["low_rows"] = f"count_if(NOT {high})"
     if spec.price in df.columns:
-        out["nonpositive_price"] = f"count_if({spec.price} <= 0)"
+        out["nonpositive_price"] = f"count_if({quoted(spec.price)} <= 0)"
     if spec.revenue in df.columns:
-        out["negative_revenue"] = f"count_if({spec.revenue} < 0)"
-        out["revenue"] = f"sum(CAST({spec.revenue} AS DOUBLE))"
+        out["negative_revenue"] = f"count_if({quoted(spec.revenue)} < 0)"
+        out["revenue"] = f"sum(CAST({quoted(spec.revenue)} AS DOUBLE))"
     return out
 
 

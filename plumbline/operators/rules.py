@@ -6,6 +6,7 @@ import datetime as dt
 from functools import partial
 
 from plumbline.functions.sql import case, concat, grouped, json_number, json_object, json_string, pass_or, text
+from plumbline.functions.values import as_date
 from plumbline.model import (
     COMPLETENESS,
     CONSISTENCY,
@@ -19,8 +20,9 @@ from plumbline.model import (
 )
 from plumbline.operators.bronze import amount, duplicate_sql, null_report, null_sql
 from plumbline.operators.check import Check, Rule, run_checks, skipped
+from plumbline.operators.profile import range_name
 from plumbline.plans.metrics import MetricSheet, fk_state
-from plumbline.specs import TableSpec
+from plumbline.specs import RangeRule, TableSpec, quoted
 
 
 def _check(table: TableSpec, suffix: str, name: str, dimension: str, **fields) -> Check:
@@ -87,11 +89,17 @@ def _source_count(table: TableSpec, sheet: MetricSheet) -> Check | None:
     )
 
 
+def _range_name(table: TableSpec, rule: RangeRule) -> str:
+    """The column, and the bounds where a column has several rules."""
+    same = [r for r in table.ranges if r.active and r.column == rule.column]
+    return f"Range Check: {rule.column}" + (f" ({rule.key})" if len(same) > 1 else "")
+
+
 def _ranges(table: TableSpec, sheet: MetricSheet) -> list[Check]:
     return [
         _count_check(
-            table, f"VAL-{rule.column[:4].upper()}", f"Range Check: {rule.column}", VALIDITY,
-            sheet.number(table.name, f"range_{rule.column}"),
+            table, f"VAL-{rule.column[:4].upper()}", _range_name(table, rule), VALIDITY,
+            sheet.number(table.name, range_name(table.ranges, rule)),
             f"Every {rule.column} is in range.", f" rows have {rule.column} out of range.",
             f"SELECT COUNT(*) FROM {table.name} WHERE {rule.sql()}",
             extra={"column": text(rule.column)},
@@ -101,13 +109,18 @@ def _ranges(table: TableSpec, sheet: MetricSheet) -> list[Check]:
     ]
 
 
+def _parsed(table: TableSpec, column: str, sheet: MetricSheet) -> str:
+    """The very expression that the date metrics parse a column with."""
+    return as_date(column, sheet.layers[table.name].schema[column].dataType)
+
+
 def _dates(table: TableSpec, sheet: MetricSheet) -> list[Check]:
     return [
         _count_check(
             table, "VAL-DATE", f"Date Parse Validity: {column}", VALIDITY,
             sheet.number(table.name, f"unparsed_{column}"),
             f"Every {column} is a date.", f" rows have a {column} that is no date.",
-            f"SELECT COUNT(*) FROM {table.name} WHERE {column} IS NOT NULL AND TRY_CAST({column} AS DATE) IS NULL",
+            f"SELECT COUNT(*) FROM {table.name} WHERE {quoted(column)} IS NOT NULL AND {_parsed(table, column, sheet)} IS NULL",
             extra={"column": text(column)},
         )
         for column in table.date_columns
@@ -152,12 +165,12 @@ def _foreign_keys(table: TableSpec, sheet: MetricSheet) -> list[Check]:
         out.append(
             _count_check(
                 table, f"CONS-FK-{tag}", name, CONSISTENCY,
-                sheet.number(f"{table.name}_fk_{fk.column}", "orphans"),
+                sheet.number(fk.frame(table.name), "orphans"),
                 "Every reference has a target.",
                 f" rows point to a missing {fk.ref_table}.{fk.ref_column}"
                 " (swaps between existing keys are not visible here).",
-                f"SELECT COUNT(*) FROM {table.name} c WHERE c.{fk.column} IS NOT NULL AND NOT EXISTS "
-                f"(SELECT 1 FROM {fk.ref_table} r WHERE r.{fk.ref_column} = c.{fk.column})",
+                f"SELECT COUNT(*) FROM {table.name} c WHERE c.{quoted(fk.column)} IS NOT NULL AND NOT EXISTS "
+                f"(SELECT 1 FROM {fk.ref_table} r WHERE r.{quoted(fk.ref_column)} = c.{quoted(fk.column)})",
             )
         )
     return out
@@ -215,8 +228,8 @@ def _freshness(table: TableSpec, sheet: MetricSheet, run_date: dt.date) -> Check
         expected=json_string(goal),
         value=f"datediff({today}, {latest})",
         evidence=(
-            f"SELECT MAX(TRY_CAST({column} AS DATE)) AS max_d, {today} AS run_date "
-            f"FROM {table.name} WHERE {column} IS NOT NULL"
+            f"SELECT MAX({_parsed(table, column, sheet)}) AS max_d, {today} AS run_date "
+            f"FROM {table.name} WHERE {quoted(column)} IS NOT NULL"
         ),
         extra={"column": text(column)},
     )
@@ -245,7 +258,7 @@ def _span(table: TableSpec, sheet: MetricSheet) -> list[Check]:
                 ),
                 value=days,
                 evidence=(
-                    f"SELECT MIN(TRY_CAST({column} AS DATE)), MAX(TRY_CAST({column} AS DATE)) FROM {table.name}"
+                    f"SELECT MIN({_parsed(table, column, sheet)}), MAX({_parsed(table, column, sheet)}) FROM {table.name}"
                 ),
                 extra={"column": text(column)},
             )

@@ -23,9 +23,6 @@ from plumbline.specs import PipelineSpec, TableSpec
 
 log = logging.getLogger("plumbline.metrics")
 
-# Tables from this size on count full-row duplicates from row hashes first.
-TWO_PASS_BYTES = 64 * 2**30
-
 # Metrics scored against run history: fixed values, in report order.
 HISTORY_METRICS = ("bronze_count", "silver_count", "drop_pct", "gold_revenue")
 
@@ -90,6 +87,9 @@ class MetricSheet:
 
     def derive(self, name: str, sql: str) -> str:
         """Name an intermediate result, so that checks repeat a column, not its SQL."""
+        known = self.derived.get(f"_{name}", sql)
+        if known != sql:
+            raise ValueError(f"intermediate result '{name}' is already defined otherwise")
         self.derived[f"_{name}"] = sql
         return f"`_{name}`"
 
@@ -175,12 +175,11 @@ def collect_metrics(
     layers: Mapping[str, DataFrame],
     spec: PipelineSpec,
     pipeline: str = DEFAULT_PIPELINE,
-    two_pass_rows: bool | None = False,
+    two_pass_rows: bool = False,
 ) -> MetricSheet:
     """Plan all metric frames that the given tables allow.
 
-    Starts no job, unless ``two_pass_rows`` asks for the hash-first count of full-row
-    duplicates; None asks for it where a table is estimated to be large.
+    Starts no job. ``two_pass_rows`` asks for the hash-first count of full-row duplicates.
     """
     grouped = any(PIPELINE in df.columns for df in layers.values())
     by: tuple[str, ...] = (PIPELINE,) if grouped else ()
@@ -229,16 +228,13 @@ def _key_builders(
     spec: PipelineSpec,
     by: Sequence[str],
     twin_of: Mapping[str, str],
-    two_pass_rows: bool | None,
+    two_pass_rows: bool,
 ) -> dict[str, Callable[[], DataFrame]]:
     """The aggregations that shuffle on keys."""
     out: dict[str, Callable[[], DataFrame]] = {}
 
     def row_duplicates(df: DataFrame, by: Sequence[str]) -> DataFrame:
-        narrow = two_pass_rows
-        if narrow is None:
-            narrow = _estimated_bytes(df) >= TWO_PASS_BYTES
-        count = keys.full_row_duplicates_two_pass if narrow else keys.full_row_duplicates
+        count = keys.full_row_duplicates_two_pass if two_pass_rows else keys.full_row_duplicates
         return count(df, by)
 
     bronze, silver = layers.get(spec.bronze), layers.get(spec.silver)
@@ -262,7 +258,7 @@ def _key_builders(
             out[f"{table.name}_row"] = lambda d=df: row_duplicates(d, by)
         for fk in table.foreign_keys:
             if fk_state(layers, table.name, fk) is None:
-                out[f"{table.name}_fk_{fk.column}"] = lambda d=df, f=fk: keys.fk_orphans(
+                out[fk.frame(table.name)] = lambda d=df, f=fk: keys.fk_orphans(
                     d, f.column, layers[f.ref_table], f.ref_column, by
                 )
 
@@ -289,14 +285,6 @@ def _key_builders(
     return out
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate, for a table scan the size of its files.
-
-    It only chooses between two ways of computing the same number.
-    """
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def fk_state(layers: Mapping[str, DataFrame], table: str, fk) -> str | None:
     """Why a foreign key cannot be checked, or None."""
     if not fk.ref_table:

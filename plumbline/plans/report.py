@@ -46,8 +46,8 @@ def _check_json(status: str, detail: str) -> Column:
         "check_name",
         "layer",
         F.col(status).alias("status"),
-        F.parse_json("observed").alias("observed"),
-        F.parse_json("expected").alias("expected"),
+        F.try_parse_json("observed").alias("observed"),
+        F.try_parse_json("expected").alias("expected"),
         F.col(detail).alias("detail"),
         "evidence_query",
         typed.alias("extra"),

@@ -141,8 +141,11 @@ def business_impact(
     picked = [f"{spec.bronze}__expected_revenue", f"{spec.gold}__total_revenue"]
     frames = [f for f in sheet.frames.values() if set(picked) & set(f.columns)]
     slim = replace(sheet, frames=dict(enumerate(frames)), derived={})
-    amounts = [f"{sql} AS {n}" for n, sql in impact_columns(*picked).items()]
-    return slim.wide().selectExpr(PIPELINE, *amounts, "'AVAILABLE' AS status")
+    # A Gold table without a row says nothing, whatever its columns are.
+    held = f"coalesce({spec.gold}__rows, 0) > 0"
+    amounts = [f"CASE WHEN {held} THEN {sql} END AS {n}" for n, sql in impact_columns(*picked).items()]
+    state = f"CASE WHEN {held} THEN 'AVAILABLE' ELSE 'NOT_AVAILABLE' END AS status"
+    return slim.wide().selectExpr(PIPELINE, *amounts, state)
 
 
 @dataclass
@@ -178,13 +181,12 @@ def validate(
     run_date: dt.date | None = None,
     pipeline: str = DEFAULT_PIPELINE,
     extra_rules: Sequence[Rule] = (),
-    two_pass_rows: bool | None = None,
+    two_pass_rows: bool = False,
 ) -> ValidationRun:
     """Run every check and return the run.
 
-    Full-row duplicates of large tables are counted from row hashes first, so that
-    whole rows are shuffled only where a hash repeats; ``two_pass_rows`` forces either
-    way.
+    With ``two_pass_rows``, full-row duplicates are counted from row hashes first, so that
+    whole rows are shuffled only where a hash repeats; the count is the same.
 
     The metric sheet is computed once, in one job, and checkpointed. If an input makes
     that job fail, the frames are tried one by one, the failing ones are left out and

@@ -11,6 +11,17 @@ from dataclasses import dataclass, field
 from plumbline.model import BRONZE, GOLD, SILVER
 
 
+def quoted(column: str) -> str:
+    """A column name as SQL text, in backticks where it is no plain word."""
+    plain = column.isidentifier() and column.isascii()
+    return column if plain else "`" + column.replace("`", "``") + "`"
+
+
+def bound(value: float) -> str:
+    """A bound as exact SQL text: whole numbers as such, others as doubles with all their digits."""
+    return str(int(value)) if float(value).is_integer() and abs(value) < 1e15 else f"{float(value)!r}D"
+
+
 @dataclass(frozen=True)
 class RangeRule:
     """Lower (and optionally upper) bound of a column. NULL never violates it."""
@@ -28,11 +39,18 @@ class RangeRule:
         """Condition of an offending row."""
         parts = []
         if self.min is not None:
-            parts.append(f"{self.column} {'<=' if self.strict_min else '<'} {self.min:g}")
+            parts.append(f"{quoted(self.column)} {'<=' if self.strict_min else '<'} {bound(self.min)}")
         if self.max is not None:
-            parts.append(f"{self.column} > {self.max:g}")
+            parts.append(f"{quoted(self.column)} > {bound(self.max)}")
         return " OR ".join(parts)
 
+    @property
+    def key(self) -> str:
+        """Tells the rule from others on the same column."""
+        low = "" if self.min is None else f"{'>' if self.strict_min else '>='} {bound(self.min)}"
+        high = "" if self.max is None else f"<= {bound(self.max)}"
+        return " and ".join(p for p in (low, high) if p)
+
 
 @dataclass(frozen=True)
 class ForeignKey:
@@ -40,6 +58,10 @@ class ForeignKey:
     ref_table: str | None = None
     ref_column: str | None = None
 
+    def frame(self, table: str) -> str:
+        """Name of the metric frame that counts this key's orphans."""
+        return f"{table}_fk_{self.column}_{self.ref_table}_{self.ref_column}"
+
 
 @dataclass(frozen=True)
 class TableSpec:
@@ -223,16 +245,16 @@ class PipelineSpec:
 
     def valid_row(self) -> str:
         """SQL text: a business-valid row that must survive into Silver (keys present)."""
-        return f"{self.sellable_row()} AND {self.document} IS NOT NULL AND {self.item} IS NOT NULL"
+        return f"{self.sellable_row()} AND {quoted(self.document)} IS NOT NULL AND {quoted(self.item)} IS NOT NULL"
 
     def sellable_row(self) -> str:
         """SQL text: the looser predicate of expected revenue, without key conditions."""
-        return f"{self.quantity} > 0 AND {self.price} > 0"
+        return f"{quoted(self.quantity)} > 0 AND {quoted(self.price)} > 0"
 
     @property
     def high_segment(self) -> str:
-        return f"{self.quantity} > {self.segment_quantity}"
+        return f"{quoted(self.quantity)} > {self.segment_quantity}"
 
     @property
     def low_segment(self) -> str:
-        return f"{self.quantity} <= {self.segment_quantity}"
+        return f"{quoted(self.quantity)} <= {self.segment_quantity}"

@@ -70,10 +70,10 @@ def test_full_row_duplicates_agree(pair):
     assert keys.full_row_duplicates_two_pass(b).head()[0] == expected
 
 
-def test_two_pass_falls_back_when_too_many_rows_repeat(pair, monkeypatch):
-    bronze, _, b, _ = pair
-    monkeypatch.setattr(keys, "MAX_BROADCAST_KEYS", 0)
-    assert keys.full_row_duplicates_two_pass(b).head()[0] == len(bronze) - len(set(bronze))
+def test_two_pass_agrees_on_collated_text(spark):
+    rows = spark.sql("SELECT a COLLATE UTF8_LCASE AS a, n FROM VALUES ('a', 1), ('A', 1), ('b', 2) AS t(a, n)")
+    assert keys.full_row_duplicates(rows).head()[0] == 1
+    assert keys.full_row_duplicates_two_pass(rows).head()[0] == 1
 
 
 def test_two_pass_without_duplicates(spark):

@@ -155,13 +155,10 @@ def test_report_without_impact(spark):
         report_dict(report_documents(results, impact), "other")
 
 
-def test_large_tables_count_row_duplicates_from_hashes(spark, monkeypatch):
-    from plumbline.plans import metrics
-
+def test_row_duplicates_counted_from_hashes_on_request(spark):
     layers = healthy(spark, 30)
     layers["bronze_orders"] = layers["bronze_orders"].unionByName(orders(spark, 4))
-    monkeypatch.setattr(metrics, "TWO_PASS_BYTES", 0)
-    rows = by_id(validate(layers, run_date=GOLDEN_DATE).results)
+    rows = by_id(validate(layers, run_date=GOLDEN_DATE, two_pass_rows=True).results)
     assert rows["L1-BRO-UNIQ-FULL"]["observed_value"] == 4
     assert rows["L1-SIL-UNIQ-FULL"]["observed_value"] == 0
 
