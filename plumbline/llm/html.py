@@ -5,8 +5,10 @@ below its parent's style node. Over the pages that have a node, its presentation
 its children) and its content (its text) have an entropy: menus, notices and footers look and read
 the same on every page, so theirs is low. A branch in which no node is important is cut from every
 page of the host. What an element says about itself is prior knowledge: ``nav``, ``form``, class
-``ad`` and the like have no importance, and what lies inside ``article`` or ``main`` is the author's
-and is not cut for being repeated, so copies of an article keep their text.
+``ad`` and the like have no importance. ``article`` and ``main`` are worth PRIOR_PAGES pages of
+evidence: that what lies inside is important, and that what stands beside one is not. A branch inside
+goes only if the articles differ where it does not, so copies of an article keep their text, and a
+title is as important as its article.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from plumbline.llm.common import landed, pieces
 
 #: Pages of a host that must have a node before it can be found unimportant, and the least importance.
 LEAST_PAGES, LEAST_IMPORTANCE = 5, 0.2
+#: Pages of evidence that an article or main element counts for.
+PRIOR_PAGES = 10
+#: Where a node stands: on a page without an article, beside one, or inside one.
+ALONE, BESIDE, INSIDE = range(3)
 
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,6 +76,8 @@ class Element:
     path: int  # the style node
     silent: bool  # an element whose text is never the author's, or inside one
     inside: bool  # of an article or main element
+    article: Element | None  # the outermost such element
+    title: bool  # an h1, or inside one
     styles: list  # child styles, for the statistics
     words: list  # own text, for the statistics
     up: tuple  # style nodes above
@@ -105,7 +113,7 @@ def walk(page: str) -> Iterator[tuple[str, Element, str]]:
     End tags that HTML lets authors leave out are added, those without a start are skipped, and an
     unfinished last tag ends the page.
     """
-    root = Element("", 0, False, False, [], [], ())
+    root = Element("", 0, False, False, None, False, [], [], ())
     stack = [root]
 
     def close(n: int) -> Iterator[tuple[str, Element, str]]:
@@ -115,11 +123,13 @@ def walk(page: str) -> Iterator[tuple[str, Element, str]]:
     def opened(tag: str, known: dict[str, str]) -> Element:
         top = stack[-1]
         style = f"{tag}.{known.get('class', '')}"
-        path = xxhash.xxh3_64_intdigest(style, seed=top.path) >> 1
+        path = xxhash.xxh3_64_intdigest(style, seed=top.path) >> 3
         top.styles.append(style)
         inside = top.inside or tag in ("article", "main") or known.get("role") == "main"
         silent = top.silent or says_noise(tag, known, top.inside)
-        return Element(tag, path, silent, inside and not silent, [], [], (*top.up, top.path))
+        new = Element(tag, path, silent, inside and not silent, None, top.title or tag == "h1", [], [], (*top.up, top.path))
+        new.article = top.article or (new if new.inside else None)
+        return new
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -167,13 +177,28 @@ def walk(page: str) -> Iterator[tuple[str, Element, str]]:
     yield from close(1)
 
 
-def main_text(page: str, cut: frozenset[int] = frozenset()) -> str:
-    """The text of a page's article, or without one of all that neither its names nor ``cut`` exclude."""
+def mark(path: int, place: int) -> int:
+    """A style node at a place (ALONE, BESIDE or INSIDE) as one number."""
+    return path << 2 | place
+
+
+def has_article(events: list[tuple[str, Element, str]]) -> bool:
+    return any(kind == "open" and e.inside for kind, e, _ in events)
+
+
+def main_text(page: str, told: frozenset[int] = frozenset()) -> str:
+    """The text of all branches of a page that its names leave and that are important.
+
+    ``told`` holds the marks for which the host's pages tell against the prior: nodes to cut on pages
+    without an article and inside articles, and nodes to keep beside one. An article of which nothing
+    would be left stays whole.
+    """
     events = list(walk(page))
-    only = any(kind == "open" and e.inside for kind, e, _ in events)
+    outside = BESIDE if has_article(events) else ALONE
     blocks: list[str] = []
     pieces_: list[str] = []
     closed = 0  # open elements that are cut
+    lost = left = False  # text of an article
 
     def flush():
         text = " ".join(references.unescape("".join(pieces_)).split())
@@ -183,30 +208,44 @@ def main_text(page: str, cut: frozenset[int] = frozenset()) -> str:
 
     for kind, e, text in events:
         if kind == "text":
-            if not e.silent and (e.inside if only else not closed):
-                pieces_.append(text)
+            if not e.silent:
+                stays = not closed and (e.inside or outside == ALONE or mark(e.path, BESIDE) in told)
+                if stays:
+                    pieces_.append(text)
+                if e.inside and not text.isspace():
+                    lost, left = lost or not stays, left or stays
         elif kind == "break":
             pieces_.append(text)
         else:
             if e.tag in BLOCKS:
                 flush()
-            if not e.inside and e.path in cut:
+            if (e.inside or outside == ALONE) and mark(e.path, INSIDE if e.inside else ALONE) in told:
                 closed += 1 if kind == "open" else -1
     flush()
+    if lost and not left:
+        return main_text(page, frozenset(m for m in told if m & 3 != INSIDE))
     return "\n".join(blocks)
 
 
-def style_counts(page: str) -> Iterator[tuple[int, tuple, int, int]]:
-    """(style node, nodes above, hash of its child styles, hash of its text) outside the article."""
-    for kind, e, text in walk(page):
+def style_counts(page: str) -> Iterator[tuple[int, int, int, tuple, int, int]]:
+    """(style node, place, node of its article, nodes above, hash of its child styles, hash of its text).
+
+    The text of an outermost article is all that is inside it; a title has 0 as the node of its article.
+    """
+    events = list(walk(page))
+    outside = BESIDE if has_article(events) else ALONE
+    for kind, e, text in events:
         if kind == "text":
-            if not e.inside:
-                e.words.append(text)
-        elif kind == "close" and not e.inside:
+            e.words.append(text)
+            if e.inside and e.article is not e:
+                e.article.words.append(text)
+        elif kind == "close":
             # A style that comes many times in a row is one.
             runs = [s for i, s in enumerate(e.styles) if not i or e.styles[i - 1] != s]
             words = " ".join("".join(e.words).split())
-            yield e.path, e.up, xxhash.xxh3_64_intdigest("\n".join(runs)) >> 1, xxhash.xxh3_64_intdigest(words) >> 1 if words else 0
+            place, article = (INSIDE, 0 if e.title else e.article.path) if e.inside else (outside, 0)
+            content = xxhash.xxh3_64_intdigest(words) >> 1 if words else 0
+            yield e.path, place, article, e.up, xxhash.xxh3_64_intdigest("\n".join(runs)) >> 1, content
 
 
 def host_of(url: str) -> F.Column:
@@ -214,44 +253,62 @@ def host_of(url: str) -> F.Column:
     return F.regexp_replace(found, r"^www\.", "")
 
 
-COUNTS = "host string, path long, up array<long>, kind int, value long, n long"
+COUNTS = "host string, path long, place int, article long, up array<long>, kind int, value long, n long"
 
 
-def unimportant_branches(pages: DataFrame) -> DataFrame:
-    """host and cut: the style nodes whose branch has no importance, of hosts that have any.
+def told_branches(pages: DataFrame) -> DataFrame:
+    """host and told: the marks by which the host's pages tell against the prior, of hosts that have any.
 
-    Importance of a node seen on m pages is the greater of the entropies (base m) of its presentation
-    and its content; a node on fewer than LEAST_PAGES pages is important. Counts are combined per
-    batch and before the shuffle, so a host with a third of all pages is no hot spot.
+    The importance measured of a node seen on m pages is the greater of the entropies (base m) of its
+    presentation and its content; on fewer than LEAST_PAGES pages nothing is told. Beside an article
+    only the content counts, and the prior weighs PRIOR_PAGES pages of importance 0; inside, of 1.
+    Counts are combined per batch and before the shuffle, so a host with a third of all pages is no
+    hot spot.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             counts: Counter = Counter()
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for path, up, style, words in style_counts(page or ""):
-                    counts[host, path, up, 0, style] += 1
-                    counts[host, path, up, 1, words] += 1
-            names = ["host", "path", "up", "kind", "value"]
-            columns = list(zip(*counts, strict=True)) if counts else [()] * 5
-            kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64()]
+                for path, place, article, up, style, words in style_counts(page or ""):
+                    counts[host, path, place, article, up, 0, style] += 1
+                    counts[host, path, place, article, up, 1, words] += 1
+            names = ["host", "path", "place", "article", "up", "kind", "value"]
+            columns = list(zip(*counts, strict=True)) if counts else [()] * 7
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64()]
             arrays = [pa.array(list(map(list, c)) if n == "up" else list(c), k) for n, c, k in zip(names, columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(counts.values()), pa.int64())], [*names, "n"])
 
-    counted = pages.select("host", "html").mapInArrow(run, COUNTS).groupBy("host", "path", "kind", "value")
-    values = counted.agg(F.sum("n").alias("n"), F.min("up").alias("up"))
-    kinds = values.groupBy("host", "path", "kind").agg(
-        F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), F.min("up").alias("up")
-    )
+    node = ["host", "path", "place"]
+    counted = pages.select("host", "html").mapInArrow(run, COUNTS).groupBy(*node, "kind", "value")
+    about = [F.min("up").alias("up"), F.min("article").alias("article")]
+    values = counted.agg(F.sum("n").alias("n"), *about)
+    kinds = values.groupBy(*node, "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"), *about)
     entropy = (F.log("m") - F.col("s") / F.col("m")) / F.log("m")
-    nodes = landed(
+    measured = landed(
         kinds.withColumn("e", F.when(F.col("m") < LEAST_PAGES, 1.0).otherwise(entropy))
-        .groupBy("host", "path")
-        .agg((F.max("e") >= LEAST_IMPORTANCE).alias("important"), F.min("up").alias("up")),
+        .groupBy(*node)
+        .agg(F.max("m").alias("m"), F.max("e").alias("e"), F.max(F.when(F.col("kind") == 1, F.col("e"))).alias("content"), *about),
         "style-nodes",
     )
-    needed = nodes.where("important").select("host", F.explode(F.concat(F.array("path"), "up")).alias("path")).distinct()
-    return nodes.join(needed, ["host", "path"], "left_anti").groupBy("host").agg(F.array_sort(F.collect_set("path")).alias("cut"))
+    # What an article repeats is only known to be no part of it if the articles differ.
+    differ = (
+        measured.where((F.col("place") == INSIDE) & (F.col("path") == F.col("article")) & (F.col("m") >= LEAST_PAGES))
+        .where(F.col("e") >= LEAST_IMPORTANCE)
+        .select("host", "article", F.lit(True).alias("differs"))
+    )
+    prior = F.col("m") / (F.col("m") + PRIOR_PAGES)
+    inside = (F.col("e") * prior + 1 - prior >= LEAST_IMPORTANCE) | F.col("differs").isNull()
+    beside = (F.col("m") >= LEAST_PAGES) & (F.col("content") * prior >= LEAST_IMPORTANCE)
+    important = (
+        F.when(F.col("place") == INSIDE, inside).when(F.col("place") == BESIDE, beside).otherwise(F.col("e") >= LEAST_IMPORTANCE)
+    )
+    nodes = landed(measured.join(differ, ["host", "article"], "left").withColumn("important", important), "importance")
+    needed = nodes.where("important").select("host", "place", F.explode(F.concat(F.array("path"), "up")).alias("path")).distinct()
+    cut = nodes.where(F.col("place") != BESIDE).join(needed, node, "left_anti")
+    told = cut.select(*node).union(nodes.where((F.col("place") == BESIDE) & F.col("important")).select(*node))
+    marks = F.shiftleft("path", 2).bitwiseOR(F.col("place").cast("long"))
+    return told.groupBy("host").agg(F.array_sort(F.collect_set(marks)).alias("told"))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -265,13 +322,13 @@ def extract_text(pages: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     ).withColumn("host", host_of("url"))
     # The list of a host is short, and the table of lists as a rule small; Spark decides how to join.
-    joined = read.join(landed(unimportant_branches(read), "branches"), "host", "left").select("page_id", "url", "html", "cut")
+    joined = read.join(landed(told_branches(read), "branches"), "host", "left").select("page_id", "url", "html", "told")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            cuts = batch.column(3).to_pylist()
-            texts = [main_text(h or "", frozenset(c or ())) for h, c in zip(batch.column(2).to_pylist(), cuts, strict=True)]
+            told = batch.column(3).to_pylist()
+            texts = [main_text(h or "", frozenset(t or ())) for h, t in zip(batch.column(2).to_pylist(), told, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema=schema)
 
     out = joined.mapInArrow(run, "page_id long, url string, text string")

@@ -260,6 +260,21 @@ def test_site_style_tree_cuts_what_all_pages_repeat(spark):
     assert html.extract_text(pages.where("false")).count() == 0
 
 
+def test_site_style_tree_decides_inside_and_beside_articles(spark):
+    """Articles that differ lose what they all repeat, but not their title; what differs beside them stays."""
+    tip = "<div class=tip>Read our letter</div>"
+    page = lambda i: f"<body><div class=lead>Lead {i}</div><div class=top>Top</div><article><h1>T</h1><p>body {i}</p>{tip}</article></body>"
+    rows = [(i, f"http://a.org/{i}", page(i)) for i in range(60)]
+    # Copies, beside some articles that differ and on few pages, are no evidence.
+    copy = f"<body><article><h1>T</h1><p>copy</p>{tip}</article></body>"
+    rows += [(100 + i, f"http://b.org/{i}", copy) for i in range(60)]
+    rows += [(200 + i, f"http://c.org/{i}", page(i)) for i in range(4)]
+    found = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == f"Lead {i}\nT\nbody {i}" for i in range(60))
+    assert {found[100 + i] for i in range(60)} == {"T\ncopy\nRead our letter"}
+    assert all(found[200 + i] == f"T\nbody {i}\nRead our letter" for i in range(4))
+
+
 # --- revisits
 
 
