@@ -35,18 +35,22 @@ def identity() -> Column:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays, once.
 
-    Documents without words stay, but for repeated rows. Rows that repeat an id are one document if
-    they are in one group, and so is judged by id.
+    A document is an id with a text: rows that repeat an id with another text are judged alone, and of
+    rows that repeat both one stays. Documents without words stay, but for repeated rows.
     """
-    docs = own_columns(docs).withColumn("_id", identity())
-    found = landed(near_duplicates(docs.select(F.col("_id").alias("doc_id"), "text")), "groups")
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    again = landed(found.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "again")
-    # Both are short lists of ids beside the texts: hashed, so that no text is sorted.
-    kept = docs.join(gone.hint("shuffle_hash"), "_id", "left_anti")
-    once = kept.join(again.hint("shuffle_hash"), "_id", "left_anti")
+    docs = own_columns(docs).withColumn("_id", identity()).withColumn("_hash", F.xxhash64("text"))
+    found = near_duplicates(docs.select(F.col("_id").alias("doc_id"), "text"), by_text=True)
+    found = landed(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "component"), "groups")
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("_id", "_hash")).alias("first"))
+    stays = first.select("first.*").union(found.where("component IS NULL").select("_id", "_hash")).distinct()
+    key = ["_id", "_hash"]
+    again = landed(found.groupBy(*key).count().where("count > 1").select(*key), "again")
+    # Lists of ids and hashes beside the texts: hashed, so that no text is sorted.
+    kept = docs.join(landed(stays, "stays").hint("shuffle_hash"), key, "left_semi")
+    once = kept
     if again.limit(1).count():
-        once = once.unionByName(kept.join(again, "_id", "left_semi").dropDuplicates(["_id"]))
+        once = kept.join(again.hint("shuffle_hash"), key, "left_anti")
+        once = once.unionByName(kept.join(again, key, "left_semi").dropDuplicates(key))
     return once.select(*COLUMNS)
 
 

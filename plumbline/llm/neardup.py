@@ -115,8 +115,8 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return ((a == b).mean(axis=1) - c) / (1 - c)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (shingles), class (hash of the set) and registers of every text."""
+def sketches(docs: DataFrame, text_hash: bool = False) -> DataFrame:
+    """doc_id, n (shingles), class (hash of the set) and registers of every text, and its own hash if asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -124,7 +124,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             sets = [shingles(t, hashes) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": batch.column(0),
+                    **{name: batch.column(name) for name in own},
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "class": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     "registers": pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
@@ -132,7 +132,10 @@ def sketches(docs: DataFrame) -> DataFrame:
             )
 
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return read.mapInArrow(run, "doc_id long, n long, class binary, registers binary")
+    own = ["doc_id"]
+    if text_hash:
+        own, read = [*own, "text_hash"], read.withColumn("text_hash", F.xxhash64("text"))
+    return read.mapInArrow(run, ", ".join(f"{name} long" for name in own) + ", n long, class binary, registers binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -291,15 +294,18 @@ def crossing(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return out.where("comp_a <> comp_b").select(pairs.columns)
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, by_text: bool = False) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept; ``by_text`` adds text_hash and component.
+
+    ``component`` numbers the components, which may share a component_id if ids repeat with other
+    texts; it is null for texts without shingles.
 
     Null, empty and blank texts have no shingles and are components of their own. Rows that repeat a
     text are in one component; rows that repeat an id with another text count as documents of their
     own under that id, and repeated rows each give a row. A null id is no candidate for the
     component's smallest one. Other columns are not read; an empty table gives none.
     """
-    rows = landed(sketches(docs), "sketches")
+    rows = landed(sketches(docs, by_text), "sketches")
     classes = landed(
         rows.where("n > 0")
         .groupBy("class")
@@ -353,12 +359,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     named = classes.join(comps, "node", "left").select("class", "rep", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(least, "comp").select("class", "component_id")
-    out = rows.select("doc_id", "n", "class").join(of_class, "class", "left")
+    of_class = named.join(least, "comp").select("class", "component_id", F.col("comp").alias("component"))
+    added = ["text_hash", "component"] if by_text else []
+    out = rows.select("doc_id", "n", "class", *added[:1]).join(of_class, "class", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
+        *added,
     )

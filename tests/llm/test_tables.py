@@ -345,5 +345,19 @@ def test_pipeline_cases(edge, none, spark):
         assert docs.count() <= rows.count()
 
 
+def test_pipeline_keeps_each_text_of_a_repeated_id(edge, spark):
+    """Judged by id and text, not by id alone: texts that differ don't go with one another."""
+    plain = lambda docs: docs.withColumn("source", F.lit(None).cast("string")).withColumn("n_chars", F.lit(None).cast("long"))
+    texts = lambda docs: sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, plain(docs), SF).collect())
+    english, german = EDGE[4][1], EDGE[6][1]
+    assert texts(edge.where("doc_id = 5 OR doc_id IS NULL AND text IS NOT NULL")) == [(5, german), (5, english)]
+    rows = [(3, english, "en"), (9, english, "en"), (9, german, "de"), (9, german, "de"), (9, "", "de"), (9, "", "de")]
+    assert texts(spark.createDataFrame(rows, edge.select("doc_id", "text", "lang").schema)) == [(3, english), (9, ""), (9, german)]
+    # Every text of the edge rows leaves one document; those without words leave one per id.
+    words = {r[1] for r in EDGE if r[1] and r[1].split()}
+    left = [r["text"] for r in corpus_pipeline.near_dedup(spark, plain(edge), SF).collect()]
+    assert sorted(t for t in left if t and t.split()) == sorted(words)
+
+
 def test_registry_has_all_ten():
     assert sorted(int(re.match("op([0-9]+)_", n)[1]) for n in REGISTRY) == list(range(1, 11))
