@@ -3,7 +3,8 @@
 A text's words are hashed, every run of ``GRAM`` words gets a hash, and of every ``WINDOW`` consecutive
 ones the least is selected, the rightmost of equal ones. So any ``GRAM + WINDOW - 1`` words that two
 texts share give them a common fingerprint, and each keeps the position it was selected at. Texts
-of few words are fingerprinted by their characters as well, in runs of ``CHAR_GRAM``.
+of few words are fingerprinted by their characters as well, in runs of ``CHAR_GRAM``; two texts are
+compared by their characters only if both are.
 
 A selected hash is one number: its upper 40 bits, and below them what is left of 2**24 - 1 when the
 position (modulo 2**24) is taken away. The least number is then the rightmost of the least hashes.
@@ -42,26 +43,37 @@ def winnowed(units: str, gram: int, window: int, seed: int) -> str:
     return let("h", hashes, f"if(size(h) = 0, array_repeat(0L, 0), {let('g', grams, chosen)})")
 
 
-def fingerprint(text: str) -> Column:
-    """The selected numbers of a text column: those of its words, and of its characters if it is short."""
+def units(text: str) -> Column:
+    """The selected numbers of a text column's words, and of its characters (null if it isn't short)."""
     words = f"filter(split({text}, '[\\\\x00-\\\\x20]+'), u -> u <> '')"
     by_word = winnowed("w", GRAM, WINDOW, 1)
     by_char = winnowed(f"filter(split({text}, ''), u -> u <> '')", CHAR_GRAM, CHAR_WINDOW, 2)
-    return F.expr(let("w", words, f"if(size(w) < {FEW_WORDS}, concat({by_word}, {by_char}), {by_word})"))
+    return F.expr(let("w", words, f"named_struct('words', {by_word}, 'chars', if(size(w) < {FEW_WORDS}, {by_char}, null))"))
+
+
+def whole(fp: str) -> str:
+    """SQL for all numbers of ``units``."""
+    return f"concat({fp}.words, coalesce({fp}.chars, array_repeat(0L, 0)))"
+
+
+def fingerprint(text: str) -> Column:
+    """The selected numbers of a text column: those of its words, and of its characters if it is short."""
+    return F.transform(F.array(units(text)), lambda fp: F.concat(fp["words"], F.coalesce(fp["chars"], F.expr("array_repeat(0L, 0)"))))[0]
 
 
 def written(fp: str) -> Column:
-    """A fingerprint as text: hash@position, comma-joined, by position."""
+    """The numbers of ``units`` as text: hash@position, comma-joined, by position."""
     return F.expr(
-        f"array_join(transform({fp}, x -> concat(lower(hex(shiftrightunsigned(x, 24))), '@', {PLACES}L - (x & {PLACES}L))), ',')"
+        f"array_join(transform({whole(fp)}, x -> concat(lower(hex(shiftrightunsigned(x, 24))), '@', {PLACES}L - (x & {PLACES}L))), ',')"
     )
 
 
 def likeness(a: str, b: str) -> Column:
-    """The share of common hashes among the distinct hashes of two fingerprints; 1 for two empty ones."""
+    """The share of common hashes among the distinct ones of the ``units`` both have; 1 for two empty ones."""
+    both = lambda x: f"if({a}.chars IS NULL OR {b}.chars IS NULL, {x}.words, {whole(x)})"
     hashes = lambda x: f"array_distinct(transform({x}, v -> shiftright(v, 24)))"
     share = "if(size(p) + size(q) = 0, 1D, size(array_intersect(p, q)) / (size(p) + size(q) - size(array_intersect(p, q))))"
-    return F.expr(let("p", hashes(a), let("q", hashes(b), f"cast({share} as double)")))
+    return F.expr(let("p", hashes(both(a)), let("q", hashes(both(b)), f"cast({share} as double)")))
 
 
 def buckets(rows: DataFrame) -> Column:
@@ -125,18 +137,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last third replaced by the start of the next document (descending id).
-    Null texts count as empty; an empty text has an empty fingerprint, and two empty ones are alike (1).
+    Likenesses are of the units that both texts have. Null texts count as empty; an empty text has an empty fingerprint, and two empty ones are alike (1).
     Every row gives a row, repeated ones too; a lone row is its own next. An empty table gives none;
     other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.withColumn("text_hash", F.xxhash64("text")).withColumn("fp", fingerprint("text"))
+    rows = texts.withColumn("text_hash", F.xxhash64("text")).withColumn("fp", units("text"))
     rows = with_next(rows, ["text", "fp"])
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.left("text", (F.col("n_chars") - third).cast("int")), F.left("next_text", third))
     rows = rows.select("doc_id", "n_chars", "fp", "next_fp", edited.alias("edited"))
-    rows = rows.withColumn("edited_fp", fingerprint("edited"))
+    rows = rows.withColumn("edited_fp", units("edited"))
     return rows.select(
         "doc_id",
         "n_chars",

@@ -213,6 +213,19 @@ def test_winnowing_guarantee_and_ties(spark):
         assert places == list(range(winnowing.WINDOW - 1, 60 - winnowing.GRAM + 1))
 
 
+def test_texts_on_either_side_of_few_words_are_alike(spark):
+    rng = random.Random(6)
+    docs = []
+    for i in range(0, 60, 2):
+        words = [f"w{rng.randint(0, 999)}" for _ in range(41)]
+        docs += [(i + 1, " ".join(words)), (i, " ".join(words[:39]))]
+    found = {r["doc_id"]: r for r in winnowing.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    hashes = lambda i: {x.split("@")[0] for x in found[i]["fingerprint"].split(",")}
+    likes = [found[i]["near_next"] for i in range(1, 60, 2)]
+    assert min(likes) > 0.4 and np.mean(likes) > 0.8
+    assert all(len(hashes(i)) > 3 * len(hashes(i + 1)) for i in range(0, 60, 2))
+
+
 def test_fingerprint_cases(edge, none):
     rows = winnowing.fingerprints(edge).collect()
     assert len(rows) == len(EDGE) and winnowing.fingerprints(none).count() == 0
