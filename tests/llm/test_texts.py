@@ -241,6 +241,36 @@ def test_rates_stay_nonnegative_and_least_squares(spark):
     assert np.allclose(rate, [2, 0], atol=1e-3)
 
 
+@pytest.mark.parametrize("tokens", [(900, 60, 30, 10), (989, 5, 5, 1), (400, 200, 399, 1)])
+def test_rates_reach_the_targets_with_rare_domains(spark, tokens):
+    """A domain of a thousandth of the tokens gets its share with the production rounds."""
+    known = [(n, [0.985 if k == i else 0.005 for k in range(4)]) for i, n in enumerate(tokens)]
+    target = np.array([0.4, 0.2, 0.2, 0.2])
+    gradients, step, reached = mixing.fitted(spark.createDataFrame(known, "tokens long, posterior array<double>"), target)
+    share, size = np.array([p for _, p in known]), np.array(tokens)
+    rate = mixing.rates(share, gradients, step)[0]
+    assert (rate >= 0).all() and np.allclose((size * rate) @ share / size.sum(), target, atol=mixing.NEAR)
+    assert np.allclose(reached, target, atol=mixing.NEAR)
+
+
+def test_unmet_targets_are_met_as_nearly_as_possible_and_reported(spark):
+    known = spark.createDataFrame([(10, [0.6, 0.4]), (10, [0.7, 0.3])], "tokens long, posterior array<double>")
+    model = subwords.Model(["a", "b"], np.zeros((1, 2)), np.zeros(2))
+    with pytest.warns(UserWarning, match="not met"):
+        found = mixing.fit_mixture(known, model, {"a": 0.1, "b": 0.9})
+    # Only documents of the first kind: r with the least (.6 r - .1)**2 + (.4 r - .9)**2.
+    r = (0.06 + 0.36) / (0.36 + 0.16)
+    assert np.allclose(found.reached, [0.6 * r, 0.4 * r], atol=1e-4)
+    assert np.allclose(found.rates(np.array([[0.6, 0.4], [0.7, 0.3]])), [2 * r, 0], atol=1e-3)
+
+
+def test_reached_shares_are_returned(edge):
+    rows = mixing.mixing_rates(edge, mixing.domain_model(edge), {"en": 0.5, "de": 0.5}).collect()
+    for domain, reached in rows[0]["reached"].items():
+        used = sum(r["rate"] * r["tokens"] * r["posterior"][domain] for r in rows) / sum(r["tokens"] for r in rows)
+        assert abs(used - reached) < 1e-6
+
+
 def test_mixing_cases(edge, none, spark):
     model = mixing.domain_model(edge)
     rows = mixing.mixing_rates(edge, model, {"en": 0.5, "de": 0.5}).collect()
