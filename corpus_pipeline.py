@@ -73,7 +73,10 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds to each document its language as predicted, its rate under the target weights, and copies."""
+    """Adds to each document its language as predicted, its rate under the target weights, and copies.
+
+    Every document comes out once; it is the reader who must use it ``copies`` times.
+    """
     docs = own_columns(docs)
     return with_rates(docs, domain_model(docs), TARGETS)
 
