@@ -2,9 +2,9 @@
 
 The training texts are indexed in segments, as search engines shard an index: a segment holds a few
 MB of texts, and for every term of the test set the ascending positions at which it occurs. The
-index is written to the shared folder, so no lost executor rebuilds it. Each block of the test
-set has an index of its own terms, for which all texts are read anew, and all blocks are in the driver. A test window is looked up from its rarest term: that list, shifted by the term's place in the
-window, is intersected with the shifted list of the next rarer term, and so on; what is left are the
+index is written to the shared folder, so no lost executor rebuilds it. Each block of the test set
+has an index of its own terms, for which all texts are read anew, and all blocks are in the driver. A
+test window is looked up from its rarest term: that list, shifted by the term's place in the window, is intersected with the shifted list of the next rarer term, and so on; what is left are the
 exact occurrences. A proximity match asks the same lists for every term of the window within
 ``reach`` words of the rarest one. Postings never leave their segment, so there is no shuffle and
 no hot term or document.
