@@ -210,7 +210,7 @@ def lookup(index: DataFrame, block: Block, reach: int) -> DataFrame:
 
 
 def test_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, str | None]]]:
-    """The test items by block; each block is read on its own and is of bounded size.
+    """The test items by block; each is of bounded size, but all are in the driver.
 
     A null item id is the id ``null``; items without words are left out.
     """
