@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.alignment import align_texts
 from plumbline.llm.common import table
 from plumbline.llm.decontamination import contamination
+from plumbline.llm.filter_audit import filter_audit
 from plumbline.llm.html import extract_text
 from plumbline.llm.language import identify_language
 from plumbline.llm.mixing import domain_model, mixing_rates
 from plumbline.llm.neardup import near_duplicates
+from plumbline.llm.packing import pack
 from plumbline.llm.pii import find_pii, pii_model
 from plumbline.llm.quality import quality_model, score_quality
 from plumbline.llm.revisits import resolve_revisits
@@ -18,14 +21,15 @@ from plumbline.llm.tagger import KINDS
 from plumbline.llm.tokens import token_counts
 from plumbline.llm.winnowing import fingerprints
 
-#: Name of the model file; its folder is that of the public tokenizer package.
+#: Names of the model files; their folder is that of the public tokenizer package.
 TOKEN_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 
-def token_model() -> str:
+def token_model(name: str = TOKEN_MODEL) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKEN_MODEL)
+    return public_tokenizers.path(name)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +153,18 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_texts(table(spark, sf_dir, "documents"), token_model(BYTE_MODEL), token_model())
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), token_model(BYTE_MODEL))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 REGISTRY = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
@@ -160,4 +176,7 @@ REGISTRY = {
     "op8_fingerprints": op8_fingerprints,
     "op9_main_text": op9_main_text,
     "op10_revisits": op10_revisits,
+    "op11_alignment": op11_alignment,
+    "op12_packing": op12_packing,
+    "op13_filter_audit": op13_filter_audit,
 }

@@ -372,5 +372,5 @@ def test_pipeline_keeps_each_text_of_a_repeated_id(edge, spark):
     assert sorted(t for t in left if t and t.split()) == sorted(words)
 
 
-def test_registry_has_all_ten():
-    assert sorted(int(re.match("op([0-9]+)_", n)[1]) for n in REGISTRY) == list(range(1, 11))
+def test_registry_has_all_thirteen():
+    assert sorted(int(re.match("op([0-9]+)_", n)[1]) for n in REGISTRY) == list(range(1, 14))
