@@ -28,7 +28,7 @@ MEMO_CHARS = 5_000_000
 #: Units longer than this are encoded anew each time.
 LONG_UNIT = 64
 #: So many unknown units are encoded as one text.
-TOGETHER = 500
+TOGETHER = 200
 IDS = np.dtype("<u4")
 
 #: A space with something other than white space on both sides.
@@ -52,13 +52,15 @@ class Memo:
             self.known, self.held = {}, 0
         known = self.known
         new = [u for u in set().union(*lists) if u not in known]
-        fresh = dict(zip(new, self.encode(new), strict=True)) if new else {}
-        kept = {u: ids for u, ids in fresh.items() if len(u) <= LONG_UNIT}
-        known.update(kept)
-        self.held += sum(map(len, kept))
-        if len(kept) == len(fresh):
-            return [b"".join(map(known.__getitem__, units)) for units in lists]
-        return [b"".join([known[u] if u in known else fresh[u] for u in units]) for units in lists]
+        if new:
+            known.update(zip(new, self.encode(new), strict=True))
+            self.held += sum(map(len, new))
+        found = [b"".join(map(known.__getitem__, units)) for units in lists]
+        for unit in new:
+            if len(unit) > LONG_UNIT:
+                del known[unit]
+                self.held -= len(unit)
+        return found
 
 
 def space_units(text: str) -> list[str]:
@@ -94,20 +96,23 @@ class BytePairs:
         return [packed(e.ids) for e in found]
 
     def _spaced(self, units: list[str]) -> list[bytes]:
-        """Units with the space before them. Those without white space at an end are encoded many at a
-        time, as one text, and its ids are cut where the bytes of a unit end."""
-        edges = [not u or u[0].isspace() or u[-1].isspace() for u in units]
-        alone = iter(self._whole([" " + u for u, e in zip(units, edges, strict=True) if e]))
-        inner = [" " + u for u, e in zip(units, edges, strict=True) if not e]
+        """Units with the space before them, many at a time as one text whose ids are cut where a unit ends.
+
+        Where white space at an end of a unit would change the cuts, each is encoded alone.
+        """
         found = []
-        for i in range(0, len(inner), TOGETHER):
-            part = inner[i : i + TOGETHER]
-            ids = np.array(self.model.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, IDS)
-            places = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(u.encode()) for u in part])) + 1
+        for i in range(0, len(units), TOGETHER):
+            part = units[i : i + TOGETHER]
+            line = " " + " ".join(part)
+            if UNEVEN.search(line) or line[-1].isspace():
+                found += self._whole([" " + u for u in part])
+                continue
+            ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, IDS)
+            sizes = list(map(len, part)) if line.isascii() else [len(u.encode()) for u in part]
+            places = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(np.array(sizes) + 1)) + 1
             places, run = [0, *(places * IDS.itemsize).tolist()], ids.tobytes()
             found += [run[a:b] for a, b in zip(places, places[1:], strict=False)]
-        whole = iter(found)
-        return [next(alone) if e else next(whole) for e in edges]
+        return found
 
     def ids(self, texts: list[str], spaced: bool = False) -> list[bytes]:
         """Packed ids of each text; ``spaced`` puts a space before each of them."""

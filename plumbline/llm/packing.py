@@ -42,7 +42,7 @@ PIVOTS = 20_000
 #: Sequences left with more room than this are packed anew.
 MOST_ROOM = 4
 #: Pieces of one length are ranked in buckets of about this many.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 1_000
 
 PIECE = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
