@@ -1,7 +1,8 @@
 """Fault injection: planted defects that the detection stack must notice.
 
-Each function takes and returns DataFrames. Rows are chosen by rank along an order
-key; no step sorts a whole table or collects a large group in one task.
+Each function takes and returns DataFrames. Where rows are chosen, ``selection`` finds out from
+counts which; it runs a few small jobs when the function is called, and neither sorts a table nor
+collects rows.
 """
 
 from __future__ import annotations
@@ -9,76 +10,31 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.model import PIPELINE
-from plumbline.specs import PipelineSpec
+from plumbline.operators.selection import Selection, by_columns, first_rows, hash_numbers
+from plumbline.specs import PipelineSpec, quoted
 
-# Rows are first ranked by one of this many hash buckets.
-BUCKETS = 256
 
+def inject_row_drop(df: DataFrame, fraction: float = 0.25, seed: int = 42) -> DataFrame:
+    """Keep exactly max(1, int(n * (1 - fraction))) rows, chosen pseudo-randomly by what they hold.
 
-def shuffle_bucket(columns: Sequence[str], seed: int = 42) -> Column:
-    """Pseudo-random bucket of a row, the same on every run."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(BUCKETS))
-
-
-def inject_row_drop(
-    df: DataFrame, fraction: float = 0.25, bucket: Column | None = None, seed: int = 42
-) -> DataFrame:
-    """Keep exactly max(1, int(n * (1 - fraction))) rows, chosen pseudo-randomly.
-
-    The counts of a fixed number of buckets decide which buckets stay whole and how
-    many rows the one boundary bucket keeps. Rows of that bucket are numbered per input
-    partition, whose counts give each partition its offset, so even a bucket made of
-    many copies of one row is numbered in pieces.
-
-    ``df`` should read a stored table: its input partitions are then the same each
-    time it is scanned, which the offsets rely on.
+    The same rows stay however they are spread over files and partitions. ``df`` should read a
+    stored table, which is scanned three times.
     """
-    bucket = shuffle_bucket(df.columns, seed) if bucket is None else bucket
-    tagged = df.withColumns({"_bucket": bucket, "_part": F.spark_partition_id()})
-
-    # At most BUCKETS rows, ranked and then broadcast.
-    in_order = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    keep = F.greatest(F.lit(1), F.floor(F.sum("_n").over(Window.partitionBy()) * F.lit(1 - fraction)))
-    before = F.coalesce(F.sum("_n").over(in_order), F.lit(0))
-    quota = (
-        tagged.groupBy("_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_bucket", "_n", F.least(F.greatest(keep - before, F.lit(0)), F.col("_n")).alias("_quota"))
-        .filter(F.col("_quota") > 0)
-    )
-    whole = quota.filter(F.col("_quota") == F.col("_n")).select("_bucket")
-    boundary = quota.filter(F.col("_quota") < F.col("_n")).select("_bucket", "_quota")
-
-    kept = tagged.join(F.broadcast(whole), "_bucket", "left_semi")
-    edge = tagged.join(F.broadcast(boundary), "_bucket")
-    # One row per input partition.
-    ahead = F.coalesce(
-        F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    offsets = (
-        edge.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", ahead.alias("_ahead"))
-    )
-    number = F.row_number().over(Window.partitionBy("_part").orderBy("_bucket"))
-    partly = (
-        edge.join(offsets, "_part")
-        .withColumn("_rank", number + F.col("_ahead"))
-        .filter(F.col("_rank") <= F.col("_quota"))
-    )
-    return kept.select(*df.columns).unionByName(partly.select(*df.columns))
+    return first_rows(df, None, hash_numbers(df, seed), share=1 - fraction).rows()
 
 
-def _first(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The first n rows: every task keeps n, the driver merges them."""
-    return df.orderBy(*order).limit(n)
+def _first(df: DataFrame, order: Sequence[str], n: int) -> Selection:
+    """The first n rows; rows that the order leaves equal are taken by their hash."""
+    return first_rows(df, n, by_columns(df, order))
 
 
 def inject_duplicates(df: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
     """Append a copy of the first n rows."""
-    return df.unionByName(_first(df, order, n))
+    return df.unionByName(_first(df, order, n).rows())
 
 
 def inject_orphans(
@@ -123,13 +79,11 @@ def inject_scale_quantity(
 def inject_null_keys(
     df: DataFrame, order: Sequence[str], n: int = 5, column: str = "invoice_no"
 ) -> DataFrame:
-    """Blank the key of the first n rows; ``order`` must identify a row."""
-    picked = _first(df, order, n).select(*[F.col(c).alias(f"_p_{c}") for c in order])
-    picked = picked.withColumn("_hit", F.lit(True))
-    same = reduce(lambda a, b: a & b, [df[c].eqNullSafe(picked[f"_p_{c}"]) for c in order])
-    joined = df.join(picked, same, "left")
-    blanked = F.when(F.col("_hit").isNull(), df[column]).alias(column)
-    return joined.select(*[blanked if c == column else df[c] for c in df.columns])
+    """Blank the key of the first n rows."""
+    picked = _first(df, order, n)
+    blank = F.lit(None).cast(df.schema[column].dataType).alias(column)
+    changed = picked.rows().select(*[blank if c == column else F.col(quoted(c)) for c in df.columns])
+    return picked.others().unionByName(changed)
 
 
 def stack(frames: Mapping[str, DataFrame]) -> DataFrame:
