@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.specs import ticked
+
 # The accepted date spelling and the redaction patterns.
 ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}([.]\d{1,9})?)?( ?(Z|[+-]\d{2}(:?\d{2})?))?)?$"
 SECRET_PATTERN = r"(?i)(password|pwd|secret|token|key)\s*=\s*[^\s]+"
@@ -20,8 +22,8 @@ def as_date(column: str, dtype: T.DataType) -> str:
     pattern guards it.
     """
     if not isinstance(dtype, T.StringType):
-        return f"try_cast(`{column}` AS DATE)"
-    trimmed = f"trim(`{column}`)"
+        return f"try_cast({ticked(column)} AS DATE)"
+    trimmed = f"trim({ticked(column)})"
     return f"(CASE WHEN {trimmed} RLIKE r'{ISO_DATE}' THEN try_cast(substring_index(substring_index({trimmed}, 'T', 1), ' ', 1) AS DATE) END)"
 
 

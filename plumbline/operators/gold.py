@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from plumbline.functions.sql import (
     between,
     case,
@@ -37,6 +39,17 @@ def no_gold_row(sheet: MetricSheet) -> str:
     return f"{sheet.number(sheet.spec.gold, 'rows')} = 0"
 
 
+def one_gold_row(sheet: MetricSheet, check: Check) -> Check:
+    """FAIL where Gold holds several rows: its values would be those of no row in particular."""
+    rows = sheet.number(sheet.spec.gold, "rows")
+    found = concat(text("Gold holds "), grouped(rows), text(" rows where one is expected; its values are ambiguous."))
+    return replace(
+        check,
+        status=case((f"{rows} > 1", text(FAIL)), otherwise=check.status),
+        detail=case((f"{rows} > 1", found), otherwise=check.detail),
+    )
+
+
 def gold_value(sheet: MetricSheet, name: str) -> str:
     sheet.need(sheet.spec.gold, name)
     return sheet.number(sheet.spec.gold, name)
@@ -84,7 +97,7 @@ def _g1(sheet: MetricSheet) -> Check:
         f"SELECT SUM({sheet.spec.revenue}) FROM {sheet.spec.silver}",
         extra={"revenue_rounding_tolerance": f"{tolerance}D"},
     )
-    return guarded(check, no_gold_row(sheet), EMPTY_GOLD)
+    return guarded(one_gold_row(sheet, check), no_gold_row(sheet), EMPTY_GOLD)
 
 
 def _count_check(check_id: str, gold_column: str, fresh, column: str, what: str):
@@ -102,7 +115,7 @@ def _count_check(check_id: str, gold_column: str, fresh, column: str, what: str)
             json_number(stored), json_number(expected), stored,
             f"SELECT COUNT(DISTINCT {getattr(sheet.spec, column)}) FROM {sheet.spec.silver}",
         )
-        return guarded(check, no_gold_row(sheet), EMPTY_GOLD)
+        return guarded(one_gold_row(sheet, check), no_gold_row(sheet), EMPTY_GOLD)
 
     return build
 
@@ -126,7 +139,7 @@ def _g4(sheet: MetricSheet) -> Check:
     )
     # Revenue without a value cannot be divided: the check has no answer then.
     unusable = f"({no_gold_row(sheet)}) OR ({fresh}) IS NULL"
-    return guarded(check, unusable, "Gold revenue is NULL or the Gold table holds no row")
+    return guarded(one_gold_row(sheet, check), unusable, "Gold revenue is NULL or the Gold table holds no row")
 
 
 def revenue_status(
@@ -154,7 +167,7 @@ def _g5(upstream: str):
         history = learned(sheet, "gold_revenue")
         if not history:
             check = Check("G5", NAMES["G5"], GOLD, text(WARN), unknown, json_number(gold), no_baseline, gold, sql)
-            return guarded(check, no_gold_row(sheet), EMPTY_GOLD)
+            return guarded(one_gold_row(sheet, check), no_gold_row(sheet), EMPTY_GOLD)
         mean, std, usable = history
         low, _ = tolerance_band(mean, std, spec.thresholds.sigma_pass)
         status = revenue_status(gold, gap, mean, std, upstream, spec)
@@ -181,7 +194,7 @@ def _g5(upstream: str):
                 "gold_math_correct": f"{gap} <= {spec.thresholds.revenue_tolerance}D",
             },
         )
-        return guarded(check, no_gold_row(sheet), EMPTY_GOLD)
+        return guarded(one_gold_row(sheet, check), no_gold_row(sheet), EMPTY_GOLD)
 
     return build
 

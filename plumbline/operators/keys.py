@@ -13,8 +13,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.specs import PipelineSpec
+from plumbline.specs import PipelineSpec, ticked
 
 
 def _zero(column: Column) -> Column:
@@ -23,9 +24,8 @@ def _zero(column: Column) -> Column:
 
 def key_counts(df: DataFrame, key: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Rows per key; NULL keys form one group."""
-    return df.groupBy(*by, *[k for k in key if k not in by]).agg(
-        F.count(F.lit(1)).alias("copies")
-    )
+    names = [*by, *[k for k in key if k not in by]]
+    return df.groupBy(*[F.col(ticked(n)) for n in names]).agg(F.count(F.lit(1)).alias("copies"))
 
 
 def duplicate_excess(
@@ -57,19 +57,41 @@ def distinct_count(
     return (
         key_counts(df, [column], by)
         .groupBy(*by)
-        .agg(F.count(F.col(column)).alias(name))
+        .agg(F.count(F.col(ticked(column))).alias(name))
     )
 
 
+def _groupable(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _groupable(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return all(_groupable(f.dataType) for f in dtype.fields)
+    return not isinstance(dtype, T.MapType | T.VariantType)
+
+
+def _canonical(value: Column, dtype: T.DataType) -> Column:
+    """A value that can be grouped and is equal where the original means the same.
+
+    A map becomes its entries by ascending key, a VARIANT its JSON text, in arrays and structs too.
+    """
+    if _groupable(dtype):
+        return value
+    if isinstance(dtype, T.MapType):
+        entry = lambda e: F.struct(
+            _canonical(e["key"], dtype.keyType).alias("key"), _canonical(e["value"], dtype.valueType).alias("value")
+        )
+        return F.array_sort(F.transform(F.map_entries(value), entry))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda e: _canonical(e, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        fields = [_canonical(value.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return F.to_json(value)
+
+
 def _comparable(df: DataFrame) -> DataFrame:
-    """Maps cannot be grouped; their sorted entries can, and mean the same."""
-    maps = {f.name for f in df.schema.fields if f.dataType.typeName() == "map"}
-    return df.select(
-        *[
-            F.array_sort(F.map_entries(c)).alias(c) if c in maps else F.col(c)
-            for c in df.columns
-        ]
-    )
+    """The rows with every column in a form that can be grouped."""
+    return df.select(*[_canonical(F.col(ticked(f.name)), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def full_row_duplicates(
@@ -92,7 +114,7 @@ def full_row_duplicates_two_pass(
     """
     rows = _comparable(df)
     plain = [f.name for f in rows.schema.fields if "collate" not in f.dataType.simpleString().lower()]
-    hashed = rows.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in plain]) if plain else F.lit(0))
+    hashed = rows.withColumn("_h", F.xxhash64(*[F.col(ticked(c)) for c in plain]) if plain else F.lit(0))
     repeated = key_counts(hashed, ["_h"], by).filter(F.col("copies") > 1)
     suspects = hashed.join(repeated.select("_h").distinct(), "_h", "left_semi")
     excess = duplicate_excess(suspects.drop("_h"), rows.columns, by, name)
@@ -116,10 +138,10 @@ def fk_orphans(
     does not serves all groups. The child is first reduced to a count per referenced value, so the anti join sees
     each value once per group and a popular value costs no more than a rare one.
     """
-    counts = key_counts(child.filter(F.col(column).isNotNull()), [column], by)
+    counts = key_counts(child.filter(F.col(ticked(column)).isNotNull()), [column], by)
     # Groups without any reference still report zero.
     within = [c for c in by if c in ref.columns]
-    known = ref.select(*within, F.col(ref_column).alias(column)).filter(F.col(column).isNotNull())
+    known = ref.select(*within, F.col(ticked(ref_column)).alias(column)).filter(F.col(ticked(column)).isNotNull())
     orphans = counts.join(known.distinct(), [*within, column], "left_anti")
     total = orphans.groupBy(*by).agg(_zero(F.sum("copies")).alias(name))
     if not by:

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.values import as_date
-from plumbline.specs import PipelineSpec, RangeRule, TableSpec, quoted
+from plumbline.specs import PipelineSpec, RangeRule, TableSpec, quoted, ticked
 
 ROWS = "count(1)"
 
 
 def profile(df: DataFrame, metrics: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
     """One row per group with every metric."""
-    return df.groupBy(*by).agg(*[F.expr(f"{sql} AS `{name}`") for name, sql in metrics.items()])
+    return df.groupBy(*by).agg(*[F.expr(f"{sql} AS {ticked(name)}") for name, sql in metrics.items()])
 
 
 def row_count() -> dict[str, str]:
@@ -29,7 +29,7 @@ def row_count() -> dict[str, str]:
 
 def null_counts(df: DataFrame, columns: Iterable[str]) -> dict[str, str]:
     """NULLs per column; columns the table lacks are left out."""
-    return {f"null_{c}": f"count_if(`{c}` IS NULL)" for c in columns if c in df.columns}
+    return {f"null_{c}": f"count_if({ticked(c)} IS NULL)" for c in columns if c in df.columns}
 
 
 def range_name(rules: Iterable[RangeRule], rule: RangeRule) -> str:
@@ -55,7 +55,7 @@ def date_metrics(df: DataFrame, columns: Iterable[str]) -> dict[str, str]:
         if name not in df.columns:
             continue
         parsed = as_date(name, df.schema[name].dataType)
-        out[f"unparsed_{name}"] = f"count_if(`{name}` IS NOT NULL AND {parsed} IS NULL)"
+        out[f"unparsed_{name}"] = f"count_if({ticked(name)} IS NOT NULL AND {parsed} IS NULL)"
         out[f"min_{name}"] = f"min({parsed})"
         out[f"max_{name}"] = f"max({parsed})"
     return out

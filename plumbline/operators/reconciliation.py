@@ -9,6 +9,7 @@ from plumbline.operators.gold import (
     EMPTY_GOLD,
     gold_value,
     no_gold_row,
+    one_gold_row,
     revenue_gap,
     silver_customers,
     silver_documents,
@@ -97,7 +98,7 @@ def _revenue(sheet: MetricSheet) -> Check:
         ACCURACY, RECONCILIATION, spec.gold,
         extra={"revenue_rounding_tolerance": f"{tolerance}D"},
     )
-    return guarded(check, no_gold_row(sheet), EMPTY_GOLD)
+    return guarded(one_gold_row(sheet, check), no_gold_row(sheet), EMPTY_GOLD)
 
 
 def mismatched_fields(
@@ -143,7 +144,7 @@ def _aggregates(sheet: MetricSheet) -> Check:
     )
     # Unlike the revenue check, a missing sum has no meaning here.
     unusable = " OR ".join(f"{v} IS NULL" for v in (fresh, *stored))
-    return guarded(check, unusable, "Silver or Gold has no value to compare")
+    return guarded(one_gold_row(sheet, check), unusable, "Silver or Gold has no value to compare")
 
 
 def run_reconciliation_layer(sheet: MetricSheet) -> list[Check]:

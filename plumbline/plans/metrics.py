@@ -19,7 +19,9 @@ from plumbline.functions.stats import series_profile, unpivot_history
 from plumbline.functions.text import sanitize_reason
 from plumbline.model import DEFAULT_PIPELINE, PIPELINE
 from plumbline.operators import keys, profile
-from plumbline.specs import PipelineSpec, TableSpec
+from plumbline.operators.isolation import isolate, outcomes
+from plumbline.plans.lineage import cut_lineage
+from plumbline.specs import PipelineSpec, TableSpec, ticked
 
 log = logging.getLogger("plumbline.metrics")
 
@@ -49,6 +51,8 @@ class MetricSheet:
     fused: dict[str, tuple[DataFrame, dict[str, str]]] = field(default_factory=dict)
     # Intermediate columns shared by checks, in dependency order: name -> SQL text.
     derived: dict[str, str] = field(default_factory=dict)
+    # Frames of tables without the group column: their one row holds for every pipeline.
+    shared: set[str] = field(default_factory=set)
     # Frame or qualified metric -> reason it could not be computed.
     failures: dict[str, str] = field(default_factory=dict)
 
@@ -78,12 +82,12 @@ class MetricSheet:
             if reason is None and source in self._roles() and source not in self.layers:
                 reason = f"table '{source}' not present"
             raise MissingInput(reason or f"metric '{name}' of '{source}' not available")
-        return f"`{self._qualified(source, name)}`"
+        return ticked(self._qualified(source, name))
 
     def number(self, source: str, name: str) -> str:
         """SQL text of a count or sum; groups without rows read as zero."""
         metric = self.metric(source, name)
-        return self.derive(metric.strip("`"), f"coalesce({metric}, 0)")
+        return self.derive(self._qualified(source, name), f"coalesce({metric}, 0)")
 
     def derive(self, name: str, sql: str) -> str:
         """Name an intermediate result, so that checks repeat a column, not its SQL."""
@@ -91,7 +95,7 @@ class MetricSheet:
         if known != sql:
             raise ValueError(f"intermediate result '{name}' is already defined otherwise")
         self.derived[f"_{name}"] = sql
-        return f"`_{name}`"
+        return ticked(f"_{name}")
 
     def _roles(self) -> set[str]:
         s = self.spec
@@ -102,73 +106,82 @@ class MetricSheet:
 
     def wide(self) -> DataFrame:
         """The folded sheet and its derived columns. Each metric has exactly one frame."""
-        stacked = reduce(
-            lambda a, b: a.unionByName(b, allowMissingColumns=True), self.frames.values()
-        )
-        names = [c for c in stacked.columns if c != PIPELINE]
-        folded = stacked.groupBy(PIPELINE).agg(*[F.expr(f"max(`{c}`) AS `{c}`") for c in names])
+        own = [frame for name, frame in self.frames.items() if name not in self.shared]
+        general = [frame for name, frame in self.frames.items() if name in self.shared]
+        if not general:
+            folded = self._folded(own, PIPELINE)
+        elif not own:
+            folded = self._folded(general).withColumn(PIPELINE, F.lit(self.pipeline))
+        else:
+            # One row, which holds for every pipeline.
+            folded = self._folded(own, PIPELINE).join(F.broadcast(self._folded(general)), F.lit(True))
         if not self.derived:
             return folded
-        return folded.selectExpr("*", *[f"{sql} AS `{n}`" for n, sql in self.derived.items()])
+        return folded.selectExpr("*", *[f"{sql} AS {ticked(n)}" for n, sql in self.derived.items()])
+
+    @staticmethod
+    def _folded(frames: Sequence[DataFrame], *by: str) -> DataFrame:
+        stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+        names = [c for c in stacked.columns if c not in by]
+        return stacked.groupBy(*by).agg(*[F.expr(f"max({ticked(c)}) AS {ticked(c)}") for c in names])
+
+    def scope(self, *tables: DataFrame) -> tuple[str, ...]:
+        """How a frame of these tables is grouped: a table without the group column serves all groups."""
+        return tuple(c for c in self.by if all(c in df.columns for df in tables))
 
     def add(self, name: str, build: Callable[[], DataFrame]) -> None:
         """Plan a frame; if it cannot be resolved its checks become SKIPPED."""
         try:
             frame = build()
+            if not set(self.by) <= set(frame.columns):
+                self.shared.add(name)
             prefix = "" if name in self.fused else f"{name}__"
             frame = frame.withColumnsRenamed(
                 {c: prefix + c for c in frame.columns if c not in self.by}
             )
-            if not self.by:
-                frame = frame.withColumn(PIPELINE, F.lit(self.pipeline))
-            self.frames[name] = frame
+            self.frames[name] = self._tagged(frame)
         except Exception as error:  # isolation boundary of one frame
             self.failures[name] = sanitize_reason(error)
             log.warning("metrics of %s not planned: %s", name, self.failures[name])
             if name in self.fused:
-                self._split(name)
+                self._narrow(name, lambda df: df)
+
+    def _tagged(self, frame: DataFrame) -> DataFrame:
+        return frame if self.by else frame.withColumn(PIPELINE, F.lit(self.pipeline))
+
+    def _profiled(self, df: DataFrame, metrics: Mapping[str, str]) -> DataFrame:
+        return self._tagged(profile.profile(df, metrics, self.scope(df)))
 
     def probe(self) -> None:
-        """Run every frame alone; leave out those that fail and remember why."""
-        for name in list(self.frames):
-            error = _failure(self.frames[name])
+        """Run the frames side by side and keep what finishes.
+
+        Of a fused profile that fails, halving finds the metrics at fault; the reasons stay known.
+        """
+        names = list(self.frames)
+        tried = outcomes(lambda one: cut_lineage(self.frames[one["frame"]]), [{"frame": n} for n in names])
+        for name, (done, error) in zip(names, tried, strict=True):
             if error is None:
+                self.frames[name] = done
                 continue
             self.failures[name] = error
             log.warning("metrics of %s left out: %s", name, error)
             del self.frames[name]
             if name in self.fused:
-                self._split(name)
-
-    def _split(self, name: str) -> None:
-        """Fall back from a fused profile to its metrics that work on their own."""
-        df, metrics = self.fused[name]
-        good: dict[str, str] = {}
-        for metric, expr in metrics.items():
-            try:
-                error = _failure(profile.profile(df, {metric: expr}, self.by))
-            except Exception as unresolved:
-                error = sanitize_reason(unresolved)
-            if error is None:
-                good[metric] = expr
-                continue
-            self.failures[metric] = error
-            if expr == profile.ROWS:
-                # The table itself cannot be read: no point in trying the rest.
-                self.failures.update(dict.fromkeys(metrics, error))
-                break
-        del self.fused[name]
-        if good:
-            self.fused[name] = (df, good)
-            self.add(name, lambda: profile.profile(df, good, self.by))
-
-
-def _failure(frame: DataFrame) -> str | None:
-    try:
-        frame.write.format("noop").mode("overwrite").save()
-    except Exception as error:  # one bad input must not stop the others
-        return sanitize_reason(error)
-    return None
+                self._narrow(name, cut_lineage)
+
+    def _narrow(self, name: str, run: Callable[[DataFrame], DataFrame]) -> None:
+        """Replace a fused profile that fails by the groups of its metrics that work."""
+        df, metrics = self.fused.pop(name)
+        basic = next((m for m, expr in metrics.items() if expr == profile.ROWS), None)
+        found = isolate(metrics, lambda part: run(self._profiled(df, part)), basic)
+        self.failures.update(found.failures)
+        for k, frame in enumerate(found.results):
+            part = f"{name}#{k}"
+            self.frames[part] = frame
+            if name in self.shared:
+                self.shared.add(part)
+            # What is only planned may still fail when it runs.
+            self.fused[part] = (df, {m: metrics[m] for m in frame.columns if m in metrics})
 
 
 def collect_metrics(
@@ -189,8 +202,8 @@ def collect_metrics(
     for name, metrics in _fused_metrics(layers, spec, twin_of).items():
         df = layers[name]
         sheet.fused[name] = (df, metrics)
-        sheet.add(name, lambda d=df, m=metrics: profile.profile(d, m, by))
-    for name, build in _key_builders(layers, spec, by, twin_of, two_pass_rows).items():
+        sheet.add(name, lambda d=df, m=metrics: profile.profile(d, m, sheet.scope(d)))
+    for name, build in _key_builders(sheet, twin_of, two_pass_rows).items():
         sheet.add(name, build)
     for table, twin in twin_of.items():
         if table != twin:
@@ -224,13 +237,10 @@ def _fused_metrics(
 
 
 def _key_builders(
-    layers: Mapping[str, DataFrame],
-    spec: PipelineSpec,
-    by: Sequence[str],
-    twin_of: Mapping[str, str],
-    two_pass_rows: bool,
+    sheet: MetricSheet, twin_of: Mapping[str, str], two_pass_rows: bool
 ) -> dict[str, Callable[[], DataFrame]]:
-    """The aggregations that shuffle on keys."""
+    """The aggregations that shuffle on keys, each grouped as far as its tables allow."""
+    layers, spec, scope = sheet.layers, sheet.spec, sheet.scope
     out: dict[str, Callable[[], DataFrame]] = {}
 
     def row_duplicates(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -252,36 +262,36 @@ def _key_builders(
         )
         if table.primary_key and not counted:
             out[f"{table.name}_pk"] = lambda d=df, k=table.primary_key: (
-                keys.duplicate_excess(d, k, by)
+                keys.duplicate_excess(d, k, scope(d))
             )
         if twin_of[table.name] == table.name:
-            out[f"{table.name}_row"] = lambda d=df: row_duplicates(d, by)
+            out[f"{table.name}_row"] = lambda d=df: row_duplicates(d, scope(d))
         for fk in table.foreign_keys:
             if fk_state(layers, table.name, fk) is None:
                 out[fk.frame(table.name)] = lambda d=df, f=fk: keys.fk_orphans(
-                    d, f.column, layers[f.ref_table], f.ref_column, by
+                    d, f.column, layers[f.ref_table], f.ref_column, scope(d)
                 )
 
     if census:
-        out["keys"] = lambda: keys.key_census(bronze, silver, spec, by)
+        out["keys"] = lambda: keys.key_census(bronze, silver, spec, scope(bronze, silver))
     elif bronze is not None:
         out["bronze_keys"] = lambda: keys.duplicate_excess(
-            bronze, spec.business_key, by, "bronze_key_excess"
+            bronze, spec.business_key, scope(bronze), "bronze_key_excess"
         )
     if silver is not None:
         out["customers"] = lambda: keys.distinct_count(
-            silver, spec.customer, by, "silver_customers"
+            silver, spec.customer, scope(silver), "silver_customers"
         )
         if not census:
             out["documents"] = lambda: keys.distinct_count(
-                silver, spec.document, by, "silver_documents"
+                silver, spec.document, scope(silver), "silver_documents"
             )
         if spec.gold_country in layers:
             out["country"] = lambda: keys.country_mismatches(
-                layers[spec.gold_country], silver, spec, by
+                layers[spec.gold_country], silver, spec, scope(silver, layers[spec.gold_country])
             )
     if spec.history in layers:
-        out["history"] = lambda: _history_profile(layers[spec.history], by)
+        out["history"] = lambda: _history_profile(layers[spec.history], scope(layers[spec.history]))
     return out
 
 

@@ -139,8 +139,8 @@ def business_impact(
         amounts = [f"CAST(NULL AS DOUBLE) AS {n}" for n in impact_columns("NULL", "NULL")]
         return replace(sheet, derived={}).wide().selectExpr(PIPELINE, *amounts, "'NOT_AVAILABLE' AS status")
     picked = [f"{spec.bronze}__expected_revenue", f"{spec.gold}__total_revenue"]
-    frames = [f for f in sheet.frames.values() if set(picked) & set(f.columns)]
-    slim = replace(sheet, frames=dict(enumerate(frames)), derived={})
+    frames = {name: f for name, f in sheet.frames.items() if set(picked) & set(f.columns)}
+    slim = replace(sheet, frames=frames, shared=sheet.shared & set(frames), derived={})
     # A Gold table without a row says nothing, whatever its columns are.
     held = f"coalesce({spec.gold}__rows, 0) > 0"
     amounts = [f"CASE WHEN {held} THEN {sql} END AS {n}" for n, sql in impact_columns(*picked).items()]
@@ -188,18 +188,14 @@ def validate(
     With ``two_pass_rows``, full-row duplicates are counted from row hashes first, so that
     whole rows are shuffled only where a hash repeats; the count is the same.
 
-    The metric sheet is computed once, in one job, and checkpointed. If an input makes
-    that job fail, the frames are tried one by one, the failing ones are left out and
-    their checks are reported as SKIPPED with the (redacted) reason.
+    The metric sheet is computed once, in one job, and checkpointed. A job that fails is run
+    once more, for it may have lost its executors. If an input makes it fail again, its frames
+    run side by side, those that finish are kept, and halving finds the metrics at fault: their
+    checks are reported as SKIPPED with the (redacted) reason.
     """
     run_date = run_date or dt.date.today()
     sheet = collect_metrics(layers, spec or PipelineSpec(), pipeline, two_pass_rows)
-    try:
-        sheet = _computed(sheet)
-    except Exception as error:  # whatever one input did, the others still count
-        log.warning("fused metrics failed (%s); trying them one by one", type(error).__name__)
-        sheet.probe()
-        sheet = _computed(sheet)
+    sheet = _settled(sheet)
     core = check_results(
         layers, run_id=run_id, run_date=run_date, extra_rules=extra_rules, sheet=sheet
     )
@@ -208,8 +204,19 @@ def validate(
     return ValidationRun(run_id, results, business_impact(layers, sheet=sheet))
 
 
+def _settled(sheet: MetricSheet) -> MetricSheet:
+    """The sheet computed as a whole, at the second attempt, or without what can't be computed."""
+    for again in (True, False):
+        try:
+            return _computed(sheet)
+        except Exception as error:  # whatever one input did, the others still count
+            log.warning("fused metrics failed (%s)%s", type(error).__name__, "; once more" if again else "; isolating")
+    sheet.probe()
+    return _computed(sheet)
+
+
 def _computed(sheet: MetricSheet) -> MetricSheet:
     """The same sheet backed by its checkpointed wide row."""
     wide = cut_lineage(sheet.wide())
-    return replace(sheet, frames={"sheet": wide}, fused={}, derived={})
+    return replace(sheet, frames={"sheet": wide}, fused={}, shared=set(), derived={})
 

@@ -7,6 +7,7 @@ expressions. Adding a table to the rule library means adding a ``TableSpec``.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from plumbline.model import BRONZE, GOLD, SILVER
 
@@ -17,8 +18,17 @@ def quoted(column: str) -> str:
     return column if plain else "`" + column.replace("`", "``") + "`"
 
 
-def bound(value: float) -> str:
-    """A bound as exact SQL text: whole numbers as such, others as doubles with all their digits."""
+def ticked(column: str) -> str:
+    """Any column name as SQL text, always in backticks."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def bound(value: float | Decimal) -> str:
+    """A bound as exact SQL text: whole numbers and decimals as such, others as doubles with all their digits."""
+    if isinstance(value, int) and not isinstance(value, bool):
+        return str(value)
+    if isinstance(value, Decimal) and value.is_finite():
+        return f"{value:f}BD"
     return str(int(value)) if float(value).is_integer() and abs(value) < 1e15 else f"{float(value)!r}D"
 
 
