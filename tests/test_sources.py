@@ -98,7 +98,27 @@ def test_store_round_trip(spark, tmp_path):
     assert json.loads(newest[0]["report"])["layer_status"]["silver"] == "FAIL"
     by_id = store.report_by_id(spark, reports, "r2")
     assert by_id.count() == 1 and store.report_by_id(spark, reports, "r9").count() == 0
-    assert "PartitionFilters: [isnotnull(run_id" in by_id._jdf.queryExecution().executedPlan().toString()
+    attempt = {r["attempt"] for r in store.published_runs(spark, reports).where("run_id = 'r2'").collect()}
+    assert len(attempt) == 1 and all(attempt.pop() in f for f in by_id.inputFiles() if "/data/" in f)
+
+
+def test_store_shows_only_what_is_published(spark, tmp_path):
+    """A write that breaks, a file that is no Parquet, a run written again with fewer pipelines."""
+    path = str(tmp_path / "store")
+    rows = lambda n, *names: spark.createDataFrame([("2026-07-01", p, n) for p in names], "run_id string, pipeline string, n int")
+    store.write_results(rows(1, "a", "b"), path)
+    broken = store.stage(rows(2, "a", "b", "c"), path)
+    assert [r["n"] for r in store.read_store(spark, path).collect()] == [1, 1]
+    (tmp_path / "store" / "data" / "attempt=a-broken").mkdir()
+    (tmp_path / "store" / "data" / "attempt=a-broken" / "part-0.parquet").write_bytes(b"no parquet")
+    store.write_results(rows(3, "a").withColumn("more", F.lit("x")), path)
+    assert [tuple(r)[:3] for r in store.read_store(spark, path).collect()] == [("2026-07-01", "a", 3)]
+    runs = store.published_runs(spark, path)
+    assert [(r["run_id"], r["pipeline"], r["rows"]) for r in runs.collect()] == [("2026-07-01", "a", 1)]
+    assert runs.inputFiles() and all("/manifests/" in f for f in runs.inputFiles())
+    store.publish(spark, path, broken)
+    assert store.latest_report(spark, path).count() == 3
+    assert store.report_by_id(spark, path, "other").columns == ["run_id", "pipeline", "n", "run_ts"]
 
 
 def test_report_as_text(spark, tmp_path):

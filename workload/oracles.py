@@ -757,7 +757,26 @@ JOIN impact USING (pipeline)"""
 _STORED = _GATE + ", stored AS (SELECT pipeline, run_id, bronze_count, silver_count FROM past)"
 ORACLES["latest_report"] = _STORED + """
 SELECT * FROM stored QUALIFY row_number() OVER (PARTITION BY pipeline ORDER BY run_id DESC) = 1"""
-ORACLES["report_by_id"] = _STORED + "SELECT * FROM stored WHERE run_id = '1998-03'"
+ORACLES["report_by_id"] = _STORED + """
+SELECT pipeline, run_id, bronze_count, silver_count + 1 AS silver_count FROM stored WHERE run_id = '1995-06'"""
+ORACLES["stored_runs"] = _STORED + """
+SELECT pipeline, run_id, CAST(1 AS BIGINT) AS stored_rows,
+  CASE WHEN run_id < '1997' THEN '2001-01-01' ELSE '2001-01-02' END AS stamped FROM stored"""
+ORACLES["stored_results"] = _STORED + """
+SELECT pipeline, left(run_id, 4) AS year, CAST(sum(bronze_count) AS BIGINT) AS bronze_count,
+  CAST(sum(silver_count + CASE WHEN run_id = '1995-06' THEN 1 ELSE 0 END) AS BIGINT) AS silver_count
+FROM stored GROUP BY 1, 2"""
+
+# --- isolation ------------------------------------------------------------------
+
+ORACLES["isolated_metrics"] = """
+WITH t AS (SELECT count(*)::DOUBLE AS n, sum(l_quantity) AS q, max(l_partkey)::DOUBLE AS p, max(l_discount) AS d,
+  sum(l_linenumber)::DOUBLE AS l FROM lineitem)
+SELECT * FROM (SELECT unnest(['rows', 'quantity', 'parts', 'discount', 'lines', 'flag', 'inverse']) AS metric,
+  unnest([n, q, p, d, l, NULL, NULL]) AS value FROM t)"""
+ORACLES["gold_reconcile_rows"] = _BASE + """
+SELECT pipeline, CAST(CASE WHEN orders % 2 = 1 THEN 0 ELSE 6 END AS BIGINT) AS passed,
+  CAST(CASE WHEN orders % 2 = 1 THEN 6 ELSE 0 END AS BIGINT) AS failed FROM fresh"""
 
 # --- fault injection ----------------------------------------------------------
 

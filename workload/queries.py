@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ from plumbline.functions.values import redact
 from plumbline.model import PIPELINE
 from plumbline.operators import analytics, faults, gate, keys, profile, rollup
 from plumbline.operators.gold import revenue_status
+from plumbline.operators.isolation import isolate
 from plumbline.operators.reconciliation import mismatched_fields
 from plumbline.operators.rules import freshness_status, span_status
 from plumbline.operators.silver import (
@@ -35,7 +38,7 @@ from plumbline.operators.silver import (
     window_status,
 )
 from plumbline.plans import report, run
-from plumbline.plans.lineage import new_folder
+from plumbline.plans.lineage import cut_lineage, new_folder
 from plumbline.plans.metrics import HISTORY_METRICS
 from plumbline.sources import layers as etl
 from plumbline.sources import results_store
@@ -556,14 +559,99 @@ def _stored_runs(spark, sf):
     return past.withColumn("run_ts", F.to_timestamp_ntz(F.concat("run_id", F.lit("-01"))))
 
 
+_stores: dict[tuple[str, str], str] = {}
+
+
+def _store(spark, sf):
+    """A store of the months as runs: two writes, a run written again, and a write that broke half-way."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _stores:
+        path = new_folder(spark, "store")
+        months = _stored_runs(spark, sf).drop("run_ts")
+        early = F.col("run_id") < "1997"
+        results_store.write_report(months.where(early), path, dt.datetime(2001, 1, 1))
+        results_store.write_report(months.where(~early), path, dt.datetime(2001, 1, 2))
+        again = months.where("run_id = '1995-06'").withColumn("silver_count", F.col("silver_count") + 1)
+        results_store.write_report(again, path, dt.datetime(2001, 1, 1))
+        results_store.stage(months.withColumn("bronze_count", F.lit(-1).cast("long")), path, dt.datetime(2001, 1, 3))
+        _stores[key] = path
+    return _stores[key]
+
+
 @query
 def latest_report(spark, sf):
-    return results_store.latest_rows(_stored_runs(spark, sf)).drop("run_ts")
+    return results_store.latest_report(spark, _store(spark, sf)).drop("run_ts")
 
 
 @query
 def report_by_id(spark, sf):
-    return _stored_runs(spark, sf).filter(F.col("run_id") == "1998-03").drop("run_ts")
+    """A run that was written twice; a run that is unknown adds nothing."""
+    path = _store(spark, sf)
+    found = results_store.report_by_id(spark, path, "1995-06")
+    return found.unionByName(results_store.report_by_id(spark, path, "1995-99")).drop("run_ts")
+
+
+@query
+def stored_runs(spark, sf):
+    """What the manifests say of the published runs."""
+    return results_store.published_runs(spark, _store(spark, sf)).select(
+        PIPELINE, "run_id", F.col("rows").alias("stored_rows"), F.date_format("run_ts", "yyyy-MM-dd").alias("stamped")
+    )
+
+
+@query
+def stored_results(spark, sf):
+    """All published rows, summed by year."""
+    year = F.left("run_id", F.lit(4)).alias("year")
+    return results_store.read_store(spark, _store(spark, sf)).groupBy(PIPELINE, year).agg(
+        F.sum("bronze_count").alias("bronze_count"), F.sum("silver_count").alias("silver_count")
+    )
+
+
+# --- isolation ------------------------------------------------------------------
+
+_METRICS = {
+    "rows": "count(1)",
+    "quantity": "sum(l_quantity)",
+    "parts": "CAST(max(l_partkey) AS DOUBLE)",
+    "flag": "sum(CAST(l_returnflag AS DOUBLE))",
+    "discount": "max(l_discount)",
+    "lines": "CAST(sum(l_linenumber) AS DOUBLE)",
+    "inverse": "sum(1 / (l_linenumber - 1))",
+}
+
+
+@query
+def isolated_metrics(spark, sf):
+    """Two of the metrics fail on some rows; halving keeps the values of all others."""
+    found = isolate(
+        _METRICS, lambda part: cut_lineage(profile.profile(table(spark, sf, "lineitem"), part)), "rows"
+    )
+    values = _fold_wide(found.results)
+    listed = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in _METRICS if m in values.columns]
+    failed = [F.struct(F.lit(m).alias("metric"), F.lit(None).cast("double").alias("value")) for m in found.failures]
+    return values.select(F.inline(F.array(*listed, *failed)))
+
+
+def _fold_wide(frames):
+    """One-row frames side by side."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
+@query
+def gold_reconcile_rows(spark, sf):
+    """Pipelines whose Gold holds a second row fail every reconciliation; the others pass."""
+    silver = layers(spark, sf)["silver_orders"]
+    gold = etl.build_gold_metrics(silver, SPEC)
+    second = gold.where("total_orders % 2 = 1").withColumns({"total_revenue": F.lit(0.5), "total_orders": F.lit(1).cast("long")})
+    folder = new_folder(spark, "gold-rows")
+    landed = etl.land_layers({"gold_metrics": gold.unionByName(second)}, folder)
+    found = run.check_results({"silver_orders": silver, **landed}, SPEC, run_date=RUN_DATE)
+    reconciled = F.col("check_id").rlike("^(G[1-4]$|L2-REC-(REV|AGG))")
+    return found.where(reconciled).groupBy(PIPELINE).agg(
+        F.count_if(F.col("status") == "PASS").alias("passed"), F.count_if(F.col("status") == "FAIL").alias("failed")
+    )
 
 
 # --- fault injection ----------------------------------------------------------
