@@ -748,7 +748,8 @@ SELECT pipeline,
       drop_pct, normal_drop_pct) END,
     CASE WHEN impact_cr > 0 THEN format('Gold revenue Rs {:.2f} Cr below expected', impact_cr) END,
     CASE WHEN dropped_rows > 0 THEN 'Finance Board Dashboard impacted' END) AS reasons,
-  severity, risk_level, 3 AS evidence_rows
+  severity, risk_level, 3 AS evidence_rows,
+  'Review the Silver transformation filter. The likely issue is that valid discounted orders are being excluded by the condition is_discounted == 0.' AS suggested_action
 FROM profile JOIN baseline USING (pipeline) JOIN anomaly USING (pipeline) JOIN cause USING (pipeline)
 JOIN impact USING (pipeline)"""
 
@@ -767,6 +768,61 @@ SELECT pipeline, left(run_id, 4) AS year, CAST(sum(bronze_count) AS BIGINT) AS b
   CAST(sum(silver_count + CASE WHEN run_id = '1995-06' THEN 1 ELSE 0 END) AS BIGINT) AS silver_count
 FROM stored GROUP BY 1, 2"""
 
+# --- sources ----------------------------------------------------------------------
+
+_CSV_LINES = """
+WITH t AS (SELECT l_partkey % 20 AS part, l_partkey % 40 = 2 AS nobody, CAST(l_quantity AS BIGINT) AS q FROM lineitem
+  JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+"""
+ORACLES["read_csv_quarantine"] = _CSV_LINES + """
+SELECT CASE WHEN part < 2 THEN 'not 8 well-formed fields' WHEN part > 2 THEN 'good'
+    WHEN nobody THEN 'quantity is no bigint; customer_id is no bigint' ELSE 'quantity is no bigint' END AS reason,
+  count(*) AS lines, CAST(sum(q) FILTER (part > 2) AS BIGINT) AS quantity, count(*) FILTER (part = 3) AS quoted
+FROM t GROUP BY 1"""
+ORACLES["quarantine_checks"] = _CSV_LINES + """
+SELECT 'B1' AS check_id, 'FAIL' AS status, count(*) AS lines, count(*) FILTER (part <= 2) AS bad_lines FROM t"""
+ORACLES["read_gate_files"] = _GATE + """
+SELECT 'bronze_orders' AS table_name, count(*) AS lines, count(*) FILTER (order_id % 10 = 0) AS bad_lines FROM bronze
+UNION ALL SELECT 'silver_orders_correct', count(*), count(*) FILTER (order_id % 10 = 0) FROM correct
+UNION ALL SELECT 'silver_orders_buggy', count(*), count(*) FILTER (order_id % 10 = 0) FROM buggy
+UNION ALL SELECT 'historical_runs', count(*), 0 FROM past"""
+ORACLES["frames_as_layers"] = """
+SELECT count(*) FILTER (n_regionkey = 0) AS orphans, (SELECT CAST(sum(r_regionkey) AS BIGINT) FROM region) AS codes FROM nation"""
+ORACLES["bronze_stop"] = _BASE + """
+SELECT pipeline, check_id, CASE WHEN check_id = 'B3' OR check_id = 'B1' AND n = even THEN 'PASS' ELSE 'FAIL' END AS status
+FROM (SELECT pipeline, count(*) AS n, count(*) FILTER (stock_code % 2 = 0) AS even FROM lines GROUP BY pipeline),
+  (VALUES ('B1'), ('B3'), ('B4')) AS c(check_id)"""
+
+# --- outcomes ---------------------------------------------------------------------
+
+ORACLES["verdict_outcomes"] = _RES + _CAUSES + f""",
+told AS (
+  SELECT pipeline, v, layer, check_id, CASE
+    WHEN v = 'skips' AND check_id = 'S9' THEN 'SKIPPED' WHEN v IN ('healthy', 'skips') THEN 'PASS'
+    WHEN v = 'ingestion' THEN CASE WHEN layer = 'Bronze' THEN status ELSE 'PASS' END
+    WHEN v = 'warned' THEN CASE WHEN status = 'FAIL' THEN 'WARN' ELSE status END
+    WHEN v = 'metrics' THEN CASE WHEN layer = 'Gold' THEN status ELSE 'PASS' END
+    WHEN layer = 'Bronze' THEN 'PASS' WHEN layer = 'Gold' AND status = 'FAIL' THEN 'IMPACTED' ELSE status END AS status
+  FROM core, (VALUES ('healthy'), ('skips'), ('ingestion'), ('warned'), ('loss'), ('metrics')) AS versions(v)
+),
+layered AS (
+  SELECT pipeline, v, {_worst("layer = 'Bronze'")} AS bronze, {_worst("layer = 'Silver'")} AS silver,
+    {_worst("layer = 'Gold'")} AS gold, count(*) FILTER (status = 'SKIPPED') AS skipped FROM told GROUP BY 1, 2
+),
+judged AS (SELECT *, {_VERDICT} AS verdict, {_LEVEL} AS level, {_BLAME} AS blame FROM layered),
+final AS (SELECT *, verdict = 'TRUSTED' AND skipped > 0 AS lowered FROM judged)
+SELECT pipeline || '/' || v AS pipeline, bronze, silver, gold, skipped,
+  CASE WHEN lowered THEN 'WARNING' ELSE verdict END AS final_verdict, CASE WHEN lowered THEN 'MEDIUM' ELSE level END AS severity,
+  CASE WHEN lowered THEN 'Coverage incomplete: ' || skipped || ' check(s) skipped; verdict downgraded from TRUSTED.' END
+    AS verdict_caveat,
+  blame AS first_failed_layer,
+  CASE WHEN verdict = 'TRUSTED' AND NOT lowered THEN 'No action required. Pipeline output is trustworthy.'
+    WHEN silver = 'FAIL' THEN 'Fix the Silver transformation rule (' || suspect || ') and rerun the ETL.'
+    WHEN bronze = 'FAIL' THEN 'Fix ingestion into Bronze and rerun the pipeline.'
+    WHEN gold = 'FAIL' THEN 'Fix the Gold aggregation logic and recompute metrics.'
+    ELSE 'Review flagged layers before publishing Gold outputs.' END AS suggested_action
+FROM final JOIN suspects USING (pipeline)"""
+
 # --- isolation ------------------------------------------------------------------
 
 ORACLES["isolated_metrics"] = """

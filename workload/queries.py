@@ -40,6 +40,7 @@ from plumbline.operators.silver import (
 from plumbline.plans import report, run
 from plumbline.plans.lineage import cut_lineage, new_folder
 from plumbline.plans.metrics import HISTORY_METRICS
+from plumbline.sources import csv_intake
 from plumbline.sources import layers as etl
 from plumbline.sources import results_store
 from plumbline.specs import RangeRule
@@ -608,6 +609,124 @@ def stored_results(spark, sf):
     )
 
 
+# --- sources ----------------------------------------------------------------------
+
+
+def _csv(df, path):
+    """All values as text, as a file with a header."""
+    df.selectExpr(*[f"CAST({c} AS STRING) AS {c}" for c in df.columns]).write.option("header", True).option("escape", '"').csv(path)
+
+
+_orders_csv: dict[tuple[str, str], csv_intake.Intake] = {}
+
+
+def _intake(spark, sf):
+    """Order lines as CSV files: sound ones, short ones, long ones, some with text for a number."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _orders_csv:
+        folder = new_folder(spark, "csv")
+        rows = roles.joined(spark, sf).selectExpr(
+            "l_orderkey AS invoice_no", "l_partkey AS stock_code",
+            "CASE WHEN l_partkey % 20 = 3 THEN concat('a \"quoted\", name ', l_linenumber) ELSE n_name END AS description",
+            "CASE WHEN l_partkey % 20 = 2 THEN 'many' ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END AS quantity",
+            "CAST(l_shipdate AS DATE) AS invoice_date", "l_extendedprice AS unit_price",
+            "CASE WHEN l_partkey % 40 = 2 THEN 'nobody' ELSE CAST(o_custkey AS STRING) END AS customer_id",
+            "n_name AS country", "l_partkey % 20 AS part",
+        )
+        _csv(rows.where("part > 1").drop("part"), f"{folder}/sound")
+        _csv(rows.where("part = 0").drop("part", "customer_id", "country"), f"{folder}/short")
+        _csv(rows.where("part = 1").withColumn("more", F.lit("x")), f"{folder}/long")
+        _orders_csv[key] = csv_intake.intake_orders(spark, f"{folder}/*")
+    return _orders_csv[key]
+
+
+@query
+def read_csv_quarantine(spark, sf):
+    """Good lines and, by reason, bad ones; every line of the files is one of them."""
+    found = _intake(spark, sf)
+    good = found.rows.agg(
+        F.lit("good").alias("reason"), F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("quantity"),
+        F.count_if(F.col("description").contains('"quoted", ')).alias("quoted"),
+    )
+    bad = found.quarantine.groupBy("reason").agg(
+        F.count(F.lit(1)).alias("lines"), F.lit(None).cast("long").alias("quantity"), F.lit(0).cast("long").alias("quoted")
+    )
+    return good.unionByName(bad)
+
+
+@query
+def quarantine_checks(spark, sf):
+    """What quarantine holds is what Bronze lacks: B1 and the count rule say so."""
+    found = _intake(spark, sf)
+    both = {"raw_orders": found.source, "bronze_orders": found.rows}
+    checks = run.check_results(both, SPEC, run_date=RUN_DATE)
+    lines = csv_intake.quarantine_counts({"raw_orders": found}).drop("table_name")
+    picked = checks.where("check_id = 'B1'").select("check_id", "status", F.get_json_object("observed", "$").alias("observed"))
+    return picked.join(lines, F.lit(True)).select("check_id", "status", "lines", "bad_lines")
+
+
+@query
+def read_gate_files(spark, sf):
+    """The release gate from CSV files, in which every tenth order has no number for its amount."""
+    tables = gate_tables(spark, sf)
+    folder = new_folder(spark, "gate-csv")
+    for name in ("bronze_orders", "silver_orders_correct", "silver_orders_buggy"):
+        amount = "CASE WHEN order_id % 10 = 0 THEN 'n/a' ELSE CAST(CAST(net_amount AS BIGINT) AS STRING) END AS net_amount"
+        _csv(tables[name].selectExpr("order_id", "customer_id", "status", "has_discount", amount, "order_date"), f"{folder}/{name}.csv")
+    past = tables["historical_runs"].selectExpr("concat(pipeline, run_id) AS run_id", "bronze_count", "silver_count", "0.5D AS drop_pct")
+    _csv(past, f"{folder}/historical_runs.csv")
+    return csv_intake.quarantine_counts(csv_intake.intake_gate(spark, folder))
+
+
+@query
+def frames_as_layers(spark, sf):
+    """Tables given as a DataFrame, a pandas frame and a list of rows are layers like any other."""
+    region = table(spark, sf, "region")
+    found = etl.layers_from_frames(
+        spark,
+        {"nation": table(spark, sf, "nation"), "region": region.toPandas(), "codes": [tuple(r) for r in region.select("r_regionkey").collect()]},
+        {"codes": "code int"},
+    )
+    unknown = keys.fk_orphans(found["nation"], "n_regionkey", found["region"].where("r_regionkey > 0"), "r_regionkey")
+    return unknown.join(found["codes"].agg(F.sum("code").alias("codes")), F.lit(True))
+
+
+@query
+def bronze_stop(spark, sf):
+    """Bronze without a required column: its checks end there, whatever else is wrong."""
+    raw = layers(spark, sf)["raw_orders"]
+    both = {"raw_orders": raw, "bronze_orders": raw.where("stock_code % 2 = 0").drop("quantity")}
+    found = run.check_results(both, SPEC, run_date=RUN_DATE)
+    return found.where("check_id RLIKE '^B[0-9]+$' AND check_id <> 'B2'").select(PIPELINE, "check_id", "status")
+
+
+# --- outcomes ---------------------------------------------------------------------
+
+_OUTCOMES = {
+    "healthy": "'PASS'",
+    "skips": "CASE WHEN check_id = 'S9' THEN 'SKIPPED' ELSE 'PASS' END",
+    "ingestion": "CASE WHEN layer = 'Bronze' THEN status ELSE 'PASS' END",
+    "warned": "CASE WHEN status = 'FAIL' THEN 'WARN' ELSE status END",
+    "loss": "CASE WHEN layer = 'Bronze' THEN 'PASS' WHEN layer = 'Gold' AND status = 'FAIL' THEN 'IMPACTED' ELSE status END",
+    "metrics": "CASE WHEN layer = 'Gold' THEN status ELSE 'PASS' END",
+}
+
+
+@query
+def verdict_outcomes(spark, sf):
+    """The results of every pipeline as if other layers had failed: every verdict, blame and action."""
+    core = results(spark, sf).where("layer <> 'Cross-Layer'")
+    told = [F.struct(F.lit(v).alias("v"), F.expr(sql).alias("s")) for v, sql in _OUTCOMES.items()]
+    versions = core.withColumn("_o", F.explode(F.array(*told)))
+    changed = versions.withColumns(
+        {PIPELINE: F.concat(PIPELINE, F.lit("/"), "_o.v"), "status": F.col("_o.s"), "detected_status": F.col("_o.s")}
+    )
+    return rollup.summarize(changed.drop("_o")).select(
+        PIPELINE, "bronze", "silver", "gold", "final_verdict", "severity", "verdict_caveat", "first_failed_layer",
+        "suggested_action", "skipped",
+    )
+
+
 # --- isolation ------------------------------------------------------------------
 
 _METRICS = {
@@ -849,7 +968,7 @@ def gate_report(spark, sf):
     whole = gate.gate_report(gate_tables(spark, sf))
     return whole.selectExpr(
         PIPELINE, "verdict.decision AS decision", "array_join(verdict.reasons, '; ') AS reasons",
-        "anomaly.severity AS severity", "impact.risk_level AS risk_level", "size(evidence) AS evidence_rows",
+        "anomaly.severity AS severity", "impact.risk_level AS risk_level", "size(evidence) AS evidence_rows", "verdict.suggested_action AS suggested_action",
     )
 
 
