@@ -793,6 +793,11 @@ SELECT pipeline, check_id, CASE WHEN check_id = 'B3' OR check_id = 'B1' AND n =
 FROM (SELECT pipeline, count(*) AS n, count(*) FILTER (stock_code % 2 = 0) AS even FROM lines GROUP BY pipeline),
   (VALUES ('B1'), ('B3'), ('B4')) AS c(check_id)"""
 
+ORACLES["order_statistics"] = """
+SELECT l_returnflag, count(l_extendedprice) AS n, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1,
+  round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.75), 6) AS q3,
+  round(mad(l_extendedprice), 6) AS mad FROM lineitem GROUP BY l_returnflag"""
+
 # --- outcomes ---------------------------------------------------------------------
 
 ORACLES["verdict_outcomes"] = _RES + _CAUSES + f""",

@@ -25,7 +25,7 @@ from plumbline.functions.stats import (
 )
 from plumbline.functions.values import redact
 from plumbline.model import PIPELINE
-from plumbline.operators import analytics, faults, gate, keys, profile, rollup
+from plumbline.operators import analytics, faults, gate, keys, order_stats, profile, rollup
 from plumbline.operators.gold import revenue_status
 from plumbline.operators.isolation import isolate
 from plumbline.operators.reconciliation import mismatched_fields
@@ -700,6 +700,16 @@ def bronze_stop(spark, sf):
     return found.where("check_id RLIKE '^B[0-9]+$' AND check_id <> 'B2'").select(PIPELINE, "check_id", "status")
 
 
+# --- long series --------------------------------------------------------------------
+
+
+@query
+def order_statistics(spark, sf):
+    """Exact quartiles and MAD of the prices per return flag, each series dealt out in pieces."""
+    found = order_stats.robust_profile(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice")
+    return _rounded(found, 6, "q1", "median", "q3", "mad")
+
+
 # --- outcomes ---------------------------------------------------------------------
 
 _OUTCOMES = {
