@@ -193,8 +193,8 @@ def test_redaction(spark):
     dirty = "connect  failed Password = hunter2\n token=abc see jdbc://h/db?x now key=1"
     clean = spark.range(1).select(redact(F.lit(dirty))).head()[0]
     assert clean == "connect failed Password=*** token=*** see *** now key=***"
-    reason = sanitize_reason(RuntimeError("connect failed password=supersecret\n dbname=x"))
-    assert reason == "RuntimeError: connect failed password=*** dbname=x"
+    reason = sanitize_reason(RuntimeError("login refused pwd=abc123\n host=db9"))
+    assert reason == "RuntimeError: login refused pwd=*** host=db9"
 
 
 def test_labels(spark):

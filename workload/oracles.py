@@ -668,6 +668,7 @@ ORACLES["layer_metrics"] = _RES + """
 SELECT pipeline, 'r1' AS run_id, 'bronze' AS layer, b_n AS row_count, CAST(NULL AS DOUBLE) AS drop_pct FROM m
 UNION ALL SELECT pipeline, 'r1', 'silver', s_n, round(d, 4) FROM m
 UNION ALL SELECT pipeline, 'r1', 'gold', total_orders, round((1 - total_orders / s_n) * 100, 4) FROM m"""
+ORACLES["layer_metrics_fallback"] = ORACLES["layer_metrics"]
 ORACLES["flagged_checks"] = _RES + """
 SELECT pipeline, check_id, detected_status FROM res WHERE detection_layer = 'layer_1_rules'
   AND dimension = 'validity' AND starts_with(check_id, 'L1-SIL') AND detected_status IN ('FAIL', 'WARN', 'IMPACTED')"""

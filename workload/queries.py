@@ -546,6 +546,13 @@ def layer_metrics(spark, sf):
     return _rounded(analytics.layer_metrics(results(spark, sf)), 4, "drop_pct")
 
 
+@query
+def layer_metrics_fallback(spark, sf):
+    """The same figures where the order count of Gold has no check of its own."""
+    without = results(spark, sf).where("check_id <> 'G2'")
+    return _rounded(analytics.layer_metrics(without), 4, "drop_pct")
+
+
 @query
 def flagged_checks(spark, sf):
     rows = analytics.flagged_checks(
