@@ -36,7 +36,7 @@ fresh AS (
 ),
 gold AS (
   SELECT pipeline,
-    revenue * CASE WHEN pipeline = '2-HIGH' THEN 1.5 ELSE 1 END AS total_revenue,
+    revenue * CASE WHEN pipeline = '2-HIGH' THEN 2 ELSE 1 END AS total_revenue,
     orders + CASE WHEN pipeline = '1-URGENT' THEN 5 ELSE 0 END AS total_orders,
     customers AS total_customers,
     CASE WHEN orders = 0 THEN 0 ELSE revenue / orders END AS average_order_value

@@ -101,7 +101,7 @@ def _plans(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     gold = build_gold_metrics(cleaned, SPEC).withColumns(
         {
             "total_orders": F.expr("total_orders + CASE WHEN pipeline = '1-URGENT' THEN 5 ELSE 0 END"),
-            "total_revenue": F.expr("total_revenue * CASE WHEN pipeline = '2-HIGH' THEN 1.5D ELSE 1D END"),
+            "total_revenue": F.expr("total_revenue * CASE WHEN pipeline = '2-HIGH' THEN 2D ELSE 1D END"),
         }
     )
     country = build_gold_country(cleaned, SPEC).withColumn(
