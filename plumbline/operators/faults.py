@@ -2,7 +2,8 @@
 
 Each function takes and returns DataFrames. Where rows are chosen, ``selection`` finds out from
 counts which; it runs a few small jobs when the function is called, and neither sorts a table nor
-collects rows.
+collects rows. A ``..._change`` is the same fault as a change of a stored table, so that many faults are
+validated together without a copy of the table for each (``plans/scenarios.py``).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from plumbline.model import PIPELINE
 from plumbline.operators.selection import Selection, by_columns, first_rows, hash_numbers
+from plumbline.operators.versions import Change
 from plumbline.specs import PipelineSpec, quoted
 
 
@@ -37,6 +39,17 @@ def inject_duplicates(df: DataFrame, order: Sequence[str], n: int = 10) -> DataF
     return df.unionByName(_first(df, order, n).rows())
 
 
+def row_drop_change(df: DataFrame, fraction: float = 0.25, seed: int = 42) -> Change:
+    """``inject_row_drop`` as a change of the table."""
+    kept = first_rows(df, None, hash_numbers(df, seed), share=1 - fraction)
+    return Change(kept.condition(), added=kept.some())
+
+
+def duplicates_change(df: DataFrame, order: Sequence[str], n: int = 10) -> Change:
+    """``inject_duplicates`` as a change of the table."""
+    return Change(added=_first(df, order, n).rows())
+
+
 def inject_orphans(
     child: DataFrame | None,
     template: DataFrame,
@@ -54,6 +67,12 @@ def inject_orphans(
     return orphan if child is None else child.unionByName(orphan, allowMissingColumns=True)
 
 
+def orphans_change(template: DataFrame, like: DataFrame, key: str = "INV999999") -> Change:
+    """``inject_orphans`` as a change of the payments ``like`` whose document is one of ``template``."""
+    orphan = inject_orphans(like.limit(0), template, key=key)
+    return Change(added=orphan.select(*like.columns))
+
+
 def _revalued(df: DataFrame, spec: PipelineSpec) -> DataFrame:
     return df.withColumn(spec.revenue, F.col(spec.quantity) * F.col(spec.price))
 
@@ -76,14 +95,41 @@ def inject_scale_quantity(
     return _revalued(df.withColumn(spec.quantity, scaled.cast(dtype)), spec)
 
 
+def price_change(factor: float = 2.0, spec: PipelineSpec | None = None) -> Change:
+    """``inject_price_inflation`` as a change of the table."""
+    spec = spec or PipelineSpec()
+    price = f"{quoted(spec.price)} * {float(factor)!r}D"
+    return Change(values={spec.price: price, spec.revenue: f"{quoted(spec.quantity)} * ({price})"})
+
+
+def quantity_change(df: DataFrame, factor: float = 2.0, spec: PipelineSpec | None = None) -> Change:
+    """``inject_scale_quantity`` as a change of the table."""
+    spec = spec or PipelineSpec()
+    kind = df.schema[spec.quantity].dataType.simpleString()
+    scaled = f"CAST(CAST({quoted(spec.quantity)} * {float(factor)!r}D AS BIGINT) AS {kind})"
+    return Change(values={spec.quantity: scaled, spec.revenue: f"{scaled} * {quoted(spec.price)}"})
+
+
+def null_keys_change(df: DataFrame, order: Sequence[str], n: int = 5, column: str = "invoice_no") -> Change:
+    """``inject_null_keys`` as a change of the table."""
+    picked = _first(df, order, n)
+    touched = f"({picked.inside}) OR ({picked.edge})" if picked.quota else picked.inside
+    added = _blanked(picked.rows(), column)
+    rest = picked.some(others=True)
+    return Change(f"NOT ({touched})", added=added if rest is None else added.unionByName(rest))
+
+
 def inject_null_keys(
     df: DataFrame, order: Sequence[str], n: int = 5, column: str = "invoice_no"
 ) -> DataFrame:
     """Blank the key of the first n rows."""
     picked = _first(df, order, n)
+    return picked.others().unionByName(_blanked(picked.rows(), column))
+
+
+def _blanked(df: DataFrame, column: str) -> DataFrame:
     blank = F.lit(None).cast(df.schema[column].dataType).alias(column)
-    changed = picked.rows().select(*[blank if c == column else F.col(quoted(c)) for c in df.columns])
-    return picked.others().unionByName(changed)
+    return df.select(*[blank if c == column else F.col(quoted(c)) for c in df.columns])
 
 
 def stack(frames: Mapping[str, DataFrame]) -> DataFrame:

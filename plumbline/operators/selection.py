@@ -102,18 +102,34 @@ class Selection:
         """The rows that aren't."""
         return self._with(self.df.where(f"NOT ({self.inside}) AND NOT ({self.edge})"), self.ties - self.quota)
 
+    def condition(self) -> str:
+        """SQL text that holds for the selected rows, but for equal rows of which only some are (``split``)."""
+        return f"({self.inside}) OR ({self.edge})" if self.quota and self.quota == self.ties else self.inside
+
+    @property
+    def split(self) -> bool:
+        """Whether only some of the equal rows at the edge are selected."""
+        return 0 < self.quota < self.ties
+
+    def some(self, others: bool = False) -> DataFrame | None:
+        """The equal rows at the edge that are selected, or the others, where they are split."""
+        return self._copies(self.ties - self.quota if others else self.quota) if self.split else None
+
     def _with(self, rows: DataFrame, copies: int) -> DataFrame:
         if not copies:
             return rows
         if copies == self.ties:
             return rows.unionByName(self.df.where(self.edge))
+        return rows.unionByName(self._copies(copies))
+
+    def _copies(self, copies: int) -> DataFrame:
         # Equal rows: as many copies of one of them, made in pieces by many tasks.
         one = self.df.where(self.edge).limit(1)
         spark = self.df.sparkSession
         parts = spark.range(-(-copies // COPIES)).select(
             F.explode(F.expr(f"sequence(1L, least({COPIES}L, {copies}L - id * {COPIES}L))")).alias("_copy")
         )
-        return rows.unionByName(parts.join(F.broadcast(one)).select(*[one[c] for c in self.df.columns]))
+        return parts.join(F.broadcast(one)).select(*[one[c] for c in self.df.columns])
 
 
 def first_rows(df: DataFrame, n: int | None, numbers: Iterator[str], share: float | None = None) -> Selection:

@@ -193,15 +193,21 @@ def validate(
     run side by side, those that finish are kept, and halving finds the metrics at fault: their
     checks are reported as SKIPPED with the (redacted) reason.
     """
-    run_date = run_date or dt.date.today()
     sheet = collect_metrics(layers, spec or PipelineSpec(), pipeline, two_pass_rows)
+    return run_of(sheet, run_id=run_id, run_date=run_date, extra_rules=extra_rules)
+
+
+def run_of(
+    sheet: MetricSheet, *, run_id: str = "run", run_date: dt.date | None = None, extra_rules: Sequence[Rule] = ()
+) -> ValidationRun:
+    """The run that a planned metric sheet amounts to."""
     sheet = _settled(sheet)
     core = check_results(
-        layers, run_id=run_id, run_date=run_date, extra_rules=extra_rules, sheet=sheet
+        sheet.layers, run_id=run_id, run_date=run_date or dt.date.today(), extra_rules=extra_rules, sheet=sheet
     )
     core = cut_lineage(core)
     results = core.unionByName(cross_layer_checks(core))
-    return ValidationRun(run_id, results, business_impact(layers, sheet=sheet))
+    return ValidationRun(run_id, results, business_impact(sheet.layers, sheet=sheet))
 
 
 def _settled(sheet: MetricSheet) -> MetricSheet:

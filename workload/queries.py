@@ -40,6 +40,7 @@ from plumbline.operators.silver import (
 from plumbline.plans import report, run
 from plumbline.plans.lineage import cut_lineage, new_folder
 from plumbline.plans.metrics import HISTORY_METRICS
+from plumbline.plans.scenarios import Scenario, validate_scenarios
 from plumbline.sources import csv_intake
 from plumbline.sources import layers as etl
 from plumbline.sources import results_store
@@ -823,6 +824,15 @@ def _healthy_layers(spark, sf):
     return _healthy[key]
 
 
+def _healthy_silver(spark, sf):
+    """Silver of the healthy layers, stored once per session and data set."""
+    healthy = _healthy_layers(spark, sf)
+    if "landed" not in healthy:
+        folder = new_folder(spark, "healthy-silver")
+        healthy["landed"] = etl.land_layers({"silver_orders": healthy["silver_orders"]}, folder)["silver_orders"]
+    return healthy["landed"]
+
+
 def _silver_sums(df):
     return df.agg(
         F.count(F.lit(1)).alias("row_count"),
@@ -880,45 +890,31 @@ def inject_null_keys(spark, sf):
 
 @query
 def detection_matrix(spark, sf):
-    """All faults validated as pipelines of one job: who noticed which."""
-    base = _healthy_layers(spark, sf)
-    bronze, silver = base["bronze_orders"], base["silver_orders"]
+    """All faults validated together, as changes of one healthy Silver: who noticed which."""
+    bronze = _healthy_layers(spark, sf)["bronze_orders"]
+    # Landed once: choosing rows and every branch of the validation read the stored table.
+    silver = _healthy_silver(spark, sf)
     paid = bronze.selectExpr("concat('PAY', invoice_no) AS payment_id", "invoice_no", "unit_price AS amount")
-    versions = {
-        "healthy": silver,
-        "orphans": silver,
-        "row_drop": faults.inject_row_drop(silver, 0.3),
-        "duplicates": faults.inject_duplicates(silver, ["invoice_no"], 10),
-        "price_inflation": faults.inject_price_inflation(silver, 2.0),
-        "null_keys": faults.inject_null_keys(silver, ["invoice_no"], 5),
-        "scale_quantity": faults.inject_scale_quantity(silver, 2.0),
+    first = ["invoice_no"]
+    changes = {
+        "healthy": faults.Change(),
+        "row_drop": faults.row_drop_change(silver, 0.3),
+        "duplicates": faults.duplicates_change(silver, first, 10),
+        "price_inflation": faults.price_change(2.0),
+        "null_keys": faults.null_keys_change(silver, first, 5),
+        "scale_quantity": faults.quantity_change(silver, 2.0),
     }
-    cases = list(versions)
-    others = [c for c in cases if c != "orphans"]
-    orphaned = faults.inject_orphans(paid, bronze, key="-1").withColumn(PIPELINE, F.lit("orphans"))
+    cases = {case: Scenario({"silver_orders": change}) for case, change in changes.items()}
+    cases["orphans"] = Scenario({"order_payments": faults.orphans_change(bronze, paid, key="-1")})
+    # Prices were inflated after Gold was built: that case keeps the healthy Gold.
+    cases["price_inflation"] = Scenario({"silver_orders": changes["price_inflation"]}, gold_of="healthy")
     past = _silver_sums(silver).withColumn("i", F.explode(F.sequence(F.lit(-7), F.lit(7)))).selectExpr(
         "CAST(i AS STRING) AS run_id", "row_count + i AS bronze_count", "row_count + i AS silver_count",
         "i * 0.05D AS drop_pct", "revenue * (1D + i * 0.001D) AS gold_revenue",
     )
-    # Landed once: every branch of the validation reads the stacked tables.
-    folder = new_folder(spark, "cases")
-    landed = etl.land_layers({"silver_orders": faults.stack(versions)}, folder)
-    gold = etl.build_gold_metrics(landed["silver_orders"], SPEC)
-    # Prices were inflated after Gold was built: that case keeps the healthy Gold.
-    stale = gold.filter(f"{PIPELINE} = 'healthy'").withColumn(PIPELINE, F.lit("price_inflation"))
-    landed |= etl.land_layers(
-        {
-            "gold_metrics": gold.filter(f"{PIPELINE} <> 'price_inflation'").unionByName(stale),
-            "historical_runs": faults.spread(past, cases),
-        },
-        folder,
-    )
-    stacked = {
-        **landed,
-        "bronze_orders": faults.spread(bronze, cases),
-        "order_payments": faults.spread(paid, others).unionByName(orphaned),
-    }
-    found = run.validate(stacked, SPEC, run_date=RUN_DATE).results
+    landed = etl.land_layers({"historical_runs": past}, new_folder(spark, "cases"))
+    tables = {"bronze_orders": bronze, "silver_orders": silver, "order_payments": paid, **landed}
+    found = validate_scenarios(tables, cases, SPEC, run_date=RUN_DATE).results
     return faults.detection_matrix(found).select(PIPELINE, "detection_layer", "flagged")
 
 
