@@ -5,7 +5,7 @@ against it from left to right into the longest phrases that occur there; text of
 needs few, long phrases. Phrases times the bits that point at a place of the labelled text, per
 character, is the cross-parsing entropy; the language with the lowest wins.
 
-Documents are cut into stretches of ``STRETCH`` characters, each parsed from its start, so that numpy
+Documents are cut into stretches of ``STRETCH`` symbols, each parsed from its start, so that numpy
 walks the automaton for all stretches of a batch at once. This ends at most one phrase per stretch
 early, for every language alike.
 """
@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import frame_of, hash_sample, held_out, pieces
@@ -30,8 +30,11 @@ SAMPLE_ROWS = 80
 LONG_CHARS = 4_000
 STRETCH = 256
 #: Symbols: 0 stands for any run of characters that are no letters, 1 for letters that the labelled
-#: texts lack or have rarely, 2 to 62 for their letters in lower case, 63 fills a stretch.
+#: texts lack, 2 to 37 for the commonest letters of these in lower case, 63 fills a stretch. All their other
+#: letters are numbered and written as digits, of which 38 to 61 stand for 0 to 23: as many digits each
+#: as the last number needs. So every letter of every script keeps a spelling of its own.
 SYMBOLS, OTHER, FILL = 64, 1, 63
+COMMON, DIGIT, BASE = 36, 38, 24
 #: Characters at which the score's certainty is full.
 SURE_CHARS = 64
 
@@ -42,12 +45,13 @@ def labelled_texts(docs: DataFrame) -> list[tuple[str, str]]:
     """For each language a bounded sample of labelled documents of the learning folds, by hash of id."""
     rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out("doc_id"))
     sample, _ = hash_sample(rows.select("lang", "doc_id", "text"), "lang", SAMPLE_ROWS)
-    chosen = sample.orderBy("lang", F.length("text") > LONG_CHARS, F.xxhash64("doc_id"), "doc_id", "text")
+    # At most SAMPLE_ROWS rows a language. Only what is used leaves the executors.
+    order = Window.partitionBy("lang").orderBy(F.length("text") > LONG_CHARS, F.xxhash64("doc_id"), "doc_id", "text")
+    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = sample.select("lang", "text", before.alias("before"), F.row_number().over(order).alias("place"))
     texts: dict[str, list[str]] = {}
-    for lang, _, text in chosen.collect():
-        known = texts.setdefault(lang, [])
-        if sum(map(len, known)) < SAMPLE_CHARS:
-            known.append(text)
+    for lang, text in ranked.where(F.col("before") < SAMPLE_CHARS).orderBy("lang", "place").select("lang", "text").collect():
+        texts.setdefault(lang, []).append(text)
     return sorted((lang, "\n".join(known)) for lang, known in texts.items())
 
 
@@ -58,19 +62,26 @@ def letters() -> np.ndarray:
 
 
 def symbol_table(texts: list[str]) -> np.ndarray:
-    """The symbol of every code point."""
-    table = np.where(letters(), OTHER, 0).astype(np.uint8)
+    """The symbols of every code point, filled up to the length of the longest spelling."""
     seen = Counter(c for t in texts for c in t.lower() if c.isalpha())
-    for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: FILL - 2]):
+    ranked = sorted(seen, key=lambda c: (-seen[c], c))
+    width = 1
+    while BASE**width < len(ranked) - COMMON:
+        width += 1
+    table = np.full((0x110000, width), FILL, np.uint8)
+    table[:, 0] = np.where(letters(), OTHER, 0)
+    for i, c in enumerate(ranked):
+        spelled = [i + 2] if i < COMMON else [DIGIT + (i - COMMON) // BASE**k % BASE for k in range(width)]
         for form in {c, c.upper()}:
             if len(form) == 1:
-                table[ord(form)] = i + 2
+                table[ord(form), : len(spelled)] = spelled
     return table
 
 
 def symbols(text: str, table: np.ndarray) -> np.ndarray:
     """A text as symbols, with single zeros between words and none at the ends."""
-    found = table[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    found = table[np.frombuffer(text.encode("utf-32-le"), np.uint32)].ravel()
+    found = found[found != FILL]
     keep = found > 0
     keep[1:] |= found[:-1] > 0
     found = found[keep]
@@ -138,16 +149,16 @@ class Parser:
         self.bits = np.array([np.log2(len(k) + 2) for k in known])
         self.tables = [parse_table(suffix_automaton(k.tolist())) for k in known]
 
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def phrases(self, texts: list[str], stretch: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of each text, whether it has a letter, and its phrases in each language."""
         streams = [symbols(t, self.symbol) for t in texts]
         sizes = np.array([len(s) for s in streams], np.int64)
-        stretches = -(-sizes // STRETCH)
-        grid = np.full(int(stretches.sum()) * STRETCH, FILL, np.uint8)
+        stretches = -(-sizes // stretch)
+        grid = np.full(int(stretches.sum()) * stretch, FILL, np.uint8)
         first = np.concatenate([[0], np.cumsum(stretches)])
         for at, stream in zip(first, streams, strict=False):
-            grid[at * STRETCH : at * STRETCH + len(stream)] = stream
-        steps = np.ascontiguousarray(grid.reshape(-1, STRETCH).T)
+            grid[at * stretch : at * stretch + len(stream)] = stream
+        steps = np.ascontiguousarray(grid.reshape(-1, stretch).T)
         counts = np.zeros((len(texts), len(self.langs)), np.int64)
         owner = np.repeat(np.arange(len(texts)), stretches)
         for k, table in enumerate(self.tables):

@@ -182,6 +182,47 @@ def test_cross_parsing_against_a_plain_parse():
             assert counts[k] == n
 
 
+# First and last code point of the letters of twelve scripts.
+SCRIPTS = {
+    "en": (0x61, 0x7A), "el": (0x3B1, 0x3C9), "ru": (0x430, 0x44F), "he": (0x5D0, 0x5EA), "ar": (0x620, 0x64A),
+    "ka": (0x10D0, 0x10F0), "th": (0xE01, 0xE2E), "zh": (0x4E00, 0x55FF), "hy": (0x561, 0x586), "ko": (0xAC00, 0xB3FF),
+    "hi": (0x904, 0x939), "am": (0x1200, 0x1357),
+}
+
+
+def test_every_script_has_its_letters():
+    rng = random.Random(5)
+    known, held = [], []
+    for lang, (low, high) in sorted(SCRIPTS.items()):
+        alphabet = [chr(c) for c in range(low, high + 1) if chr(c).isalpha()]
+        words = ["".join(rng.choices(alphabet, k=rng.randint(2, 7))) for _ in range(600)]
+        known.append((lang, " ".join(rng.choices(words, k=3000))))
+        held += [(lang, " ".join(rng.choices(words, k=12))) for _ in range(50)]
+    parser = language.Parser(tuple(known))
+    found = parser.predict([text for _, text in held])[0]
+    for lang in SCRIPTS:
+        right = sum(f == lang for f, (wanted, _) in zip(found, held, strict=True) if wanted == lang)
+        assert right >= 48, lang
+
+
+def test_spellings_are_apart():
+    text = "".join(chr(c) for c in range(0x4E00, 0x5600)) + "abc"
+    table = language.symbol_table([text])
+    spelled = {tuple(table[ord(c)].tolist()) for c in text}
+    assert len(spelled) == len(text) and tuple(table[ord("ж")].tolist()) not in spelled
+
+
+def test_stretches_do_not_change_the_language():
+    """Ending phrases every few symbols chooses as one unbroken parse does."""
+    rng = random.Random(8)
+    words = {k: ["".join(rng.choices("abcdefghij", k=rng.randint(2, 6))) for _ in range(80)] for k in "xyz"}
+    parser = language.Parser(tuple((k, " ".join(rng.choices(w, k=2000))) for k, w in words.items()))
+    texts = [" ".join(rng.choices(words[k], k=n)) for k in "xyz" for n in (3, 40, 90, 400, 3000)]
+    assert max(map(len, texts)) < 30_000
+    broken, whole = (parser.phrases(texts, stretch)[2] * parser.bits for stretch in (language.STRETCH, 30_000))
+    assert (broken.argmin(axis=1) == whole.argmin(axis=1)).all()
+
+
 def test_language_cases(edge, none):
     rows = language.predict_language(edge, [("de", EDGE[6][1]), ("en", EDGE[4][1])]).collect()
     assert ids(rows) == ALL
