@@ -132,9 +132,8 @@ ORACLES["dup_business_key"] = _BASE + f"""
 SELECT * FROM ({_excess('lines', _KEY_COLS, 'bronze_excess')})
 JOIN ({_excess('silver', _KEY_COLS, 'silver_excess')}) USING (pipeline)"""
 ORACLES["dup_primary_key"] = """
-SELECT l_returnflag, CAST(sum(n - 1) AS BIGINT) AS excess FROM
-  (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_orderkey, l_linenumber)
-GROUP BY l_returnflag"""
+SELECT CAST(sum(n - 1) AS BIGINT) AS excess FROM
+  (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
 ORACLES["dup_full_row"] = _BASE + """
 SELECT pipeline, all_rows - distinct_rows AS excess FROM
   (SELECT pipeline, count(*) AS all_rows FROM lines GROUP BY pipeline)
@@ -142,9 +141,8 @@ SELECT pipeline, all_rows - distinct_rows AS excess FROM
   USING (pipeline)"""
 ORACLES["dup_full_row_two_pass"] = ORACLES["dup_full_row"]
 ORACLES["dup_distinct_keys"] = """
-SELECT l_returnflag, count(*) FILTER (n > 1) AS duplicated FROM
-  (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_orderkey, l_linenumber)
-GROUP BY l_returnflag"""
+SELECT count(*) FILTER (n > 1) AS duplicated FROM
+  (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
 
 
 def _learned(value: str, mean: str = "mean", std: str = "std") -> str:
@@ -273,14 +271,14 @@ JOIN (SELECT pipeline, total_revenue AS a FROM gold) USING (pipeline)"""
 
 # --- run history --------------------------------------------------------------
 
-_SERIES = """,
+_MONTH = """CASE WHEN try_cast(invoice_date AS DATE) IS NULL THEN country || '/undated' ELSE country END AS country,
+    substr(invoice_date, 1, 7) AS month"""
+_SERIES = f""",
 monthly AS (
   SELECT country, month, b AS bronze_count, coalesce(s, 0) AS silver_count,
     round((1 - coalesce(s, 0) / b) * 100, 3) AS drop_pct, round(coalesce(r, 0), 2) AS gold_revenue
-  FROM (SELECT country, substr(invoice_date, 1, 7) AS month, count(*) AS b FROM lines GROUP BY 1, 2)
-  LEFT JOIN (SELECT country, substr(invoice_date, 1, 7) AS month, count(*) AS s, sum(net_revenue) AS r
-             FROM silver GROUP BY 1, 2) USING (country, month)
-  WHERE month <> 'bad-dat'
+  FROM (SELECT {_MONTH}, count(*) AS b FROM lines GROUP BY 1, 2)
+  LEFT JOIN (SELECT {_MONTH}, count(*) AS s, sum(net_revenue) AS r FROM silver GROUP BY 1, 2) USING (country, month)
 ),
 series AS (
   SELECT country, month, 'bronze_count' AS metric, CAST(bronze_count AS DOUBLE) AS x FROM monthly
