@@ -15,8 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.operators.key_filter import BLOCKS, key_filter, shared_columns, with_membership
 from plumbline.specs import PipelineSpec, ticked
 
+#: Parts that the rows of one lost key are dealt to.
+SALTS = 8
+
 
 def _zero(column: Column) -> Column:
     return F.coalesce(column, F.lit(0)).cast("long")
@@ -150,15 +154,58 @@ def fk_orphans(
     return groups.unionByName(total).groupBy(*by).agg(F.sum(name).alias(name))
 
 
+def fk_orphans_filtered(
+    child: DataFrame,
+    column: str,
+    ref: DataFrame,
+    ref_column: str,
+    by: Sequence[str] = (),
+    name: str = "orphans",
+    blocks: int = BLOCKS,
+) -> DataFrame:
+    """The counts of ``fk_orphans``, for children many of whose references match nothing.
+
+    A filter of the reference's keys settles most orphans where they lie: they are counted as one
+    group without a key, so the shuffle and the anti join see the keys that may match, and false
+    passes of the filter among them. It costs one more aggregation over the reference.
+    """
+    within = [c for c in by if c in ref.columns]
+    rows = child.filter(F.col(ticked(column)).isNotNull())
+    known = ref.select(*within, F.col(ticked(ref_column)).alias(column)).filter(F.col(ticked(column)).isNotNull())
+    asked = shared_columns(rows, known, [*within, column])
+    marked = with_membership(rows, key_filter(known, asked, blocks), asked, blocks)
+    # A NULL matches nothing, so the settled orphans stay in the anti join's result.
+    settled = marked.withColumn(column, F.when(F.col("_maybe"), F.col(ticked(column))))
+    orphans = key_counts(settled, [column], by).join(known.distinct(), [*within, column], "left_anti")
+    total = orphans.groupBy(*by).agg(_zero(F.sum("copies")).alias(name))
+    if not by:
+        return total
+    groups = child.groupBy(*by).agg(F.lit(0).cast("long").alias(name))
+    return groups.unionByName(total).groupBy(*by).agg(F.sum(name).alias(name))
+
+
 def lost_valid_rows(
-    bronze: DataFrame, silver: DataFrame, spec: PipelineSpec, by: Sequence[str] = ()
+    bronze: DataFrame, silver: DataFrame, spec: PipelineSpec, by: Sequence[str] = (), blocks: int = BLOCKS
 ) -> DataFrame:
-    """The valid Bronze rows with no Silver row on the null-safe business key."""
+    """The valid Bronze rows with no Silver row on the null-safe business key.
+
+    Lost keys are found by counting, so a hot key is one record per task. A filter of them then keeps
+    back the rows whose key is certainly not lost; only the others are shuffled to the exact match,
+    those of one key to SALTS parts.
+    """
     keys = [*by, *spec.business_key]
-    kept = silver.select(*[F.col(k).alias(f"_s_{k}") for k in keys]).distinct()
     valid = bronze.filter(spec.valid_row())
-    match = [valid[k].eqNullSafe(kept[f"_s_{k}"]) for k in keys]
-    return valid.join(kept, match, "left_anti")
+    columns = [F.col(ticked(k)) for k in keys]
+    tagged = valid.select(*columns, F.lit(0).alias("_kept")).unionByName(silver.select(*columns, F.lit(1).alias("_kept")))
+    counted = tagged.groupBy(*columns).agg(F.max("_kept").alias("_kept"))
+    lost = counted.filter(F.col("_kept") == 0).drop("_kept")
+    asked = shared_columns(valid, lost, keys)
+    found = with_membership(valid, key_filter(lost, asked, blocks), asked, blocks).filter("_maybe").drop("_maybe")
+    found = found.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s_salt")
+    parts = lost.select(*[F.col(ticked(k)).alias(f"_s_{k}") for k in keys], salts)
+    match = [F.col(ticked(k)).eqNullSafe(F.col(ticked(f"_s_{k}"))) for k in keys]
+    return found.join(parts, [*match, F.col("_salt") == F.col("_s_salt")], "left_semi").drop("_salt")
 
 
 def key_census(

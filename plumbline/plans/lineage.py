@@ -18,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     if known is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local"):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="plumbline-")
         context.setCheckpointDir(folder)

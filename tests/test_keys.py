@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import faults, keys
+from plumbline.operators import faults, key_filter, keys
 from plumbline.sources.layers import ORDERS_SCHEMA
 from plumbline.specs import PipelineSpec
 
@@ -150,3 +150,62 @@ def test_other_faults(spark):
     assert faults.inject_orphans(None, base).count() == 1
     child = faults.inject_orphans(None, base)
     assert faults.inject_orphans(child, base).count() == 2
+
+
+def test_filter_never_misses_and_rarely_passes(spark):
+    known = spark.range(20_000).select((F.col("id") * 3).alias("k"))
+    rows = spark.range(60_000).select(F.col("id").alias("k"))
+    table = key_filter.key_filter(known, ["k"], 4096)
+    marked = key_filter.with_membership(rows, table, ["k"], 4096)
+    assert marked.columns == ["k", "_maybe"] and marked.count() == 60_000
+    assert marked.where("k % 3 = 0 AND NOT _maybe").count() == 0
+    assert marked.where("k % 3 <> 0 AND _maybe").count() < 0.02 * 40_000
+    assert table.count() <= 4096
+    empty = key_filter.key_filter(known.where("k < 0"), ["k"], 4096)
+    assert key_filter.with_membership(rows, empty, ["k"], 4096).where("_maybe").count() == 0
+
+
+@pytest.mark.parametrize("blocks", [1, 64, 65_536])
+def test_filtered_orphans_equal_plain_ones(pair, spark, blocks):
+    """A filter of one block is full and lets everything pass; the result is the same."""
+    _, _, b, _ = pair
+    refs = {
+        "text": spark.createDataFrame([("HOT",), ("I1",), ("I1",), (None,)], "k string"),
+        "none": spark.createDataFrame([], "k string"),
+        "collated": spark.sql("SELECT 'hot' COLLATE UTF8_LCASE AS k"),
+    }
+    for ref in refs.values():
+        child = b if ref.schema["k"].dataType == b.schema["invoice_no"].dataType else b.selectExpr("invoice_no COLLATE UTF8_LCASE AS invoice_no")
+        assert keys.fk_orphans_filtered(child, "invoice_no", ref, "k", blocks=blocks).head() == keys.fk_orphans(child, "invoice_no", ref, "k").head()
+
+
+def test_filtered_orphans_by_group_and_type(spark):
+    child = spark.sql("SELECT IF(id % 2 = 0, 'a', 'b') AS g, IF(id % 7 = 0, NULL, id % 50) AS k FROM range(1000)")
+    shared = spark.sql("SELECT CAST(id AS INT) AS k FROM range(20)")  # another type: the join alone decides
+    own = spark.sql("SELECT 'a' AS g, id AS k FROM range(20) UNION ALL SELECT 'c', 30")
+    for ref in (shared, own):
+        got = {tuple(r) for r in keys.fk_orphans_filtered(child, "k", ref, "k", ["g"]).collect()}
+        assert got == {tuple(r) for r in keys.fk_orphans(child, "k", ref, "k", ["g"]).collect()} and len(got) == 2
+
+
+def test_keys_shuffled_fall_with_the_hits(spark):
+    child = spark.range(40_000).select(F.col("id").alias("k"))
+    passed = {}
+    for share in (10, 2):
+        ref = spark.range(0, 40_000, share).select(F.col("id").alias("k"))
+        table = key_filter.key_filter(ref, ["k"])
+        passed[share] = key_filter.with_membership(child, table, ["k"]).where("_maybe").count()
+    assert 4_000 <= passed[10] < 4_200 and 20_000 <= passed[2] < 20_500
+
+
+@pytest.mark.parametrize("blocks", [1, 65_536])
+def test_lost_rows_of_a_hot_key(spark, blocks):
+    """A third of all rows share one lost key; the rows come whole, and none of a kept key."""
+    rows = spark.sql(
+        "SELECT IF(id % 3 = 0, 'HOT', concat('I', id)) AS invoice_no, IF(id % 3 = 0, NULL, 'S') AS stock_code, 'd' AS description, 1L AS quantity, "
+        "'2011-01-01' AS invoice_date, 1D AS unit_price, CAST(NULL AS LONG) AS customer_id, 'UK' AS country FROM range(6000)"
+    ).repartition(7).withColumn("stock_code", F.coalesce("stock_code", F.lit("H")))
+    silver = rows.where("invoice_no <> 'HOT' AND invoice_no NOT LIKE '%7'")
+    lost = keys.lost_valid_rows(rows, silver, SPEC, blocks=blocks)
+    assert lost.columns == rows.columns
+    assert sorted(map(tuple, lost.collect()), key=str) == sorted(map(tuple, rows.where("invoice_no = 'HOT' OR invoice_no LIKE '%7'").collect()), key=str)

@@ -15,11 +15,13 @@ _LINE_SELECT = """
     CASE WHEN l_linenumber = 7 AND l_suppkey % 3 = 0 THEN 'bad-date'
          ELSE CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS invoice_date,
     floor(l_extendedprice * 100 / l_quantity) / 100 AS unit_price,
-    CASE WHEN l_linenumber = 4 AND l_suppkey % 50 = 0 THEN NULL ELSE o_custkey END AS customer_id,
+    CASE WHEN l_linenumber = 4 AND l_suppkey % 50 = 0 THEN NULL
+         WHEN l_linenumber = 3 AND l_partkey % 20 = 0 THEN -o_custkey ELSE o_custkey END AS customer_id,
     n_name AS country
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 """
+_RUN = "CASE WHEN try_cast(invoice_date AS DATE) IS NULL THEN 'undated' ELSE substr(invoice_date, 1, 7) END"
 _BASE = f"""
 WITH lines AS MATERIALIZED (
   {_LINE_SELECT}
@@ -48,10 +50,10 @@ gold_country AS (
   FROM silver GROUP BY pipeline, country
 ),
 per_month AS (
-  SELECT pipeline, substr(invoice_date, 1, 7) AS run_id, count(*) AS b FROM lines GROUP BY 1, 2
+  SELECT pipeline, {_RUN} AS run_id, count(*) AS b FROM lines GROUP BY 1, 2
 ),
 silver_month AS (
-  SELECT pipeline, substr(invoice_date, 1, 7) AS run_id, count(*) AS s, sum(net_revenue) AS r
+  SELECT pipeline, {_RUN} AS run_id, count(*) AS s, sum(net_revenue) AS r
   FROM silver GROUP BY 1, 2
 ),
 history AS (
@@ -59,7 +61,7 @@ history AS (
     (1 - coalesce(s, 0) / b) * 100 AS drop_pct, coalesce(r, 0) * 84 AS gold_revenue
   FROM per_month LEFT JOIN silver_month USING (pipeline, run_id)
 ),
-customers AS (SELECT c_custkey AS customer_id FROM customer WHERE c_mktsegment <> 'MACHINERY')
+customers AS (SELECT c_custkey AS customer_id FROM customer)
 """
 _VALID = "quantity > 0 AND unit_price > 0 AND invoice_no IS NOT NULL AND stock_code IS NOT NULL"
 _DAY = "CASE WHEN regexp_matches(invoice_date, '^\\d{4}-\\d{1,2}-\\d{1,2}$') THEN TRY_CAST(invoice_date AS DATE) END"
@@ -227,6 +229,10 @@ _ORPHANS = """SELECT pipeline, count(*) FILTER (customer_id IS NOT NULL AND c IS
   (SELECT s.pipeline, s.customer_id, c.customer_id AS c FROM silver s
    LEFT JOIN customers c ON s.customer_id = c.customer_id) GROUP BY pipeline"""
 ORACLES["fk_orphans"] = _BASE + _ORPHANS
+ORACLES["fk_orphans_filtered"] = """
+SELECT l_returnflag, count(*) FILTER (p_partkey IS NULL AND l_partkey IS NOT NULL) AS orphans
+FROM lineitem LEFT JOIN (SELECT DISTINCT p_partkey FROM part WHERE p_size > 40) ON l_partkey = p_partkey
+GROUP BY l_returnflag"""
 
 ORACLES["gold_reconcile"] = _BASE + """
 SELECT pipeline, round(revenue, 2) AS silver_revenue, round(total_revenue, 2) AS gold_revenue,
@@ -840,16 +846,22 @@ SELECT pipeline, CAST(CASE WHEN orders % 2 = 1 THEN 0 ELSE 6 END AS BIGINT) AS p
 
 # --- fault injection ----------------------------------------------------------
 
-_HEALTHY = """
-WITH rows_ AS (
+_HEALTHY_LINES = """
   SELECT l_orderkey * 10 + l_linenumber AS invoice_no, l_partkey AS stock_code,
-    CAST(l_quantity AS BIGINT) AS quantity, floor(l_extendedprice * 100 / l_quantity) / 100 AS unit_price
+    l_returnflag || '-' || l_linestatus AS description, CAST(l_quantity AS BIGINT) AS quantity,
+    CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS invoice_date,
+    floor(l_extendedprice * 100 / l_quantity) / 100 AS unit_price, o_custkey AS customer_id, n_name AS country
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN nation ON c_nationkey = n_nationkey
+  JOIN nation ON c_nationkey = n_nationkey"""
+# Of rows that repeat a line key the least row stays.
+_LEAST = """QUALIFY row_number() OVER (PARTITION BY invoice_no ORDER BY stock_code NULLS FIRST, description NULLS FIRST,
+    quantity NULLS FIRST, invoice_date NULLS FIRST, unit_price NULLS FIRST, customer_id NULLS FIRST, country NULLS FIRST) = 1"""
+_HEALTHY = f"""
+WITH rows_ AS ({_HEALTHY_LINES}
 ),
 silver AS (
   SELECT *, quantity * unit_price AS net_revenue FROM (
-    SELECT invoice_no, min(quantity) AS quantity, min(unit_price) AS unit_price FROM rows_ GROUP BY invoice_no)
+    SELECT invoice_no, quantity, unit_price FROM rows_ {_LEAST})
   WHERE quantity > 0 AND unit_price > 0
 )
 """
@@ -874,15 +886,7 @@ SELECT {_SUMS} FROM (SELECT CASE WHEN rank <= 5 THEN NULL ELSE invoice_no END AS
 
 _MATRIX = f"""
 WITH bronze AS MATERIALIZED (
-  SELECT invoice_no, min(stock_code) AS stock_code, min(description) AS description, min(quantity) AS quantity,
-    min(invoice_date) AS invoice_date, min(unit_price) AS unit_price, min(customer_id) AS customer_id,
-    min(country) AS country
-  FROM (SELECT l_orderkey * 10 + l_linenumber AS invoice_no, l_partkey AS stock_code,
-    l_returnflag || '-' || l_linestatus AS description, CAST(l_quantity AS BIGINT) AS quantity,
-    CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS invoice_date,
-    floor(l_extendedprice * 100 / l_quantity) / 100 AS unit_price, o_custkey AS customer_id, n_name AS country
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-    JOIN nation ON c_nationkey = n_nationkey) GROUP BY invoice_no
+  SELECT * FROM ({_HEALTHY_LINES}) {_LEAST}
 ),
 hs AS MATERIALIZED (
   SELECT *, quantity * unit_price AS net_revenue, row_number() OVER (ORDER BY invoice_no) AS rn FROM bronze

@@ -296,6 +296,14 @@ def fk_orphans(spark, sf):
     return keys.fk_orphans(tables["silver_orders"], "customer_id", tables["customers"], "customer_id", BY)
 
 
+@query
+def fk_orphans_filtered(spark, sf):
+    """Lines whose part is none of the large ones, by manufacturer: most references match nothing."""
+    lines, parts = roles.table(spark, sf, "lineitem"), roles.table(spark, sf, "part")
+    large = parts.where("p_size > 40").select("p_partkey")
+    return keys.fk_orphans_filtered(lines, "l_partkey", large, "p_partkey", ["l_returnflag"])
+
+
 # --- reconciliation -----------------------------------------------------------
 
 
@@ -813,7 +821,7 @@ def _clean(spark, sf):
         "n_name AS country",
     )
     rest = [c for c in bronze.columns if c != "invoice_no"]
-    return bronze.groupBy("invoice_no").agg(*[F.min(c).alias(c) for c in rest])
+    return bronze.groupBy("invoice_no").agg(F.min(F.struct(*rest)).alias("row")).select("invoice_no", "row.*")
 
 
 _healthy: dict[tuple[str, str], dict[str, DataFrame]] = {}

@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.values import as_date
 from plumbline.model import PIPELINE
 from plumbline.operators.rollup import cross_layer_checks
 from plumbline.plans.lineage import cut_lineage, new_folder
@@ -53,7 +54,8 @@ LINE_COLUMNS = (
     "CASE WHEN l_linenumber = 7 AND l_suppkey % 3 = 0 THEN 'bad-date' "
     "ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END AS invoice_date",
     "floor(l_extendedprice * 100D / l_quantity) / 100D AS unit_price",
-    "CASE WHEN l_linenumber = 4 AND l_suppkey % 50 = 0 THEN NULL ELSE o_custkey END AS customer_id",
+    "CASE WHEN l_linenumber = 4 AND l_suppkey % 50 = 0 THEN NULL "
+    "WHEN l_linenumber = 3 AND l_partkey % 20 = 0 THEN -o_custkey ELSE o_custkey END AS customer_id",
     "n_name AS country",
 )
 
@@ -71,8 +73,12 @@ def silver(bronze: DataFrame) -> DataFrame:
 
 
 def history(bronze: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """One past run per pipeline and ship month, scaled to the size of the whole."""
-    month = F.substring("invoice_date", 1, 7).alias("run_id")
+    """One past run per pipeline and ship month, scaled to the size of the whole.
+
+    Lines without a date make up the run ``undated``.
+    """
+    dated = as_date("invoice_date", bronze.schema["invoice_date"].dataType)
+    month = F.expr(f"CASE WHEN {dated} IS NULL THEN 'undated' ELSE substring(invoice_date, 1, 7) END AS run_id")
     per_run = (
         bronze.select(PIPELINE, month, F.lit(1).alias("b"), F.lit(0).alias("s"), F.lit(0.0).alias("r"))
         .unionByName(
@@ -113,13 +119,12 @@ def _plans(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         "gold_country_revenue": country,
         "historical_runs": history(raw, cleaned),
     }
-    customers = table(spark, sf, "customer").filter("c_mktsegment <> 'MACHINERY'")
     return {
         "raw_orders": raw,
         "bronze_orders": raw,
         "silver_orders": cleaned,
         **land_layers(derived, folder),
-        "customers": customers.selectExpr("c_custkey AS customer_id"),
+        "customers": table(spark, sf, "customer").selectExpr("c_custkey AS customer_id"),
     }
 
 
