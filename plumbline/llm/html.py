@@ -9,6 +9,9 @@ page of the host. What an element says about itself is prior knowledge: ``nav``,
 evidence: that what lies inside is important, and that what stands beside one is not. A branch inside
 goes only if the articles differ where it does not, so copies of an article keep their text, and a
 title is as important as its article.
+
+Class names, ids and ``form`` are weaker than the other names: what a branch holds can overrule them
+(``overruled``), so an article in a ``page with-sidebar`` or in a page-wide form is not lost.
 """
 
 from __future__ import annotations
@@ -30,6 +33,10 @@ from plumbline.llm.common import landed, pieces
 LEAST_PAGES, LEAST_IMPORTANCE = 5, 0.2
 #: Pages of evidence that an article or main element counts for.
 PRIOR_PAGES = 10
+#: Characters outside links that make a branch inside an article prose, whatever a compound name like ``related-work`` says.
+PROSE = 200
+#: What an element's names say: nothing, that it may hold no text of the author's, that it holds none.
+NOTHING, MAYBE, SURELY = range(3)
 #: Where a node stands: on a page without an article, beside one, or inside one.
 ALONE, BESIDE, INSIDE = range(3)
 
@@ -60,6 +67,12 @@ NO_TEXT_NAMES = frozenset(
     "menu nav navbar navigation breadcrumb breadcrumbs masthead comment comments disqus replies respond pagination pager login "
     "signup signin searchform toolbar footer".split()
 )
+# Of these names, what only a title or the page's only article overrules: adverts, consent, reader comments.
+FIRM_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr newsletter popup "
+    "modal overlay comment comments disqus replies respond".split()
+)
+FIELDS = frozenset("form button select label textarea fieldset".split())
 NO_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
 TOKEN = re.compile(
@@ -81,6 +94,12 @@ class Element:
     styles: list  # child styles, for the statistics
     words: list  # own text, for the statistics
     up: tuple  # style nodes above
+    number: int = 0  # in the order of start tags
+    hard: bool = False  # silent whatever it holds
+    link: bool = False  # an anchor, or inside one
+    soft: Element | None = None  # the outermost element around that only its names silence
+    names: tuple = ()  # of such an element: the words of its names, compounds as they stand
+    nested: bool = False  # of such an element: inside an article
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -90,45 +109,63 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
-def says_noise(tag: str, known: dict[str, str], inside: bool) -> bool:
-    """What an element's own names tell."""
-    if tag in NO_TEXT or tag == "header" and not inside:
-        return True
-    if not known:
-        return False
-    if "hidden" in known or known.get("aria-hidden") == "true" or known.get("role", "") in NO_TEXT_ROLES:
-        return True
+def own_names(tag: str, known: dict[str, str]) -> list[str]:
+    """The class names and the id that count: of an article its classes, of main and body none."""
     if tag in ("html", "body", "main", "article"):
-        names = known.get("class", "") if tag == "article" else ""
+        text = known.get("class", "") if tag == "article" else ""
     else:
-        names = f"{known.get('class', '')} {known.get('id', '')}"
-    return any(part in NO_TEXT_NAMES for part in re.split(r"[\s_-]+", names.lower())) or bool(
-        re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", known.get("style", ""))
-    )
+        text = f"{known.get('class', '')} {known.get('id', '')}"
+    return text.lower().split()
+
+
+def says_noise(tag: str, known: dict[str, str], inside: bool) -> int:
+    """What an element's own names tell: NOTHING, MAYBE or SURELY noise."""
+    if tag in NO_TEXT and tag != "form" or tag == "header" and not inside:
+        return SURELY
+    if known:
+        if "hidden" in known or known.get("aria-hidden") == "true" or known.get("role", "") in NO_TEXT_ROLES:
+            return SURELY
+        if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", known.get("style", "")):
+            return SURELY
+    if tag == "form" or any(part in NO_TEXT_NAMES for name in own_names(tag, known) for part in re.split(r"[_-]+", name)):
+        return MAYBE
+    return NOTHING
 
 
-def walk(page: str) -> Iterator[tuple[str, Element, str]]:
+def walk(page: str, trusted: frozenset[int] = frozenset()) -> Iterator[tuple[str, Element, str]]:
     """The page's events in order: (open | close | text | break, element, text), tags balanced.
 
+    ``trusted`` holds the numbers of elements whose names don't silence them.
+
     End tags that HTML lets authors leave out are added, those without a start are skipped, and an
     unfinished last tag ends the page.
     """
     root = Element("", 0, False, False, None, False, [], [], ())
     stack = [root]
+    count = 0
 
     def close(n: int) -> Iterator[tuple[str, Element, str]]:
         while len(stack) > n:
             yield "close", stack.pop(), ""
 
     def opened(tag: str, known: dict[str, str]) -> Element:
+        nonlocal count
+        count += 1
         top = stack[-1]
         style = f"{tag}.{known.get('class', '')}"
         path = xxhash.xxh3_64_intdigest(style, seed=top.path) >> 3
         top.styles.append(style)
         inside = top.inside or tag in ("article", "main") or known.get("role") == "main"
-        silent = top.silent or says_noise(tag, known, top.inside)
+        noise = says_noise(tag, known, top.inside)
+        # HTML has no form inside a form.
+        if noise == MAYBE and (count in trusted or tag == "form" and any(e.tag == "form" and not e.silent for e in stack)):
+            noise = NOTHING
+        silent = top.silent or noise > NOTHING
         new = Element(tag, path, silent, inside and not silent, None, top.title or tag == "h1", [], [], (*top.up, top.path))
         new.article = top.article or (new if new.inside else None)
+        new.number, new.hard, new.link, new.soft = count, top.hard or noise == SURELY, top.link or tag == "a", top.soft
+        if noise == MAYBE and not top.silent:
+            new.soft, new.names, new.nested = new, tuple(own_names(tag, known)), top.inside
         return new
 
     at = 0
@@ -177,6 +214,68 @@ def walk(page: str) -> Iterator[tuple[str, Element, str]]:
     yield from close(1)
 
 
+@dataclass(slots=True)
+class Branch:
+    """What an outermost element that its names silence holds."""
+
+    root: Element
+    prose: int = 0  # characters outside links
+    linked: int = 0
+    articles: int = 0
+    titled: bool = False  # an h1 or main element
+    fields: bool = False
+
+
+def overruled(events: list[tuple[str, Element, str]]) -> set[int]:
+    """The numbers of elements whose names are overruled by what they hold.
+
+    One with more prose than the page would keep without it, if it holds the title, a main element or the page's only
+    article, or if nothing else is kept and its name is not firm. And one inside an article with a compound name
+    that is not firm, if it holds PROSE characters, hardly a link and no form field.
+    """
+    branches: dict[int, Branch] = {}
+    articles = inside = alone = 0
+    article_kept = False
+    for kind, e, text in events:
+        branch = branches.setdefault(e.soft.number, Branch(e.soft)) if e.soft and not e.hard else None
+        if kind == "open":
+            articles += e.tag == "article"
+            article_kept = article_kept or e.inside
+            if branch:
+                branch.articles += e.tag == "article"
+                branch.titled = branch.titled or e.tag in ("h1", "main")
+            if e.soft and e.soft.number in branches and e.tag in FIELDS:
+                branches[e.soft.number].fields = True
+        elif kind == "text" and not text.isspace():
+            size = len(" ".join(text.split()))
+            if branch:
+                branch.prose, branch.linked = branch.prose + size * (not e.link), branch.linked + size * e.link
+            elif not e.silent:
+                inside, alone = inside + size * e.inside, alone + size
+    kept = inside if article_kept else alone
+    out = set()
+    for number, b in branches.items():
+        parts = {part for name in b.root.names for part in re.split(r"[_-]+", name)}
+        firm = bool(parts & FIRM_NAMES)
+        more = b.prose > kept and (b.titled or b.articles == articles == 1 or kept == 0 and not firm)
+        compound = b.root.tag != "form" and not any(name in NO_TEXT_NAMES for name in b.root.names)
+        told = b.root.nested and compound and not firm and not b.fields and b.prose >= PROSE and b.linked * 10 <= b.prose
+        if more or told:
+            out.add(number)
+    return out
+
+
+def events_of(page: str) -> list[tuple[str, Element, str]]:
+    """The events of ``walk``, names that the text overrules left aside, from the outside in."""
+    trusted: frozenset[int] = frozenset()
+    while True:
+        events = list(walk(page, trusted))
+        more = overruled(events)
+        if not more:
+            return events
+        trusted |= more
+
+
 def mark(path: int, place: int) -> int:
     """A style node at a place (ALONE, BESIDE or INSIDE) as one number."""
     return path << 2 | place
@@ -193,7 +292,7 @@ def main_text(page: str, told: frozenset[int] = frozenset()) -> str:
     without an article and inside articles, and nodes to keep beside one. An article of which nothing
     would be left stays whole.
     """
-    events = list(walk(page))
+    events = events_of(page)
     outside = BESIDE if has_article(events) else ALONE
     blocks: list[str] = []
     pieces_: list[str] = []
@@ -232,7 +331,7 @@ def style_counts(page: str) -> Iterator[tuple[int, int, int, tuple, int, int]]:
 
     The text of an outermost article is all that is inside it; a title has 0 as the node of its article.
     """
-    events = list(walk(page))
+    events = events_of(page)
     outside = BESIDE if has_article(events) else ALONE
     for kind, e, text in events:
         if kind == "text":

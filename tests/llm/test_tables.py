@@ -260,6 +260,32 @@ def test_main_text(page):
     assert html.main_text(page) == PAGES[page]
 
 
+REPEATED = "<p>" + "Others have measured this before. " * 8 + "</p>"
+OVERRULED = {
+    "<div class='page with-sidebar'><article><h2>T</h2><p>Story.</p></article><div class=sidebar>Side</div></div>": "T\nStory.",
+    "<nav>Home</nav><div id=content class='social-history'><p>The mills closed.</p><div class=ad>Buy!</div></div>": "The mills closed.",
+    "<form id=aspnetForm><div class=menu>Home</div><article><p>Council met.</p></article></form>": "Council met.",
+    "<article class='comment-piece'><h1>Op</h1><p>I think so.</p></article>": "Op\nI think so.",
+    "<div class=with-sidebar><form><article><p>Twice.</p></article></form></div>": "Twice.",
+    "<form>" * 300 + "<article>deep</article>": "deep",
+    # What names say stays true of comments, adverts, lists of links and consent.
+    "<article><p>Short.</p></article><section id=comments><article class=comment><p>" + "No. " * 99 + "</p></article></section>": "Short.",
+    "<article><p>Short.</p><div class='comments-area'>" + REPEATED + "</div><div class='ad-box'>" + REPEATED + "</div></article>": "Short.",
+    "<article><p>Short.</p><div class='related-posts'><a href=x>" + "Another post. " * 30 + "</a></div></article>": "Short.",
+    "<div class='cookie-notice'><p>We use cookies.</p></div>": "",
+}
+
+
+@pytest.mark.parametrize("page", OVERRULED, ids=range(len(OVERRULED)))
+def test_what_a_branch_holds_overrules_its_names(page):
+    assert html.main_text(page) == OVERRULED[page]
+
+
+def test_related_work_stays_in_its_article():
+    page = f"<article><p>Intro.</p><section class='related-work'><h2>Related work</h2>{REPEATED}</section></article>"
+    assert html.main_text(page).startswith("Intro.\nRelated work\nOthers have")
+
+
 def test_site_style_tree_cuts_what_all_pages_repeat(spark):
     page = lambda i: f"<body><div class=top>The same words</div><div class=text><h1>T{i}</h1><p>body {i}</p></div><div>Copyright</div></body>"
     rows = [(i, f"http://www.x.org/{i}", page(i)) for i in range(8)] + [(9, "http://y.org/", page(9)), (10, None, None)]
