@@ -176,7 +176,8 @@ def mixing_rates(docs: DataFrame, model: Model, targets: dict[str, float]) -> Da
 
 
 def with_rates(docs: DataFrame, model: Model, targets: dict[str, float]) -> DataFrame:
-    """The documents with columns domain, rate and copies; these names must be free. Cases as above."""
+    """The documents with columns domain, rate and copies, which replace columns of these names. Cases as above."""
+    docs = docs.drop("domain", "rate", "copies")
     mixture = fit_mixture(landed(posteriors(docs, model), "posteriors"), model, targets)
     shared = docs.sparkSession.sparkContext.broadcast(mixture)
     at = docs.columns.index("text")

@@ -6,19 +6,25 @@ them against brute-force versions.
 
 REVISITS = r"""
 WITH raw AS (
-  SELECT page_id, url, md5(coalesce(html, '')) AS digest, '"' || left(md5(coalesce(html, '')), 16) || '"' AS tag,
-    strlen(html)::VARCHAR AS length, page_id % 8 AS part, 'day ' || (page_id % 7)::VARCHAR AS day
-  FROM pages),
+  SELECT page_id, url, digest, later, '"' || left(digest, 16) || '"' AS tag, '"' || left(later, 16) || '"' AS changed, length,
+    page_id % 8 AS part, page_id * 600 AS t, 'day ' || (page_id % 7)::VARCHAR AS day,
+    CASE WHEN page_id % 8 % 3 = 0 THEN url || '#again'
+      WHEN page_id % 8 % 3 = 1 THEN url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_medium=feed'
+      ELSE regexp_replace(url, '^http://', 'HTTPS://') END AS spelled
+  FROM (SELECT page_id, url, md5(coalesce(html, '')) AS digest, md5(coalesce(html, '') || '#2') AS later,
+    coalesce(strlen(html), 0)::VARCHAR AS length FROM pages)),
 captures AS (
-  SELECT page_id * 4 AS record_id, 'response' AS kind, url, page_id * 600 AS at, tag AS etag, day AS dated, digest, length, part FROM raw
-  UNION ALL
-  SELECT page_id * 4 + 1, 'revisit',
-    CASE WHEN part % 3 = 0 THEN url || '#again'
-      WHEN part % 3 = 1 THEN url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_medium=feed'
-      ELSE regexp_replace(url, '^http://', 'HTTPS://') END,
-    page_id * 600 + 3 * 86400 + 7,
-    CASE part WHEN 0 THEN tag WHEN 1 THEN 'W/' || tag WHEN 2 THEN '"other"' END,
-    CASE WHEN part = 3 THEN day END, CASE WHEN part = 4 THEN digest END, length, part FROM raw),
+  SELECT page_id * 16 AS record_id, 'response' AS kind, url, t AS at, tag AS etag, day AS dated, digest, length, part FROM raw
+  UNION ALL SELECT page_id * 16 + 1, 'response', url, t + 172800, changed, day || ' later', later, length, part FROM raw WHERE part % 2 = 0
+  UNION ALL SELECT page_id * 16 + 2, 'response', url, t + 172800, '"twin"', day || ' later', later, length, part FROM raw WHERE part = 2
+  UNION ALL SELECT page_id * 16 + 3, 'revisit', spelled, t + 259207,
+    CASE part WHEN 0 THEN changed WHEN 1 THEN 'W/' || tag WHEN 2 THEN '"twin"' WHEN 6 THEN tag END,
+    CASE WHEN part = 3 THEN day END, CASE WHEN part = 4 THEN digest END, length, part FROM raw
+  UNION ALL SELECT page_id * 16 + 4, 'revisit', spelled, t - 3600, tag, NULL, NULL, length, part FROM raw WHERE part = 5
+  UNION ALL SELECT page_id * 16 + 5, 'revisit', spelled, t + 60, tag, NULL, NULL, length, part FROM raw WHERE part % 4 = 1
+  UNION ALL SELECT page_id * 16 + 6, 'revisit', spelled, t, tag, NULL, NULL, length, part FROM raw WHERE part = 6
+  UNION ALL SELECT page_id * 16 + 7, 'response', 'http://www.portal.example/', t + 5, tag, day, digest, length, part FROM raw
+  UNION ALL SELECT page_id * 16 + 8, 'revisit', 'https://portal.example/#top', t + 905, CASE WHEN part % 4 = 0 THEN tag END, NULL, NULL, length, part FROM raw),
 bare AS (SELECT *, regexp_replace(trim(url), '#.*$', '') AS u FROM captures),
 cut AS (SELECT *,
     regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)),
@@ -32,7 +38,8 @@ canon AS (SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END ||
 matched AS (
   SELECT r.*, f.record_id AS f_id, f.etag AS f_etag, f.dated AS f_dated, f.digest AS f_digest, f.length AS f_length
   FROM (SELECT * FROM canon WHERE kind = 'revisit') r
-  ASOF LEFT JOIN (SELECT * FROM canon WHERE kind = 'response') f ON r.canonical_url = f.canonical_url AND r.at > f.at),
+  ASOF LEFT JOIN (SELECT * FROM canon WHERE kind = 'response'
+    QUALIFY row_number() OVER (PARTITION BY canonical_url, canon."at" ORDER BY record_id DESC) = 1) f ON r.canonical_url = f.canonical_url AND r.at > f.at),
 judged AS (SELECT *, CASE WHEN f_id IS NULL THEN 'missing'
     WHEN coalesce(regexp_replace(etag, '^W/', '') <> f_etag, false) OR coalesce(dated <> f_dated, false) OR coalesce(digest <> f_digest, false) THEN 'mismatch'
     WHEN etag IS NOT NULL OR dated IS NOT NULL OR digest IS NOT NULL THEN 'resolved' ELSE 'unverified' END AS resolution FROM matched)

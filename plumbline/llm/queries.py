@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.alignment import align_texts
-from plumbline.llm.common import table
+from plumbline.llm.common import landed, table
 from plumbline.llm.decontamination import contamination
 from plumbline.llm.filter_audit import filter_audit
 from plumbline.llm.html import extract_text
@@ -93,54 +93,79 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+#: The URL that gets a third of all captures made from pages.
+PORTAL = "http://www.portal.example/"
+DAY = 86400
+
+
 def captures(pages: DataFrame) -> DataFrame:
-    """Web captures made from the pages: of each a full response and, some days later, a revisit.
+    """Web captures made from the pages.
 
-    The revisit asks for another spelling of the URL; by page its validators agree, agree weakly, differ
-    or are absent.
+    Every page has a response, half of them a changed one two days later, an eighth another one at the
+    same second. Revisits ask for other spellings of the URL: before the first response, in the same second,
+    on the same day and after all responses. All pages give a response and a revisit of one portal page too,
+    whose latest response is another page's. By page the validators agree, agree weakly, are those of an
+    earlier response, or are absent.
     """
-    tag = F.concat(F.lit('"'), F.left(F.md5(F.coalesce("html", F.lit(""))), F.lit(16)), F.lit('"'))
-    part = F.pmod("page_id", F.lit(8))
-    digest = F.md5(F.coalesce("html", F.lit("")))
-    at = lambda extra: F.timestamp_seconds(F.col("page_id") * 600 + extra)
-    full = pages.select(
-        (F.col("page_id") * 4).alias("record_id"),
-        F.lit("response").alias("kind"),
+    text = F.coalesce("html", F.lit(""))
+    page = pages.select(
+        "page_id",
         "url",
-        at(0).alias("captured_at"),
-        F.create_map(
-            *[F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.octet_length("html").cast("string")],
-            *[F.lit("etag"), tag, F.lit("last-modified"), F.concat(F.lit("day "), F.pmod("page_id", F.lit(7)).cast("string"))],
-            *[F.lit("server"), F.lit("one")],
-        ).alias("headers"),
-        digest.alias("payload_digest"),
+        F.md5(text).alias("digest"),
+        F.md5(F.concat(text, F.lit("#2"))).alias("later"),
+        F.coalesce(F.octet_length("html"), F.lit(0)).cast("string").alias("length"),
+        F.pmod("page_id", F.lit(8)).alias("part"),
+        F.concat(F.lit("day "), F.pmod("page_id", F.lit(7)).cast("string")).alias("day"),
     )
+    quoted = lambda digest: F.concat(F.lit('"'), F.left(digest, F.lit(16)), F.lit('"'))
+    tag, changed, part, day = quoted("digest"), quoted("later"), F.col("part"), F.col("day")
+
+    def record(number: int, kind: str, url: Column, after: int, headers: list[tuple[str, Column]], digest: Column) -> Column:
+        return F.struct(
+            (F.col("page_id") * 16 + number).alias("record_id"),
+            F.lit(kind).alias("kind"),
+            url.alias("url"),
+            F.timestamp_seconds(F.col("page_id") * 600 + after).alias("captured_at"),
+            F.map_filter(F.create_map(*[x for k, v in headers for x in (F.lit(k), v)]), lambda k, v: v.isNotNull()).alias("headers"),
+            digest.alias("payload_digest"),
+        )
+
+    def response(number: int, url: Column, after: int, etag: Column, dated: Column, digest: Column) -> Column:
+        lines = [("content-type", F.lit("text/html")), ("content-length", F.col("length")), ("etag", etag), ("last-modified", dated)]
+        return record(number, "response", url, after, [*lines, ("server", F.lit("one"))], digest)
+
+    none = F.lit(None).cast("string")
+
+    def revisit(number: int, url: Column, after: int, etag: Column = none, dated: Column = none, digest: Column = none) -> Column:
+        age = F.concat(F.lit("max-age="), part.cast("string"))
+        lines = [("content-length", F.lit("0")), ("etag", etag), ("last-modified", dated), ("cache-control", age)]
+        return record(number, "revisit", url, after, lines, digest)
+
+    url = F.col("url")
     spelled = (
         F.when(part % 3 == 0, F.concat("url", F.lit("#again")))
-        .when(part % 3 == 1, F.concat(F.col("url"), F.when(F.col("url").contains("?"), "&").otherwise("?"), F.lit("utm_medium=feed")))
+        .when(part % 3 == 1, F.concat(url, F.when(url.contains("?"), "&").otherwise("?"), F.lit("utm_medium=feed")))
         .otherwise(F.regexp_replace("url", "^http://", "HTTPS://"))
     )
-    etag = F.when(part == 0, tag).when(part == 1, F.concat(F.lit("W/"), tag)).when(part == 2, F.lit('"other"'))
-    dated = F.when(part == 3, F.concat(F.lit("day "), F.pmod("page_id", F.lit(7)).cast("string")))
-    seen = pages.select(
-        (F.col("page_id") * 4 + 1).alias("record_id"),
-        F.lit("revisit").alias("kind"),
-        spelled.alias("url"),
-        at(3 * 86400 + 7).alias("captured_at"),
-        F.map_filter(
-            F.create_map(
-                *[F.lit("content-length"), F.lit("0"), F.lit("etag"), etag, F.lit("last-modified"), dated],
-                *[F.lit("cache-control"), F.concat(F.lit("max-age="), part.cast("string"))],
-            ),
-            lambda k, v: v.isNotNull(),
-        ).alias("headers"),
-        F.when(part == 4, digest).alias("payload_digest"),
-    )
-    return full.unionByName(seen)
+    last = F.when(part == 0, changed).when(part == 1, F.concat(F.lit("W/"), tag)).when(part == 2, F.lit('"twin"')).when(part == 6, tag)
+    late = F.concat(day, F.lit(" later"))
+    records = [
+        response(0, url, 0, tag, day, F.col("digest")),
+        F.when(part % 2 == 0, response(1, url, 2 * DAY, changed, late, F.col("later"))),
+        F.when(part == 2, response(2, url, 2 * DAY, F.lit('"twin"'), late, F.col("later"))),
+        revisit(3, spelled, 3 * DAY + 7, last, F.when(part == 3, day), F.when(part == 4, F.col("digest"))),
+        F.when(part == 5, revisit(4, spelled, -3600, tag)),
+        F.when(part % 4 == 1, revisit(5, spelled, 60, tag)),
+        F.when(part == 6, revisit(6, spelled, 0, tag)),
+        response(7, F.lit(PORTAL), 5, tag, day, F.col("digest")),
+        revisit(8, F.lit("https://portal.example/#top"), 905, F.when(part % 4 == 0, tag)),
+    ]
+    made = page.select(F.explode(F.filter(F.array(*records), lambda r: r.isNotNull())).alias("r"))
+    return made.select("r.*")
 
 
 def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    found = resolve_revisits(landed(captures(table(spark, sf_dir, "pages")), "captures"))
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return found.select(
         "record_id",

@@ -11,7 +11,7 @@ import pytest
 from edge_cases import EDGE, LONG
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, html, neardup, revisits, winnowing
+from plumbline.llm import decontamination, html, neardup, queries, revisits, winnowing
 from plumbline.llm.components import connected_components
 from plumbline.llm.queries import REGISTRY
 
@@ -317,6 +317,22 @@ def test_site_style_tree_decides_inside_and_beside_articles(spark):
 # --- revisits
 
 
+def test_captures_exercise_the_as_of_join(spark):
+    """Several responses of a URL, ties, revisits before and beside the first one, and a URL with a third of all captures."""
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/p", f"<p>{i}") for i in range(64)] + [(64, None, None)], "page_id long, url string, html string")
+    made = queries.captures(pages)
+    found = revisits.resolve_revisits(made)
+    by_kind = {r["resolution"]: r["count"] for r in found.groupBy("resolution").count().collect()}
+    assert set(by_kind) == {"full", "resolved", "unverified", "mismatch", "missing"} and sum(by_kind.values()) == made.count()
+    portal = found.where("canonical_url = 'portal.example/'")
+    assert 0.3 < portal.count() / made.count() < 0.4
+    got = {r["record_id"]: r["from_record_id"] for r in found.where("kind = 'revisit'").collect()}
+    assert got[2 * 16 + 3] == 2 * 16 + 2  # the greater of two ids in one second
+    assert got[6 * 16 + 6] is None and got[5 * 16 + 4] is None and got[5 * 16 + 5] == 5 * 16
+    assert got[1 * 16 + 8] == 2 * 16 + 7 and got[0 * 16 + 8] is None  # another page's response
+    assert queries.captures(pages.where("false")).count() == 0
+
+
 def test_revisit_cases(spark):
     row = lambda i, kind, url, at, headers, digest=None: (i, kind, url, at, headers, digest)
     rows = [

@@ -322,6 +322,9 @@ def test_mixing_cases(edge, none, spark):
     assert {r["rate"] for r in mixing.mixing_rates(unlabelled, mixing.domain_model(unlabelled), {}).collect()} == {1.0}
     plain = edge.select("doc_id", "text", "lang")
     assert mixing.with_rates(plain, model, {"en": 1.0}).columns == ["doc_id", "text", "lang", "domain", "rate", "copies"]
+    clashing = plain.withColumn("domain", F.lit("x")).withColumn("rate", F.lit(1)).withColumn("Copies", F.lit(None).cast("string"))
+    rated = mixing.with_rates(clashing, model, {"en": 1.0})
+    assert rated.columns == ["doc_id", "text", "lang", "domain", "rate", "copies"] and rated.where("domain = 'x'").count() == 0
 
 
 def test_held_out_fold(spark):
