@@ -185,9 +185,20 @@ def fk_orphans_filtered(
 
 
 def lost_valid_rows(
+    bronze: DataFrame, silver: DataFrame, spec: PipelineSpec, by: Sequence[str] = ()
+) -> DataFrame:
+    """The valid Bronze rows with no Silver row on the null-safe business key."""
+    keys = [*by, *spec.business_key]
+    kept = silver.select(*[F.col(k).alias(f"_s_{k}") for k in keys]).distinct()
+    valid = bronze.filter(spec.valid_row())
+    match = [valid[k].eqNullSafe(kept[f"_s_{k}"]) for k in keys]
+    return valid.join(kept, match, "left_anti")
+
+
+def lost_valid_rows_counted(
     bronze: DataFrame, silver: DataFrame, spec: PipelineSpec, by: Sequence[str] = (), blocks: int = BLOCKS
 ) -> DataFrame:
-    """The valid Bronze rows with no Silver row on the null-safe business key.
+    """The rows of ``lost_valid_rows``, for layers with hot keys or little loss.
 
     Lost keys are found by counting, so a hot key is one record per task. A filter of them then keeps
     back the rows whose key is certainly not lost; only the others are shuffled to the exact match,

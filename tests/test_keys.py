@@ -206,6 +206,6 @@ def test_lost_rows_of_a_hot_key(spark, blocks):
         "'2011-01-01' AS invoice_date, 1D AS unit_price, CAST(NULL AS LONG) AS customer_id, 'UK' AS country FROM range(6000)"
     ).repartition(7).withColumn("stock_code", F.coalesce("stock_code", F.lit("H")))
     silver = rows.where("invoice_no <> 'HOT' AND invoice_no NOT LIKE '%7'")
-    lost = keys.lost_valid_rows(rows, silver, SPEC, blocks=blocks)
+    lost = keys.lost_valid_rows_counted(rows, silver, SPEC, blocks=blocks)
     assert lost.columns == rows.columns
     assert sorted(map(tuple, lost.collect()), key=str) == sorted(map(tuple, rows.where("invoice_no = 'HOT' OR invoice_no LIKE '%7'").collect()), key=str)

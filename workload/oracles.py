@@ -195,6 +195,7 @@ kc AS (
 ORACLES["key_census"] = _BASE + _CENSUS + "SELECT * FROM kc"
 ORACLES["valid_rows_lost"] = _BASE + "," + _LOST + """
 SELECT pipeline, invoice_no, stock_code, customer_id, invoice_date, quantity FROM lost"""
+ORACLES["valid_rows_lost_counted"] = ORACLES["valid_rows_lost"]
 ORACLES["valid_loss_status"] = _BASE + _CENSUS + f"""
 SELECT pipeline, valid_rows, lost_rows, round(lost_rows / valid_rows * 100, 2) AS loss_pct,
   CASE WHEN lost_rows = 0 THEN 'PASS' WHEN lost_rows / valid_rows * 100 < 1 THEN 'WARN' ELSE 'FAIL' END AS status

@@ -234,6 +234,14 @@ def valid_rows_lost(spark, sf):
     return lost.select(PIPELINE, "invoice_no", "stock_code", "customer_id", "invoice_date", "quantity")
 
 
+@query
+def valid_rows_lost_counted(spark, sf):
+    """The same rows, by counted keys and a filter of the lost ones."""
+    tables = layers(spark, sf)
+    lost = keys.lost_valid_rows_counted(tables["bronze_orders"], tables["silver_orders"], SPEC, BY)
+    return lost.select(PIPELINE, "invoice_no", "stock_code", "customer_id", "invoice_date", "quantity")
+
+
 @query
 def valid_loss_status(spark, sf):
     tables = layers(spark, sf)
