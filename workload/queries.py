@@ -306,7 +306,7 @@ def fk_orphans(spark, sf):
 
 @query
 def fk_orphans_filtered(spark, sf):
-    """Lines whose part is none of the large ones, by manufacturer: most references match nothing."""
+    """Lines whose part is none of the large ones, by return flag: most references match nothing."""
     lines, parts = roles.table(spark, sf, "lineitem"), roles.table(spark, sf, "part")
     large = parts.where("p_size > 40").select("p_partkey")
     return keys.fk_orphans_filtered(lines, "l_partkey", large, "p_partkey", ["l_returnflag"])
