@@ -1,5 +1,6 @@
 """The operators on single texts: quality, personal data, languages, tokens, mixing."""
 
+import hashlib
 import random
 import re
 
@@ -161,6 +162,18 @@ def test_pii_cases(edge, none, finder):
     assert clean[-8] == "mail [EMAIL] or [IP] now" and clean[1] is None and clean[7] == LONG
 
 
+def test_pii_counts_are_those_of_the_patterns(spark, finder, tmp_path, monkeypatch):
+    texts = ["call (415) 555-2671 now", "mail bob [at] site [dot] org or a@b.org, +49 170 555 2671", "host 10.0.0.1 and 10 . 0 . 0 . 2", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr("plumbline.llm.queries.pii_model", lambda docs: finder)
+    rows = REGISTRY["op2_pii"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts) and sum(r["n_added"] for r in rows) > 0
+    for r in rows:
+        base = brute_spans(texts[r["doc_id"]] or "")
+        assert [r[f"n_{k}"] for k in PATTERNS] == [sum(kind == k for kind, *_ in base) for k in PATTERNS]
+        assert r["base_sha256"] == hashlib.sha256(",".join("%s:%d:%d" % s for s in base).encode()).hexdigest()
+
+
 # --- languages
 
 
