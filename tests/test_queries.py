@@ -54,6 +54,20 @@ def test_query(spark, duck, name):
         assert found == table([d[0] for d in result.description], result.fetchall())
 
 
+@pytest.fixture(scope="module")
+def flagged_lines(spark, tmp_path_factory):
+    """Line keys that repeat within one return flag, under two, and not at all."""
+    folder = tmp_path_factory.mktemp("lines")
+    rows = [(1, 1, "A"), (1, 1, "A"), (1, 1, "A"), (1, 1, "R"), (2, 1, "R"), (2, 1, "R"), (None, 1, "N"), (3, None, None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_key_copies_are_counted_per_return_flag(spark, flagged_lines):
+    rows = contract.queries()["dup_primary_key"](spark, flagged_lines).collect()
+    assert {r["l_returnflag"]: r["excess"] for r in rows} == {"A": 2, "R": 1, "N": 0, None: 0}
+
+
 def test_entry(spark):
     rows = contract.entry(spark).collect()
     assert {r["pipeline"] for r in rows} and all(r["final_verdict"] == "NOT TRUSTED" for r in rows)
