@@ -68,6 +68,11 @@ def test_key_copies_are_counted_per_return_flag(spark, flagged_lines):
     assert {r["l_returnflag"]: r["excess"] for r in rows} == {"A": 2, "R": 1, "N": 0, None: 0}
 
 
+def test_repeated_keys_are_counted_per_return_flag(spark, flagged_lines):
+    rows = contract.queries()["dup_distinct_keys"](spark, flagged_lines).collect()
+    assert {r["l_returnflag"]: r["duplicated"] for r in rows} == {"A": 1, "R": 1, "N": 0, None: 0}
+
+
 def test_entry(spark):
     rows = contract.entry(spark).collect()
     assert {r["pipeline"] for r in rows} and all(r["final_verdict"] == "NOT TRUSTED" for r in rows)
