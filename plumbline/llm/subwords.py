@@ -11,6 +11,7 @@ one mark for each word that repeats the word before it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,10 @@ DIMENSIONS = 16
 PER_CLASS = 1500
 EPOCHS = 5
 RATE = 0.5
+#: Characters whose features are made together; numpy holds some 100 bytes for each of them.
+TOGETHER = 1 << 17
+
+BORDER, WORD = re.compile(r"[\x00-\x20]"), re.compile(r"[^\x00-\x20]+")
 
 #: Odd multipliers of the rolling and the mixing hash.
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -79,6 +84,46 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(owners)
 
 
+def long_features(text: str, most: int) -> Iterator[np.ndarray]:
+    """Feature buckets of a text, cut at the first border after each ``most`` characters; a word stays whole."""
+    start, last = 0, None
+    while start is not None:
+        gap = BORDER.search(text, start + most) if len(text) - start > most else None
+        part = text[start : gap.start()] if gap else text[start:]
+        yield features([part])[0]
+        words = WORD.findall(part)
+        if words:
+            if words[0] == last:
+                yield np.full(1, BUCKETS, np.int32)
+            last = words[-1]
+        start = gap.end() if gap else None
+
+
+def portions(texts: list[str], most: int = TOGETHER) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """``features`` of all texts, about ``most`` characters at a time: which texts, buckets, places among them."""
+    start = size = 0
+    for end, text in enumerate([*texts, None]):
+        if start < end and (text is None or size + len(text) >= most):
+            if size > most:  # one text
+                for ids in long_features(texts[start], most):
+                    yield slice(start, end), ids, np.zeros(len(ids), np.int32)
+            else:
+                yield slice(start, end), *features(texts[start:end])
+            start, size = end, 0
+        size += len(text or "") + 1
+
+
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The feature buckets of a text in order and how often each occurs."""
+    if len(text) < TOGETHER:
+        return np.unique(features([text])[0], return_counts=True)
+    total = np.zeros(BUCKETS + 1, np.int64)
+    for _, ids, _ in portions([text]):
+        total += np.bincount(ids, minlength=len(total))
+    found = np.flatnonzero(total)
+    return found, total[found]
+
+
 @dataclass
 class Model:
     """Class scores of every bucket and of an empty text."""
@@ -91,10 +136,13 @@ class Model:
         """Class probabilities, one row per text."""
         out = np.tile(self.bias, (len(texts), 1)).astype(np.float64)
         if texts and len(self.classes) > 1:
-            ids, owners = features(texts)
-            n = np.maximum(np.bincount(owners, minlength=len(texts)), 1)
-            for k in range(len(self.classes)):
-                out[:, k] += np.bincount(owners, self.scores[ids, k], len(texts)) / n
+            sums, n = np.zeros(out.shape), np.zeros((len(texts), 1), np.int64)
+            for at, ids, owners in portions(texts):
+                rows = at.stop - at.start
+                n[at, 0] += np.bincount(owners, minlength=rows)
+                for k in range(len(self.classes)):
+                    sums[at, k] += np.bincount(owners, self.scores[ids, k], rows)
+            out += sums / np.maximum(n, 1)
         out = np.exp(out - out.max(axis=1, keepdims=True))
         return out / out.sum(axis=1, keepdims=True)
 
@@ -144,7 +192,7 @@ def sample_features(docs: DataFrame, chosen: DataFrame) -> list[tuple]:
         for batch in pieces(batches):
             ids, counts = [], []
             for text in batch.column(2).to_pylist():
-                found, n = np.unique(features([text])[0], return_counts=True)
+                found, n = counted(text)
                 ids.append(found.astype("<i4").tobytes())
                 counts.append(n.astype("<f4").tobytes())
             columns = {"doc_id": batch.column(0), "label": batch.column(1)}

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -53,6 +54,37 @@ def test_features_do_not_depend_on_the_batch():
     assert (subwords.features(["b b"])[0] == subwords.BUCKETS).sum() == 1
 
 
+def test_features_of_portions_are_those_of_the_whole():
+    rng = random.Random(2)
+    words = ["a", "bc", "def", "längere", "x" * 50]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "\n", "  ", "\t \x00"]) for _ in range(rng.choice([0, 1, 5, 200]))) for _ in range(60)]
+    texts += ["", " " * 99, "y" * 99, "a " * 99, " a" * 99, "a" + " " * 99 + "a", *[t.strip() for t in texts]]
+    ids, owners = subwords.features(texts)
+    for most in (1, 2, 7, 40, 1000, 1 << 17):
+        found = [[] for _ in texts]
+        for at, part, places in subwords.portions(texts, most):
+            for i, place in zip(part, places, strict=True):
+                found[range(len(texts))[at][place]].append(i)
+        for k in range(len(texts)):
+            assert sorted(found[k]) == sorted(ids[owners == k])
+    assert list(subwords.portions([])) == []
+    long = " ".join(rng.choice(words) for _ in range(40_000))
+    for mine, whole in zip(subwords.counted(long), np.unique(subwords.features([long])[0], return_counts=True), strict=True):
+        assert (mine == whole).all()
+
+
+def test_prediction_holds_few_features_at_once(judge):
+    line = "abc defg hh cab bead " * 50
+    for texts in ([line] * 4000, [line * 4000]):
+        tracemalloc.start()
+        found = judge.predict(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        # Before: some 100 bytes for each of 4.2 million characters.
+        assert peak < 40 << 20
+        assert np.allclose(found, judge.predict([line]), atol=1e-3)
+
+
 def test_quality_cases(edge, none, judge):
     rows = quality.score_quality(edge, judge).collect()
     assert ids(rows) == ALL
