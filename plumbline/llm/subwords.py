@@ -159,6 +159,7 @@ def train(docs: list[tuple[int, np.ndarray, np.ndarray]], classes: list, weights
             label, ids, counts = docs[d]
             rate = RATE * (1 - done / total)
             done += 1
+            counts = counts.astype(np.float32, copy=False)
             share = counts / max(counts.sum(), 1)
             mean = share @ vectors[ids] if len(ids) else np.zeros(DIMENSIONS, np.float32)
             out = mean @ layer + bias
@@ -194,14 +195,16 @@ def sample_features(docs: DataFrame, chosen: DataFrame) -> list[tuple]:
             for text in batch.column(2).to_pylist():
                 found, n = counted(text)
                 ids.append(found.astype("<i4").tobytes())
-                counts.append(n.astype("<f4").tobytes())
+                counts.append(n.astype("<u1" if n.max(initial=0) < 256 else "<f4").tobytes())
             columns = {"doc_id": batch.column(0), "label": batch.column(1)}
             yield pa.RecordBatch.from_pydict({**columns, "ids": pa.array(ids, pa.binary()), "n": pa.array(counts, pa.binary())})
 
     kind = chosen.schema["label"].dataType.simpleString()
     rows = texts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label {kind}, ids binary, n binary").collect()
     rows.sort(key=lambda r: (str(r["label"]), str(r["doc_id"])))
-    return [(r["label"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["n"], "<f4")) for r in rows]
+    # Counts take one byte each where all of a document's fit, which spares the driver.
+    width = lambda r: "<u1" if len(r["ids"]) == 4 * len(r["n"]) else "<f4"
+    return [(r["label"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["n"], width(r))) for r in rows]
 
 
 def fit(docs: DataFrame, labelled: DataFrame, per_class: int = PER_CLASS) -> Model:

@@ -73,6 +73,16 @@ def test_features_of_portions_are_those_of_the_whole():
         assert (mine == whole).all()
 
 
+def test_sampled_counts_are_whole_and_small(spark):
+    texts = ["ab cd ab", "", "ab " * 300, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = subwords.sample_features(docs, docs.selectExpr("doc_id", "doc_id AS label"))
+    for text, (_, i, n) in zip(texts, found, strict=True):
+        whole = np.unique(subwords.features([text or ""])[0], return_counts=True)
+        assert (i == whole[0]).all() and (n == whole[1]).all()
+    assert found[0][2].nbytes == len(found[0][1]) and found[2][2].max() > 255
+
+
 def test_prediction_holds_few_features_at_once(judge):
     line = "abc defg hh cab bead " * 50
     for texts in ([line] * 4000, [line * 4000]):
